@@ -8,6 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .near_dedup import near_duplicates
+from .packing import pack_documents
+from .simple8b import coded_round_trip
+from .tokens import count_tokens
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op4_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded_round_trip(table(spark, sf_dir, "documents"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +30,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op2_token_counts, op4_simple8b_ids, op8_best_fit_packing, op10_minhash_near_dedup)}
 
 
 #: DuckDB text by query.
