@@ -11,6 +11,7 @@ from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .simple8b import coded_round_trip
 from .tokens import count_tokens
+from .toxicity import toxicity
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op4_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -30,7 +35,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_simple8b_ids, op8_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op2_token_counts, op4_simple8b_ids, op6_toxicity, op8_best_fit_packing, op10_minhash_near_dedup)}
 
 
 #: DuckDB text by query.

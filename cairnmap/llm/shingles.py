@@ -42,14 +42,15 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return up(_BASE), up(pow(_BASE, -1, 1 << 64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, row and hash of every word of the rows ``offsets`` delimits in ``data``."""
+def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = _IS_WORD, heads: tuple[int, ...] = ()) -> tuple:
+    """Start, end, row and hash of every word of the rows ``offsets`` delimits in ``data``; with ``heads``, a list follows
+    that has, for each of these lengths, the hash of that many first bytes (0 where a word is shorter)."""
     low, high = int(offsets[0]), int(offsets[-1])
     data, at = data[low:high], offsets - low
-    if not len(data):
-        none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64)
-    inside = _IS_WORD[data]
+    inside = letters[data]
+    if not inside.any():
+        none, no_hash = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return (none, none, none, no_hash, [no_hash for _ in heads]) if heads else (none, none, none, no_hash)
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
@@ -63,7 +64,13 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     total = sums[end - 1] - np.where(start > 0, sums[start - 1], np.uint64(0))
     hashed = mix(total * down[start] + (end - start).astype(np.uint64))
     row = np.searchsorted(at, start, side="right") - 1
-    return start + low, end + low, row, hashed
+    if not heads:
+        return start + low, end + low, row, hashed
+    before, made = np.where(start > 0, sums[start - 1], np.uint64(0)), []
+    for n in heads:
+        to = np.minimum(start + n, len(data)) - 1
+        made.append(np.where(end - start >= n, mix((sums[to] - before) * down[start]), np.uint64(0)))
+    return start + low, end + low, row, hashed, made
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
