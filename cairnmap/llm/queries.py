@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .mixing import mixed_counts
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .simple8b import coded_round_trip
@@ -26,6 +27,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_counts(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_simple8b_ids, op6_toxicity, op8_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op2_token_counts, op4_simple8b_ids, op6_toxicity, op7_source_mixing, op8_best_fit_packing, op10_minhash_near_dedup)}
 
 
 #: DuckDB text by query.
