@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .common import table
+from .exact_topk import exact_top_k
 from .mixing import mixed_counts
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -15,6 +17,18 @@ from .tokens import count_tokens
 from .toxicity import toxicity
 
 
+def _hundredth(vec_id):
+    return vec_id % 100 == 0
+
+
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), _hundredth)
+
+
+def op9_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), _hundredth)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -40,7 +54,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_simple8b_ids, op6_toxicity, op7_source_mixing, op8_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_token_counts, op4_simple8b_ids, op6_toxicity, op7_source_mixing, op8_best_fit_packing, op9_anisotropic_ann, op10_minhash_near_dedup)}
 
 
 #: DuckDB text by query.
