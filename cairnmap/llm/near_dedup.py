@@ -36,7 +36,7 @@ from .components import connected_components
 from .shingles import minhash, shingle_sets
 
 #: Largest bucket whose nodes are paired by a join; beyond it, blocks of this many signatures meet inside tasks.
-SMALL, BLOCK = 48, 512
+SMALL, BLOCK = 48, 256
 #: Signature values that one verification step reads.
 BATCH = 25
 
@@ -124,52 +124,67 @@ def _bayes(pairs: DataFrame, n_hashes: int, percent: int, miss: float) -> DataFr
     return pairs.mapInArrow(run, "a binary, b binary")
 
 
+def _sets_of(nodes: DataFrame, docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """The full sets of some nodes, made anew from one document of each."""
+    ids = reps.select("node", F.col("id").alias("doc")).join(nodes, "node", "left_semi").select("doc").distinct()
+    return _sets(docs.join(ids, docs["id"] == ids["doc"], "left_semi").select("text"), width).dropDuplicates(["node"])
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold, in integers."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _exact(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs of nodes whose full sets reach the threshold. The sets are made anew, for the documents in question only."""
+    """Pairs of nodes whose full sets reach the threshold."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = reps.select("node", F.col("id").alias("doc")).join(nodes, "node", "left_semi").select("doc").distinct()
-    texts = docs.join(ids, docs["id"] == ids["doc"], "left_semi").select("text")
-    sets = _sets(texts, width)
+    sets = _sets_of(nodes, docs, reps, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = 0
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    at = np.searchsorted(y, x)
-                    at[at == len(y)] = 0
-                    both = int((y[at] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
+            pairs = zip(batch.column(2), batch.column(3))
+            keep = pa.array([similar(*(np.frombuffer(s.as_buffer(), np.uint64) for s in pair), percent) for pair in pairs], pa.bool_())
             yield pa.record_batch([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
 
     left, right = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
-def _large(members: DataFrame, n_hashes: int, percent: int, miss: float) -> DataFrame:
-    """members: key, node, lab, sig, size, main, odd (nodes outside the largest component). Block meets block within tasks."""
+def _large(members: DataFrame, n_hashes: int, rows: int, percent: int, miss: float) -> DataFrame:
+    """members: key, band, node, lab, sig, set, size, main, odd (nodes outside the largest component). Block meets block."""
     block = lambda count: F.pmod(F.xxhash64("node"), F.ceil(F.col(count) / BLOCK))
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(count) / BLOCK) - 1))
-    left = members.select("key", block("size").alias("i"), every("odd").alias("j"), "node", "lab", "sig")
-    right = members.filter(F.col("lab") != F.col("main")).select("key", every("size").alias("i"), block("odd").alias("j"), "node", "lab", "sig")
-    left, right = left.toDF("key", "i", "j", "node", "lab", "sig"), right.toDF("key2", "i2", "j2", "node2", "lab2", "sig2")
+    left = members.select("key", block("size").alias("i"), every("odd").alias("j"), "node", "lab", "sig", "set", "band")
+    right = members.filter(F.col("lab") != F.col("main")).select("key", every("size").alias("i"), block("odd").alias("j"), "node", "lab", "sig", "set")
+    left, right = left.toDF("key", "i", "j", "node", "lab", "sig", "set", "band"), right.toDF("key2", "i2", "j2", "node2", "lab2", "sig2", "set2")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         a_node, b_node = left["node"].to_pylist(), right["node2"].to_pylist()
         a_lab, b_lab = (np.array(c.to_pylist(), object) for c in (left["lab"], right["lab2"]))
         a_sig, b_sig = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, n_hashes) for c in (left["sig"], right["sig2"]))
+        a_set, b_set = ([np.frombuffer(x, np.uint64) for x in c.to_pylist()] for c in (left["set"], right["set2"]))
+        band = left["band"][0].as_py() if left.num_rows else 0
         out_a, out_b = [], []
         for k in range(len(b_node)):
-            other = np.flatnonzero(a_lab != b_lab[k])
-            for i in other[bayes_keep(a_sig[other], np.broadcast_to(b_sig[k], (len(other), n_hashes)), percent, miss)]:
-                out_a.append(min(a_node[i], b_node[k]))
-                out_b.append(max(a_node[i], b_node[k]))
+            near = np.flatnonzero(a_lab != b_lab[k])
+            near = near[bayes_keep(a_sig[near], np.broadcast_to(b_sig[k], (len(near), n_hashes)), percent, miss)]
+            same = a_sig[near] == b_sig[k]
+            first = same.reshape(len(near), n_hashes // rows, rows).all(2).argmax(1)
+            near, agreed = near[first == band], same[first == band].sum(1)
+            done = set()
+            for i in near[np.argsort(-agreed, kind="stable")]:
+                if a_lab[i] not in done and similar(a_set[i], b_set[k], percent):
+                    done.add(a_lab[i])
+                    out_a.append(min(a_node[i], b_node[k]))
+                    out_b.append(max(a_node[i], b_node[k]))
         return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
 
-    return left.groupBy("key", "i", "j").cogroup(right.groupBy("key2", "i2", "j2")).applyInArrow(run, "a binary, b binary")
+    return left.groupBy("key", "i", "j").cogroup(right.groupBy("key2", "i2", "j2")).applyInArrow(run, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
@@ -181,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = stored(sigs.filter("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.any_value("sig").alias("sig")), "nodes")
 
     keys = F.array(*[F.xxhash64(F.lit(b), F.col("sig").substr(4 * rows * b + 1, 4 * rows)) for b in range(bands)])
-    banded = reps.select("node", F.explode(keys).alias("key"))
+    banded = reps.select("node", F.posexplode(keys).alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).filter("size > 1")
     buckets = stored(banded.join(shared, "key"), "buckets")
 
@@ -191,20 +206,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stored(_exact(cut(tested(stars)), docs, reps, width, percent), "links")
     labels = connected_components(links)
 
-    labelled = buckets.filter("size > 2").join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("lab"))
+    labelled = buckets.filter("size > 2").join(labels, "node", "left").select("key", "band", "node", "size", F.coalesce("label", "node").alias("lab"))
     spans = labelled.groupBy("key", "lab").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("n", "lab")).alias("top"))
     spans = spans.filter("comps > 1").select("key", F.col("top.lab").alias("main"), F.col("top.n").alias("inside"))
     members = stored(labelled.join(spans, "key").withColumn("odd", F.col("size") - F.col("inside")).drop("inside"), "members")
     small, large = members.filter(F.col("size") <= SMALL), members.filter(F.col("size") > SMALL)
     odd = small.filter("lab != main").select("key", F.col("node").alias("n2"), F.col("lab").alias("l2"))
     joined = small.join(odd, "key").filter("lab != l2").select(F.least("node", "n2").alias("a"), F.greatest("node", "n2").alias("b")).distinct()
-    later = tested(joined.join(stars, ["a", "b"], "left_anti"))
+    later = cut(tested(joined.join(stars, ["a", "b"], "left_anti")))
+    more = None if later.isEmpty() else _exact(later, docs, reps, width, percent)
     if not large.isEmpty():
-        later = later.union(_large(large.join(reps.select("node", "sig"), "node"), n_hashes, percent, miss).distinct().join(stars, ["a", "b"], "left_anti"))
-    later = cut(later.distinct())
-    if not later.isEmpty():
-        links = links.union(_exact(later, docs, reps, width, percent))
-        labels = connected_components(links)
+        whole = large.join(reps.select("node", "sig"), "node").join(_sets_of(large.select("node").distinct(), docs, reps, width), "node")
+        found = _large(whole, n_hashes, rows, percent, miss)
+        more = found if more is None else more.union(found)
+    if more is not None:
+        labels = connected_components(links.union(more))
 
     member = sigs.select("id", "n_shingles", "node").join(labels, "node", "left").withColumn("group", F.coalesce("label", "node"))
     firsts = reps.select("node", "id").join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("group")).agg(F.min("id").alias("first"))
