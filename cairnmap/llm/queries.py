@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import nearest
 from .common import table
 from .exact_topk import exact_top_k
+from .licences import oracle as licence_oracle
+from .licences import scan_licences
+from .lm_scoring import quality_scores
 from .mixing import mixed_counts
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -33,6 +36,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded_round_trip(table(spark, sf_dir, "documents"))
 
@@ -54,11 +65,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_token_counts, op4_simple8b_ids, op6_toxicity, op7_source_mixing, op8_best_fit_packing, op9_anisotropic_ann, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_token_counts, op3_licence_scan, op4_simple8b_ids, op5_lm_scoring, op6_toxicity, op7_source_mixing, op8_best_fit_packing, op9_anisotropic_ann, op10_minhash_near_dedup)}
 
 
 #: DuckDB text by query.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_licence_scan": licence_oracle()}
 
 
 def oracle_sql() -> dict[str, str]:
