@@ -15,6 +15,7 @@ kinds every score is 0. Other columns are not read, and language only picks the
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -161,29 +162,44 @@ def threshold(scores: np.ndarray, labels: np.ndarray) -> float:
 
 
 def learn(docs: DataFrame, labels: DataFrame, held_out) -> tuple[Model, dict[str, float]] | None:
-    """A model and its thresholds by language from a bounded sample of the labelled rows that aren't held out."""
+    """A model and its thresholds by language from a bounded sample of the labelled rows that aren't held out.
+
+    The sample is learnt in one task, so a lost executor costs a repetition and the driver only holds the model.
+    """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
     by_hash = [known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for kind, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     picked = F.broadcast(by_hash[0].union(by_hash[1]))  # at most MAX_TOXIC + MAX_CLEAN ids
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").join(picked, "doc_id")
-    rows = sorted(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("lang").alias("lang"), F.max("toxic").alias("toxic")).collect())
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang")).join(picked, "doc_id")
+    sample = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("lang").alias("lang"), F.max("toxic").alias("toxic")).repartition(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["doc_id"])
+        learnt = _learn(rows)
+        if learnt:
+            yield pa.record_batch([pa.array([pickle.dumps(learnt)], pa.binary())], names=["model"])
+
+    made = sample.mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else None
+
+
+def _learn(rows: list[dict]) -> tuple[Model, dict[str, float]] | None:
     kinds = np.array([r["toxic"] for r in rows])
-    if len(set(kinds)) < 2:
+    if len(set(kinds.tolist())) < 2:
         return None
     aside = np.array([hash_of(r["doc_id"]) % 5 == 0 for r in rows])
-    if len(set(kinds[aside])) < 2 or len(set(kinds[~aside])) < 2:
+    if len(set(kinds[aside].tolist())) < 2 or len(set(kinds[~aside].tolist())) < 2:
         aside = np.zeros(len(rows), bool)
     model = train([r["text"] for r, a in zip(rows, aside) if not a], kinds[~aside])
     judge = aside if aside.any() else ~aside
     data, offsets = utf8(pa.array([r["text"] for r, a in zip(rows, judge) if a], pa.large_string()))
     logits = np.concatenate([model.logits(data, offsets[a : b + 1]) for a, b in steps(offsets)])
-    truth, langs = kinds[judge], np.array([r["lang"] or "" for r, a in zip(rows, judge) if a])
+    truth, langs = kinds[judge], np.array([r["lang"] for r, a in zip(rows, judge) if a])
     cut = threshold(logits, truth)
     model.offset -= cut
     by_lang = {"": 0.0}
     for lang in set(langs.tolist()):
         own = langs == lang
-        if len(set(truth[own])) == 2:
+        if len(set(truth[own].tolist())) == 2:
             by_lang[lang] = threshold(logits[own] - cut, truth[own])
     return model, by_lang
 
