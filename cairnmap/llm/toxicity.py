@@ -31,6 +31,8 @@ MAX_TOXIC, MAX_CLEAN = 2000, 4000
 BUCKETS, DIM, FILTERS, KEPT = 1 << 18, 16, 8, 2
 WIDTHS = (1, 2, 3)
 DROPPED = 0.3
+#: Toxic documents of a language at which its own threshold weighs as much as the common one.
+SHRINK = 20
 PREFIXES = (4, 5, 6, 7, 8)
 _LETTERS = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 
@@ -200,7 +202,8 @@ def _learn(rows: list[dict]) -> tuple[Model, dict[str, float]] | None:
     for lang in set(langs.tolist()):
         own = langs == lang
         if len(set(truth[own].tolist())) == 2:
-            by_lang[lang] = threshold(logits[own] - cut, truth[own])
+            n = int(truth[own].sum())
+            by_lang[lang] = threshold(logits[own] - cut, truth[own]) * n / (n + SHRINK)
     return model, by_lang
 
 
