@@ -103,7 +103,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     quota, blocks = F.round("target").cast("long"), F.ceil(F.col("source_size") / BLOCK_WORDS).cast("long")
     sources = targets.withColumn("quota", quota).withColumn("blocks", blocks)
     sources = sources.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("quota") / F.col("source_size"))).otherwise(0).cast("long"))
-    sources = cut(sources.withColumn("rest", F.col("quota") - F.col("passes") * F.col("source_size")))
+    sources = sources.withColumn("rest", F.col("quota") - F.col("passes") * F.col("source_size"))
+    # of each source: the permutation's two numbers, the words its last block lacks, and where that block is in the permutation
+    stride = F.when(F.col("blocks") % STRIDES[0] == 0, STRIDES[1]).otherwise(STRIDES[0]).cast("long")
+    turn = lambda b: F.pmod(b * F.col("stride") + F.col("shift"), F.col("blocks"))
+    sources = sources.withColumn("stride", stride).withColumn("shift", F.pmod(F.xxhash64(F.lit(seed), "ord"), F.greatest(F.col("blocks"), F.lit(1))))
+    sources = cut(sources.withColumn("short", F.col("blocks") * BLOCK_WORDS - F.col("source_size")).withColumn("last_turn", turn(F.col("blocks") - 1)))
 
     chunks = max(1, -(-rows.count() // CHUNK_ROWS))
     order = F.xxhash64(F.lit(seed), "doc_id")
@@ -116,17 +121,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     placed = placed.join(before, same(before) & (placed["chunk"] == before["chunk"])).drop(before["source"]).drop(before["chunk"])
     placed = placed.withColumn("start", F.col("before") + F.col("inner")).select("row", "doc_id", "source", "size", "start")
     placed = placed.join(sources.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    placed = stored(placed, "placed")
 
     # pieces of documents by block, and how many words of each the last, partial pass takes
     touched = F.sequence(F.floor(F.col("start") / BLOCK_WORDS), F.floor((F.col("start") + F.col("size") - 1) / BLOCK_WORDS))
     pieces = placed.filter("size > 0").withColumn("block", F.explode(touched))
     low = F.greatest("start", F.col("block") * BLOCK_WORDS)
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK_WORDS)
-    stride = F.when(F.col("blocks") % STRIDES[0] == 0, STRIDES[1]).otherwise(STRIDES[0]).cast("long")
-    turn = lambda b: F.pmod(b * stride + F.pmod(F.xxhash64(F.lit(seed), "ord"), F.col("blocks")), F.col("blocks"))
-    short = F.col("blocks") * BLOCK_WORDS - F.col("source_size")
     pieces = pieces.withColumn("low", low).withColumn("high", high).withColumn("turn", turn(F.col("block")))
-    earlier = F.col("turn") * BLOCK_WORDS - F.when(F.col("turn") > turn(F.col("blocks") - 1), short).otherwise(0)
+    earlier = F.col("turn") * BLOCK_WORDS - F.when(F.col("turn") > F.col("last_turn"), F.col("short")).otherwise(0)
     until = F.col("block") * BLOCK_WORDS + F.greatest(F.lit(0), F.col("rest") - earlier)
     pieces = pieces.withColumn("until", F.least("high", until)).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))))
     pieces = pieces.withColumn("end", F.when(F.col("pass") < F.col("passes"), F.col("high")).otherwise(F.col("until"))).filter("end > low")
@@ -134,8 +137,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
     # blocks drawn by source: whole passes, and those of the partial one (where the short block may be among them)
     whole = F.ceil(F.col("rest") / BLOCK_WORDS).cast("long")
-    with_short = F.ceil((F.col("rest") + short) / BLOCK_WORDS).cast("long")
-    partial = F.when(F.col("rest") == 0, 0).when(turn(F.col("blocks") - 1) < whole, with_short).otherwise(whole)
+    with_short = F.ceil((F.col("rest") + F.col("short")) / BLOCK_WORDS).cast("long")
+    partial = F.when(F.col("rest") == 0, 0).when(F.col("last_turn") < whole, with_short).otherwise(whole)
     quotas = sources.filter("quota > 0").select("ord", (F.col("passes") * F.col("blocks") + F.least(F.col("blocks"), partial)).alias("n"))
     words = sources.agg(F.sum("quota")).first()[0] or 0
     levels = max(0, (-(-words // SHARD_WORDS) - 1).bit_length())
