@@ -79,19 +79,6 @@ def likelihood(point: Sequence[Column], mean: Sequence[Column], cov: Sequence[Co
     return F.when(value.isNull() | F.isnan(value), -1.0).otherwise(value)
 
 
-def along_line(start: Sequence[Column], end: Sequence[Column], mean: Sequence[Column], cov: Sequence[Column]) -> tuple[list[Column], Column]:
-    """The most likely point of a cell on the line through two points, and its likelihood; 1 where the quadratic form vanishes."""
-    inv, length = inverse(cov), distance(end, start)
-    line = [(e - s) / F.nullif(length, F.lit(0.0)) for s, e in zip(start, end)]
-    xx, xy, xz, yy, yz, zz = inv
-    rows = [[xx, xy, xz], [xy, yy, yz], [xz, yz, zz]]
-    weighted = [sum((line[a] * rows[a][b] for a in range(3)), F.lit(0.0)) for b in range(3)]
-    sigma = sum((w * li for w, li in zip(weighted, line)), F.lit(0.0))
-    t = -sum((w * (e - m) for w, e, m in zip(weighted, end, mean)), F.lit(0.0)) / F.nullif(sigma, F.lit(0.0))
-    point = [e + t * li for e, li in zip(end, line)]
-    return point, F.when(F.coalesce(sigma, F.lit(0.0)) == 0, 1.0).otherwise(likelihood(point, mean, cov))
-
-
 def wrap_angle(a: Column) -> Column:
     return F.atan2(F.sin(a), F.cos(a))
 

@@ -69,6 +69,27 @@ def transform_points(points: DataFrame, t) -> DataFrame:
     return points.select(*[c for c in points.columns if c not in G.AXES], *(m.alias(a) for m, a in zip(moved, G.AXES)))
 
 
+def peak_on_line(rows: DataFrame, start, end) -> DataFrame:
+    """Rows with a cell and a line gain peak_x, peak_y, peak_z, the cell's most likely point on the line, and peak, the likelihood there.
+
+    peak is 1 where the quadratic form along the line vanishes. The inverse, the direction and the step are columns of
+    their own, so each is computed once.
+    """
+    rows = rows.withColumns({f"_i{k}": c for k, c in enumerate(G.inverse(columns(COV)))})
+    length = G.distance(end, start)
+    rows = rows.withColumns({f"_l{k}": (e - s) / F.nullif(length, F.lit(0.0)) for k, (s, e) in enumerate(zip(start, end))})
+    inv, line = [F.col(f"_i{k}") for k in range(6)], [F.col(f"_l{k}") for k in range(3)]
+    full = [[inv[0], inv[1], inv[2]], [inv[1], inv[3], inv[4]], [inv[2], inv[4], inv[5]]]
+    rows = rows.withColumns({f"_w{b}": sum((line[a] * full[a][b] for a in range(3)), F.lit(0.0)) for b in range(3)})
+    weighted = [F.col(f"_w{k}") for k in range(3)]
+    rows = rows.withColumn("_sigma", sum((w * li for w, li in zip(weighted, line)), F.lit(0.0)))
+    rows = rows.withColumn("_t", -sum((w * (e - m) for w, e, m in zip(weighted, end, columns(MEAN))), F.lit(0.0)) / F.nullif(F.col("_sigma"), F.lit(0.0)))
+    rows = rows.withColumns({f"peak_{a}": e + F.col("_t") * li for a, e, li in zip(G.AXES, end, line)})
+    form = G.quadratic([F.col(f"peak_{a}") - F.col(m) for a, m in zip(G.AXES, MEAN)], inv)
+    rows = rows.withColumn("peak", F.when(F.coalesce("_sigma", F.lit(0.0)) == 0, 1.0).otherwise(F.exp(-0.5 * form)))
+    return rows.drop(*(f"_{n}{k}" for n, m in (("i", 6), ("l", 3), ("w", 3)) for k in range(m)), "_sigma", "_t")
+
+
 def clamped(cells: DataFrame, factor: float = 100.0, rough: float = 0.1, angle_cos: float = 0.17364817766693041) -> DataFrame:
     """Cells with covariances whose eigenvalues are raised to the largest over ``factor``, cells with one <= 0 dropped, and a class.
 

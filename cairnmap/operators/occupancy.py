@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .cells import COV, KEY, MEAN, columns
+from .cells import KEY, columns, peak_on_line
 from .joins import ray_cells
 
 #: Log-odds of one hit.
@@ -23,12 +23,11 @@ def ray_evidence(rays: DataFrame, cells: DataFrame, size: float, by: tuple[str,
     steps = ray_cells(rays, size, by).filter("length <= 200")
     ends = rays.select(*by, *("o" + a for a in G.AXES), *G.AXES)
     crossed = steps.join(ends, list(by)).join(cells, list(KEY), "left")
-    point, lik = G.along_line([F.col("o" + a) for a in G.AXES], columns(G.AXES), columns(MEAN), columns(COV))
-    d = G.distance(point, columns(G.AXES))
+    crossed = peak_on_line(crossed, [F.col("o" + a) for a in G.AXES], columns(G.AXES))
+    d = G.distance([F.col("peak_" + a) for a in G.AXES], columns(G.AXES))
     spread = 0.5 * F.col("length") / 30 + noise
-    seen = lik * (1 - F.exp(-0.5 * d * d / (spread * spread)))
-    p = 0.1 * seen + 0.5
-    value = F.when(F.col("mx").isNull(), -0.2).when(seen < 0.3, 0.0).otherwise(weight * F.log((1 - p) / p))
+    crossed = crossed.withColumn("seen", F.col("peak") * (1 - F.exp(-0.5 * d * d / (spread * spread)))).withColumn("p", 0.1 * F.col("seen") + 0.5)
+    value = F.when(F.col("mx").isNull(), -0.2).when(F.col("seen") < 0.3, 0.0).otherwise(weight * F.log((1 - F.col("p")) / F.col("p")))
     return crossed.withColumn("e", value).groupBy(*KEY).agg(F.count("*").alias("rays"), F.sum("e").alias("evidence"))
 
 

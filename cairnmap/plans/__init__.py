@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-from . import cells
+from . import cells, motion, spatial, volumes  # noqa: F401
+from .registry import PLANS as ALL
 
-ALL = {**cells.PLANS}
+__all__ = ["ALL"]
