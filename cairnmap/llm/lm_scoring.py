@@ -107,6 +107,6 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocab: str = "b
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The difference against a target of all documents labelled as of high quality."""
+    """The difference against a target of all documents labelled as of high quality; the label ids are joined by sorting at any size."""
     good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return cross_entropy_difference(docs, docs.join(good, "doc_id", "left_semi"))
+    return cross_entropy_difference(docs, docs.join(good.hint("merge"), "doc_id", "left_semi"))
