@@ -46,9 +46,9 @@ def box(spark, n: int = 24):
 _BOX = "box AS (SELECT CAST(i // 576 % 24 - 12 AS INTEGER) AS i, CAST(i // 24 % 24 - 12 AS INTEGER) AS j, CAST(i % 24 AS INTEGER) AS k FROM (SELECT unnest(range(24*24*24)) AS i))"
 
 
-@plan(f"WITH {_DEPTH}, {_BOX}, p AS (SELECT *, CAST(floor(60.0*(i*0.1)/(k*0.1)+32.0+0.5) AS INTEGER) AS u, CAST(floor(60.0*(j*0.1)/(k*0.1)+24.0+0.5) AS INTEGER) AS v FROM box WHERE k > 0) SELECT i, j, k, {rnd('least(depth-k*0.1, 0.3)', 'd')}, 1.0::DOUBLE AS w FROM p JOIN depth USING (u, v) WHERE depth IS NOT NULL AND depth-k*0.1 > -0.3")
+@plan(f"WITH {_DEPTH}, {_BOX}, p AS (SELECT *, CAST(floor(60.0*(i*0.1)/(k*0.1)+32.0+0.5) AS INTEGER) AS u, CAST(floor(60.0*(j*0.1)/(k*0.1)+24.0+0.5) AS INTEGER) AS v FROM box WHERE k > 0) SELECT i, j, k, {rnd('least(depth-k*0.1, 0.3)', 'd', 4)}, 1.0::DOUBLE AS w FROM p JOIN depth USING (u, v) WHERE depth IS NOT NULL AND depth-k*0.1 > -0.3")
 def sdf_fuse_depth(spark, sf):
-    return rounded(S.fuse_depth(box(spark), depth_image(spark), FX, FY, CX, CY, 0.1, 0.3), "d")
+    return rounded(S.fuse_depth(box(spark), depth_image(spark), FX, FY, CX, CY, 0.1, 0.3), "d", digits=4)
 
 
 def ball(spark):
@@ -60,7 +60,10 @@ def ball(spark):
 _BALL = "ball AS (SELECT i, j, k-12 AS k, greatest(-0.35, least(0.35, sqrt((i*0.1)**2+(j*0.1)**2+((k-12)*0.1)**2) - 0.75)) AS d FROM box)"
 
 
-@plan(f"WITH {_BOX}, {_BALL} SELECT a.i, a.j, CAST(a.k AS INTEGER) AS k, {', '.join(rnd(f'(p{n}.d-m{n}.d)/0.2', g) for n, g in ((0, 'gx'), (1, 'gy'), (2, 'gz')))} FROM ball a " + " ".join(f"JOIN ball {s}{n} ON " + " AND ".join(f"{s}{n}.{v} = a.{v}" + (o if v == axis else "") for v in "ijk") for n, axis in enumerate("ijk") for s, o in (("p", "+1"), ("m", "-1"))))
+_STEPS = ", ".join(f"{f}(d) OVER (PARTITION BY {p} ORDER BY {o}) AS {f}_{o}" for o, p in (("i", "j, k"), ("j", "i, k"), ("k", "i, j")) for f in ("lead", "lag"))
+
+
+@plan(f"WITH {_BOX}, {_BALL}, s AS (SELECT *, {_STEPS} FROM ball) SELECT i, j, CAST(k AS INTEGER) AS k, {', '.join(rnd(f'(lead_{a}-lag_{a})/0.2', g) for a, g in zip('ijk', ('gx', 'gy', 'gz')))} FROM s WHERE lead_i + lag_i + lead_j + lag_j + lead_k + lag_k IS NOT NULL")
 def sdf_gradient(spark, sf):
     return rounded(S.gradient(ball(spark), 0.1), "gx", "gy", "gz")
 
