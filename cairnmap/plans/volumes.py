@@ -46,7 +46,7 @@ def box(spark, n: int = 24):
 _BOX = "box AS (SELECT CAST(i // 576 % 24 - 12 AS INTEGER) AS i, CAST(i // 24 % 24 - 12 AS INTEGER) AS j, CAST(i % 24 AS INTEGER) AS k FROM (SELECT unnest(range(24*24*24)) AS i))"
 
 
-@plan(f"WITH {_DEPTH}, {_BOX}, p AS (SELECT *, CAST(floor(60.0*(i*0.1)/(k*0.1)+32.0+0.5) AS INTEGER) AS u, CAST(floor(60.0*(j*0.1)/(k*0.1)+24.0+0.5) AS INTEGER) AS v FROM box WHERE k > 0) SELECT i, j, k, {rnd('least(depth-k*0.1, 0.3)', 'd', 4)}, 1.0::DOUBLE AS w FROM p JOIN depth USING (u, v) WHERE depth IS NOT NULL AND depth-k*0.1 > -0.3")
+@plan(f"WITH {_DEPTH}, {_BOX}, p AS (SELECT *, CAST(floor(60.0::DOUBLE*(i*0.1::DOUBLE)/(k*0.1::DOUBLE)+32.0::DOUBLE+0.5::DOUBLE) AS INTEGER) AS u, CAST(floor(60.0::DOUBLE*(j*0.1::DOUBLE)/(k*0.1::DOUBLE)+24.0::DOUBLE+0.5::DOUBLE) AS INTEGER) AS v FROM box WHERE k > 0) SELECT i, j, k, {rnd('least(depth-k*0.1::DOUBLE, 0.3::DOUBLE)', 'd', 4)}, 1.0::DOUBLE AS w FROM p JOIN depth USING (u, v) WHERE depth IS NOT NULL AND depth-k*0.1::DOUBLE > -0.3::DOUBLE")
 def sdf_fuse_depth(spark, sf):
     return rounded(S.fuse_depth(box(spark), depth_image(spark), FX, FY, CX, CY, 0.1, 0.3), "d", digits=4)
 

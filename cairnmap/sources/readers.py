@@ -96,7 +96,7 @@ def laser_points(scans: DataFrame, by: tuple[str, ...], offset: tuple[float, flo
 
 
 #: A binary map: tag, cell size and one record per cell; little-endian doubles and longs.
-_TAG, _CELL = b"CELLMAP1", struct.Struct("<3i q 9d")
+_TAG, _CELL = b"CELLMAP1", "<3i q 9d"
 _MAP = "file string, ix int, iy int, iz int, n long, mx double, my double, mz double, cxx double, cxy double, cxz double, cyy double, cyz double, czz double"
 
 
@@ -111,14 +111,14 @@ def cell_maps(spark: SparkSession, path: str) -> DataFrame:
             for file, data in zip(batch["path"], batch["content"]):
                 if data[: len(_TAG)] != _TAG:
                     raise ValueError(f"{file} is no cell map")
-                yield pd.DataFrame([(file, *record) for record in _CELL.iter_unpack(data[len(_TAG) :])], columns=names)
+                yield pd.DataFrame([(file, *record) for record in struct.iter_unpack(_CELL, data[len(_TAG) :])], columns=names)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, _MAP)
 
 
 def cell_map_bytes(cells) -> bytes:
     """A binary map of cell rows (ix, iy, iz, n, means, covariances)."""
-    return _TAG + b"".join(_CELL.pack(*row) for row in cells)
+    return _TAG + b"".join(struct.pack(_CELL, *row) for row in cells)
 
 
 def tiles_around(tiles: DataFrame, tx: int, ty: int, reach: int = 1) -> DataFrame:
