@@ -16,8 +16,10 @@ kinds every score is 0. Other columns are not read, and language only picks the
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,10 @@ MAX_TOXIC, MAX_CLEAN = 2000, 4000
 BUCKETS, DIM, FILTERS, KEPT = 1 << 18, 16, 8, 2
 WIDTHS = (1, 2, 3)
 DROPPED = 0.3
-#: Toxic documents of a language at which its own threshold weighs as much as the common one.
+CLEAN_WEIGHT = 5
+#: Batches that training reads at least, however small the sample.
+LEAST_STEPS = 300
+#: Toxic documents at which a threshold set aside from training weighs as much as the one it would replace.
 SHRINK = 20
 PREFIXES = (4, 5, 6, 7, 8)
 _LETTERS = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
@@ -108,8 +113,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 10, seed: int = 3)
         own = order[a : a + size]
         data, offsets = utf8(pa.array([texts[i] for i in own], pa.large_string()))
         batches.append((own, *features(data, offsets)))
-    for epoch in range(epochs):
-        rate = 0.15 / (1 + 0.3 * epoch)
+    rounds = max(epochs, -(-LEAST_STEPS // max(1, len(batches))))
+    for epoch in range(rounds):
+        rate = 0.15 / (1 + 0.3 * epoch * epochs / rounds)
         for b in draw.permutation(len(batches)):
             own, row, place, buckets = batches[b]
             n = len(own)
@@ -151,22 +157,24 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 10, seed: int = 3)
                 np.add.at(total, back, g)
                 sums[0][to] += (total**2).mean(1)
                 model.embedding[to] -= rate * total / np.sqrt(sums[0][to])[:, None]
+    model.embedding[sums[0] <= np.float32(1e-3)] = 0  # unseen words say nothing
     return model
 
 
 def threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the span of logits with the best balanced accuracy."""
+    """The middle of the span of logits with the most toxic rows caught less ``CLEAN_WEIGHT`` times the clean rows flagged, as shares."""
     order = np.sort(np.unique(scores))
     cuts = np.concatenate((order[:1] - 1, (order[1:] + order[:-1]) / 2, order[-1:] + 1))
-    caught = np.array([(scores[labels == 1] >= c).mean() + (scores[labels == 0] < c).mean() for c in cuts])
+    caught = np.array([(scores[labels == 1] >= c).mean() - CLEAN_WEIGHT * (scores[labels == 0] >= c).mean() for c in cuts])
     best = np.flatnonzero(caught >= caught.max() - 1e-12)
     return float((cuts[best[0]] + cuts[best[-1]]) / 2)
 
 
-def learn(docs: DataFrame, labels: DataFrame, held_out) -> tuple[Model, dict[str, float]] | None:
-    """A model and its thresholds by language from a bounded sample of the labelled rows that aren't held out.
+def learn(docs: DataFrame, labels: DataFrame, held_out) -> bytes | None:
+    """A model and its thresholds by language, packed, from a bounded sample of the labelled rows that aren't held out.
 
-    The sample is learnt in one task, so a lost executor costs a repetition and the driver only holds the model.
+    The sample is learnt in one task, so a lost executor costs a repetition and the driver only
+    passes on the packed model, whose size is set by ``BUCKETS`` and ``DIM``.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
     by_hash = [known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for kind, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
@@ -178,10 +186,16 @@ def learn(docs: DataFrame, labels: DataFrame, held_out) -> tuple[Model, dict[str
         rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["doc_id"])
         learnt = _learn(rows)
         if learnt:
-            yield pa.record_batch([pa.array([pickle.dumps(learnt)], pa.binary())], names=["model"])
+            learnt[0].embedding = learnt[0].embedding.astype(np.float16)
+            yield pa.record_batch([pa.array([zlib.compress(pickle.dumps(learnt), 1)], pa.binary())], names=["model"])
 
     made = sample.mapInArrow(run, "model binary").collect()
-    return pickle.loads(made[0]["model"]) if made else None
+    return bytes(made[0]["model"]) if made else None
+
+
+@lru_cache(maxsize=1)
+def _unpacked(packed: bytes) -> tuple[Model, dict[str, float]]:
+    return pickle.loads(zlib.decompress(packed))
 
 
 def _learn(rows: list[dict]) -> tuple[Model, dict[str, float]] | None:
@@ -196,7 +210,7 @@ def _learn(rows: list[dict]) -> tuple[Model, dict[str, float]] | None:
     data, offsets = utf8(pa.array([r["text"] for r, a in zip(rows, judge) if a], pa.large_string()))
     logits = np.concatenate([model.logits(data, offsets[a : b + 1]) for a, b in steps(offsets)])
     truth, langs = kinds[judge], np.array([r["lang"] for r, a in zip(rows, judge) if a])
-    cut = threshold(logits, truth)
+    cut = threshold(logits, truth) * truth.sum() / (truth.sum() + SHRINK)
     model.offset -= cut
     by_lang = {"": 0.0}
     for lang in set(langs.tolist()):
@@ -217,10 +231,11 @@ def score(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     if learnt is None:
         return rows.select("doc_id", "lang", F.lit(0.0).alias("score"), F.lit(False).alias("flagged"))
-    shared = docs.sparkSession.sparkContext.broadcast(learnt)  # its size is set by BUCKETS and DIM
+    shared = docs.sparkSession.sparkContext.broadcast(learnt)
+    del learnt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, by_lang = shared.value
+        model, by_lang = _unpacked(shared.value)
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             for a, b in steps(offsets):
