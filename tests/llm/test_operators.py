@@ -222,6 +222,32 @@ def test_lm_scores_tell_domains_apart(spark):
     assert got[60]["n_tokens"] == 0 and got[61]["score"] == 0
 
 
+def test_lm_scores_count_pairs_exactly(spark, texts, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CHUNK", 500, raising=False)
+    draw = np.random.default_rng(6)
+    wide = ["".join(chr(c) for c in draw.integers(33, 0x3000, 6000)) for _ in range(40)]  # pairs enough to share hashed buckets
+    rows = [*texts, *wide]
+    ids = [x[:-1] for x in _ids(rows)]
+    docs = frame(spark, rows, [None, 7, 7, *range(3, len(rows))])
+    got = lm_scoring.cross_entropy_difference(docs, docs.filter("doc_id % 3 = 0")).collect()
+    size = lm_scoring.encoder(tokens.vocabulary("byte_bpe_50k.json")).library.get_vocab_size()
+
+    def losses(own):
+        pairs, alone, followed = Counter(), Counter(), Counter()
+        for x in own:
+            pairs.update(zip([None, *x], x))
+            alone.update(x)
+            followed.update([None, *x][: len(x)])
+        share = lambda w: (alone[w] + 1) / (alone.total() + size)
+        p = lambda h, w: 0.7 * pairs[h, w] / followed[h] + 0.3 * share(w) if followed[h] else share(w)
+        return [float(np.mean([-np.log(p(h, w)) for h, w in zip([None, *x], x)])) if x else 0.0 for x in ids]
+
+    near, far = losses([x for k, x in enumerate(ids) if k > 2 and k % 3 == 0]), losses(ids)
+    key = lambda r: tuple(round(v, 6) for v in r)
+    want = Counter(key((-1 if k == 0 else 7 if k < 3 else k, len(x), near[k], far[k])) for k, x in enumerate(ids))
+    assert Counter(key((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["target_loss"], r["background_loss"])) for r in got) == want
+
+
 def test_toxicity_held_out(spark):
     draw = np.random.default_rng(3)
     rows, kinds = [], []
