@@ -1,7 +1,8 @@
 """Licence scan by sentence rules (operator 3). DataFrame functions only.
 
-A text is cut to sentences after . ! ? : or ; before white space; a sentence that isn't known as a whole is looked at line by line. Normalised
-(A-Z lower-cased, runs of other characters than a-z and 0-9 made one space) it is looked up among known sentences. The known sentences' identifiers, in
+A text is cut after . ! ? : or ; before white space and at line ends. A known sentence is found where, normalised (A-Z lower-cased, runs of
+other characters than a-z and 0-9 made one space), it fills one line or several that follow each other, up to cuts on both sides: a heading or copyright
+line before it doesn't hide it, nor does wrapping. ``INNER`` lists where known sentences have such marks inside. The known sentences' identifiers, in
 order, are matched against ordered rules: a rule fires where its identifiers follow each other among the known ones. Texts without any
 trigger word are passed over: every known sentence has one.
 
@@ -92,11 +93,28 @@ TRIGGERS = ("license", "copyright", "warranty", "permission", "free software", "
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = r"[\x20\x09-\x0D]"
-_GAP = "\x01"
+_LINE, _END = "\x01", "\x02"
+#: Words of known sentences between which the public texts have a mark that ends sentences elsewhere.
+INNER = ("foundation either", "license v 2 0")
 
 
-def _normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " "))
+def _pattern() -> str:
+    """Any known sentence between two cuts, the longest first; between its words a line may end."""
+    made = []
+    for s in sorted(SENTENCES.values(), key=len, reverse=True):
+        own = s
+        for words in INNER:
+            own = own.replace(words, words.replace(" ", "\0"))
+        made.append(own.replace(" ", f"[ {_LINE}]").replace("\0", f"[ {_LINE}{_END}]"))
+    return f"(?<=[{_LINE}{_END}])(?:{'|'.join(made)})(?=[{_LINE}{_END}])"
+
+
+def _marked(text: Column) -> Column:
+    """The normalised text with a mark for each line end and each sentence end; every expression is linear in the text."""
+    lower = F.translate(text, UPPER + _LINE + _END, LOWER + "  ")
+    lines = F.translate(F.regexp_replace(lower, "[.!?:;]" + _SPACE + "+", _END), "\n\x0b\x0c\r", _LINE * 4)
+    spaced = F.concat(F.lit(_END), F.regexp_replace(lines, f"[^a-z0-9{_LINE}{_END}]+", " "), F.lit(_END))
+    return F.regexp_replace(F.regexp_replace(spaced, f"[ {_LINE}]{{2,}}", _LINE), f"[ {_LINE}{_END}]{{2,}}", _END)
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,10 +123,8 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = F.array(*[F.lit(n) for n in SENTENCES])
     trigger = "(" + "|".join(t.replace(" ", "[^a-z0-9]+") for t in TRIGGERS) + ")"
     candidate = F.translate(text_col, UPPER, LOWER).rlike(trigger)
-    segments = F.split(F.regexp_replace(F.col(text_col), "([.!?:;])" + _SPACE + "+", "$1" + _GAP), _GAP)
-    lines = lambda s: F.transform(F.split(s, r"[\n\x0B\x0C\r]"), _normal)
-    normal = F.flatten(F.transform(segments, lambda s: F.when(F.array_contains(known, _normal(s)), F.array(_normal(s))).otherwise(lines(s))))
-    found = F.transform(F.filter(normal, lambda s: F.array_contains(known, s)), lambda s: F.element_at(names, F.array_position(known, s).cast("int")))
+    matched = F.regexp_extract_all(_marked(F.col(text_col)), F.lit(_pattern()), F.lit(0))
+    found = F.transform(matched, lambda s: F.element_at(names, F.array_position(known, F.translate(s, _LINE + _END, "  ")).cast("int")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(candidate, found).otherwise(F.array().cast("array<string>")).alias("ids"))
     joined = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
     fired = F.array(*[F.when(F.instr(F.col("joined"), "," + ",".join(ids) + ",") > 0, F.lit(name)) for name, ids in RULES])
@@ -117,7 +133,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def oracle() -> str:
-    """The same result in DuckDB's SQL, without the trigger words."""
+    """The same result in DuckDB's SQL, without the trigger words, on texts whose known sentences fill a whole sentence or line."""
     quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
     normal = lambda x: f"trim(regexp_replace(translate({x}, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
     rules = ", ".join(f"CASE WHEN contains(joined, ',{','.join(ids)},') THEN {k} END" for k, (_, ids) in enumerate(RULES))

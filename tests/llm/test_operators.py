@@ -212,6 +212,64 @@ def test_licences(spark):
         assert any(t in s for t in licences.TRIGGERS), s
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD2 = """Copyright (c) 2024, Some One
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """/* Copyright (C) 2024 Some One
+ *
+ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version {} of the License, or
+ * (at your option) any later version.
+ */"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+
+
+def test_whole_licence_texts(spark):
+    flat = GPL.format(3).replace("\n *", "").partition("One ")[2]
+    rows = [MIT, BSD2, BSD3, GPL.format(2), GPL.format(3), flat, MPL, MIT.replace("\n", "\r\n"), "We are not licensed under the\nMIT License yet", "x" + "\n " * 50_000 + "license" + "#" * 50_000]
+    got = {r["doc_id"]: r for r in licences.scan_licences(frame(spark, rows)).collect()}
+    assert [got[k]["licences"] for k in range(8)] == ["MIT", "BSD-2-Clause", "BSD-3-Clause,BSD-2-Clause", "GPL-2.0", "GPL-3.0", "GPL-3.0", "MPL-2.0", "MIT"]
+    assert got[0]["sentences"] == "mit-grant,mit-notice,mit-warranty,mit-liability" and got[8]["n_known"] == got[9]["n_known"] == 0
+
+
 def test_lm_scores_tell_domains_apart(spark):
     draw = np.random.default_rng(1)
     a, b = (["%s%d" % (c, k) for k in range(30)] for c in ("red", "blue"))
