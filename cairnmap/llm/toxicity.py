@@ -32,6 +32,8 @@ from .shingles import mix, words
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
 BUCKETS, DIM, FILTERS, KEPT = 1 << 18, 16, 8, 2
 WIDTHS = (1, 2, 3)
+#: Zero vectors behind each row: every width has ``KEPT`` windows inside the row, however short.
+PAD = KEPT + max(WIDTHS) - 1
 DROPPED = 0.3
 CLEAN_WEIGHT = 5
 #: Batches that training reads at least, however small the sample.
@@ -59,12 +61,14 @@ class Model:
     offset: float
 
     def pooled(self, vectors: np.ndarray, begin: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Largest responses of each row and filter, and where they are. Every row ends with padding, so none is empty."""
+        """Largest responses of each row and filter, and where they are. Only windows inside a row and its padding count."""
         n, tops, places = len(begin), [], []
+        ends = np.append(begin[1:], len(vectors))
         for width, kernel, bias in zip(WIDTHS, self.filters, self.biases):
             made = vectors @ kernel[0]
             for k in range(1, width):
                 made[:-k] += vectors[k:] @ kernel[k]
+                made[ends - k] = -np.inf
             made += bias
             columns = np.arange(FILTERS)
             for _ in range(KEPT):
@@ -86,12 +90,12 @@ class Model:
 
 
 def padded(place: np.ndarray, row: np.ndarray, n: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word vectors of all rows with two zero vectors behind each row, where each row begins, and each vector's row."""
-    counts = np.bincount(row, minlength=n) + KEPT
+    """Word vectors of all rows with ``PAD`` zero vectors behind each row, where each row begins, and each vector's row."""
+    counts = np.bincount(row, minlength=n) + PAD
     begin = np.cumsum(counts) - counts
     rows = np.repeat(np.arange(n), counts)
     at = np.full(len(rows), len(table) - 1)
-    at[np.arange(len(place)) + KEPT * row] = place
+    at[np.arange(len(place)) + PAD * row] = place
     return table[at], begin, rows
 
 
@@ -145,9 +149,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 10, seed: int = 3)
             sums[4] += g_offset**2
             model.offset -= rate * g_offset / np.sqrt(sums[4])
             hit = np.flatnonzero(np.abs(g_vectors).sum(1))
-            at = np.arange(len(rows)) - KEPT * rows
-            ends = begin + np.bincount(row, minlength=n) + KEPT
-            hit = hit[hit < ends[rows[hit]] - KEPT]
+            at = np.arange(len(rows)) - PAD * rows
+            ends = begin + np.bincount(row, minlength=n) + PAD
+            hit = hit[hit < ends[rows[hit]] - PAD]
             hit = hit[kept[place[at[hit]]]]
             if len(hit):
                 to = buckets[place[at[hit]]]

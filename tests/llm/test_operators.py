@@ -322,3 +322,17 @@ def test_toxicity_held_out(spark):
     assert np.mean([got[k]["predicted"] == kinds[k] for k in aside]) > 0.9
     assert 0 <= got[400]["score"] <= 1 and len(got) == 402
     assert toxicity.toxicity(frame(spark, ["x"]), labels.limit(0)).first()["score"] == 0.0
+
+
+def test_toxicity_of_a_text_alone():
+    draw = np.random.default_rng(7)
+    small = lambda *shape: draw.normal(0, 1, shape).astype(np.float32)
+    shapes = [(w, toxicity.DIM, toxicity.FILTERS) for w in toxicity.WIDTHS]
+    model = toxicity.Model(small(toxicity.BUCKETS, toxicity.DIM), [small(*x) for x in shapes], [small(toxicity.FILTERS) for _ in shapes], small(len(shapes) * toxicity.KEPT * toxicity.FILTERS), 0.0)
+
+    def logits(texts):
+        return model.logits(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]))
+
+    texts = ["", "a", "a b", "a b c", "", "idiot", "some words more", "idiot scum", "a b c d e f"]
+    alone = [logits([x])[0] for x in texts]
+    assert np.allclose(logits(texts), alone, atol=1e-3) and np.allclose(logits(texts[::-1]), alone[::-1], atol=1e-3)
