@@ -29,6 +29,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS, CHUNK_ROWS, SHARD_WORDS = 1024, 50_000, 1 << 22
 #: Multipliers of the block permutation: primes, of which one at least is coprime to any number of blocks below their product.
 STRIDES = (1_000_003, 1_000_033)
+#: Columns that ``mixed_documents`` adds for the time being: the row's key and its run.
+ROW, RUN = "_mix_row", "_mix_run"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -91,14 +93,16 @@ def split_tree(quotas: DataFrame, levels: int, seed: int = 11) -> DataFrame:
     return nodes.select(F.col("node").alias("shard"), F.explode("own").alias("x")).select("shard", "x.ord", "x.n")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 11, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The documents' rows (row, doc_id, size, source_size, target) and the mix (row, doc_id, shard, place, pass, first, n_words).
 
     A span is ``n_words`` words of the row's text from word ``first`` on; spans sorted by shard and place are the mix.
+    ``row_col``: a stored unique key of the rows to be ``row``; else one is made.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    rows = stored(rows, "sizes")
     targets = source_targets(rows, weights, share, most)
     quota, blocks = F.round("target").cast("long"), F.ceil(F.col("source_size") / BLOCK_WORDS).cast("long")
     sources = targets.withColumn("quota", quota).withColumn("blocks", blocks)
@@ -106,7 +110,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     sources = sources.withColumn("rest", F.col("quota") - F.col("passes") * F.col("source_size"))
     # of each source: the permutation's two numbers, the words its last block lacks, and where that block is in the permutation
     stride = F.when(F.col("blocks") % STRIDES[0] == 0, STRIDES[1]).otherwise(STRIDES[0]).cast("long")
-    turn = lambda b: F.pmod(b * F.col("stride") + F.col("shift"), F.col("blocks"))
+    turn = lambda b: F.pmod(b * F.col("stride") + F.col("shift"), F.greatest(F.col("blocks"), F.lit(1)))
     sources = sources.withColumn("stride", stride).withColumn("shift", F.pmod(F.xxhash64(F.lit(seed), "ord"), F.greatest(F.col("blocks"), F.lit(1))))
     sources = cut(sources.withColumn("short", F.col("blocks") * BLOCK_WORDS - F.col("source_size")).withColumn("last_turn", turn(F.col("blocks") - 1)))
 
@@ -165,17 +169,17 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Runs of a row that follow each other in a pass are joined again, so a document is cut only where the target cuts it.
     """
-    ids = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if not ids.isEmpty() or not docs.filter("doc_id is null").isEmpty():
-        raise ValueError("mixed_documents needs distinct ids")
-    rows, spans = mix(docs)
+    keyed = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    rows, spans = mix(keyed, row_col=ROW)
     ordered = Window.partitionBy("row", "pass").orderBy("first")
     new = (F.col("first") != F.coalesce(F.lag(F.col("first") + F.col("n_words")).over(ordered), F.lit(-1))).cast("int")
     runs = spans.withColumn("new", new).withColumn("run", F.sum("new").over(ordered))
-    runs = runs.groupBy("doc_id", "pass", "run").agg(F.min("first").alias("first"), F.sum("n_words").alias("n_words"))
-    runs = runs.join(rows.select("doc_id", "size"), "doc_id")
-    cut_text = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), (F.col("first") + 1).cast("int"), F.col("n_words").cast("int")), "")
-    joined = docs.join(runs, "doc_id").withColumn("text", F.when(F.col("n_words") == F.col("size"), F.col("text")).otherwise(cut_text))
+    runs = runs.groupBy("row", "pass", "run").agg(F.min("first").alias("first"), F.sum("n_words").alias("n_words"))
+    runs = runs.join(rows.select("row", "size"), "row")
+    runs = runs.select(F.col("row").alias(ROW), F.struct("first", "n_words", "size").alias(RUN))
+    first, n_words = F.col(f"{RUN}.first"), F.col(f"{RUN}.n_words")
+    cut_text = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), (first + 1).cast("int"), n_words.cast("int")), "")
+    joined = keyed.join(runs, ROW).withColumn("text", F.when(n_words == F.col(f"{RUN}.size"), F.col("text")).otherwise(cut_text))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast("long"))
     return joined.select(*docs.columns)

@@ -229,6 +229,14 @@ def hash_of(doc_id: int) -> int:
     return int(mix(np.array([doc_id], np.int64).view(np.uint64))[0] >> np.uint64(32))
 
 
+def _judged(model: Model, by_lang: dict[str, float], texts: pa.Array, langs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Logits, and whether they reach the language's threshold."""
+    data, offsets = utf8(texts)
+    logits = [model.logits(data, offsets[a : b + 1]) for a, b in steps(offsets)]
+    logits = np.concatenate(logits) if logits else np.zeros(0)
+    return logits, logits >= np.array([by_lang.get(x or "", 0.0) for x in langs.to_pylist()])
+
+
 def score(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
     """doc_id, lang, score, flagged of every row. ``held_out``: column function of the id, true where labels mustn't be read."""
     learnt = learn(docs, labels, held_out)
@@ -241,12 +249,8 @@ def score(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, by_lang = _unpacked(shared.value)
         for batch in batches:
-            data, offsets = utf8(batch.column(2))
-            for a, b in steps(offsets):
-                logits = model.logits(data, offsets[a : b + 1])
-                langs = batch.column(1).slice(a, b - a)
-                cuts = np.array([by_lang.get(x or "", 0.0) for x in langs.to_pylist()])
-                yield pa.record_batch([batch.column(0).slice(a, b - a), langs, pa.array(1 / (1 + np.exp(-np.clip(logits.astype(np.float64), -700, 700)))), pa.array(logits >= cuts)], names=["doc_id", "lang", "score", "flagged"])
+            logits, flagged = _judged(model, by_lang, batch.column(2), batch.column(1))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(1 / (1 + np.exp(-np.clip(logits.astype(np.float64), -700, 700)))), pa.array(flagged)], names=["doc_id", "lang", "score", "flagged"])
 
     return rows.mapInArrow(run, "doc_id long, lang string, score double, flagged boolean")
 
@@ -263,6 +267,16 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents below their language's threshold; labels of the held-out fifth are not read."""
-    gone = score(docs, labels, fifth).filter("flagged").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    """The rows below their language's threshold, each by its own text whatever its id; labels of the held-out fifth are not read."""
+    learnt = learn(docs, labels, fifth)
+    if learnt is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(learnt)
+    del learnt
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, by_lang = _unpacked(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(~_judged(model, by_lang, batch.column("text"), batch.column("lang"))[1]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,6 +6,7 @@ import numpy as np
 
 import corpus_pipeline
 from cairnmap.llm import mixing
+from cairnmap.llm.toxicity import drop_toxic
 
 from .test_operators import DOCS, _components, _ids, _words
 
@@ -54,3 +55,34 @@ def test_stages(spark, tmp_path):
     for r in packed:
         fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
     assert max(fill.values()) <= 2048 and corpus_pipeline.run(spark, sf).count() == len(packed)
+
+
+def test_mixing_keeps_null_and_repeated_ids(spark):
+    texts = [" ".join(f"w{k}x{j}" for j in range(10 + 40 * k)) for k in range(12)]
+    ids = [None, None, 5, 5, 5, *range(6, 13)]
+    rows = [(i, t, "en", f"s{k % 2}", len(t), "n", "i") for k, (i, t) in enumerate(zip(ids, texts))]
+    docs = spark.createDataFrame([*rows, rows[2], rows[2], (None, None, None, None, None, None, None)], DOCS)
+    taken, got = {}, {}
+    for r in mixing.mixed_counts(docs).collect():
+        taken[r["doc_id"], r["size"]] = taken.get((r["doc_id"], r["size"]), 0) + r["taken"]
+    sizes = {t.split("x")[0]: len(t.split()) for t in texts}
+    for r in mixing.mixed_documents(docs).collect():
+        assert {w.split("x")[0] for w in r["text"].split()} == {r["text"].split("x")[0].strip()}
+        key = r["doc_id"], sizes[r["text"].split("x")[0].strip()]
+        got[key] = got.get(key, 0) + len(r["text"].split())
+    assert got == {k: n for k, n in taken.items() if n}
+
+
+def test_toxicity_drops_each_row_by_its_text(spark):
+    draw = np.random.default_rng(8)
+    rows = []
+    for k in range(480):
+        own = [f"w{x}" for x in draw.integers(0, 300, 50)]
+        if k % 4 == 0:
+            own[5] = own[25] = own[35] = "idiot"
+        rows.append(" ".join(own))
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(480)], "doc_id long, quality int, toxic int")
+    odd = [(None, rows[4]), (None, rows[1]), (900, rows[8]), (900, rows[2]), (900, rows[2])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "n", "i") for i, t in [*enumerate(rows), *odd]], DOCS)
+    kept = sorted((r["doc_id"] or -1, r["text"]) for r in drop_toxic(docs, labels).filter("doc_id is null or doc_id = 900").collect())
+    assert kept == sorted([(-1, rows[1]), (900, rows[2]), (900, rows[2])])
