@@ -60,8 +60,9 @@ lg AS (SELECT *, lag(ix) OVER w AS lx, lag(iy) OVER w AS ly, lag(iz) OVER w AS l
 steps AS (SELECT * FROM lg WHERE lx IS NULL OR lx <> ix OR ly <> iy OR lz <> iz)"""
 
 
-def rays(spark, sf):
-    return cloud(spark, sf).filter("scan_id = 3").select("pid", *(F.lit(0.0).alias("o" + a) for a in G.AXES), *((F.col(a) * 4).alias(a) for a in G.AXES))
+def rays(spark, sf, where="scan_id = 3"):
+    """The rays of one scan, as the DuckDB texts have them, or others."""
+    return cloud(spark, sf).filter(where).select("pid", *(F.lit(0.0).alias("o" + a) for a in G.AXES), *((F.col(a) * 4).alias(a) for a in G.AXES))
 
 
 @plan(f"WITH {CLOUD}, {_RAYS} SELECT pid, CAST(step AS INTEGER) AS step, ix, iy, iz FROM steps")
@@ -83,13 +84,13 @@ def ray_crossings(spark, sf):
 
 @plan()
 def ray_evidence(spark, sf):
-    return rounded(O.ray_evidence(rays(spark, sf), cells(spark, sf), SIZE, ("pid",)), "evidence", digits=4)
+    return rounded(O.ray_evidence(rays(spark, sf, "true"), cells(spark, sf), SIZE, ("pid",)), "evidence", digits=4)
 
 
 @plan()
 def occupancy_update(spark, sf):
     own = cells(spark, sf)
-    return rounded(O.updated(own, O.ray_evidence(rays(spark, sf), own, SIZE, ("pid",))), "occ", digits=4)
+    return rounded(O.updated(own, O.ray_evidence(rays(spark, sf, "true"), own, SIZE, ("pid",))), "occ", digits=4)
 
 
 @plan(f"WITH {CLOUD}, {CELLS} SELECT ix, iy, iz, {rnd('1-1/(1+exp(least(5, n*ln(0.6/0.4))))', 'p')} FROM cells")
