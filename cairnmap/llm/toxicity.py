@@ -229,12 +229,13 @@ def hash_of(doc_id: int) -> int:
     return int(mix(np.array([doc_id], np.int64).view(np.uint64))[0] >> np.uint64(32))
 
 
-def _judged(model: Model, by_lang: dict[str, float], texts: pa.Array, langs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Logits, and whether they reach the language's threshold."""
-    data, offsets = utf8(texts)
-    logits = [model.logits(data, offsets[a : b + 1]) for a, b in steps(offsets)]
-    logits = np.concatenate(logits) if logits else np.zeros(0)
-    return logits, logits >= np.array([by_lang.get(x or "", 0.0) for x in langs.to_pylist()])
+def _judged(packed: bytes, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of a batch with text and lang, their logits, and whether these reach the language's threshold."""
+    model, by_lang = _unpacked(packed)
+    data, offsets = utf8(batch.column("text"))
+    for a, b in steps(offsets):
+        part, logits = batch.slice(a, b - a), model.logits(data, offsets[a : b + 1])
+        yield part, logits, logits >= np.array([by_lang.get(x or "", 0.0) for x in part.column("lang").to_pylist()])
 
 
 def score(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
@@ -247,10 +248,9 @@ def score(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
     del learnt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, by_lang = _unpacked(shared.value)
         for batch in batches:
-            logits, flagged = _judged(model, by_lang, batch.column(2), batch.column(1))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(1 / (1 + np.exp(-np.clip(logits.astype(np.float64), -700, 700)))), pa.array(flagged)], names=["doc_id", "lang", "score", "flagged"])
+            for part, logits, flagged in _judged(shared.value, batch):
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(1 / (1 + np.exp(-np.clip(logits.astype(np.float64), -700, 700)))), pa.array(flagged)], names=["doc_id", "lang", "score", "flagged"])
 
     return rows.mapInArrow(run, "doc_id long, lang string, score double, flagged boolean")
 
@@ -275,8 +275,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     del learnt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, by_lang = _unpacked(shared.value)
         for batch in batches:
-            yield batch.filter(pa.array(~_judged(model, by_lang, batch.column("text"), batch.column("lang"))[1]))
+            for part, _, flagged in _judged(shared.value, batch):
+                yield part.filter(pa.array(~flagged))
 
     return docs.mapInArrow(run, docs.schema)
