@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Bytes of text that one vectorised step handles; a longer single text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -18,13 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where that is unset, one under the warehouse (a local
+    session's temporary folder)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
-        path = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+        local = spark.sparkContext.master.startswith("local")
+        path = f"{tempfile.gettempdir() if local else spark.conf.get('spark.sql.warehouse.dir')}/checkpoints/{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(path)
     return path
 
@@ -37,10 +42,37 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: columnar, compressed, safe against lost executors."""
+    return measured(df, name)[0]
+
+
+def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """A stored frame and aggregates over its rows, taken while it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not metrics:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), {}
+    seen = Observation()
+    df.observe(seen, *(value.alias(key) for key, value in metrics.items())).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get
+
+
+def give_back() -> None:
+    """Return freed memory of a Python worker, which Spark keeps for later tasks, to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A batch function that gives memory back when its task's rows are through."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return held
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

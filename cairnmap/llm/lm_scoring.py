@@ -16,8 +16,6 @@ included; an empty target gives every token the uniform unigram share; other col
 
 from __future__ import annotations
 
-import ctypes
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import give_back, stored
 from .tokens import encoder, vocabulary
 
 A = 0.7
@@ -40,10 +38,7 @@ def release_encoder() -> None:
     """Give back what the worker's encoder and its memo hold; stages after the coding don't need them."""
     if encoder.cache_info().currsize:
         encoder.cache_clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        give_back()
 
 
 def pair_keys(ids: np.ndarray) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree (operator 7). DataFrame functions only.
 
-A source's documents, in the order of a hash, form one stream of words, cut to blocks of ``BLOCK_WORDS`` words. A source
+A source's documents, in the order of a hash of id and text, form one stream of words, cut to blocks of ``BLOCK_WORDS`` words. A source
 whose target is q words gives whole passes over its stream and, for the rest, the first blocks of a permutation of
 its block numbers (an affine map modulo their number), so blocks drawn in one pass are disjoint; the last block
 drawn is cut, and the words taken are the target's, rounded.
@@ -23,10 +23,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, measured, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK_WORDS, CHUNK_ROWS, SHARD_WORDS = 1024, 50_000, 1 << 22
+BLOCK_WORDS, CHUNK_ROWS, SHARD_WORDS = 1024, 2000, 1 << 22
 #: Multipliers of the block permutation: primes, of which one at least is coprime to any number of blocks below their product.
 STRIDES = (1_000_003, 1_000_033)
 #: Columns that ``mixed_documents`` adds for the time being: the row's key and its run.
@@ -101,8 +101,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
-    rows = stored(rows, "sizes")
+    order = F.xxhash64(F.lit(seed), "doc_id", "text").alias("order")
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), order)
+    rows, seen = measured(rows, "sizes", n=F.count(F.lit(1)))
     targets = source_targets(rows, weights, share, most)
     quota, blocks = F.round("target").cast("long"), F.ceil(F.col("source_size") / BLOCK_WORDS).cast("long")
     sources = targets.withColumn("quota", quota).withColumn("blocks", blocks)
@@ -114,9 +115,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     sources = sources.withColumn("stride", stride).withColumn("shift", F.pmod(F.xxhash64(F.lit(seed), "ord"), F.greatest(F.col("blocks"), F.lit(1))))
     sources = cut(sources.withColumn("short", F.col("blocks") * BLOCK_WORDS - F.col("source_size")).withColumn("last_turn", turn(F.col("blocks") - 1)))
 
-    chunks = max(1, -(-rows.count() // CHUNK_ROWS))
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    rows = rows.withColumn("order", order).withColumn("chunk", F.pmod(F.col("order"), F.lit(chunks)))
+    chunks = max(1, -(-seen["n"] // CHUNK_ROWS))
+    rows = rows.withColumn("chunk", F.pmod(F.col("order"), F.lit(chunks)))
     per_chunk = rows.groupBy("source", "chunk").agg(F.sum("size").alias("n"))
     before = per_chunk.select("source", "chunk", (F.sum("n").over(Window.partitionBy("source").orderBy("chunk")) - F.col("n")).alias("before"))
     within = Window.partitionBy("source", "chunk").orderBy("order", "doc_id", "size", "row")

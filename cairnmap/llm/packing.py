@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 from .tokens import encoder, vocabulary
 
 #: Rows of one length that one salt numbers; more rows get more salts.
@@ -51,7 +51,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def plan_moves(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

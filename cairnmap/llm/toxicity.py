@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, utf8
+from .common import steps, tidy, utf8
 from .shingles import mix, words
 
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
@@ -193,7 +193,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out) -> bytes | None:
             learnt[0].embedding = learnt[0].embedding.astype(np.float16)
             yield pa.record_batch([pa.array([zlib.compress(pickle.dumps(learnt), 1)], pa.binary())], names=["model"])
 
-    made = sample.mapInArrow(run, "model binary").collect()
+    made = sample.mapInArrow(tidy(run), "model binary").collect()
     return bytes(made[0]["model"]) if made else None
 
 
@@ -252,7 +252,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
             for part, logits, flagged in _judged(shared.value, batch):
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(1 / (1 + np.exp(-np.clip(logits.astype(np.float64), -700, 700)))), pa.array(flagged)], names=["doc_id", "lang", "score", "flagged"])
 
-    return rows.mapInArrow(run, "doc_id long, lang string, score double, flagged boolean")
+    return rows.mapInArrow(tidy(run), "doc_id long, lang string, score double, flagged boolean")
 
 
 def fifth(doc_id):
@@ -279,4 +279,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for part, _, flagged in _judged(shared.value, batch):
                 yield part.filter(pa.array(~flagged))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -6,6 +6,7 @@ import numpy as np
 
 import corpus_pipeline
 from cairnmap.llm import mixing
+from cairnmap.llm.near_dedup import drop_near_duplicates
 from cairnmap.llm.toxicity import drop_toxic
 
 from .test_operators import DOCS, _components, _ids, _words
@@ -86,3 +87,12 @@ def test_toxicity_drops_each_row_by_its_text(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t), "n", "i") for i, t in [*enumerate(rows), *odd]], DOCS)
     kept = sorted((r["doc_id"] or -1, r["text"]) for r in drop_toxic(docs, labels).filter("doc_id is null or doc_id = 900").collect())
     assert kept == sorted([(-1, rows[1]), (900, rows[2]), (900, rows[2])])
+
+
+def test_near_copies_go_row_by_row(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, "completely different text here now"), (5, long), (3, long), (3, long), (None, long), (None, None), (7, ""), (7, ""), (9, long + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "n", "i") for i, t in rows], DOCS)
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in drop_near_duplicates(docs).collect() if r["text"])
+    assert kept == [("3", long), ("5", rows[0][1]), ("None", long)] and drop_near_duplicates(docs).count() == 6
+    assert drop_near_duplicates(docs.limit(0)).count() == 0
