@@ -119,6 +119,33 @@ def clamped(cells: DataFrame, factor: float = 100.0, rough: float = 0.1, angle_c
     return cells.mapInArrow(run, schema)
 
 
+def with_eigenvalues(cells: DataFrame) -> DataFrame:
+    """Cells with l0 <= l1 <= l2, the covariance's eigenvalues. Shared terms are columns of their own, so each is computed once."""
+    xx, xy, xz, yy, yz, zz = columns(COV)
+    q, p = F.col("_q"), F.col("_p")
+    out = cells.withColumn("_q", (xx + yy + zz) / 3)
+    off = xy * xy + xz * xz + yz * yz
+    out = out.withColumn("_p", F.nullif(F.sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * off) / 6), F.lit(0.0)))
+    out = out.withColumns({f"_b{k}": c / p for k, c in enumerate((xx - q, xy, xz, yy - q, yz, zz - q))})
+    half = G.determinant([F.col(f"_b{k}") for k in range(6)]) / 2
+    out = out.withColumn("_phi", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half))) / 3)
+    out = out.withColumns({"l0": F.coalesce(q + 2 * p * F.cos(F.col("_phi") + 2 * 3.141592653589793 / 3), q), "l2": F.coalesce(q + 2 * p * F.cos("_phi"), q)})
+    return out.withColumn("l1", 3 * q - F.col("l2") - F.col("l0")).drop("_q", "_p", "_phi", *(f"_b{k}" for k in range(6)))
+
+
+def with_kind(cells: DataFrame, factor: float = 100.0, rough: float = 0.1, angle_cos: float = 0.17364817766693041) -> DataFrame:
+    """Cells with l0, l1, l2 and the class of ``clamped``, without Python. Cells with an eigenvalue <= 0 are dropped.
+
+    |z| of the smallest eigenvalue's direction comes in closed form: its square is a minor over the eigenvalues' differences.
+    """
+    l0, l1, l2 = (F.col(f"l{k}") for k in range(3))
+    out = with_eigenvalues(cells).filter("l0 > 0")
+    share = ((F.col("cxx") - l0) * (F.col("cyy") - l0) - F.col("cxy") * F.col("cxy")) / F.nullif((l1 - l0) * (l2 - l0), F.lit(0.0))
+    out = out.withColumn("_up", F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))))
+    kind = F.when(F.greatest(l0, l2 / factor) > rough, "ROUGH").when(F.col("_up") < angle_cos, "VERTICAL").when(F.col("_up") > 1 - angle_cos, "HORIZONTAL").otherwise("INCLINED")
+    return out.withColumn("class", kind).drop("_up")
+
+
 def student_t(points: DataFrame, size: float, nu: float = 5.0, rounds: int = 10, by: tuple[str, ...] = (), least: int = 3) -> DataFrame:
     """Robust cell fits: iteratively reweighted means and scatters of a Student-t law; covariance scaled by nu / (nu - 2)."""
     keys = [*by, *KEY]

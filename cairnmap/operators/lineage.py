@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that ``spark.checkpoint.dir`` names; in a folder of our own only where that is unset."""
+    """A reliable checkpoint in the folder that ``spark.checkpoint.dir`` names; where that is unset, in one under the warehouse
+    (a local session's temporary folder)."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        base = tempfile.gettempdir() if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+        spark.sparkContext.setCheckpointDir(f"{base}/checkpoints/{uuid.uuid4().hex}")
     return df.checkpoint()

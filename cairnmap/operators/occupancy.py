@@ -63,6 +63,18 @@ def semi_static_likelihood(leave: Column, enter: Column, observations: Column, s
     return F.when(observations < 20, 0.0).otherwise(F.greatest(F.lit(0.001), F.least(F.lit(0.999), joined)))
 
 
+def predicted(enter: Column, leave: Column, observations: Column, current: Column, steps: int) -> tuple[Column, Column]:
+    """Occupancy one step on (0.5 under 50 observations) and after 2 ** steps moves of the two-state chain.
+
+    The second is 0.5 under 20 observations and 0.9 where the static likelihood passes 0.6.
+    """
+    now = (1 - current) * enter + current * (1 - leave)
+    level, decay = enter / (enter + leave), F.pow(1 - enter - leave, F.lit(float(2**steps)))
+    static, _ = static_likelihood(enter, leave, observations)
+    later = F.when(observations < 20, 0.5).when(static > 0.6, 0.9).otherwise(level + decay * (current - level))
+    return F.when(observations < 50, 0.5).otherwise(now), later
+
+
 def event_counts(measurements: DataFrame, by: tuple[str, ...], order: str, occupied: str, forget: float = 5000.0 / 5001.0, cap: float = 30_000.0) -> DataFrame:
     """Per key, the ordered fold of occupied/free measurements: entry and exit counts with forgetting and a cap, and the last 64 as bits.
 
