@@ -45,15 +45,19 @@ def fit(points: DataFrame, size: float, by: tuple[str, ...] = (), least: int = 3
 
 
 def merge(cells: DataFrame, by: tuple[str, ...] = KEY) -> DataFrame:
-    """Cells of equal key merged by their moments (associative, so any number of them): the Gaussian of the union."""
-    n, mean = F.col("n").cast("double"), columns(MEAN)
+    """Cells of equal key merged by their moments (associative, so any number of them): the Gaussian of the union.
+
+    Sums are taken about one of the key's means, so that far-off coordinates cost no digits.
+    """
     pairs = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
-    sums = [F.sum(n).alias("_n"), *(F.sum(n * m).alias(f"_s{k}") for k, m in enumerate(mean))]
-    sums += [F.sum((n - 1) * F.col(c) + n * mean[i] * mean[j]).alias(f"_q{k}") for k, (c, (i, j)) in enumerate(zip(COV, pairs))]
-    total = cells.groupBy(*by).agg(*sums)
-    means = [F.col(f"_s{k}") / F.col("_n") for k in range(3)]
-    cov = [((F.col(f"_q{k}") - F.col("_n") * means[i] * means[j]) / (F.col("_n") - 1)).alias(COV[k]) for k, (i, j) in enumerate(pairs)]
-    return total.select(*by, F.col("_n").cast("long").alias("n"), *(m.alias(a) for m, a in zip(means, MEAN)), *cov)
+    base = cells.groupBy(*by).agg(F.min(F.struct(*MEAN)).alias("_r"))
+    n, off = F.col("n").cast("double"), [F.col(m) - F.col("_r")[m] for m in MEAN]
+    sums = [F.sum(n).alias("_n"), F.first("_r").alias("_r"), *(F.sum(n * o).alias(f"_s{k}") for k, o in enumerate(off))]
+    sums += [F.sum((n - 1) * F.col(c) + n * off[i] * off[j]).alias(f"_q{k}") for k, (c, (i, j)) in enumerate(zip(COV, pairs))]
+    total = cells.join(base, list(by)).groupBy(*by).agg(*sums)
+    shift = [F.col(f"_s{k}") / F.col("_n") for k in range(3)]
+    cov = [((F.col(f"_q{k}") - F.col("_n") * shift[i] * shift[j]) / (F.col("_n") - 1)).alias(COV[k]) for k, (i, j) in enumerate(pairs)]
+    return total.select(*by, F.col("_n").cast("long").alias("n"), *((F.col("_r")[m] + d).alias(m) for m, d in zip(MEAN, shift)), *cov)
 
 
 def transform(cells: DataFrame, t) -> DataFrame:

@@ -52,20 +52,18 @@ def nth_neighbour_within(points: DataFrame, point_id: str, radius: float = 1.0,
 
 
 def ray_cells(rays: DataFrame, size: float, by: tuple[str, ...]) -> DataFrame:
-    """The cells each ray crosses before its last step: by, step, ix, iy, iz, px, py, pz, length.
+    """The cells each ray crosses before its last step, with the ray's columns: step, ix, iy, iz, length.
 
-    rays: ox, oy, oz and x, y, z. Steps of one cell size, 1 .. N - 2 for N steps; a cell that follows itself counts once.
+    rays: by, ox, oy, oz and x, y, z, and others. Steps of one cell size, 1 .. N - 2 for N steps; a cell that follows itself counts once: a
+    step's key is compared with the key of the step before, which is computed anew, so nothing is shuffled.
     """
-    origin, end = [F.col(c) for c in ("ox", "oy", "oz")], columns(G.AXES)
-    length = G.distance(origin, end)
-    out = rays.select(*by, *("o" + a for a in G.AXES), *G.AXES, length.alias("length"))
-    out = out.withColumn("steps", F.floor(F.col("length") / size).cast("int")).filter("steps > 2")
-    out = out.withColumn("step", F.explode(F.sequence(F.lit(1), F.col("steps") - 2)))
-    for a in G.AXES:
-        out = out.withColumn("p" + a, F.col("o" + a) + (F.col(a) - F.col("o" + a)) / F.col("length") * F.col("step") * size)
-    out = out.select(*by, "step", "length", *("p" + a for a in G.AXES), *(G.grid_key("p" + a, size).alias("i" + a) for a in G.AXES))
-    before = F.lag(F.struct(*KEY)).over(Window.partitionBy(*by).orderBy("step"))
-    return out.withColumn("before", before).filter(F.col("before").isNull() | (F.col("before") != F.struct(*KEY))).drop("before")
+    origin, end = [F.col("o" + a) for a in G.AXES], columns(G.AXES)
+    out = rays.withColumn("length", G.distance(origin, end)).withColumn("_n", F.floor(F.col("length") / size).cast("int")).filter("_n > 2")
+    out = out.withColumn("step", F.explode(F.sequence(F.lit(1), F.col("_n") - 2)))
+    key = lambda k: [G.grid_key(o + (e - o) / F.col("length") * k * size, size) for o, e in zip(origin, end)]
+    now, before = key(F.col("step")), key(F.col("step") - 1)
+    new = (F.col("step") == 1) | (now[0] != before[0]) | (now[1] != before[1]) | (now[2] != before[2])
+    return out.filter(new).select(*rays.columns, "length", "step", *(c.alias(k) for c, k in zip(now, KEY)))
 
 
 def asof(left: DataFrame, right: DataFrame, on: str, by: tuple[str, ...], values: tuple[str, ...], prefix: str = "prev_") -> DataFrame:
@@ -80,15 +78,20 @@ def asof(left: DataFrame, right: DataFrame, on: str, by: tuple[str, ...], values
 
 
 def closest(left: DataFrame, right: DataFrame, on: str, by: tuple[str, ...], right_id: str) -> DataFrame:
-    """Each left row with the right row nearest in ``on``; ties take the earlier one: from the as-of rows of both directions."""
-    after = lambda df: df.withColumn(on, -F.col(on))
-    back = asof(left, right, on, by, (right_id,), "b_")
-    ahead = after(asof(after(left), after(right), on, by, (right_id,), "a_"))
-    own = [c for c in left.columns]
-    both = back.join(ahead.select(*own, f"a_{on}", f"a_{right_id}"), own)
-    gap_b, gap_a = F.col(on) - F.col(f"b_{on}"), -F.col(f"a_{on}") - F.col(on)
-    first = gap_a.isNull() | (gap_b <= gap_a)
-    return both.select(*own, F.when(gap_b.isNotNull() & first, F.col(f"b_{right_id}")).otherwise(F.col(f"a_{right_id}")).alias(right_id), F.when(gap_b.isNotNull() & first, gap_b).otherwise(gap_a).alias("gap"))
+    """Each left row with the right row nearest in ``on``; ties take the earlier one. One sort of the union: the last right row up to a
+    left row and the first one from it on; repeated rows and null columns stay as they are. Null stamps find nothing."""
+    w = Window.partitionBy(*by).orderBy(F.col(on).asc_nulls_last(), "_side")
+    own = [c for c in left.columns if c not in (*by, on)]
+    held = F.struct(F.col(on).alias("_on"), F.col(right_id).alias("_id"))
+    r = right.filter(F.col(on).isNotNull()).select(*by, on, F.lit(0).alias("_side"), held.alias("_r"))
+    both = left.select(*by, on, F.lit(1).alias("_side"), F.struct(F.lit(0).alias("_none"), *own).alias("_own")).unionByName(r, allowMissingColumns=True)
+    back = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    found = both.withColumns({"_b": back, "_a": ahead}).filter("_side = 1")
+    gap_b, gap_a = F.col(on) - F.col("_b._on"), F.col("_a._on") - F.col(on)
+    first = gap_b.isNotNull() & (gap_a.isNull() | (gap_b <= gap_a))
+    named = {**{c: F.col("_own")[c].alias(c) for c in own}, **{c: F.col(c) for c in (*by, on)}}
+    return found.select(*(named[c] for c in left.columns), F.when(first, F.col("_b._id")).otherwise(F.col("_a._id")).alias(right_id), F.when(first, gap_b).otherwise(gap_a).alias("gap"))
 
 
 def associate(left: DataFrame, right: DataFrame, on: str, within: float, left_id: str, right_id: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -124,7 +127,8 @@ def nearest_by_descriptor(left: DataFrame, right: DataFrame, left_id: str, right
 
 def map_likelihood(points: DataFrame, cells: DataFrame, size: float, by: tuple[str, ...]) -> DataFrame:
     """Each point's likelihood in the nearest cell of its block: 0.001 without any, negatives as 0."""
-    near = nearest_cell(points, cells, size, by)
-    found = points.join(near, list(by), "left").join(cells, list(KEY), "left")
-    value = G.likelihood(columns(G.AXES), columns(MEAN), columns(COV))
-    return found.select(*by, F.when(F.col("mx").isNull(), 0.001).otherwise(F.greatest(F.lit(0.0), value)).alias("likelihood"))
+    dist = G.distance(columns(G.AXES), columns(MEAN))
+    best = F.min(F.struct(dist.alias("dist"), *KEY, *G.AXES, *MEAN, *COV)).alias("b")
+    near = neighbour_block(points, cells, size).groupBy(*by).agg(best).select(*by, "b.*")
+    value = near.select(*by, F.greatest(F.lit(0.0), G.likelihood(columns(G.AXES), columns(MEAN), columns(COV))).alias("likelihood"))
+    return points.select(*by).join(value, list(by), "left").fillna(0.001, ["likelihood"])

@@ -6,29 +6,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .cells import KEY, columns, peak_on_line
+from .cells import COV, KEY, MEAN, columns, peak_on_line
 from .joins import ray_cells
 
 #: Log-odds of one hit.
 HIT = 0.4054651081081644  # ln(0.6 / 0.4)
 
 
-def ray_evidence(rays: DataFrame, cells: DataFrame, size: float, by: tuple[str, ...], noise: float = 0.06, weight: float = 1.0) -> DataFrame:
-    """ix, iy, iz, rays, evidence: what a scan's rays say against the cells they cross, summed by cell.
+def crossing_evidence(rays: DataFrame, cells: DataFrame, size: float, by: tuple[str, ...], noise: float = 0.06, weight: float = 1.0) -> DataFrame:
+    """by, ix, iy, iz, e: what each ray says against each cell that it crosses.
 
     In a cell with a Gaussian: with d the distance from its most likely point on the ray to the ray's end, l the
     likelihood there times 1 - exp(-d^2 / (2 s^2)), s = 0.5 * length / 30 + noise, and p = 0.1 l + 0.5, evidence ln((1 - p) / p)
     counts where l >= 0.3; without a Gaussian -0.2. All rays see the map before the scan. Rays over 200 are skipped.
     """
     steps = ray_cells(rays, size, by).filter("length <= 200")
-    ends = rays.select(*by, *("o" + a for a in G.AXES), *G.AXES)
-    crossed = steps.join(ends, list(by)).join(cells, list(KEY), "left")
-    crossed = peak_on_line(crossed, [F.col("o" + a) for a in G.AXES], columns(G.AXES))
+    crossed = peak_on_line(steps.join(cells, list(KEY), "left"), [F.col("o" + a) for a in G.AXES], columns(G.AXES))
     d = G.distance([F.col("peak_" + a) for a in G.AXES], columns(G.AXES))
     spread = 0.5 * F.col("length") / 30 + noise
     crossed = crossed.withColumn("seen", F.col("peak") * (1 - F.exp(-0.5 * d * d / (spread * spread)))).withColumn("p", 0.1 * F.col("seen") + 0.5)
     value = F.when(F.col("mx").isNull(), -0.2).when(F.col("seen") < 0.3, 0.0).otherwise(weight * F.log((1 - F.col("p")) / F.col("p")))
-    return crossed.withColumn("e", value).groupBy(*KEY).agg(F.count("*").alias("rays"), F.sum("e").alias("evidence"))
+    return crossed.select(*by, *KEY, value.alias("e"))
+
+
+def ray_evidence(rays: DataFrame, cells: DataFrame, size: float, by: tuple[str, ...], noise: float = 0.06, weight: float = 1.0) -> DataFrame:
+    """ix, iy, iz, rays, evidence: what rays say against the cells they cross, summed by cell."""
+    return crossing_evidence(rays, cells, size, by, noise, weight).groupBy(*KEY).agg(F.count("*").alias("rays"), F.sum("e").alias("evidence"))
+
+
+def measurement_evidence(rays: DataFrame, cells: DataFrame, size: float, by: tuple[str, ...], noise: float = 0.06) -> DataFrame:
+    """by, cells, evidence: what each single measurement says, summed over the cells it crosses."""
+    return crossing_evidence(rays, cells, size, by, noise).groupBy(*by).agg(F.count("*").alias("cells"), F.sum("e").alias("evidence"))
+
+
+def hit_miss(rays: DataFrame, size: float, by: tuple[str, ...], limit: float = 255.0, hit: float = HIT, miss: float = 0.2) -> DataFrame:
+    """ix, iy, iz, hits, misses, occ: ray ends against crossings, as the older occupancy map counts them."""
+    hits = rays.select(*G.grid_keys(size)).groupBy(*KEY).agg(F.count("*").alias("hits"))
+    misses = ray_cells(rays, size, by).groupBy(*KEY).agg(F.count("*").alias("misses"))
+    out = hits.join(misses, list(KEY), "full").fillna(0, ["hits", "misses"])
+    return out.withColumn("occ", F.greatest(F.lit(-limit), F.least(F.lit(limit), F.col("hits") * hit - miss * F.col("misses"))))
+
+
+def ray_depth(rays: DataFrame, cells: DataFrame, size: float, by: str, threshold: float = 0.1, smooth: float = 0.0) -> DataFrame:
+    """by, depth: the distance to the most likely point of the first crossed cell whose likelihood there passes the threshold; a miss is the length + 1.
+
+    ``smooth`` adds that many times the likelihoods of the point in the neighbouring cells.
+    """
+    origin = [F.col("o" + a) for a in G.AXES]
+    hit = peak_on_line(ray_cells(rays, size, (by,)).join(cells, list(KEY)), origin, columns(G.AXES))
+    peak = [F.col("peak_" + a) for a in G.AXES]
+    hit = hit.select(by, "step", *KEY, *peak, "peak", G.distance(peak, origin).alias("depth"))
+    if smooth:
+        around = hit.select(by, "step", *(F.col(k).alias("p" + k) for k in KEY), *peak, "peak", "depth")
+        for k in KEY:
+            around = around.withColumn(k, F.explode(F.sequence(F.col("p" + k) - 1, F.col("p" + k) + 1)))
+        own = F.struct(*KEY) == F.struct(*("p" + k for k in KEY))
+        lik = F.when(own, 0.0).otherwise(G.likelihood(peak, columns(MEAN), columns(COV)))
+        hit = around.join(cells, list(KEY)).groupBy(by, "step", "depth", "peak").agg(F.sum(lik).alias("near")).withColumn("peak", F.col("peak") + smooth * F.col("near"))
+    # a condition inside the aggregate: a filter would be pushed down and repeat all of the peak's terms
+    first = hit.groupBy(by).agg(F.min_by("depth", F.when(F.col("peak") > threshold, F.col("step"))).alias("depth"))
+    length = G.distance(origin, columns(G.AXES))
+    return rays.join(first, by, "left").select(by, F.coalesce("depth", length + 1).alias("depth"))
+
+
+def depth_view(cells: DataFrame, size: float, width: int, height: int, focal: float, far: float) -> DataFrame:
+    """u, v, depth: a depth image of a map seen from the origin along z, one ray a pixel."""
+    i = F.col("pid")
+    pixels = cells.sparkSession.range(width * height).withColumnRenamed("id", "pid")
+    u, v = i % width, F.floor(i / width)
+    rays = pixels.select("pid", *(F.lit(0.0).alias("o" + a) for a in G.AXES), ((u - (width - 1) / 2) / focal * far).alias("x"), ((v - (height - 1) / 2) / focal * far).alias("y"), F.lit(far).alias("z"))
+    return ray_depth(rays, cells, size, "pid").select(u.cast("int").alias("u"), v.cast("int").alias("v"), "depth")
 
 
 def updated(cells: DataFrame, evidence: DataFrame, limit: float = 255.0, hit: float = HIT) -> DataFrame:

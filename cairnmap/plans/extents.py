@@ -98,10 +98,10 @@ def points_in_box(spark, sf):
 _GAP = "+".join(f"greatest(({k}-0.5)*0.1-({c}), 0, {c}-({k}+0.5)*0.1)**2" for k, c in (("ix", "0.1"), ("iy", "0.05"), ("iz", "-0.1")))
 
 
-@plan(f"WITH {CLOUD}, {CELLS} SELECT ix, iy, iz FROM cells WHERE {_GAP} <= 0.25*0.25")
+@plan(f"WITH {CLOUD}, {CELLS} SELECT ix, iy, iz FROM cells WHERE {_GAP} <= 0.257*0.257")
 def cells_meeting_sphere(spark, sf):
     low, high = ([(F.col(k) + s) * SIZE for k in C.KEY] for s in (-0.5, 0.5))
-    return cells(spark, sf).filter(X.sphere_meets_box((0.1, 0.05, -0.1), 0.25, low, high)).select(*C.KEY)
+    return cells(spark, sf).filter(X.sphere_meets_box((0.1, 0.05, -0.1), 0.257, low, high)).select(*C.KEY)
 
 
 @plan(f"WITH {CLOUD}, k AS (SELECT CAST(floor(x/0.4) AS INTEGER) AS ix, CAST(floor(y/0.4) AS INTEGER) AS iy, CAST(floor(z/0.4) AS INTEGER) AS iz, count(*) AS n, max(x)-min(x) AS w FROM cloud GROUP BY 1, 2, 3) SELECT ix, iy, iz, n FROM k WHERE w <= 0.3")
