@@ -98,13 +98,13 @@ def zone_inclusion(wrenches: DataFrame, zones: DataFrame, patches: DataFrame) ->
     return patches.join(held, "id").select("patch", "zone").distinct().groupBy("patch").agg(F.count("*").alias("zones")).filter(F.col("zones") == n).select("patch")
 
 
-def contact_region(edges: DataFrame, qualified: DataFrame, center: int, rounds: int = 1000) -> DataFrame:
+def contact_region(edges: DataFrame, qualified: DataFrame, center: int) -> DataFrame:
     """id, hops of the qualified vertices reached from a centre over mesh edges through qualified vertices only."""
     from .planning import reachable
 
     ok = edges.join(qualified.select(F.col("id").alias("src")), "src", "left_semi").join(qualified.select(F.col("id").alias("dst")), "dst", "left_semi")
     seed = qualified.filter(F.col("id") == center).select(F.col("id").alias("center"))
-    return reachable(cut(ok), seed, rounds).select(F.col("node").alias("id"), "hops")
+    return reachable(cut(ok), seed).select(F.col("node").alias("id"), "hops")
 
 
 def patches(edges: DataFrame, vertices: DataFrame, radius: float) -> DataFrame:

@@ -33,20 +33,20 @@ def nearest_cell(points: DataFrame, cells: DataFrame, size: float, by: tuple[str
     return neighbour_block(points, cells, size, n).groupBy(*by).agg(best).select(*by, "b.dist", *(f"b.{k}" for k in KEY))
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str) -> DataFrame:
-    """left_id, right_id, dist of all pairs of points within a radius: buckets of side ``radius``, the left side in 27 of them."""
+def radius_pairs(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, l_id, r_id, dist of all pairs of points of one key within a radius: buckets of side ``radius``, the left side in 27 of them."""
     key = lambda a: F.floor(F.col(a) / radius).cast("long")
-    l = left.select(F.col(left_id).alias("l_id"), *(F.col(a).alias("l" + a) for a in G.AXES), *(key(a).alias("k" + a) for a in G.AXES))
+    l = left.select(*by, F.col(left_id).alias("l_id"), *(F.col(a).alias("l" + a) for a in G.AXES), *(key(a).alias("k" + a) for a in G.AXES))
     for a in G.AXES:
         l = l.withColumn("k" + a, F.explode(F.sequence(F.col("k" + a) - 1, F.col("k" + a) + 1)))
-    r = right.select(F.col(right_id).alias("r_id"), *(F.col(a).alias("r" + a) for a in G.AXES), *(key(a).alias("k" + a) for a in G.AXES))
+    r = right.select(*by, F.col(right_id).alias("r_id"), *(F.col(a).alias("r" + a) for a in G.AXES), *(key(a).alias("k" + a) for a in G.AXES))
     dist = G.distance(columns(G.AXES, "l"), columns(G.AXES, "r"))
-    return l.join(r, ["k" + a for a in G.AXES]).withColumn("dist", dist).filter(F.col("dist") <= radius).select("l_id", "r_id", "dist")
+    return l.join(r, [*by, *("k" + a for a in G.AXES)]).withColumn("dist", dist).filter(F.col("dist") <= radius).select(*by, "l_id", "r_id", "dist")
 
 
-def nth_neighbour_within(points: DataFrame, point_id: str, radius: float = 1.0, n: int = 3) -> DataFrame:
+def nth_neighbour_within(points: DataFrame, point_id: str, radius: float = 1.0, n: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
     """Points whose n-th nearest neighbour (themselves not counted) lies within a radius."""
-    pairs = radius_pairs(points, points, radius, point_id, point_id).filter("l_id != r_id")
+    pairs = radius_pairs(points, points, radius, point_id, point_id, by).filter("l_id != r_id")
     dense = pairs.groupBy("l_id").agg(F.count("*").alias("n")).filter(F.col("n") >= n)
     return points.join(dense, points[point_id] == dense["l_id"], "left_semi")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def transit_edges(cells: DataFrame, size: float, step: float, slope: float = 1.0
     return both.filter((F.col("d") <= step) & (F.col("up") <= slope * F.greatest(F.col("flat"), F.lit(1e-9)))).select("src", "dst", (F.col("d") + 1).alias("cost"))
 
 
-def wavefront(edges: DataFrame, goal: str, most: float = 1e9, rounds: int = 1000) -> DataFrame:
+def wavefront(edges: DataFrame, goal: str, most: float = 1e9) -> DataFrame:
     """node, cost, next: least cost to the goal. Only nodes that got cheaper send again; every round is checkpointed.
 
     The cost cap ends a wave that would go on; unreachable nodes have no row.
@@ -30,7 +32,7 @@ def wavefront(edges: DataFrame, goal: str, most: float = 1e9, rounds: int = 1000
     spark = edges.sparkSession
     best = spark.createDataFrame([(goal, 0.0, goal)], "node string, cost double, next string")
     front = best
-    for _ in range(rounds):
+    while True:
         sent = front.select(F.col("node").alias("dst"), F.col("cost").alias("c")).join(edges, "dst").select(F.col("src").alias("node"), (F.col("c") + F.col("cost")).alias("cost"), F.col("dst").alias("next")).filter(F.col("cost") <= most)
         offer = sent.groupBy("node").agg(F.min(F.struct("cost", "next")).alias("o")).select("node", F.col("o.cost").alias("nc"), F.col("o.next").alias("nn"))
         better = cut(offer.join(best.select("node", "cost"), "node", "left").filter("cost is null or nc < cost - 1e-12").select("node", F.col("nc").alias("cost"), F.col("nn").alias("next")))
@@ -41,12 +43,12 @@ def wavefront(edges: DataFrame, goal: str, most: float = 1e9, rounds: int = 1000
     return best
 
 
-def path(costs: DataFrame, start: str, rounds: int = 40) -> DataFrame:
+def path(costs: DataFrame, start: str) -> DataFrame:
     """step, node from a start to the goal along ``next``, by pointer doubling: rounds are the logarithm of the length."""
     hops = costs.select("node", "next")
     walk = hops.filter(F.col("node") == start).select(F.lit(0).cast("long").alias("step"), "node")
     length = 1
-    for _ in range(rounds):
+    while True:
         more = walk.join(hops, "node").select((F.col("step") + length).alias("step"), F.col("next").alias("node"))
         grown = cut(walk.union(more).groupBy("node").agg(F.min("step").alias("step")).select("step", "node"))
         if grown.count() == walk.count():
@@ -88,11 +90,11 @@ def inside(points: DataFrame, planes: DataFrame, by: str, point_id: str) -> Data
     return held.filter("ok").select(point_id, by)
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, rounds: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """center, node, hops: breadth-first growth of all seeds (center) at once over allowed edges (src, dst)."""
     found = cut(seeds.select("center", F.col("center").alias("node"), F.lit(0).alias("hops")))
     front = found
-    for k in range(1, rounds):
+    for k in count(1):
         new = front.join(edges, front["node"] == edges["src"]).select("center", F.col("dst").alias("node")).distinct()
         new = cut(new.join(found, ["center", "node"], "left_anti").withColumn("hops", F.lit(k)))
         if new.isEmpty():

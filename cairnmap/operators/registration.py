@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .cells import COV, KEY, MEAN, columns, fit, transform, transform_points
+from .cells import COV, KEY, MEAN, columns, fit, transform, transform_points, with_eigenvalues
 from .joins import nearest_cell
+from .linesearch import more_thuente
 from .lineage import cut
 from .trajectory import alignment
 
@@ -16,9 +18,9 @@ from .trajectory import alignment
 LFD2 = 0.05
 
 
-def cell_pairs(source: DataFrame, target: DataFrame, size: float, n: int = 2) -> DataFrame:
+def cell_pairs(source: DataFrame, target: DataFrame, size: float, n: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
     """Source cells with every target cell of the block around their mean; target columns get the prefix t_."""
-    own = source.select(F.monotonically_increasing_id().alias("pair_id"), *MEAN, *COV, *(G.grid_key(m, size).alias("p" + k) for m, k in zip(MEAN, KEY)))
+    own = source.select(*keep, *MEAN, *COV, *(G.grid_key(m, size).alias("p" + k) for m, k in zip(MEAN, KEY)))
     for k in KEY:
         own = own.withColumn(k, F.explode(F.sequence(F.col("p" + k) - n, F.col("p" + k) + n)))
     other = target.select(*KEY, *(F.col(c).alias("t_" + c) for c in MEAN + COV))
@@ -38,7 +40,7 @@ def pair_score(source: DataFrame, target: DataFrame, size: float, n: int = 2) ->
     return made.agg(F.count("*").alias("pairs"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("score"))
 
 
-def derivatives(source: DataFrame, target: DataFrame, size: float, n: int = 2) -> DataFrame:
+def derivatives(source: DataFrame, target: DataFrame, size: float, n: int = 2, outer: bool = False) -> DataFrame:
     """One row: pairs, score, g0..g5 and h00..h55 (upper triangle): gradient and Gauss-Newton curvature of the pair score.
 
     Parameters are tx, ty, tz, rx, ry, rz about the origin, at the source's current pose. All sums are one aggregation.
@@ -75,6 +77,8 @@ def derivatives(source: DataFrame, target: DataFrame, size: float, n: int = 2) -
         for j in range(i, 6):
             flat = 2 * sum((F.col(f"j{i}{a}") * bm[a][c] * F.col(f"j{j}{c}") for a in range(3) for c in range(3)), F.lit(0.0))
             sums.append(F.sum(gain * flat).alias(f"h{i}{j}"))
+            if outer:
+                sums.append(F.sum(gain * F.col(f"q{i}") * gain * F.col(f"q{j}")).alias(f"o{i}{j}"))
     return pairs.agg(*sums)
 
 
@@ -107,6 +111,7 @@ def match_cells(source: DataFrame, target: DataFrame, size: float, start: np.nda
     Steps are halved while they don't improve the score; the best pose and its score are returned. ``free`` (0, 1, 5) is the planar case.
     """
     pose = np.eye(4) if start is None else np.array(start, float)
+    source, target = cut(source), cut(target)
     at = lambda t: transform(source, t.reshape(-1).tolist())
     row = derivatives(at(pose), target, size, n).first()
     score = row["score"] or 0.0
@@ -138,9 +143,12 @@ def match_scans(source: DataFrame, target: DataFrame, sizes: tuple[float, ...] =
 
 
 def covariance(source: DataFrame, target: DataFrame, size: float, sigma: float = 0.03) -> np.ndarray:
-    """Pose covariance sigma^2 times the inverse of the score's curvature."""
-    _, h, _ = _solve(derivatives(source, target, size).first(), (0, 1, 2, 3, 4, 5))
-    return sigma**2 * np.linalg.pinv(h)
+    """Pose covariance H^-1 (sigma^2 J'J) H^-1: H the score's curvature, J'J the sum over pairs of the outer products of their gradients."""
+    row = derivatives(source, target, size, outer=True).first()
+    six = range(6)
+    h, o = (np.array([[row[f"{p}{min(i, j)}{max(i, j)}"] or 0.0 for j in six] for i in six]) for p in "ho")
+    back = np.linalg.pinv(h)
+    return back @ (sigma**2 * o) @ back
 
 
 def point_score(points: DataFrame, cells: DataFrame, size: float, outliers: float = 0.35) -> DataFrame:
@@ -154,6 +162,169 @@ def point_score(points: DataFrame, cells: DataFrame, size: float, outliers: floa
     return found.select(form.alias("l")).filter("l is not null and not isnan(l) and l <= 120").agg(F.count("*").alias("used"), F.sum(float(lfd1) * F.exp(-lfd2 * F.col("l") / 2)).alias("score"))
 
 
+def point_derivatives(points: DataFrame, cells: DataFrame, size: float, outliers: float = 0.35) -> DataFrame:
+    """One row: used, score, g0..g5, h00..h55 of the point-to-cell score at the points' current pose (Gauss-Newton curvature)."""
+    c1, c2 = (1 - outliers) / 0.1, outliers / size**3
+    d3 = -np.log(c2)
+    lfd1 = float(-np.log(c1 + c2) - d3)
+    lfd2 = float(-np.log((-np.log(c1 * np.exp(-0.5) + c2) - d3) / lfd1))
+    x, y, z = columns(G.AXES)
+    found = points.select(*G.AXES, *G.grid_keys(size)).join(cells, list(KEY))
+    found = found.withColumns({f"_i{k}": c for k, c in enumerate(G.inverse(columns(COV)))})
+    inv = [[F.col(f"_i{min(i, j) * 3 + max(i, j) - (0, 1, 3)[min(i, j)]}") for j in range(3)] for i in range(3)]
+    d = [F.col(a) - F.col(m) for a, m in zip(G.AXES, MEAN)]
+    found = found.withColumns({f"_v{i}": sum((inv[i][j] * d[j] for j in range(3)), F.lit(0.0)) for i in range(3)})
+    v = [F.col(f"_v{i}") for i in range(3)]
+    found = found.withColumn("l", sum((a * b for a, b in zip(v, d)), F.lit(0.0)))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    jac = [[one, zero, zero], [zero, one, zero], [zero, zero, one], [zero, -z, y], [z, zero, -x], [-y, x, zero]]
+    used = F.col("l").isNotNull() & ~F.isnan("l") & (F.col("l") <= 120)
+    e = F.when(used, F.exp(-lfd2 * F.col("l") / 2))
+    found = found.withColumn("_e", e).withColumns({f"_q{i}": sum((v[a] * jac[i][a] for a in range(3)), F.lit(0.0)) for i in range(6)})
+    gain = -lfd1 * lfd2 * F.col("_e")
+    sums = [F.count("_e").alias("used"), F.sum(lfd1 * F.col("_e")).alias("score"), *(F.sum(gain * F.col(f"_q{i}")).alias(f"g{i}") for i in range(6))]
+    for i in range(6):
+        for j in range(i, 6):
+            flat = sum((jac[i][a] * inv[a][c] * jac[j][c] for a in range(3) for c in range(3)), F.lit(0.0))
+            sums.append(F.sum(gain * (flat - lfd2 * F.col(f"_q{i}") * F.col(f"_q{j}"))).alias(f"h{i}{j}"))
+    return found.agg(*sums)
+
+
+def match_points(points: DataFrame, target: DataFrame, sizes: tuple[float, ...] = (2.0, 1.0, 0.5), start: np.ndarray | None = None, rounds: int = 100, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Point-to-cell matching, coarse to fine: subsampled to the first point of each half cell, Newton steps of at most four cells and 45 degrees.
+
+    Each evaluation is one aggregation; the driver solves 6x6. Steps are found by the line search.
+    """
+    pose, score = np.eye(4) if start is None else np.array(start, float), 0.0
+    for size in sizes:
+        fixed = cut(fit(target, size, least=6))
+        few = points.select(*G.AXES, *G.grid_keys(size / 2)).groupBy(*KEY).agg(F.min(F.struct(*G.AXES)).alias("p")).select("p.*")
+        few = cut(few)
+
+        def at(t: np.ndarray, few=few, fixed=fixed, size=size):
+            return point_derivatives(transform_points(few, t.reshape(-1).tolist()), fixed, size).first()
+
+        row = at(pose)
+        for _ in range(rounds):
+            g, _, step = _solve(row, (0, 1, 2, 3, 4, 5))
+            if np.linalg.norm(g) <= tolerance or not np.isfinite(step).all() or np.linalg.norm(step) < tolerance:
+                break
+            step[:3] *= min(1.0, 4 * size / max(np.linalg.norm(step[:3]), 1e-12))
+            step[3:] *= min(1.0, np.pi / 4 / max(np.linalg.norm(step[3:]), 1e-12))
+            seen = {}
+
+            def along(a: float, step=step, pose=pose, at=at, seen=seen) -> tuple[float, float]:
+                seen[a] = made = at(twist(a * step) @ pose)
+                return made["score"] or 0.0, float(sum((made[f"g{i}"] or 0.0) * step[i] for i in range(6)))
+
+            a = more_thuente(along, row["score"] or 0.0, float(g @ step))
+            new = seen.get(a) or at(twist(a * step) @ pose)
+            if (new["score"] or 0.0) >= (row["score"] or 0.0) - 1e-9:
+                break
+            pose, row = twist(a * step) @ pose, new
+        score = row["score"] or 0.0
+    return pose, float(score)
+
+
+def score_surface(source: DataFrame, target: DataFrame, grid: DataFrame, size: float, step: float, n: int = 2) -> DataFrame:
+    """gi, gj, pairs, score of the source moved by every (gi, gj) * step of a grid of hypotheses: one job for all of them.
+
+    The grid's moves are unfolded on the source's cells, as many rows as cells times hypotheses.
+    """
+    moves = F.array(*[F.struct(F.lit(r["gi"]).alias("gi"), F.lit(r["gj"]).alias("gj")) for r in grid.collect()])
+    moved = source.select("*", F.inline(moves)).withColumns({"mx": F.col("mx") + F.col("gi") * step, "my": F.col("my") + F.col("gj") * step})
+    _, _, s = _terms()
+    made = cell_pairs(moved, target, size, n, ("gi", "gj")).select("gi", "gj", s.alias("s"))
+    good = F.col("s").isNotNull() & ~F.isnan("s")
+    return made.filter(good).groupBy("gi", "gj").agg(F.count("*").alias("pairs"), F.sum("s").alias("score"))
+
+
+def best_hypotheses(scores: DataFrame, n: int, ties: tuple[str, ...]) -> DataFrame:
+    """The n lowest scores; scores within a millionth tie, in the order of ``ties``."""
+    return scores.orderBy(F.round("score", 6), *ties).limit(n)
+
+
+def _pair_terms(ms: np.ndarray, cs: np.ndarray, mt: np.ndarray, ct: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Score, gradient and Gauss-Newton curvature of aligned arrays of cell pairs."""
+    x, total = ms - mt, cs + ct
+    good = np.abs(np.linalg.det(total)) > 1e-18
+    x, total, ms, cs = x[good], total[good], ms[good], cs[good]
+    b = np.linalg.inv(total)
+    v = np.einsum("nij,nj->ni", b, x)
+    s = -np.exp(-0.5 * LFD2 * np.einsum("ni,ni->n", v, x))
+    w = np.zeros((len(x), 3, 3))  # minus the cross-product matrix of the source mean
+    w[:, 0, 1], w[:, 0, 2], w[:, 1, 2] = ms[:, 2], -ms[:, 1], ms[:, 0]
+    w -= w.transpose(0, 2, 1)
+    jac = np.concatenate((np.broadcast_to(np.eye(3), w.shape), w), 2)
+    q = 2 * np.einsum("ni,nij->nj", v, jac)
+    turned = np.cross(v[:, None], np.eye(3)[None])  # rows: v x e_i, so that v' Z_i v = 2 (C v) . (v x e_i)
+    q[:, 3:] -= 2 * np.einsum("nij,nj->ni", turned, np.einsum("nij,nj->ni", cs, v))
+    gain = -LFD2 / 2 * s
+    return float(s.sum()), gain @ q, np.einsum("n,nki,nkl,nlj->ij", 2 * gain, jac, b, jac)
+
+
+def match_arrays(ms: np.ndarray, cs: np.ndarray, mt: np.ndarray, ct: np.ndarray, size: float, n: int = 2, rounds: int = 30, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
+    """The cell matcher on two maps' arrays (means, 3x3 covariances), for tasks that register many pairs of maps in parallel."""
+    at = {}
+    for k, key in enumerate(map(tuple, np.floor(mt / size + 0.5).astype(int))):
+        at.setdefault(key, []).append(k)
+    block = [(a, b, c) for a in range(-n, n + 1) for b in range(-n, n + 1) for c in range(-n, n + 1)]
+
+    def evaluated(t: np.ndarray):
+        m, c = ms @ t[:3, :3].T + t[:3, 3], t[:3, :3] @ cs @ t[:3, :3].T
+        left, right = [], []
+        for i, (x, y, z) in enumerate(np.floor(m / size + 0.5).astype(int).tolist()):
+            own = [k for a, b, d in block for k in at.get((x + a, y + b, z + d), ())]
+            left += [i] * len(own)
+            right += own
+        return _pair_terms(m[left], c[left], mt[right], ct[right])
+
+    pose, (score, g, h) = np.eye(4), evaluated(np.eye(4))
+    for _ in range(rounds):
+        row = {f"g{i}": g[i] for i in range(6)} | {f"h{i}{j}": h[i, j] for i in range(6) for j in range(i, 6)}
+        _, _, step = _solve(row, (0, 1, 2, 3, 4, 5))
+        if np.linalg.norm(g) <= tolerance or np.linalg.norm(step) < tolerance:
+            break
+        for _ in range(6):
+            new = evaluated(twist(step) @ pose)
+            if new[0] < score - 1e-9:
+                break
+            step = step / 2
+        else:
+            break
+        pose, (score, g, h) = twist(step) @ pose, new
+    return pose, score
+
+
+def consecutive(cells: DataFrame, order: str, size: float, n: int = 2) -> DataFrame:
+    """pair, tx, ty, tz, qx, qy, qz, qw, score: every map registered onto the one before it, all pairs in parallel, each in one task.
+
+    A task holds two maps' cells. ``order`` numbers the maps from 0 without gaps.
+    """
+    names = [*MEAN, *COV]
+    own = cells.select(F.col(order).cast("long").alias("pair"), *names)
+    before = own.select(F.col("pair") + 1, *names).toDF("after", *("t_" + c for c in names))
+
+    def arrays(t, prefix=""):
+        rows = np.column_stack([t[prefix + c].to_numpy() for c in names]).astype(float).reshape(-1, 9)
+        return rows[:, :3], rows[:, 3:][:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
+
+    schema = "pair long, tx double, ty double, tz double, qx double, qy double, qz double, qw double, score double"
+    kinds = [("pair", pa.int64()), *((c, pa.float64()) for c in ("tx", "ty", "tz", "qx", "qy", "qz", "qw", "score"))]
+
+    def run(key, moved, fixed):
+        if not moved.num_rows or not fixed.num_rows:
+            return pa.table({c: pa.array([], k) for c, k in kinds})
+        pose, score = match_arrays(*arrays(moved), *arrays(fixed, "t_"), size, n)
+        w = np.sqrt(max(1e-12, 1 + np.trace(pose[:3, :3]))) / 2
+        r = pose[:3, :3]
+        q = [(r[2, 1] - r[1, 2]) / (4 * w), (r[0, 2] - r[2, 0]) / (4 * w), (r[1, 0] - r[0, 1]) / (4 * w), w]
+        values = [key[0].as_py(), *pose[:3, 3].tolist(), *map(float, q), score]
+        return pa.table({c: pa.array([x], k) for (c, k), x in zip(kinds, values)})
+
+    return own.groupBy("pair").cogroup(before.groupBy("after")).applyInArrow(run, schema)
+
+
 def icp(source: DataFrame, target: DataFrame, size: float, rounds: int = 10) -> np.ndarray:
     """Iterated closest points: nearest target voxel means within a block, then the closed-form pose."""
     pose = np.eye(4)
@@ -171,9 +342,10 @@ def icp(source: DataFrame, target: DataFrame, size: float, rounds: int = 10) ->
     return pose
 
 
-def ransac(matches: DataFrame, hypotheses: int = 200, within: float = 0.05, seed: int = 4) -> tuple[np.ndarray, int]:
-    """Pose from point matches (sx, sy, sz -> tx, ty, tz): hypotheses from seeded triples, inliers counted by one aggregation."""
-    rows = matches.orderBy(F.xxhash64(*matches.columns)).limit(512).collect()
+def ransac(matches: DataFrame, hypotheses: int = 200, within: float = 0.05, seed: int = 4, sample: int = 512) -> tuple[np.ndarray, int]:
+    """Pose from point matches (sx, sy, sz -> tx, ty, tz): hypotheses from seeded triples of a bounded ``sample``, inliers counted over all
+    matches by one aggregation for fifty hypotheses."""
+    rows = matches.orderBy(F.xxhash64(*matches.columns)).limit(sample).collect()
     draw, poses = np.random.default_rng(seed), []
     s, t = (np.array([[r[p + a] for a in G.AXES] for r in rows]) for p in "st")
     for _ in range(hypotheses if len(rows) >= 3 else 0):
@@ -207,21 +379,57 @@ def directions(n: int = 40) -> list[tuple[float, float, float]]:
     return out
 
 
-def shape_histogram(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Counts of cells by kind (line, plane, sphere) and distance band (< 5, 5-10, > 10) from the eigenvalues: by, kind, band, n."""
-    values = G.eigenvalues(columns(COV))
-    made = cells.select(*by, *(v.alias(f"l{k}") for k, v in enumerate(values)), G.norm(*columns(MEAN)).alias("d"))
+def shape_histogram(cells: DataFrame, by: tuple[str, ...] = (), bands: tuple[float, float] = (5.0, 10.0)) -> DataFrame:
+    """Counts of cells by kind (line, plane, sphere, from the eigenvalues) and distance band: by, kind, band, n."""
+    made = with_eigenvalues(cells).select(*by, "l0", "l1", "l2", G.norm(*columns(MEAN)).alias("d"))
     kind = F.when(F.col("l2") > 50 * F.col("l1"), "line").when(F.col("l1") > 50 * F.col("l0"), "plane").otherwise("sphere")
-    band = F.when(F.col("d") < 5, 0).when(F.col("d") < 10, 1).otherwise(2)
+    band = F.when(F.col("d") < bands[0], 0).when(F.col("d") < bands[1], 1).otherwise(2)
     return made.select(*by, kind.alias("kind"), band.alias("band")).groupBy(*by, "kind", "band").agg(F.count("*").alias("n"))
 
 
-def histogram_similarity(left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row: L2 of the two histograms' shares within each band, summed over bands 0 and 1, times the ratio of their totals."""
-    total = lambda h: h.groupBy("band").agg(F.sum("n").alias("t"))
-    share = lambda h, name: h.join(total(h), "band").select("kind", "band", (F.col("n") / F.col("t")).alias(name), "n")
-    a, b = share(left, "a").withColumnRenamed("n", "na"), share(right, "b").withColumnRenamed("n", "nb")
-    both = a.join(b, ["kind", "band"], "full")
-    diff = F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))
-    per = both.groupBy("band").agg(F.sqrt(F.sum(diff * diff)).alias("d"), F.sum(F.coalesce("na", F.lit(0))).alias("na"), F.sum(F.coalesce("nb", F.lit(0))).alias("nb"))
-    return per.agg((F.sum(F.when(F.col("band") < 2, F.col("d")).otherwise(0.0)) * F.greatest(F.sum("na"), F.sum("nb")) / F.least(F.sum("na"), F.sum("nb"))).alias("similarity"))
+def similarities(histograms: DataFrame, by: str) -> DataFrame:
+    """a, b, similarity of all pairs of histograms: the L2 of their shares within each band, summed over the nearer bands, times the ratio of
+    their totals. A histogram is one row with at most nine bins; pairs are of histograms, as many as maps are compared."""
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(by, "band"))
+    maps = histograms.withColumn("s", share).groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.col("band").cast("string")), "s"))).alias("h"), F.sum("n").alias("n"))
+    pairs = maps.toDF("a", "ha", "na").join(maps.toDF("b", "hb", "nb"), F.col("a") < F.col("b"))
+    gap = lambda kind, band: F.coalesce(F.col("ha")[f"{kind}{band}"], F.lit(0.0)) - F.coalesce(F.col("hb")[f"{kind}{band}"], F.lit(0.0))
+    near = [F.sqrt(sum((gap(k, band) * gap(k, band) for k in ("line", "plane", "sphere")), F.lit(0.0))) for band in (0, 1)]
+    return pairs.select("a", "b", ((near[0] + near[1]) * F.greatest("na", "nb") / F.least("na", "nb")).alias("similarity"))
+
+
+def direction_histogram(cells: DataFrame, by: tuple[str, ...], n: int = 40) -> DataFrame:
+    """by, bin, n: cells that are no lines by the nearest of n directions to their normal, turned towards the origin.
+
+    (C - l1)(C - l2) has the normal in every column: the one with the largest diagonal entry is taken.
+    """
+    out = with_eigenvalues(cells).filter(F.col("l2") <= 50 * F.col("l1"))
+    full = [["cxx", "cxy", "cxz"], ["cxy", "cyy", "cyz"], ["cxz", "cyz", "czz"]]
+    less = lambda r, c, l: F.col(full[r][c]) - F.col(l) if r == c else F.col(full[r][c])
+    out = out.withColumns({f"_m{r}{c}": sum((less(r, k, "l1") * less(k, c, "l2") for k in range(3)), F.lit(0.0)) for r in range(3) for c in range(3)})
+    m = lambda r, c: F.col(f"_m{r}{c}")
+    out = out.withColumns({f"_n{c}": F.when((m(0, 0) >= m(1, 1)) & (m(0, 0) >= m(2, 2)), m(0, c)).when(m(1, 1) >= m(2, 2), m(1, c)).otherwise(m(2, c)) for c in range(3)})
+    v = [F.col(f"_n{c}") for c in range(3)]
+    out = out.withColumn("_f", F.when(v[0] * F.col("mx") + v[1] * F.col("my") + v[2] * F.col("mz") > 0, -1.0).otherwise(1.0) / G.norm(*v))
+    known = F.array(*[F.struct(*(F.lit(x).alias(a) for x, a in zip(d, G.AXES)), F.lit(k).alias("k")) for k, d in enumerate(directions(n))])
+    dot = lambda d: (v[0] * d["x"] + v[1] * d["y"] + v[2] * d["z"]) * F.col("_f")
+    best = F.array_max(F.transform(known, lambda d: F.struct(dot(d).alias("dot"), (-d["k"]).alias("k"))))
+    return out.select(*by, (-best["k"]).cast("int").alias("bin")).groupBy(*by, "bin").agg(F.count("*").alias("n"))
+
+
+def dominant_directions(histogram: DataFrame, by: tuple[str, ...], n: int = 3, least: int = 3) -> DataFrame:
+    """by, rank, bin, n: the fullest bins in turn, each hiding its neighbours, down to a support of ``least``; ties take the smaller bin.
+
+    A histogram's bins (40 at most) are folded in one row.
+    """
+    held = histogram.groupBy(*by).agg(F.collect_list(F.struct("n", (-F.col("bin")).alias("bin"))).alias("h"))
+    start = F.struct(F.col("h").alias("h"), F.array().cast("array<struct<n:bigint,bin:int>>").alias("out"))
+
+    def step(s, _):
+        top = F.array_max(s["h"])
+        found = top.isNotNull() & (top["n"] >= least)
+        rest = F.filter(s["h"], lambda x: F.abs(x["bin"] - top["bin"]) > 1)
+        return F.when(found, F.struct(rest.alias("h"), F.concat(s["out"], F.array(F.struct(top["n"].alias("n"), (-top["bin"]).alias("bin")))).alias("out"))).otherwise(s)
+
+    folded = held.withColumn("s", F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step))
+    return folded.select(*by, F.posexplode("s.out").alias("rank", "o")).select(*by, "rank", "o.bin", "o.n")

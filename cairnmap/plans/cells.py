@@ -85,9 +85,9 @@ def conflict_points(spark, sf):
     return C.binned(points, SIZE).join(cells(spark, sf), list(C.KEY), "left_anti").select("pid")
 
 
-@plan(f"WITH {CLOUD} SELECT DISTINCT {KEYS} FROM cloud WHERE scan_id < 3")
+@plan(f"WITH {CLOUD} SELECT DISTINCT scan_id, {KEYS} FROM cloud")
 def dirty_cells(spark, sf):
-    return C.binned(cloud(spark, sf).filter("scan_id < 3"), SIZE).select(*C.KEY).distinct()
+    return C.binned(cloud(spark, sf), SIZE).select("scan_id", *C.KEY).distinct()
 
 
 @plan(f"WITH {CLOUD}, {CELLS} SELECT count(*) AS active, CAST(sum(n) AS BIGINT) AS points FROM cells")
@@ -135,20 +135,6 @@ def octree_leaves(spark, sf):
     return C.octree_leaves(cloud(spark, sf), 1.6, 10, 4)
 
 
-_SHAPE = "CASE WHEN d < 5 THEN 0 WHEN d < 10 THEN 1 ELSE 2 END"
-
-
-@plan()
-def shape_histogram(spark, sf):
-    return R.shape_histogram(cells(spark, sf, ("scan_id",)), ("scan_id",))
-
-
-@plan()
-def histogram_similarity(spark, sf):
-    own = cells(spark, sf, ("scan_id",))
-    return R.histogram_similarity(R.shape_histogram(own.filter("scan_id = 0")), R.shape_histogram(own.filter("scan_id = 1")))
-
-
 _SRC, _TGT = cells_sql("src", "scan_id % 2 = 1"), cells_sql("tgt", "scan_id % 2 = 0")
 _SUM = [f"s.{c}+t.{c}" for c in COV]
 _PAIR = quadratic_sql(("s.mx-t.mx", "s.my-t.my", "s.mz-t.mz"), inverse_sql(_SUM))
@@ -176,23 +162,23 @@ def pair_gradient(spark, sf):
 
 @plan()
 def match_cells(spark, sf):
-    pose, score = R.match_cells(*(C.fit(cloud(spark, sf).filter(w), SIZE) for w in ("scan_id % 2 = 1", "scan_id % 2 = 0")), SIZE, rounds=3)
+    pose, score = R.match_cells(*(C.fit(cloud(spark, sf).filter(w), SIZE, least=8) for w in ("scan_id % 2 = 1", "scan_id % 2 = 0")), SIZE)
     return spark.createDataFrame([(i, j, float(round(pose[i, j], 6))) for i in range(4) for j in range(4)] + [(4, 0, float(round(score, 3)))], "i int, j int, value double")
 
 
 @plan()
 def icp_pose(spark, sf):
     points = cloud(spark, sf)
-    pose = R.icp(points.filter("scan_id = 1"), points.filter("scan_id = 0"), SIZE, 3)
+    pose = R.icp(points.filter("scan_id % 2 = 1"), points.filter("scan_id % 2 = 0"), SIZE)
     return spark.createDataFrame([(i, j, float(round(pose[i, j], 6))) for i in range(4) for j in range(4)], "i int, j int, value double")
 
 
 @plan()
 def ransac_pose(spark, sf):
-    points = cloud(spark, sf).filter("scan_id = 0")
+    points = cloud(spark, sf)
     moved = C.transform_points(points, TURN)
     pairs = points.select("pid", *(F.col(a).alias("s" + a) for a in G.AXES)).join(moved.select("pid", *(F.col(a).alias("t" + a) for a in G.AXES)), "pid").drop("pid")
-    pose, found = R.ransac(pairs, 20)
+    pose, found = R.ransac(pairs)
     return spark.createDataFrame([(i, j, float(round(pose[i, j], 6))) for i in range(4) for j in range(4)] + [(4, 0, float(found))], "i int, j int, value double")
 
 
@@ -205,7 +191,7 @@ def _p2d(size: float = SIZE, outliers: float = 0.35):
     return float(a), float(-np.log((-np.log(c1 * np.exp(-0.5) + c2) - d3) / a))
 
 
-@plan(f"WITH {CLOUD}, keyed AS (SELECT *, {KEYS} FROM cloud WHERE scan_id = 1), {cells_sql('cells', 'scan_id <> 1', least=8)}, f AS (SELECT {FORM} AS l FROM keyed JOIN cells USING (ix, iy, iz)) SELECT count(*) AS used, {rnd(f'sum({_p2d()[0]}*exp(-{_p2d()[1]}*l/2))', 'score', 4)} FROM f WHERE l IS NOT NULL AND NOT isnan(l) AND l <= 120")
+@plan(f"WITH {CLOUD}, keyed AS (SELECT *, {KEYS} FROM cloud WHERE scan_id % 2 = 1), {cells_sql('cells', 'scan_id % 2 = 0', least=8)}, f AS (SELECT {FORM} AS l FROM keyed JOIN cells USING (ix, iy, iz)) SELECT count(*) AS used, {rnd(f'sum({_p2d()[0]}*exp(-{_p2d()[1]}*l/2))', 'score', 4)} FROM f WHERE l IS NOT NULL AND NOT isnan(l) AND l <= 120")
 def point_score(spark, sf):
     points = cloud(spark, sf)
-    return rounded(R.point_score(points.filter("scan_id = 1"), firm(spark, sf, "scan_id <> 1"), SIZE), "score", digits=4)
+    return rounded(R.point_score(points.filter("scan_id % 2 = 1"), firm(spark, sf, "scan_id % 2 = 0"), SIZE), "score", digits=4)

@@ -42,26 +42,26 @@ def map_likelihood(spark, sf):
 _RADIUS = "sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) <= 0.05"
 
 
-@plan(f"WITH {CLOUD}, s AS (SELECT * FROM cloud WHERE scan_id = 2) SELECT a.pid AS l_id, count(*) AS near FROM s a JOIN s b ON abs(a.x-b.x) <= 0.05 AND {_RADIUS} GROUP BY 1")
+@plan(f"WITH {CLOUD} SELECT a.pid AS l_id, count(*) AS near FROM cloud a JOIN cloud b ON a.scan_id = b.scan_id AND abs(a.x-b.x) <= 0.05 AND {_RADIUS} GROUP BY 1")
 def radius_neighbours(spark, sf):
-    s = cloud(spark, sf).filter("scan_id = 2")
-    return J.radius_pairs(s, s, 0.05, "pid", "pid").groupBy("l_id").agg(F.count("*").alias("near"))
+    s = cloud(spark, sf)
+    return J.radius_pairs(s, s, 0.05, "pid", "pid", ("scan_id",)).groupBy("l_id").agg(F.count("*").alias("near"))
 
 
-@plan(f"WITH {CLOUD}, s AS (SELECT * FROM cloud WHERE scan_id = 2) SELECT a.pid FROM s a JOIN s b ON a.pid <> b.pid AND abs(a.x-b.x) <= 0.05 AND {_RADIUS} GROUP BY 1 HAVING count(*) >= 3")
+@plan(f"WITH {CLOUD} SELECT a.pid FROM cloud a JOIN cloud b ON a.scan_id = b.scan_id AND a.pid <> b.pid AND abs(a.x-b.x) <= 0.05 AND {_RADIUS} GROUP BY 1 HAVING count(*) >= 3")
 def density_filter(spark, sf):
-    return J.nth_neighbour_within(cloud(spark, sf).filter("scan_id = 2"), "pid", 0.05, 3).select("pid")
+    return J.nth_neighbour_within(cloud(spark, sf), "pid", 0.05, 3, ("scan_id",)).select("pid")
 
 
-_RAYS = f"""rays AS (SELECT pid, x*4 AS x, y*4 AS y, z*4 AS z FROM cloud WHERE scan_id = 3),
+_RAYS = f"""rays AS (SELECT pid, x*4 AS x, y*4 AS y, z*4 AS z FROM cloud),
 st AS (SELECT pid, x, y, z, sqrt(x*x+y*y+z*z) AS len FROM rays), ex AS (SELECT *, unnest(range(1, CAST(floor(len/{SIZE}) AS INTEGER) - 1)) AS step FROM st WHERE CAST(floor(len/{SIZE}) AS INTEGER) > 2),
 pt AS (SELECT *, {", ".join(f"0.0+({a}-0.0)/len*step*{SIZE} AS p{a}" for a in "xyz")} FROM ex), kk AS (SELECT *, {", ".join(f"{key_sql('p' + a)} AS i{a}" for a in "xyz")} FROM pt),
 lg AS (SELECT *, lag(ix) OVER w AS lx, lag(iy) OVER w AS ly, lag(iz) OVER w AS lz FROM kk WINDOW w AS (PARTITION BY pid ORDER BY step)),
 steps AS (SELECT * FROM lg WHERE lx IS NULL OR lx <> ix OR ly <> iy OR lz <> iz)"""
 
 
-def rays(spark, sf, where="scan_id = 3"):
-    """The rays of one scan, as the DuckDB texts have them, or others."""
+def rays(spark, sf, where="true"):
+    """Rays from the origin to all points, four times as far, or to some."""
     return cloud(spark, sf).filter(where).select("pid", *(F.lit(0.0).alias("o" + a) for a in G.AXES), *((F.col(a) * 4).alias(a) for a in G.AXES))
 
 

@@ -16,9 +16,11 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _triples(block, start: int = 0):
-    """Array of (pos, x, y, z) of the numbers in a block of text."""
-    numbers = F.transform(F.regexp_extract_all(block, F.lit(NUMBER), F.lit(0)), lambda v: v.cast("double"))
-    return F.transform(F.sequence(F.lit(0), F.floor(F.size(numbers) / 3).cast("int") - 1), lambda k: F.struct(k.alias("pt_idx"), F.get(numbers, 3 * k).alias("x"), F.get(numbers, 3 * k + 1).alias("y"), F.get(numbers, 3 * k + 2).alias("z")))
+    """Array of (pt_idx, x, y, z) of the lines of a block of text that begin with three numbers; nan is missing, other lines are passed over."""
+    lines = F.filter(F.split(block, r"[\n,]"), lambda v: v.rlike(rf"(?i)^\s*(?:(?:{NUMBER}|nan)\s+){{2}}(?:{NUMBER}|nan)"))
+    parts = F.transform(lines, lambda v: F.split(F.trim(v), r"\s+"))
+    number = lambda v: F.when(F.lower(v) != "nan", v.cast("double"))
+    return F.transform(parts, lambda p, k: F.struct(k.alias("pt_idx"), *(number(p[n]).alias(a) for n, a in enumerate("xyz"))))
 
 
 def vrml_points(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +66,7 @@ def stamped_list(spark: SparkSession, path: str) -> DataFrame:
     """file, ts, values of lines ``stamp value ...`` (spaces, commas or tabs), comments left out; of equal stamps the last line holds."""
     lines = _files(spark, path).select("file", F.posexplode(F.split("text", "\r?\n")).alias("no", "line")).select("file", "no", F.trim(F.regexp_replace("line", r"[,\t]", " ")).alias("line"))
     lines = lines.filter((F.length("line") > 0) & ~F.col("line").startswith("#")).select("file", "no", F.split("line", r"\s+").alias("p")).filter(F.size("p") > 1)
-    return lines.select("file", "no", F.col("p")[0].cast("double").alias("ts"), F.slice("p", 2, 100).alias("values")).groupBy("file", "ts").agg(F.max_by("values", "no").alias("values"))
+    return lines.select("file", "no", F.col("p")[0].cast("double").alias("ts"), F.slice("p", F.lit(2), F.size("p") - 1).alias("values")).groupBy("file", "ts").agg(F.max_by("values", "no").alias("values"))
 
 
 def trajectory(spark: SparkSession, path: str) -> DataFrame:

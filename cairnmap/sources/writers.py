@@ -55,10 +55,4 @@ def thinned(points: DataFrame, poses: DataFrame, by: str, every: int = 10) -> Da
 def write_tiles(cells: DataFrame, path: str, size: float, tile: float) -> None:
     """Cells as Parquet, partitioned by the tile of their mean; only the tiles that occur are replaced."""
     keys = [F.floor(F.col("m" + a) / tile + 0.5).cast("int").alias("tile_" + a) for a in "xy"]
-    spark = cells.sparkSession
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        cells.select("*", *keys).repartition("tile_x", "tile_y").write.partitionBy("tile_x", "tile_y").mode("overwrite").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    cells.select("*", *keys).repartition("tile_x", "tile_y").write.option("partitionOverwriteMode", "dynamic").partitionBy("tile_x", "tile_y").mode("overwrite").parquet(path)

@@ -48,13 +48,20 @@ def latest(contacts: DataFrame, key: str, ts: str, values: tuple[str, ...]) -> D
 
 
 def fuse_cells(path: str, size: float) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink that merges each batch's cells into a Parquet map: a batch writes its own version, so a repeated batch changes nothing."""
+    """A ``foreachBatch`` sink that adds each batch's moments to a Parquet map, one folder a batch, so that a repeated batch changes
+    nothing and no other batch is read or rewritten. Cells of any number of points are kept; ``fused`` merges and filters them."""
     from ..operators import cells
 
     def run(batch: DataFrame, number: int) -> None:
-        spark, new = batch.sparkSession, cells.fit(batch, size)
-        if number > 0:
-            new = cells.merge(new.unionByName(spark.read.parquet(f"{path}/v{number - 1}")))
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
+        own = cells.fit(batch, size, least=1)
+        whole = own.fillna(0.0, list(cells.COV))  # one point has no covariance: its scatter is 0
+        whole.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return run
+
+
+def fused(spark, path: str, least: int = 3) -> DataFrame:
+    """The map that ``fuse_cells`` has written: the batches' cells merged, those of fewer than ``least`` points left out."""
+    from ..operators import cells
+
+    return cells.merge(spark.read.parquet(path).drop("batch")).filter(F.col("n") >= least)
