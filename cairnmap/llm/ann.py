@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by score-aware anisotropic quantisation and four-bit table scans (operator 9).
 
-Vectors are cut to pairs of components, each pair coded by one of 16 centres: 4 bits. Centres and codes minimise a loss
-in which the residual's part parallel to the vector weighs ``eta`` times the rest, which keeps large inner products
-accurate. Centres are fitted on at most ``SAMPLE`` vectors, picked by a hash of the id; the index has the codes and squared norms of
-every row. A query's inner products with all centres make a table; a row's estimated squared distance is its squared norm less twice the
-sum of its table entries. Each task takes the ``RERANK`` best estimates (ties to smaller ids) of each query
-and measures them exactly, in double precision, on the original vectors.
-
-Defined results: see ``vectors.valid``; zero vectors take no part, rows with the query's own id are no candidates; only vectors of the query's length are compared.
+A vector is the nearest of ``COARSE`` centres plus a rest, so that codes spend their bits inside clusters. The rest is cut to pairs of
+components, each pair coded by one of 16 centres: 4 bits. Centres and codes minimise a loss in which the error's part parallel to the
+vector weighs ``eta`` times the rest, which keeps large inner products accurate. Centres are fitted on at most ``SAMPLE`` vectors,
+picked by a hash of the id; the index has the codes and squared norms of every row. A query's inner products with all centres make
+a table; a row's estimated squared distance is its squared norm less twice the sum of its entries. The scan reads codes and norms only,
+four bits a pair. Of each query the ``RERANK`` best estimates *over all rows* are then looked up by row number in the
+index and measured exactly, in double precision, on the original vectors.
+
+Defined results: see ``vectors.valid``; zero vectors take no part, rows with the query's own id are no candidates; a repeated row counts as often as it
+is there, and a repeated query row has a list of its own each time; only vectors of the query's length are compared.
 """
 
 from __future__ import annotations
@@ -16,14 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
-from .vectors import by_length, chunks, emit, matrices, merged, top_rows, valid, windows
+from .vectors import by_length, matrices, searched, valid, windows
 
-SAMPLE, RERANK, ETA, WINDOW = 8192, 150, 2.6, 16_384
-CENTRES = 16
+SAMPLE, RERANK, ETA, WINDOW = 8192, 200, 2.6, 16_384
+CENTRES, COARSE = 16, 64
 
 
 def _parts(vectors: np.ndarray) -> np.ndarray:
@@ -38,10 +41,10 @@ def _units(parts: np.ndarray) -> np.ndarray:
     return parts / np.where(norm > 0, norm, 1)
 
 
-def assign(vectors: np.ndarray, centres: np.ndarray, eta: float, sweeps: int = 2) -> np.ndarray:
-    """Codes (n x pairs): nearest centres first, then pair by pair the choice with the least anisotropic loss."""
+def assign(vectors: np.ndarray, units: np.ndarray, centres: np.ndarray, eta: float, sweeps: int = 2) -> np.ndarray:
+    """Codes (n x pairs): nearest centres first, then pair by pair the choice with the least anisotropic loss along ``units``."""
     parts = _parts(vectors)
-    units, n_pairs = _units(parts), parts.shape[1]
+    n_pairs = parts.shape[1]
     codes = np.empty((len(parts), n_pairs), np.uint8)
     for s in range(n_pairs):
         codes[:, s] = ((parts[:, s, None] - centres[s][None]) ** 2).sum(2).argmin(1)
@@ -59,15 +62,27 @@ def assign(vectors: np.ndarray, centres: np.ndarray, eta: float, sweeps: int = 2
     return codes
 
 
-def fit(sample: np.ndarray, eta: float = ETA, rounds: int = 8, seed: int = 5) -> np.ndarray:
-    """Centres (pairs x 16 x 2): k-means to start from, then rounds of anisotropic codes and least squares."""
-    draw, parts = np.random.default_rng(seed), _parts(sample)
+def nearest_centre(vectors: np.ndarray, coarse: np.ndarray) -> np.ndarray:
+    return ((coarse**2).sum(1) - 2 * vectors @ coarse.T).argmin(1)
+
+
+def fit(sample: np.ndarray, eta: float = ETA, rounds: int = 8, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Coarse centres by k-means, and the rests' centres (pairs x 16 x 2): k-means to start from, then rounds of anisotropic codes and least squares."""
+    draw = np.random.default_rng(seed)
+    coarse = sample[draw.permutation(len(sample))[:COARSE]].astype(float)
+    for _ in range(10):
+        own = nearest_centre(sample, coarse)
+        counts = np.bincount(own, minlength=len(coarse))
+        sums = np.zeros_like(coarse)
+        np.add.at(sums, own, sample)
+        coarse = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], coarse)
+    rest_of = sample - coarse[nearest_centre(sample, coarse)]
+    parts, units = _parts(rest_of), _units(_parts(sample))
     n_pairs = parts.shape[1]
     centres = np.stack([parts[draw.permutation(len(parts))[np.arange(CENTRES) % len(parts)], s] for s in range(n_pairs)])
-    units = _units(parts)
     for turn in range(rounds):
         weight = 1.0 if turn < rounds // 2 else eta
-        codes = assign(sample, centres, weight, 0 if weight == 1 else 1)
+        codes = assign(rest_of, units, centres, weight, 0 if weight == 1 else 1)
         along = np.stack([((parts[:, s] - centres[s][codes[:, s]]) * units[:, s]).sum(1) for s in range(n_pairs)], 1)
         for s in range(n_pairs):
             rest = along.sum(1) - along[:, s]
@@ -77,11 +92,12 @@ def fit(sample: np.ndarray, eta: float = ETA, rounds: int = 8, seed: int = 5) ->
                     x, u = parts[own, s], units[own, s]
                     left = own.sum() * np.eye(2) + (weight - 1) * u.T @ u
                     centres[s, c] = np.linalg.solve(left, x.sum(0) + (weight - 1) * ((rest[own] + (x * u).sum(1))[:, None] * u).sum(0))
-    return centres
+    return coarse, centres
 
 
-def build(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, dict[int, np.ndarray]]:
-    """The index (id, v, codes, two to a byte) of every valid row, stored, and the centres for each length of vectors."""
+def build(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The index (row, id, size, norm, codes: a byte for the coarse centre, then two codes to a byte, and v) of every valid row, stored,
+    and the centres for each length of vectors. ``row`` numbers the rows."""
     vectors = valid(rows, id_col, vector_col, zero=False)
     picked = [np.array(r["v"]) for r in vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
     centres = {n: fit(np.array([picked[i] for i in own])) for n, own in by_length(picked).items()}
@@ -91,15 +107,20 @@ def build(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
         centres[n] = fit(np.array([r["v"] for r in own]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for window in windows(batches, WINDOW):
             for ids, v in matrices(window):
-                codes = assign(v, centres[v.shape[1]], ETA)
+                coarse, fine = centres[v.shape[1]]
+                own = nearest_centre(v, coarse)
+                codes = assign(v - coarse[own], _units(_parts(v)), fine, ETA)
                 if codes.shape[1] % 2:
                     codes = np.hstack((codes, np.zeros((len(codes), 1), np.uint8)))
-                packed = codes[:, ::2] | codes[:, 1::2] << 4
-                yield pa.record_batch([pa.array(ids), pa.array(list(v), pa.list_(pa.float64())), pa.array([c.tobytes() for c in packed], pa.binary())], names=["id", "v", "codes"])
+                packed = np.hstack((own.astype(np.uint8)[:, None], codes[:, ::2] | codes[:, 1::2] << 4))
+                columns = [pa.array(row + np.arange(len(ids))), pa.array(ids), pa.array(np.full(len(ids), v.shape[1], np.int32)), pa.array((v**2).sum(1))]
+                yield pa.record_batch([*columns, pa.array([c.tobytes() for c in packed], pa.binary()), pa.array(list(v), pa.list_(pa.float64()))], names=["row", "id", "size", "norm", "codes", "v"])
+                row += len(ids)
 
-    return stored(vectors.mapInArrow(run, "id long, v array<double>, codes binary"), "ann"), centres
+    return stored(vectors.mapInArrow(run, "row long, id long, size int, norm double, codes binary, v array<double>"), "ann"), centres
 
 
 def tables(queries: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -110,49 +131,70 @@ def tables(queries: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (one[:, ::2, None, :] + one[:, 1::2, :, None]).reshape(len(one), -1, CENTRES * CENTRES).astype(np.float32)
 
 
-def best_estimates(estimate: np.ndarray, n: int) -> np.ndarray:
+def smallest(values: np.ndarray, n: int) -> np.ndarray:
     """Places of the n smallest, ties to the first places."""
-    if len(estimate) <= n:
-        return np.arange(len(estimate))
-    last = np.partition(estimate, n - 1)[n - 1]
-    sure = np.flatnonzero(estimate < last)
-    return np.concatenate((sure, np.flatnonzero(estimate == last)[: n - len(sure)]))
+    if len(values) <= n:
+        return np.arange(len(values))
+    last = np.partition(values, n - 1)[n - 1]
+    sure = np.flatnonzero(values < last)
+    return np.concatenate((sure, np.flatnonzero(values == last)[: n - len(sure)]))
 
 
-def nearest(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row where ``is_query`` holds, by Euclidean distance."""
     index, centres = build(rows, id_col, vector_col)
-    spark, parts = rows.sparkSession, []
-    for query_ids, queries in chunks(index.filter(is_query(F.col("id"))).select("id", "v")):
+
+    def scan(numbers: np.ndarray, query_ids: np.ndarray, queries: list[np.ndarray]):
         lengths = {n: (own, np.array([queries[i] for i in own])) for n, own in by_length(queries).items()}
-        shared = spark.sparkContext.broadcast((query_ids, lengths, centres))
+        shared = rows.sparkSession.sparkContext.broadcast((numbers, query_ids, queries, lengths, centres))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            query_ids, lengths, centres = shared.value
-            best = {n: (np.full((len(own), k), -np.inf), np.full((len(own), k), np.iinfo(np.int64).max)) for n, (own, _) in lengths.items()}
+        def estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            numbers, query_ids, _, lengths, centres = shared.value
+            best = {n: [(np.zeros(0, np.float32), np.zeros(0, np.int64))] * len(own) for n, (own, _) in lengths.items()}
             for window in windows(batches, WINDOW):
-                packed = window.column(2)
+                row, ids, size, norm = (window.column(c).to_numpy() for c in range(4))
                 for n, (own, q) in lengths.items():
-                    at = np.flatnonzero(np.diff(window.column(1).offsets.to_numpy()) == n)
+                    at = np.flatnonzero(size == n)
                     if not len(at):
                         continue
-                    at = at[np.argsort(window.column(0).to_numpy()[at], kind="stable")]
-                    ids, v = next(matrices(window.select([0, 1]).take(pa.array(at))))
-                    codes = np.frombuffer(b"".join(packed.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1).astype(np.int64)
-                    flat = codes + np.arange(codes.shape[1]) * CENTRES * CENTRES
-                    norms = (v**2).sum(1).astype(np.float32)
+                    at = at[np.argsort(ids[at], kind="stable")]
+                    codes = np.frombuffer(b"".join(window.column(4).take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1).astype(np.int64)
+                    flat = codes[:, 1:] + np.arange(codes.shape[1] - 1) * CENTRES * CENTRES
+                    coarse, fine = centres[n]
                     for a in range(0, len(q), 64):
-                        for j, table in enumerate(tables(q[a : a + 64], centres[n]), a):
-                            estimate = norms - 2 * table.reshape(-1)[flat].sum(1)
-                            near = best_estimates(estimate, RERANK + 1)
-                            near = near[ids[near] != query_ids[own[j]]]
-                            far = -np.sqrt(((v[near] - q[j]) ** 2).sum(1))
-                            merged_ids = np.concatenate((best[n][1][j], ids[near]))[None]
-                            top, top_ids = top_rows(np.concatenate((best[n][0][j], far))[None], merged_ids, k)
-                            best[n][0][j], best[n][1][j] = top[0], top_ids[0]
+                        near_coarse = q[a : a + 64] @ coarse.T
+                        for j, table in enumerate(tables(q[a : a + 64], fine), a):
+                            estimate = (norm[at] - 2 * (near_coarse[j - a][codes[:, 0]] + table.reshape(-1)[flat].sum(1))).astype(np.float32)
+                            estimate[ids[at] == query_ids[own[j]]] = np.inf
+                            kept, kept_rows = best[n][j]
+                            near = smallest(estimate, rerank)
+                            near = near[estimate[near] < np.inf]
+                            values, places = np.concatenate((kept, estimate[near])), np.concatenate((kept_rows, row[at][near]))
+                            top = smallest(values, rerank)
+                            best[n][j] = values[top], places[top]
             for n, (own, _) in lengths.items():
-                scores, ids = best[n]
-                yield emit(query_ids[own], ids, -scores, scores > -np.inf)
-
-        parts.append(index.mapInArrow(run, "query_id long, vec_id long, score double"))
-    return merged(parts, k, F.col("score").asc(), "query_id long, rank int, vec_id long, score double", spark)
+                for j, (values, places) in enumerate(best[n]):
+                    yield pa.record_batch([pa.array(np.full(len(values), numbers[own[j]])), pa.array(places), pa.array(values)], names=["no", "row", "estimate"])
+
+        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            numbers, query_ids, queries, _, _ = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                at = batch.column(0).to_numpy() - numbers[0]
+                lists = batch.column(2)
+                offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+                scores = np.empty(len(at))
+                for size in np.unique(np.diff(offsets)):
+                    own = np.flatnonzero(np.diff(offsets) == size)
+                    found = values[offsets[own][:, None] + np.arange(size)]
+                    scores[own] = np.sqrt(((found - np.array([queries[i] for i in at[own]])) ** 2).sum(1))
+                yield pa.record_batch([batch.column(0), pa.array(query_ids[at]), batch.column(1), pa.array(scores)], names=["no", "query_id", "vec_id", "score"])
+
+        kept = index.select("row", "id", "size", "norm", "codes").mapInArrow(estimates, "no long, row long, estimate float")
+        place = F.row_number().over(Window.partitionBy("no").orderBy("estimate", "row"))
+        kept = kept.withColumn("place", place).filter(F.col("place") <= rerank).select("no", "row")
+        found = index.select("row", "id", "v").join(kept, "row").select("no", "id", "v")
+        return found.mapInArrow(exact, "no long, query_id long, vec_id long, score double"), shared
+
+    return searched(index.filter(is_query(F.col("id"))).select("id", "v"), k, F.col("score").asc(), "query_id long, rank int, vec_id long, score double", scan)

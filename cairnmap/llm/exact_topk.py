@@ -7,7 +7,7 @@ reading ends when the next bound is below the query's k-th score so far. Queries
 share its reading; stages double, so a window's blocks are read in few products.
 
 Defined results: see ``vectors.valid``; rows with the query's own id are no candidates; a repeated row counts as often
-as it is there; only vectors of the query's length are compared; a score beyond 63 bits raises an error.
+as it is there, and a repeated query row has a list of its own each time; only vectors of the query's length are compared; a score beyond 63 bits raises an error.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import by_length, chunks, emit, matrices, merged, top_rows, valid, windows
+from .vectors import by_length, emit, matrices, searched, top_rows, valid, windows
 
 BLOCK, WINDOW = 64, 16_384
 _NONE = -(1 << 62)
@@ -63,13 +63,13 @@ def search_window(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, v
 def exact_top_k(rows: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row where ``is_query`` (column function of the id) holds, the k best others."""
     candidates = valid(rows, id_col, vector_col)
-    spark, parts = rows.sparkSession, []
-    for query_ids, queries in chunks(candidates.filter(is_query(F.col("id")))):
+
+    def scan(numbers: np.ndarray, query_ids: np.ndarray, queries: list[np.ndarray]):
         whole = [np.floor(scale * q) for q in queries]
-        shared = spark.sparkContext.broadcast((query_ids, {n: (own, np.array([whole[i] for i in own])) for n, own in by_length(whole).items()}))
+        shared = rows.sparkSession.sparkContext.broadcast((numbers, query_ids, {n: (own, np.array([whole[i] for i in own])) for n, own in by_length(whole).items()}))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            query_ids, lengths = shared.value
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            numbers, query_ids, lengths = shared.value
             best = {n: (np.full((len(own), k), _NONE), np.full((len(own), k), np.iinfo(np.int64).max)) for n, (own, _) in lengths.items()}
             for window in windows(batches, WINDOW):
                 for ids, vectors in matrices(window):
@@ -84,7 +84,8 @@ def exact_top_k(rows: DataFrame, is_query, k: int = 10, scale: int = 1024, id_co
                         search_window(q.astype(kind), query_ids[own], ids, vectors.astype(kind), *best[n])
             for n, (own, _) in lengths.items():
                 scores, ids = best[n]
-                yield emit(query_ids[own], ids, scores, scores > _NONE)
+                yield emit(numbers[own], query_ids[own], ids, scores, scores > _NONE)
+
+        return candidates.mapInArrow(run, "no long, query_id long, vec_id long, score long"), shared
 
-        parts.append(candidates.mapInArrow(run, "query_id long, vec_id long, score long"))
-    return merged(parts, k, F.col("score").desc(), "query_id long, rank int, vec_id long, score long", spark)
+    return searched(candidates.filter(is_query(F.col("id"))), k, F.col("score").desc(), "query_id long, rank int, vec_id long, score long", scan)

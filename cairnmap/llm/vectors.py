@@ -1,19 +1,22 @@
 """What the two vector searches share: valid rows, chunks of queries, and top lists.
 
 The query set grows with the table, so queries go out in chunks of at most ``QUERY_CHUNK`` rows, a broadcast of bounded
-size, with one pass over the candidates each; every task returns its own best list for each query, and the lists are
-merged by query.
+size, with one pass over the candidates each; every task returns its own best list for each query row, and the lists are
+merged by query row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 QUERY_CHUNK = 1 << 16
 
 
@@ -26,14 +29,33 @@ def valid(rows: DataFrame, id_col: str, vector_col: str, zero: bool = True) -> D
     return out if zero else out.filter(F.exists(v, lambda x: x != 0))
 
 
-def chunks(queries: DataFrame) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """Ids and vectors of all queries, at most about ``QUERY_CHUNK`` at a time."""
-    n = max(1, -(-queries.count() // QUERY_CHUNK))
-    for k in range(n):
-        own = queries if n == 1 else queries.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == k)
-        rows = own.collect()
-        if rows:
-            yield np.array([r["id"] for r in rows], np.int64), [np.array(r["v"]) for r in rows]
+def searched(queries: DataFrame, k: int, best_first: Column, schema: str, scan: Callable) -> DataFrame:
+    """query_id, rank, vec_id, score: the first k of each query row over what ``scan`` finds.
+
+    ``scan(numbers, ids, vectors)`` takes at most about ``QUERY_CHUNK`` query rows and returns a frame (no, query_id, vec_id, score) and its
+    broadcast. Query rows are numbered, so rows that share an id have a list each. With several chunks each one's lists are stored and its
+    broadcast released before the next chunk is fetched: the driver holds one chunk.
+    """
+    session, n = queries.sparkSession, max(1, -(-queries.count() // QUERY_CHUNK))
+    parts, first = [], 0
+    for c in range(n):
+        own = queries if n == 1 else queries.filter(F.pmod(F.xxhash64("id", "v"), F.lit(n)) == c)
+        rows = own.toArrow()
+        if not rows.num_rows:
+            continue
+        offsets, flat = rows["v"].combine_chunks().offsets.to_numpy(), rows["v"].combine_chunks().values.to_numpy()
+        vectors = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+        found, shared = scan(np.arange(first, first + rows.num_rows), rows["id"].to_numpy().astype(np.int64), vectors)
+        first += rows.num_rows
+        rank = F.row_number().over(Window.partitionBy("no").orderBy(best_first, "vec_id"))
+        found = found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if n > 1:
+            found = stored(found, "lists")
+            shared.unpersist()
+        parts.append(found)
+    if not parts:
+        return session.createDataFrame([], schema)
+    return reduce(DataFrame.union, parts)
 
 
 def by_length(vectors: list[np.ndarray]) -> dict[int, np.ndarray]:
@@ -66,26 +88,12 @@ def windows(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def merged(parts: list[DataFrame], k: int, best_first, schema: str, session) -> DataFrame:
-    """query_id, rank, vec_id, score: the first k of each query over all parts."""
-    if not parts:
-        return session.createDataFrame([], schema)
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.union(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(best_first, "vec_id"))
-    return whole.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
 def top_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k largest of each row, ties to the smaller id."""
     order = np.lexsort((ids, -scores), axis=1)[:, :k]
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def emit(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, there: np.ndarray) -> pa.RecordBatch:
-    own = np.broadcast_to(query_ids[:, None], ids.shape)[there]
-    return pa.record_batch([pa.array(own), pa.array(ids[there]), pa.array(scores[there])], names=["query_id", "vec_id", "score"])
-
-
-Scan = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+def emit(numbers: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, there: np.ndarray) -> pa.RecordBatch:
+    own, queries = (np.broadcast_to(x[:, None], ids.shape)[there] for x in (numbers, query_ids))
+    return pa.record_batch([pa.array(own), pa.array(queries), pa.array(ids[there]), pa.array(scores[there])], names=["no", "query_id", "vec_id", "score"])

@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,14 +195,32 @@ def test_exact_top_k(spark):
 
 
 def test_ann_recall(spark):
-    rows, df = _vectors(spark)
-    v = {i: np.array(x) for i, x in rows[:640]}
-    hits = 0
-    got = ann.nearest(df, lambda i: i % 100 == 0).collect()
-    for q in range(0, 640, 100):
-        want = sorted((float(np.sqrt(((v[q] - x) ** 2).sum())), i) for i, x in v.items() if i != q)[:10]
-        hits += len({i for _, i in want} & {r["vec_id"] for r in got if r["query_id"] == q})
-    assert hits >= 0.9 * 10 * 7
+    """Of clustered vectors, each query's candidates for exact ranking are a 250th part of all rows."""
+    draw = np.random.default_rng(4)
+    centres = draw.normal(0, 1, (300, 32))
+    x = (centres[draw.integers(0, 300, 50_000)] + draw.normal(0, 0.15, (50_000, 32))).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))})).repartition(4)
+    got = {}
+    for r in ann.nearest(df, lambda i: i % 1000 == 0).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    hits, y = 0, x.astype(float)
+    for q in range(0, len(x), 1000):
+        far = np.sqrt(((y - y[q]) ** 2).sum(1))
+        far[q] = np.inf
+        hits += len(set(np.argsort(far)[:10].tolist()) & set(got[q]))
+        assert all(abs(far[i] - d) < 1e-9 for i, d in got[q].items())
+    assert hits >= 0.95 * 10 * 50
+
+
+def test_repeated_queries_have_a_list_each(spark):
+    rows = [(k, [float(k), 1.0]) for k in range(1, 30)] + [(100, [3.0, 1.0]), (100, [9.0, 1.0]), (100, [9.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    is_query = lambda i: i == 100
+    for made in (exact_topk.exact_top_k(df, is_query), ann.nearest(df, is_query)):
+        got = made.collect()
+        assert sorted(r["rank"] for r in got) == sorted([*range(1, 11)] * 3)
+    assert sorted(r["vec_id"] for r in got if r["rank"] == 1) == [3, 9, 9]
+    assert exact_topk.exact_top_k(df.limit(0), is_query).count() == 0 and ann.nearest(df.limit(0), is_query).count() == 0
 
 
 def test_licences(spark):
