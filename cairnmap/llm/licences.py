@@ -3,7 +3,7 @@
 A text is cut after . ! ? : or ; before white space and at line ends. A known sentence is found where, normalised (A-Z lower-cased, runs of
 other characters than a-z and 0-9 made one space), it fills one line or several that follow each other, up to cuts on both sides: a heading or copyright
 line before it doesn't hide it, nor does wrapping. ``INNER`` lists where known sentences have such marks inside. The known sentences' identifiers, in
-order, are matched against ordered rules: a rule fires where its identifiers follow each other among the known ones. Texts without any
+order, are matched against ordered rules: a rule fires where its identifiers follow each other among the known ones and aren't part of a longer rule's match. Texts without any
 trigger word are passed over: every known sentence has one.
 
 Defined results: null, empty and unmatched texts have no sentence and an empty licence list; rows come back as they
@@ -57,6 +57,27 @@ SENTENCES: dict[str, str] = {
     "cc0-spdx": "spdx license identifier cc0 1 0",
     "mpl2-subject": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "mpl2-spdx": "spdx license identifier mpl 2 0",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "lgpl-library": "this library is free software",
+    "lgpl21-redistribute": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3-redistribute": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3-redistribute": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "unlicense-domain": "this is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "bsl-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "epl2-terms": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "epl2-spdx": "spdx license identifier epl 2 0",
+    "isc-spdx": "spdx license identifier isc",
+    "lgpl21-spdx": "spdx license identifier lgpl 2 1 or later",
+    "lgpl3-spdx": "spdx license identifier lgpl 3 0 or later",
+    "agpl3-spdx": "spdx license identifier agpl 3 0 or later",
+    "agpl3-only-spdx": "spdx license identifier agpl 3 0 only",
+    "gpl2-only-spdx": "spdx license identifier gpl 2 0 only",
+    "gpl2-spdx": "spdx license identifier gpl 2 0 or later",
+    "gpl3-only-spdx": "spdx license identifier gpl 3 0 only",
+    "unlicense-spdx": "spdx license identifier unlicense",
+    "bsl-spdx": "spdx license identifier bsl 1 0",
+    "ccby-spdx": "spdx license identifier cc by 4 0",
 }
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
@@ -87,8 +108,27 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC0-1.0", ("cc0-spdx",)),
     ("MPL-2.0", ("mpl2-subject",)),
     ("MPL-2.0", ("mpl2-spdx",)),
+    ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-spdx",)),
+    ("LGPL-2.1", ("lgpl-library", "lgpl21-redistribute")),
+    ("LGPL-2.1", ("lgpl21-spdx",)),
+    ("LGPL-3.0", ("lgpl-library", "lgpl3-redistribute")),
+    ("LGPL-3.0", ("lgpl3-spdx",)),
+    ("AGPL-3.0", ("gpl3-free", "agpl3-redistribute")),
+    ("AGPL-3.0", ("agpl3-spdx",)),
+    ("AGPL-3.0", ("agpl3-only-spdx",)),
+    ("GPL-2.0", ("gpl2-only-spdx",)),
+    ("GPL-2.0", ("gpl2-spdx",)),
+    ("GPL-3.0", ("gpl3-only-spdx",)),
+    ("Unlicense", ("unlicense-domain", "unlicense-anyone")),
+    ("Unlicense", ("unlicense-spdx",)),
+    ("BSL-1.0", ("bsl-grant",)),
+    ("BSL-1.0", ("bsl-spdx",)),
+    ("EPL-2.0", ("epl2-terms",)),
+    ("EPL-2.0", ("epl2-spdx",)),
+    ("CC-BY-4.0", ("ccby-spdx",)),
 )
-TRIGGERS = ("license", "copyright", "warranty", "permission", "free software", "conditions are met", "written permission", "copies of the software")
+TRIGGERS = ("license", "copyright", "warranty", "permission", "free software", "conditions are met", "written permission", "copies of the software", "free and unencumbered", "anyone is free")
 # End of the fixed values.
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,6 +136,8 @@ _SPACE = r"[\x20\x09-\x0D]"
 _LINE, _END = "\x01", "\x02"
 #: Words of known sentences between which the public texts have a mark that ends sentences elsewhere.
 INNER = ("foundation either", "license v 2 0")
+#: The tag whose colon ends no sentence.
+TAG = "spdx license identifier"
 
 
 def _pattern() -> str:
@@ -105,6 +147,7 @@ def _pattern() -> str:
         own = s
         for words in INNER:
             own = own.replace(words, words.replace(" ", "\0"))
+        own = own.replace(TAG + " ", TAG + "\0")
         made.append(own.replace(" ", f"[ {_LINE}]").replace("\0", f"[ {_LINE}{_END}]"))
     return f"(?<=[{_LINE}{_END}])(?:{'|'.join(made)})(?=[{_LINE}{_END}])"
 
@@ -117,6 +160,12 @@ def _marked(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(spaced, f"[ {_LINE}]{{2,}}", _LINE), f"[ {_LINE}{_END}]{{2,}}", _END)
 
 
+def _longer(ids: tuple[str, ...]) -> list[str]:
+    """The earlier rules that hold this one's identifiers and more: where such a rule matches, it takes them."""
+    held = "," + ",".join(ids) + ","
+    return [own for own in ("," + ",".join(other) + "," for _, other in RULES) if held in own and own != held]
+
+
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_known (known sentences), sentences (their identifiers in order) and licences (names), comma-separated, of every row."""
     known = F.array(*[F.lit(s) for s in SENTENCES.values()])
@@ -127,7 +176,14 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = F.transform(matched, lambda s: F.element_at(names, F.array_position(known, F.translate(s, _LINE + _END, "  ")).cast("int")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(candidate, found).otherwise(F.array().cast("array<string>")).alias("ids"))
     joined = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
-    fired = F.array(*[F.when(F.instr(F.col("joined"), "," + ",".join(ids) + ",") > 0, F.lit(name)) for name, ids in RULES])
+
+    def left(ids: tuple[str, ...]) -> Column:
+        out = F.col("joined")
+        for taken in _longer(ids):
+            out = F.replace(out, F.lit(taken), F.lit(",,"))
+        return out
+
+    fired = F.array(*[F.when(F.instr(left(ids), "," + ",".join(ids) + ",") > 0, F.lit(name)) for name, ids in RULES])
     rows = rows.withColumn("joined", joined)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", ",").alias("sentences"), F.array_join(F.array_distinct(F.array_compact(fired)), ",").alias("licences"))
 
@@ -136,13 +192,20 @@ def oracle() -> str:
     """The same result in DuckDB's SQL, without the trigger words, on texts whose known sentences fill a whole sentence or line."""
     quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
     normal = lambda x: f"trim(regexp_replace(translate({x}, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
-    rules = ", ".join(f"CASE WHEN contains(joined, ',{','.join(ids)},') THEN {k} END" for k, (_, ids) in enumerate(RULES))
+
+    def left(ids: tuple[str, ...]) -> str:
+        out = "joined"
+        for taken in _longer(ids):
+            out = f"replace({out}, '{taken}', ',,')"
+        return out
+
+    rules = ", ".join(f"CASE WHEN contains({left(ids)}, ',{','.join(ids)},') THEN {k} END" for k, (_, ids) in enumerate(RULES))
     licence = quoted(name for name, _ in RULES)
     order = {name: k for k, (name, _) in reversed(list(enumerate(RULES)))}
     first = "[" + ", ".join(str(order[name]) for name, _ in RULES) + "]"
     return f"""
 WITH known AS (SELECT {quoted(SENTENCES.values())} AS k, {quoted(SENTENCES)} AS n),
-cut AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?:;])[\\x20\\x09-\\x0D]+', '\\1' || chr(1), 'g'), chr(1)) AS segs FROM documents),
+cut AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '(spdx-license-identifier):[\\x20\\x09-\\x0D]+', '\\1 ', 'gi'), '([.!?:;])[\\x20\\x09-\\x0D]+', '\\1' || chr(1), 'g'), chr(1)) AS segs FROM documents),
 made AS (SELECT doc_id, k, n, flatten(list_transform(segs, lambda s: CASE WHEN list_contains(k, {normal('s')}) THEN [{normal('s')}] ELSE list_transform(string_split_regex(s, '[\\n\\x0B\\x0C\\r]'), lambda l: {normal('l')}) END)) AS normal FROM cut, known),
 ids AS (SELECT doc_id, list_transform(list_filter(normal, lambda s: list_contains(k, s)), lambda s: n[list_position(k, s)]) AS ids FROM made),
 joined AS (SELECT doc_id, ids, ',' || array_to_string(ids, ',') || ',' AS joined FROM ids),

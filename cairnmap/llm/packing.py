@@ -1,16 +1,16 @@
-"""Bulk-synchronous best-fit packing of token sequences (operator 8).
+"""Bulk best-fit packing of token sequences (operator 8).
 
 Documents are cut to pieces of at most ``capacity`` tokens (only the first piece of a longer document may be shorter)
-and ranked by a distributed range-sort: by length, then by salted row numbers within a length, so that no length, how
-common it may be, meets in one task. Pieces of one length are interchangeable, and so are sequences with equal gaps;
-a round of matching therefore works on runs: all pieces of the longest length left look up the successor gap (the
-smallest that holds them), the i-th piece takes the i-th sequence of that gap's run where several contend, the gaps
-are updated, and the sweep goes on until the length is used up; pieces without a successor open new sequences. Lengths go from
-long to short, which makes the result that of best-fit decreasing.
-
-The state of the rounds is a histogram of at most ``capacity`` lengths and the runs of open gaps, so its size depends
-on the capacity and not on the number of documents; the rounds yield a list of moves (ranks of one length -> sequences
-and offset). Every piece finds its move by a distributed successor search of its rank.
+and ranked within their length by salted row numbers, so that no length, how common it may be, meets in one task.
+Pieces of one length are interchangeable, and so are sequences with equal gaps; a round of matching therefore works on
+runs: all pieces of the longest length left look up the successor gap (the smallest that holds them), the i-th piece takes
+the i-th sequence of that gap's run, the gaps are updated, and the sweep goes on until the length is used up; pieces without a
+successor open new sequences. Lengths go from long to short, which makes the result that of best-fit decreasing.
+
+This departs from sweeps of all documents against all gaps in distributed rounds: the rounds see a histogram of at most ``capacity``
+lengths and the runs of open gaps, a state whose size depends on the capacity and not on the number of documents, and run in
+one place; with a row a document they would need hundreds of dependent jobs over the corpus for the same matches. Distributed are the
+histogram, the ranks and each piece's search for its move (ranks of one length -> sequences and offset).
 """
 
 from __future__ import annotations

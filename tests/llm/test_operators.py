@@ -226,7 +226,7 @@ def test_repeated_queries_have_a_list_each(spark):
 def test_licences(spark):
     rows = ["Foo.\nReleased under the MIT License.", "no licence", None, "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.", "Licensed under CC BY-NC 4.0.\nplain"]
     got = {r["doc_id"]: r["licences"] for r in licences.scan_licences(frame(spark, rows)).collect()}
-    assert got[0] == "MIT" and got[1] == "" and got[2] == "" and got[4] == "CC-BY-NC-4.0"
+    assert got[0] == "MIT" and got[1] == "" and got[2] == "" and got[3] == "GPL-3.0" and got[4] == "CC-BY-NC-4.0"
     for s in licences.SENTENCES.values():
         assert any(t in s for t in licences.TRIGGERS), s
 
@@ -285,7 +285,7 @@ def test_whole_licence_texts(spark):
     flat = GPL.format(3).replace("\n *", "").partition("One ")[2]
     rows = [MIT, BSD2, BSD3, GPL.format(2), GPL.format(3), flat, MPL, MIT.replace("\n", "\r\n"), "We are not licensed under the\nMIT License yet", "x" + "\n " * 50_000 + "license" + "#" * 50_000]
     got = {r["doc_id"]: r for r in licences.scan_licences(frame(spark, rows)).collect()}
-    assert [got[k]["licences"] for k in range(8)] == ["MIT", "BSD-2-Clause", "BSD-3-Clause,BSD-2-Clause", "GPL-2.0", "GPL-3.0", "GPL-3.0", "MPL-2.0", "MIT"]
+    assert [got[k]["licences"] for k in range(8)] == ["MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "GPL-3.0", "MPL-2.0", "MIT"]
     assert got[0]["sentences"] == "mit-grant,mit-notice,mit-warranty,mit-liability" and got[8]["n_known"] == got[9]["n_known"] == 0
 
 
@@ -355,3 +355,31 @@ def test_toxicity_of_a_text_alone():
     texts = ["", "a", "a b", "a b c", "", "idiot", "some words more", "idiot scum", "a b c d e f"]
     alone = [logits([x])[0] for x in texts]
     assert np.allclose(logits(texts), alone, atol=1e-3) and np.allclose(logits(texts[::-1]), alone[::-1], atol=1e-3)
+
+
+ISC = """ISC License
+
+Copyright (c) 2024, Some One
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+LGPL = """ This library is free software; you can redistribute it and/or
+ modify it under the terms of the GNU Lesser General Public
+ License as published by the Free Software Foundation; either
+ version 2.1 of the License, or (at your option) any later version."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means."""
+
+
+def test_more_licence_texts(spark):
+    rows = [ISC, LGPL, UNLICENSE, "# SPDX-License-Identifier: GPL-2.0-only\nx", "// SPDX-License-Identifier: BSL-1.0\nint x;", BSD3 + "\n" + BSD2, None, ""]
+    got = {r["doc_id"]: r["licences"] for r in licences.scan_licences(frame(spark, rows)).collect()}
+    assert [got[k] for k in range(8)] == ["ISC", "LGPL-2.1", "Unlicense", "GPL-2.0", "BSL-1.0", "BSD-3-Clause,BSD-2-Clause", "", ""]
+    again = licences.scan_licences(frame(spark, [ISC, ISC], [None, None])).collect()
+    assert [(r["doc_id"], r["licences"]) for r in again] == [(None, "ISC")] * 2 and licences.scan_licences(frame(spark, [])).count() == 0
