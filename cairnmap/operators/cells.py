@@ -123,18 +123,33 @@ def clamped(cells: DataFrame, factor: float = 100.0, rough: float = 0.1, angle_c
     return cells.mapInArrow(run, schema)
 
 
+def _let(value, body):
+    """``body`` of a value that is computed once, in one expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def with_eigenvalues(cells: DataFrame) -> DataFrame:
-    """Cells with l0 <= l1 <= l2, the covariance's eigenvalues. Shared terms are columns of their own, so each is computed once."""
-    xx, xy, xz, yy, yz, zz = columns(COV)
-    q, p = F.col("_q"), F.col("_p")
-    out = cells.withColumn("_q", (xx + yy + zz) / 3)
-    off = xy * xy + xz * xz + yz * yz
-    out = out.withColumn("_p", F.nullif(F.sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * off) / 6), F.lit(0.0)))
-    out = out.withColumns({f"_b{k}": c / p for k, c in enumerate((xx - q, xy, xz, yy - q, yz, zz - q))})
-    half = G.determinant([F.col(f"_b{k}") for k in range(6)]) / 2
-    out = out.withColumn("_phi", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half))) / 3)
-    out = out.withColumns({"l0": F.coalesce(q + 2 * p * F.cos(F.col("_phi") + 2 * 3.141592653589793 / 3), q), "l2": F.coalesce(q + 2 * p * F.cos("_phi"), q)})
-    return out.withColumn("l1", 3 * q - F.col("l2") - F.col("l0")).drop("_q", "_p", "_phi", *(f"_b{k}" for k in range(6)))
+    """Cells with l0 <= l1 <= l2, the covariance's eigenvalues by the trigonometric form.
+
+    Shared terms are bound once inside one expression, which stays small wherever the optimiser repeats it.
+    """
+    cov = columns(COV)
+
+    def roots(s, p, phi):
+        l0, l2 = s["q"] + 2 * p * F.cos(phi + 2 * 3.141592653589793 / 3), s["q"] + 2 * p * F.cos(phi)
+        return F.struct(F.coalesce(l0, s["q"]).alias("l0"), F.coalesce(3 * s["q"] - l2 - l0, s["q"]).alias("l1"), F.coalesce(l2, s["q"]).alias("l2"))
+
+    def spread(s):
+        off = s["xy"] * s["xy"] + s["xz"] * s["xz"] + s["yz"] * s["yz"]
+        return F.nullif(F.sqrt((s["xx"] * s["xx"] + s["yy"] * s["yy"] + s["zz"] * s["zz"] + 2 * off) / 6), F.lit(0.0))
+
+    def angle(s, p):
+        half = G.determinant([s[n] / p for n in G.SYM]) / 2
+        return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half))) / 3
+
+    centred = lambda q: F.struct(q.alias("q"), *((c - q if n in ("xx", "yy", "zz") else c).alias(n) for n, c in zip(G.SYM, cov)))
+    made = _let((cov[0] + cov[3] + cov[5]) / 3, lambda q: _let(centred(q), lambda s: _let(spread(s), lambda p: _let(angle(s, p), lambda phi: roots(s, p, phi)))))
+    return cells.withColumn("_e", made).select(*cells.columns, *(F.col("_e")[f"l{k}"].alias(f"l{k}") for k in range(3)))
 
 
 def with_kind(cells: DataFrame, factor: float = 100.0, rough: float = 0.1, angle_cos: float = 0.17364817766693041) -> DataFrame:

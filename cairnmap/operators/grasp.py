@@ -121,3 +121,12 @@ def patches(edges: DataFrame, vertices: DataFrame, radius: float) -> DataFrame:
         if new.isEmpty():
             return out
         out, front = cut(out.unionByName(new)), new
+
+
+def shared_surfaces(fingers: DataFrame, finger: str, parameters: tuple[str, ...]) -> DataFrame:
+    """finger, surface: fingers with equal parameters share a limit surface, so each is computed once."""
+    from pyspark.sql import Window
+
+    kinds = fingers.select(*parameters).distinct()
+    number = (F.row_number().over(Window.orderBy(*parameters)) - 1).alias("surface")  # one row a kind of finger
+    return fingers.join(kinds.select(*parameters, number), list(parameters)).select(finger, "surface")

@@ -132,3 +132,10 @@ def map_likelihood(points: DataFrame, cells: DataFrame, size: float, by: tuple[s
     near = neighbour_block(points, cells, size).groupBy(*by).agg(best).select(*by, "b.*")
     value = near.select(*by, F.greatest(F.lit(0.0), G.likelihood(columns(G.AXES), columns(MEAN), columns(COV))).alias("likelihood"))
     return points.select(*by).join(value, list(by), "left").fillna(0.001, ["likelihood"])
+
+
+def nearest_vertex(points: DataFrame, vertices: DataFrame, reach: float, point_id: str, vertex_id: str) -> DataFrame:
+    """point_id, vertex_id, dist: the nearest vertex within ``reach`` of each point, ties to the smaller id; points without one have no row."""
+    pairs = radius_pairs(points, vertices, reach, point_id, vertex_id)
+    best = F.min(F.struct(F.round("dist", 9).alias("dist"), F.col("r_id"))).alias("b")
+    return pairs.groupBy(F.col("l_id").alias(point_id)).agg(best).select(point_id, F.col("b.r_id").alias(vertex_id), "b.dist")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from itertools import count
+from math import sin
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .cells import KEY, MEAN, columns
+from .cells import COV, KEY, MEAN, columns
 from .lineage import cut
 
 
@@ -101,3 +102,56 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
             break
         found, front = cut(found.unionByName(new)), new
     return found
+
+
+def _around(cells: DataFrame, radius: float, size: float) -> DataFrame:
+    """Pairs of cells whose centres lie within a radius: columns of the first, those of the second with the prefix t_, and dist."""
+    from .joins import radius_pairs
+
+    name = F.concat_ws(":", *KEY)
+    place = cells.select(name.alias("name"), *((F.col(k) * size).alias(a) for k, a in zip(KEY, G.AXES)))
+    pairs = radius_pairs(place, place, radius, "name", "name")
+    own = cells.withColumn("l_id", name)
+    other = cells.select(name.alias("r_id"), *(F.col(c).alias("t_" + c) for c in cells.columns))
+    return pairs.join(own, "l_id").join(other, "r_id")
+
+
+def closest_of_class(cells: DataFrame, radius: float, size: float, kind: str = "HORIZONTAL") -> DataFrame:
+    """ix, iy, iz, near, dist: each cell's nearest cell (by centre, ties to the smaller name) of a class within a radius."""
+    pairs = _around(cells, radius, size).filter(F.col("t_class") == kind)
+    best = F.min(F.struct(F.round("dist", 9).alias("dist"), F.col("r_id").alias("near"))).alias("b")
+    return pairs.groupBy(*KEY).agg(best).select(*KEY, "b.near", "b.dist")
+
+
+def collisions(cells: DataFrame, size: float, robot: tuple[float, float, float], incline: float) -> DataFrame:
+    """ix, iy, iz, collides of cells with a class: whether a robot of a size can't stand there.
+
+    It can't on cells that are neither horizontal nor inclined. Of the cells within its radius, those above whose bottom is below its height and
+    whose centre is within its flat radius are looked at: one off the vertical counts if its mean is nearer than the radius or its
+    ellipsoid reaches into it (Mahalanobis form below 1), one near the vertical if it is no support (neither horizontal nor inclined).
+    """
+    flat = (robot[0] ** 2 + robot[1] ** 2) ** 0.5 / 2
+    radius = sum(r * r for r in robot) ** 0.5 / 2
+    limit = 2 * sin(incline)
+    firm = lambda c: F.col(c).isin("HORIZONTAL", "INCLINED")
+    pairs = _around(cells, radius, size)
+    z, tz = F.col("iz") * size, F.col("t_iz") * size
+    above = (z < tz) & (z + robot[2] > tz - size) & (G.norm((F.col("ix") - F.col("t_ix")) * size, (F.col("iy") - F.col("t_iy")) * size) < flat)
+    gap = [F.col("ix") * size - F.col("t_mx"), F.col("iy") * size - F.col("t_my"), F.col("mz") - F.col("t_mz")]
+    pairs = pairs.withColumns({f"_g{k}": g for k, g in enumerate(gap)}).withColumn("_above", above)
+    g = [F.col(f"_g{k}") for k in range(3)]
+    length = G.norm(*g)
+    share = (length - radius) / F.nullif(length, F.lit(0.0))
+    form = share * share * G.quadratic(g, G.inverse([F.col("t_" + c) for c in COV]))
+    side = F.abs(g[2]) / F.greatest(length, F.lit(10e-10)) > limit
+    hit = F.col("_above") & F.when(side, (length < radius) | F.coalesce(form < 1, F.lit(False))).otherwise(~firm("t_class"))
+    found = pairs.groupBy(*KEY).agg(F.bool_or(hit).alias("hit"))
+    return cells.join(found, list(KEY), "left").select(*KEY, (~firm("class") | F.coalesce("hit", F.lit(False))).alias("collides"))
+
+
+def drivable(cells: DataFrame, blocked: DataFrame, edges: DataFrame, seed: str) -> DataFrame:
+    """node, drivable of all cells: those reached from a seed over edges between cells that don't collide, and the rest."""
+    free = cut(blocked.filter(~F.col("collides")).select(F.concat_ws(":", *KEY).alias("node")))
+    open_edges = edges.join(free.withColumnRenamed("node", "src"), "src", "left_semi").join(free.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    found = reachable(cut(open_edges), free.filter(F.col("node") == seed).withColumnRenamed("node", "center"))
+    return cells.select(F.concat_ws(":", *KEY).alias("node")).join(found.select("node", F.lit(True).alias("drivable")), "node", "left").fillna(False, ["drivable"])

@@ -90,3 +90,46 @@ def surface(voxels: DataFrame, size: float, cut: float) -> DataFrame:
     two = F.array(F.array(crossing(ng(0), ps(0)), crossing(ng(0), ps(1)), crossing(ng(1), ps(0))), F.array(crossing(ng(0), ps(1)), crossing(ng(1), ps(1)), crossing(ng(1), ps(0))))
     made = F.when(F.size("neg") == 1, one(ng, ps)).when(F.size("neg") == 3, one(ps, ng)).otherwise(two)
     return t.select(*VOXEL, "tet", F.posexplode(made).alias("tri", "p")).select(*VOXEL, "tet", "tri", *(F.col("p")[n].alias(f"v{n}") for n in range(3)))
+
+
+def normal_equations(points: DataFrame, voxels: DataFrame, size: float, cut: float, by: str, huber: float | None = None) -> DataFrame:
+    """One row: n, g0..g5 and a00..a55 (upper triangle) of the least-squares step that brings points onto the volume's surface.
+
+    Values and central-difference gradients come from one trilinear lookup of seven places a point. Parameters are rotations first, then
+    translations; residuals beyond ``huber`` (0.02 times the truncation if None) weigh less. Points beyond the truncation don't count.
+    """
+    c = 0.02 * cut if huber is None else huber
+    shifts = F.array(*[F.struct(F.lit(k).alias("k"), *(F.lit(float(s) * size / 2).alias("d" + a) for s, a in zip(move, G.AXES))) for k, move in enumerate(((0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)))])
+    places = points.select(by, *G.AXES, F.inline(shifts)).withColumn("_id", F.struct(by, "k", *(F.col(a).alias("o" + a) for a in G.AXES)))
+    found = lookup(places.select("_id", *((F.col(a) + F.col("d" + a)).alias(a) for a in G.AXES)), voxels, size, cut, "_id")
+    at = lambda k: F.max(F.when(F.col("_id.k") == k, F.col("sdf")))
+    seen = found.groupBy(F.col("_id")[by].alias(by), *(F.col("_id")["o" + a].alias(a) for a in G.AXES)).agg(at(0).alias("d"), *(((at(2 * n + 1) - at(2 * n + 2)) / size).alias("g" + a) for n, a in enumerate(G.AXES)))
+    seen = seen.filter(F.abs("d") < cut * (1 - 1e-9))
+    x, y, z = (F.col(a) for a in G.AXES)
+    gx, gy, gz = (F.col("g" + a) for a in G.AXES)
+    seen = seen.withColumns({"j0": gz * y - gy * z, "j1": gx * z - gz * x, "j2": gy * x - gx * y, "j3": gx, "j4": gy, "j5": gz, "w": F.when(F.abs("d") < c, 1.0).otherwise(c / F.abs("d"))})
+    sums = [F.count("*").alias("n"), *(F.sum(F.col("w") * F.col(f"j{i}") * F.col("d")).alias(f"g{i}") for i in range(6))]
+    sums += [F.sum(F.col("w") * F.col(f"j{i}") * F.col(f"j{k}")).alias(f"a{i}{k}") for i in range(6) for k in range(i, 6)]
+    return seen.agg(*sums)
+
+
+def track(points: DataFrame, voxels: DataFrame, size: float, cut: float, by: str, rounds: int = 12, ridge: float = 0.01):
+    """The pose (4x4) that brings points onto the surface: one aggregation a round, the driver solves 6x6 with a ridge and stops at steps below 1e-4."""
+    import numpy as np
+
+    from .cells import transform_points
+    from .registration import twist
+
+    pose = np.eye(4)
+    for _ in range(rounds):
+        row = normal_equations(transform_points(points, pose.reshape(-1).tolist()), voxels, size, cut, by, cut).first()
+        if not row["n"]:
+            break
+        a = np.array([[row[f"a{min(i, k)}{max(i, k)}"] for k in range(6)] for i in range(6)])
+        g = np.array([row[f"g{i}"] for i in range(6)])
+        scale = max(np.abs(a).max(), 1e-12)
+        step = -np.linalg.solve(a / scale + ridge * np.eye(6), g / scale)
+        pose = twist(np.concatenate((step[3:], step[:3]))) @ pose
+        if np.abs(step).max() < 1e-4:
+            break
+    return pose

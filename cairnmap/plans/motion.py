@@ -39,9 +39,15 @@ def motion_gate(spark, sf):
     return T.motion_gate(poses(spark, sf), ("robot_id",), "seq", 0.4, 0.025).groupBy("robot_id").agg(F.count("*").alias("kept"))
 
 
-@plan()
+_KEPT = """k AS (SELECT *, row_number() OVER (PARTITION BY robot_id ORDER BY seq) AS rn FROM poses),
+g AS (SELECT robot_id, rn, seq, x, y, yaw, true AS kept FROM k WHERE rn = 1 UNION ALL
+SELECT g.robot_id, k.rn, CASE WHEN far THEN k.seq ELSE g.seq END, CASE WHEN far THEN k.x ELSE g.x END, CASE WHEN far THEN k.y ELSE g.y END, CASE WHEN far THEN k.yaw ELSE g.yaw END, far
+FROM g JOIN k ON k.robot_id = g.robot_id AND k.rn = g.rn + 1, LATERAL (SELECT sqrt((k.x-g.x)**2+(k.y-g.y)**2) > 0.5 OR abs(atan2(sin(k.yaw-g.yaw), cos(k.yaw-g.yaw))) > 0.025 AS far))"""
+
+
+@plan(f"WITH RECURSIVE {POSES}, {_KEPT} SELECT robot_id, seq, {rnd('x', 'x')}, {rnd('y', 'y')}, {rnd('yaw', 'yaw')} FROM g WHERE kept")
 def fuse_gate(spark, sf):
-    return rounded(T.fuse_gate(poses(spark, sf).select("robot_id", "seq", "x", "y", "yaw"), ("robot_id",), "seq", 0.5, 0.02), "x", "y", "yaw")
+    return rounded(T.fuse_gate(poses(spark, sf).select("robot_id", "seq", "x", "y", "yaw"), ("robot_id",), "seq", 0.5, 0.025), "x", "y", "yaw")
 
 
 def pairs(spark, sf):
@@ -85,6 +91,9 @@ def median_gap(spark, sf):
     return rounded(odometry(spark, sf).withColumn("g", gap).filter("g is not null").groupBy("robot_id").agg(F.median("g").alias("gap")), "gap", digits=3)
 
 
+_GRID = "g AS (SELECT pid, -1 + (pid // 60) % 10 * (2.0::DOUBLE/10) AS x, -1 + (pid // 6) % 10 * (2.0::DOUBLE/10) AS y, 0 + pid % 6 * (0.6::DOUBLE/6) AS a, 1.0::DOUBLE/600 AS p FROM (SELECT unnest(range(600)) AS pid))"
+
+
 def two_streams(spark, sf):
     e = table(spark, sf, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
     return e.filter("event_type = 'click'").select("user_id", "t", "event_id"), e.filter("event_type = 'purchase'").select("user_id", "t", F.col("event_id").alias("other"))
@@ -103,6 +112,28 @@ def closest_stamp(spark, sf):
     return J.closest(*two_streams(spark, sf), "t", ("user_id",), "other").filter("other is not null").select("event_id", "other", "gap")
 
 
+@plan(f"WITH {_CP} SELECT c.event_id, coalesce(CASE WHEN p.t - c.t <= 7200000000 THEN p.other END, -1) AS next_other FROM c ASOF LEFT JOIN p ON c.user_id = p.user_id AND c.t <= p.t")
+def replayed_poses(spark, sf):
+    """The first purchase after each click, read ahead by two hours at most."""
+    l, r = (d.withColumn("t", -F.col("t")) for d in two_streams(spark, sf))
+    found = J.asof(l, r, "t", ("user_id",), ("other",))
+    return found.select("event_id", F.coalesce(F.when(F.col("t") - F.col("prev_t") <= 7_200_000_000, F.col("prev_other")), F.lit(-1)).alias("next_other"))
+
+
+@plan(f"WITH {_GRID} SELECT pid, printf('%.6f %.6f %.6f %.6f', x, y, a, p) AS line FROM g")
+def particle_lines(spark, sf):
+    from ..sources.writers import particle_lines as lines
+
+    return lines(rounded(grid(spark), "x", "y", "a", "p", digits=9))
+
+
+@plan(f"WITH {POSES}, r AS (SELECT robot_id, seq, {rnd('x', 'x', 7)}, {rnd('y', 'y', 7)}, yaw FROM poses) SELECT robot_id, seq, printf('%.6f %.6f 0 0 0 %.6f %.6f', round(x, 6)+0.0, round(y, 6)+0.0, round(sin(yaw/2), 6)+0.0, round(cos(yaw/2), 6)+0.0) AS line FROM r")
+def odometry_lines(spark, sf):
+    from ..sources.writers import odometry_lines as lines
+
+    return lines(rounded(poses(spark, sf), "x", "y", digits=7), "robot_id", "seq")
+
+
 @plan()
 def associated_stamps(spark, sf):
     l, r = two_streams(spark, sf)
@@ -122,7 +153,6 @@ def latest_contact(spark, sf):
     return latest(table(spark, sf, "events"), "user_id", "ts", ("event_id",)).select("user_id", "event_id")
 
 
-_GRID = "g AS (SELECT pid, -1 + (pid // 60) % 10 * (2.0::DOUBLE/10) AS x, -1 + (pid // 6) % 10 * (2.0::DOUBLE/10) AS y, 0 + pid % 6 * (0.6::DOUBLE/6) AS a, 1.0::DOUBLE/600 AS p FROM (SELECT unnest(range(600)) AS pid))"
 
 
 def grid(spark):

@@ -98,10 +98,17 @@ def hit_probability(spark, sf):
     return rounded(cells(spark, sf).select(*C.KEY, G.occupancy_probability(F.least(F.lit(5.0), F.col("n") * O.HIT)).alias("p")), "p")
 
 
-@plan()
+_FOLD = """ev AS (SELECT user_id, event_type = 'click' AS m, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS total FROM events),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, total, 1.0::DOUBLE AS ax, 1.0::DOUBLE AS bx, 1.0::DOUBLE AS ae, 1.0::DOUBLE AS be, CAST(0 AS BIGINT) AS h, false AS was FROM ev UNION ALL
+SELECT f.user_id, e.rn, f.total, CASE WHEN was THEN least(30000, ax*(5000.0/5001.0)::DOUBLE)+CASE WHEN m THEN 0 ELSE 1 END ELSE ax END, CASE WHEN was THEN least(30000, bx*(5000.0/5001.0)::DOUBLE)+1 ELSE bx END,
+  CASE WHEN NOT was THEN least(30000, ae*(5000.0/5001.0)::DOUBLE)+CASE WHEN m THEN 1 ELSE 0 END ELSE ae END, CASE WHEN NOT was THEN least(30000, be*(5000.0/5001.0)::DOUBLE)+1 ELSE be END, ((h << 1) | CAST(m AS BIGINT)) & 65535, m FROM f JOIN ev e ON e.user_id = f.user_id AND e.rn = f.rn + 1)"""
+
+
+@plan(f"WITH RECURSIVE {_FOLD} SELECT user_id, total AS observations, {rnd('ax', 'a_exit')}, {rnd('bx', 'b_exit')}, {rnd('ae', 'a_entry')}, {rnd('be', 'b_entry')}, h AS recent, was FROM f WHERE rn = total")
 def event_counts(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", (F.col("event_type") == "click").alias("m"))
-    return rounded(O.event_counts(e, ("user_id",), "event_id", "m"), "a_exit", "b_exit", "a_entry", "b_entry")
+    out = O.event_counts(e, ("user_id",), "event_id", "m").withColumn("recent", F.col("history").bitwiseAND(F.lit(65535))).drop("history")
+    return rounded(out, "a_exit", "b_exit", "a_entry", "b_entry")
 
 
 _EV = "e AS (SELECT user_id, count(*) AS obs, (count(*) FILTER (event_type = 'click') + 1) / (count(*) + 2.0)::DOUBLE AS en, (count(*) FILTER (event_type = 'view') + 1) / (count(*) + 2.0)::DOUBLE AS lv FROM events GROUP BY user_id)"

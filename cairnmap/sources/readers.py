@@ -126,3 +126,13 @@ def cell_map_bytes(cells) -> bytes:
 def tiles_around(tiles: DataFrame, tx: int, ty: int, reach: int = 1) -> DataFrame:
     """Rows of the (2 reach + 1)^2 tiles around one; on a table partitioned by tile_x, tile_y that prunes partitions."""
     return tiles.filter(F.col("tile_x").between(tx - reach, tx + reach) & F.col("tile_y").between(ty - reach, ty + reach))
+
+
+def camera_table(spark: SparkSession, width: int, height: int, fx: float, fy: float, cx: float, cy: float, k1: float = 0.0, k2: float = 0.0, rounds: int = 5) -> DataFrame:
+    """u, v, x, y of every pixel: the viewing direction at depth 1 with radial distortion taken out by fixed-point rounds."""
+    out = spark.range(width * height).select((F.col("id") % width).cast("int").alias("u"), F.floor(F.col("id") / width).cast("int").alias("v"))
+    out = out.withColumns({"x0": (F.col("u") - cx) / fx, "y0": (F.col("v") - cy) / fy}).withColumns({"x": F.col("x0"), "y": F.col("y0")})
+    for _ in range(rounds):
+        out = out.withColumn("_r", F.col("x") * F.col("x") + F.col("y") * F.col("y")).withColumn("_f", 1 + k1 * F.col("_r") + k2 * F.col("_r") * F.col("_r"))
+        out = out.withColumns({"x": F.col("x0") / F.col("_f"), "y": F.col("y0") / F.col("_f")})
+    return out.select("u", "v", "x", "y")

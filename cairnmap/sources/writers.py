@@ -41,6 +41,18 @@ def trajectory_lines(poses: DataFrame) -> DataFrame:
     return poses.select("ts", F.concat_ws(" ", F.format_string("%.6f", "ts"), *(F.format_string("%.6f", c) for c in ("tx", "ty", "tz", "qx", "qy", "qz", "qw"))).alias("line"))
 
 
+def particle_lines(particles: DataFrame) -> DataFrame:
+    """pid, line: ``x y heading weight`` of each particle."""
+    return particles.select("pid", F.concat_ws(" ", *(F.format_string("%.6f", c) for c in ("x", "y", "a", "p"))).alias("line"))
+
+
+def odometry_lines(poses: DataFrame, by: str, order: str) -> DataFrame:
+    """by, order, line: planar poses as ``x y 0 0 0 sin cos`` with the heading's half angle, as messages and transforms carry them."""
+    number = lambda c: F.format_string("%.6f", F.round(c, 6) + 0.0)
+    half = F.col("yaw") / 2
+    return poses.select(by, order, F.concat_ws(" ", number("x"), number("y"), F.lit("0 0 0"), number(F.sin(half)), number(F.cos(half))).alias("line"))
+
+
 def polygon_lines(polygons: DataFrame, by: str) -> DataFrame:
     """by, line: a polygon's corners in order on one line."""
     corners = F.transform(F.array_sort(F.collect_list(F.struct("edge", "x", "y"))), lambda p: F.format_string("%.3f %.3f", p["x"], p["y"]))

@@ -125,3 +125,25 @@ def test_missing_numbers_keep_their_line(spark, tmp_path):
 def test_long_lines_are_whole(spark, tmp_path):
     (tmp_path / "l.txt").write_text("1 " + " ".join(map(str, range(150))))
     assert len(readers.stamped_list(spark, str(tmp_path)).first()["values"]) == 150
+
+
+def test_tracking_a_surface(spark):
+    from cairnmap.operators import sdf as S
+    from cairnmap.plans.volumes import ball
+
+    draw = np.random.default_rng(6)
+    v = draw.normal(0, 1, (400, 3))
+    x = 0.75 * v / np.linalg.norm(v, axis=1)[:, None] + [0.05, -0.04, 0.03]
+    pose = S.track(frame(spark, x), ball(spark).persist(), 0.1, 0.35, "pid", rounds=6)
+    moved = x @ pose[:3, :3].T + pose[:3, 3]
+    assert abs(np.linalg.norm(moved, axis=1) - 0.75).max() < 0.02
+
+
+def test_classes_agree_with_the_decomposition(spark):
+    draw = np.random.default_rng(7)
+    scale = draw.uniform(0.02, 0.3, (600, 3))
+    x = draw.normal(0, 1, (600, 3)) * scale + draw.integers(-2, 3, (600, 3))
+    cells = C.fit(frame(spark, x), 1.0, least=6)
+    want = {tuple(r[k] for k in C.KEY): r["class"] for r in C.clamped(cells).collect()}
+    got = {tuple(r[k] for k in C.KEY): r["class"] for r in C.with_kind(cells).collect()}
+    assert got == want and len(got) > 10
