@@ -127,11 +127,11 @@ def particle_lines(spark, sf):
     return lines(rounded(grid(spark), "x", "y", "a", "p", digits=9))
 
 
-@plan(f"WITH {POSES}, r AS (SELECT robot_id, seq, {rnd('x', 'x', 7)}, {rnd('y', 'y', 7)}, yaw FROM poses) SELECT robot_id, seq, printf('%.6f %.6f 0 0 0 %.6f %.6f', round(x, 6)+0.0, round(y, 6)+0.0, round(sin(yaw/2), 6)+0.0, round(cos(yaw/2), 6)+0.0) AS line FROM r")
+@plan(f"WITH {POSES}, r AS (SELECT robot_id, seq, x, y, yaw FROM poses) SELECT robot_id, seq, printf('%.6f %.6f 0 0 0 %.6f %.6f', round(x, 6)+0.0, round(y, 6)+0.0, round(sin(yaw/2), 6)+0.0, round(cos(yaw/2), 6)+0.0) AS line FROM r")
 def odometry_lines(spark, sf):
     from ..sources.writers import odometry_lines as lines
 
-    return lines(rounded(poses(spark, sf), "x", "y", digits=7), "robot_id", "seq")
+    return lines(poses(spark, sf), "robot_id", "seq")
 
 
 @plan()
