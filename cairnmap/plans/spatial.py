@@ -82,17 +82,6 @@ def ray_crossings(spark, sf):
     return hit.groupBy(*C.KEY).agg(F.count("*").alias("rays"), F.count("n").alias("in_cells"))
 
 
-@plan()
-def ray_evidence(spark, sf):
-    return rounded(O.ray_evidence(rays(spark, sf, "true"), cells(spark, sf), SIZE, ("pid",)), "evidence", digits=4)
-
-
-@plan()
-def occupancy_update(spark, sf):
-    own = cells(spark, sf)
-    return rounded(O.updated(own, O.ray_evidence(rays(spark, sf, "true"), own, SIZE, ("pid",))), "occ", digits=4)
-
-
 @plan(f"WITH {CLOUD}, {CELLS} SELECT ix, iy, iz, {rnd('1-1/(1+exp(least(5, n*ln(0.6/0.4))))', 'p')} FROM cells")
 def hit_probability(spark, sf):
     return rounded(cells(spark, sf).select(*C.KEY, G.occupancy_probability(F.least(F.lit(5.0), F.col("n") * O.HIT)).alias("p")), "p")

@@ -132,12 +132,6 @@ def mesh_patches(spark, sf):
     return GR.patches(e, v, 0.3).groupBy("center").agg(F.count("*").alias("n"))
 
 
-@plan()
-def contact_region(spark, sf):
-    v, e = sphere(spark)
-    return GR.contact_region(e, v.filter("nz > -0.2"), 40)
-
-
 @plan("SELECT label AS scan_id, count(*) AS n, " + f"{rnd('8.0/3.0*pi()*pi()/5.0*avg(embedding[1]::DOUBLE)**0', 'unit')} FROM embeddings GROUP BY label")
 def ball_volumes(spark, sf):
     e = table(spark, sf, "embeddings").groupBy(F.col("label").alias("scan_id")).agg(F.count("*").alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from cairnmap.plans import motion, spatial
+from cairnmap.plans import motion, spatial, updates
 from cairnmap.plans.registry import cloud
 
 
@@ -22,4 +22,4 @@ def test_no_scan_or_robot_is_left_out(spark, tmp_path):
     assert motion.aligned_errors(spark, sf).collect()[0]["n"] == 600
     points = {r["scan_id"] for r in cloud(spark, sf).select("scan_id").distinct().collect()}
     seen = spatial.O.ray_evidence(spatial.rays(spark, sf, "true"), spatial.cells(spark, sf), spatial.SIZE, ("pid",)).count()
-    assert points == set(range(5)) and spatial.ray_evidence(spark, sf).count() == seen > spatial.O.ray_evidence(spatial.rays(spark, sf, "scan_id = 3"), spatial.cells(spark, sf), spatial.SIZE, ("pid",)).count()
+    assert points == set(range(5)) and updates.ray_evidence(spark, sf).count() == seen > spatial.O.ray_evidence(spatial.rays(spark, sf, "scan_id = 3"), spatial.cells(spark, sf), spatial.SIZE, ("pid",)).count()
