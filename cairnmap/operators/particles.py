@@ -95,3 +95,36 @@ def best(particles: DataFrame, n: int) -> DataFrame:
 
 def needs_resampling(particles: DataFrame, since: int, spread: float = 0.006, most: int = 25) -> DataFrame:
     return particles.agg(F.stddev_pop("p").alias("std")).select("std", ((F.col("std") > spread) | F.lit(since > most)).alias("resample"))
+
+
+def drawn(rows: DataFrame, mean: tuple[str, str, str], cov: tuple[str, ...], names: tuple[str, str, str], seed: int = 1) -> DataFrame:
+    """A normal draw of three variables for each row, from its mean and covariance columns (xx, xy, xz, yy, yz, zz), by the Cholesky factor.
+
+    A direction without spread stays at the mean.
+    """
+    xx, xy, xz, yy, yz, zz = (F.col(c) for c in cov)
+    root = lambda v: F.sqrt(F.greatest(v, F.lit(0.0)))
+    over = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0.0)), F.lit(0.0))
+    out = rows.withColumns({f"_z{k}": F.randn(seed + k) for k in range(3)}).withColumn("_a", root(xx))
+    out = out.withColumns({"_b": over(xy, F.col("_a")), "_c": over(xz, F.col("_a"))}).withColumn("_d", root(yy - F.col("_b") * F.col("_b")))
+    out = out.withColumn("_e", over(yz - F.col("_b") * F.col("_c"), F.col("_d"))).withColumn("_f", root(zz - F.col("_c") * F.col("_c") - F.col("_e") * F.col("_e")))
+    z = [F.col(f"_z{k}") for k in range(3)]
+    made = [F.col("_a") * z[0], F.col("_b") * z[0] + F.col("_d") * z[1], F.col("_c") * z[0] + F.col("_e") * z[1] + F.col("_f") * z[2]]
+    return out.withColumns({n: F.col(m) + v for n, m, v in zip(names, mean, made)}).drop("_z0", "_z1", "_z2", "_a", "_b", "_c", "_d", "_e", "_f")
+
+
+def uniform(rows: DataFrame, lows: tuple[float, ...], highs: tuple[float, ...], names: tuple[str, ...], seed: int = 1) -> DataFrame:
+    """Uniform draws between bounds in new columns."""
+    return rows.withColumns({n: low + (high - low) * F.rand(seed + k) for k, (n, low, high) in enumerate(zip(names, lows, highs))})
+
+
+def injected(particles: DataFrame, likelihoods: DataFrame) -> DataFrame:
+    """Particles with likelihoods (pid, lik) from outside; particles without one keep theirs."""
+    return particles.join(likelihoods.select("pid", F.col("lik").alias("_l")), "pid", "left").withColumn("lik", F.coalesce("_l", "lik")).drop("_l")
+
+
+def resized(particles: DataFrame, n: int) -> DataFrame:
+    """The n particles of largest weight, equal weights by id, with weights that sum to 1 again (uniform where all are 0)."""
+    kept = particles.orderBy(F.col("p").desc(), "pid").limit(n)
+    total = kept.agg(F.sum("p").alias("_t"), F.count("*").alias("_n"))
+    return kept.join(F.broadcast(total)).withColumn("p", F.when(F.col("_t") > 0, F.col("p") / F.col("_t")).otherwise(1.0 / F.col("_n"))).drop("_t", "_n")

@@ -68,3 +68,36 @@ def write_tiles(cells: DataFrame, path: str, size: float, tile: float) -> None:
     """Cells as Parquet, partitioned by the tile of their mean; only the tiles that occur are replaced."""
     keys = [F.floor(F.col("m" + a) / tile + 0.5).cast("int").alias("tile_" + a) for a in "xy"]
     cells.select("*", *keys).repartition("tile_x", "tile_y").write.option("partitionOverwriteMode", "dynamic").partitionBy("tile_x", "tile_y").mode("overwrite").parquet(path)
+
+
+#: Shades of ellipsoids by class of the cell.
+SHADES = {"ROUGH": (1.0, 0.0, 0.0), "HORIZONTAL": (0.0, 1.0, 0.0), "VERTICAL": (0.0, 0.0, 1.0), "INCLINED": (0.0, 0.5, 0.5)}
+
+
+def ellipsoid_lines(cells: DataFrame, by: str) -> DataFrame:
+    """by, ix, iy, iz, line: one VRML sphere a cell, stretched to its standard deviations, turned to its axes (rotations about z, y, x) and
+    coloured by its class. Cells without a proper covariance give none."""
+    kind = dict(cells.dtypes)[by]
+    from ..operators.cells import COV, KEY, MEAN, clamped
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = np.column_stack([batch.column(n).to_numpy() for n in COV]).reshape(-1, 6)[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
+            values, axes = np.linalg.eigh(c)
+            axes[np.linalg.det(axes) < 0, :, 0] *= -1
+            turn = np.column_stack((np.arctan2(axes[:, 1, 0], axes[:, 0, 0]), -np.arcsin(np.clip(axes[:, 2, 0], -1, 1)), np.arctan2(axes[:, 2, 1], axes[:, 2, 2])))
+            means = np.column_stack([batch.column(n).to_numpy() for n in MEAN])
+            lines = []
+            for m, t, s, k in zip(means, turn, np.sqrt(np.maximum(values, 0)), batch.column("class").to_pylist()):
+                shape = "Transform { scale %.6f %.6f %.6f children [ Shape { geometry Sphere { radius 1 } appearance Appearance { material Material { diffuseColor %.2f %.2f %.2f } } } ] }" % (*s, *SHADES[k])
+                for axis, angle in zip(("1 0 0", "0 1 0", "0 0 1"), t[::-1]):
+                    shape = "Transform { rotation %s %.6f children [ %s ] }" % (axis, angle, shape)
+                lines.append("Transform { translation %.6f %.6f %.6f children [ %s ] }" % (*m, shape))
+            yield pa.record_batch([batch.column(by), *(batch.column(n) for n in KEY), pa.array(lines, pa.string())], names=[by, *KEY, "line"])
+
+    return clamped(cells.select(by, *KEY, *MEAN, *COV)).mapInArrow(run, f"`{by}` {kind}, ix int, iy int, iz int, line string")
+
+
+def write_regions(regions: DataFrame, path: str, by: tuple[str, ...] = ("grasp",)) -> None:
+    """Contact regions as Parquet, a folder for each grasp; saving a grasp again replaces its folder only."""
+    regions.repartition(*by).write.option("partitionOverwriteMode", "dynamic").partitionBy(*by).mode("overwrite").parquet(path)
