@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import factorial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -75,16 +76,18 @@ def hull_facets(points: np.ndarray, tolerance: float = 1e-9) -> tuple[np.ndarray
 
 
 def grasp_quality(wrenches: DataFrame, by: str) -> DataFrame:
-    """by, facets, radius, force_closure of each grasp's wrench set: the largest ball about the origin inside the hull. A grasp has a few dozen wrenches."""
+    """by, facets, radius, force_closure, volume, area of each grasp's wrench set: the largest ball about the origin inside the hull, and the
+    hull's contents. A grasp has a few dozen wrenches."""
 
     def run(group):
         points = group[list(WRENCH)].to_numpy(float)
         normals, offsets = hull_facets(points) if len(points) > 6 else (np.zeros((0, 6)), np.zeros(0))
         radius = float(offsets.min()) if len(offsets) else 0.0
-        return group.iloc[:1][[by]].assign(facets=len(offsets), radius=max(radius, 0.0), force_closure=radius > 1e-9)
+        volume, area = measured_hull(np.unique(points, axis=0)) if len(offsets) else (0.0, 0.0)
+        return group.iloc[:1][[by]].assign(facets=len(offsets), radius=max(radius, 0.0), force_closure=radius > 1e-9, volume=volume, area=area)
 
     kind = dict(wrenches.dtypes)[by]
-    return wrenches.select(by, *WRENCH).groupBy(by).applyInPandas(run, f"{by} {kind}, facets long, radius double, force_closure boolean")
+    return wrenches.select(by, *WRENCH).groupBy(by).applyInPandas(run, f"{by} {kind}, facets long, radius double, force_closure boolean, volume double, area double")
 
 
 def zone_inclusion(wrenches: DataFrame, zones: DataFrame, patches: DataFrame) -> DataFrame:
@@ -130,3 +133,52 @@ def shared_surfaces(fingers: DataFrame, finger: str, parameters: tuple[str, ...]
     kinds = fingers.select(*parameters).distinct()
     number = (F.row_number().over(Window.orderBy(*parameters)) - 1).alias("surface")  # one row a kind of finger
     return fingers.join(kinds.select(*parameters, number), list(parameters)).select(finger, "surface")
+
+
+def measured_hull(points: np.ndarray, tolerance: float = 1e-9) -> tuple[float, float]:
+    """Volume and surface content of a small point set's convex hull in any dimension: pyramids over the facets from the mean point, a facet's
+    content measured in its own hyperplane the same way."""
+    d = points.shape[1]
+    if d == 1:
+        return float(np.ptp(points)), 2.0
+    if len(points) <= d:
+        return 0.0, 0.0
+    if len(points) == d + 1:  # a simplex
+        edges = points[1:] - points[0]
+        faces = [np.delete(points, k, 0) for k in range(d + 1)]
+        content = [np.sqrt(max(0.0, np.linalg.det((f[1:] - f[0]) @ (f[1:] - f[0]).T))) for f in faces]
+        return float(abs(np.linalg.det(edges)) / factorial(d)), float(sum(content) / factorial(d - 1))
+    normals, offsets = hull_facets(points, tolerance)
+    middle, volume, area = points.mean(0), 0.0, 0.0
+    for normal, offset in zip(normals, offsets):
+        own = points[np.abs(points @ normal - offset) < 1e-7]
+        basis = np.linalg.svd(normal[None])[2][1:]
+        content = measured_hull(np.unique(np.round((own - own[0]) @ basis.T, 12), axis=0), tolerance)[0]
+        volume, area = volume + content * (offset - normal @ middle) / d, area + content
+    return float(volume), float(area)
+
+
+def shifted_zones(wrenches: DataFrame, by: str, finger: str, alpha: float) -> DataFrame:
+    """by, finger, zone, facet, n0..n5, off of each grasp whose hull holds the origin: one zone for each wrench (numbered in the order of their
+    components) at a hull vertex, bounded by its facets moved inwards to ``alpha`` times the ball's radius: outward normals, and a wrench is in the
+    zone if n . w >= off for all its facets, so that a hull with a wrench in every zone still holds the smaller ball. No zones without force closure.
+    """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha is between 0 and 1")
+    kinds = dict(wrenches.dtypes)
+    schema = f"`{by}` {kinds[by]}, `{finger}` {kinds[finger]}, zone int, facet int, " + ", ".join(f"n{k} double" for k in range(6)) + ", off double"
+
+    def run(group):
+        import pandas as pd
+
+        group = group.sort_values([*WRENCH, finger]).reset_index(drop=True)
+        points = group[list(WRENCH)].to_numpy(float)
+        normals, offsets = hull_facets(points) if len(points) > 6 else (np.zeros((0, 6)), np.zeros(0))
+        radius = offsets.min() if len(offsets) else 0.0
+        rows = []
+        if radius > 1e-9:
+            zone, facet = np.nonzero(np.abs(points @ normals.T - offsets) < 1e-7)
+            rows = [(group[by][z], group[finger][z], z, f, *normals[f], float(alpha * radius)) for z, f in zip(zone.tolist(), facet.tolist())]
+        return pd.DataFrame(rows, columns=[by, finger, "zone", "facet", *(f"n{k}" for k in range(6)), "off"])
+
+    return wrenches.select(by, finger, *WRENCH).groupBy(by).applyInPandas(run, schema)

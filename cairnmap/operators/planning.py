@@ -155,3 +155,65 @@ def drivable(cells: DataFrame, blocked: DataFrame, edges: DataFrame, seed: str)
     open_edges = edges.join(free.withColumnRenamed("node", "src"), "src", "left_semi").join(free.withColumnRenamed("node", "dst"), "dst", "left_semi")
     found = reachable(cut(open_edges), free.filter(F.col("node") == seed).withColumnRenamed("node", "center"))
     return cells.select(F.concat_ws(":", *KEY).alias("node")).join(found.select("node", F.lit(True).alias("drivable")), "node", "left").fillna(False, ["drivable"])
+
+
+def grow_polygons(path: DataFrame, blocked: DataFrame, by: str, moves: int = 50, start: int = 5, apart: int = 10) -> DataFrame:
+    """by, seq, edge, i, j: a free quadrangle around every point (by, seq, i, j: pixels) of a path, grown towards the points before and after it.
+
+    It starts as a square of ``start`` pixels each way. In a move, for the point before and then the one after, the corner nearest to that point
+    and the nearer of its neighbours step one pixel towards it in both coordinates, and two pixels away from each other in each
+    coordinate in which they are closer than ``apart``. The last quadrangle without a blocked pixel on its edges stays; a start that meets one
+    gives no rows. A task's group is one seed with the blocked pixels in its reach.
+    """
+    from pyspark.sql import Window
+
+    reach, tile = start + 6 * moves, 256
+    along = Window.partitionBy(by).orderBy("seq")
+    seeds = path.select(by, "seq", "i", "j", *(f(c).over(along).alias(p + c) for f, p in ((F.lag, "b"), (F.lead, "a")) for c in "ij"))
+    tiles = lambda c: F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile))
+    near = seeds.select(by, "seq", F.col("i").alias("si"), F.col("j").alias("sj"), F.explode(tiles("i")).alias("ti")).withColumn("tj", F.explode(tiles("sj")))
+    walls = blocked.select("i", "j", F.floor(F.col("i") / tile).alias("ti"), F.floor(F.col("j") / tile).alias("tj"))
+    held = near.join(walls, ["ti", "tj"]).filter((F.abs(F.col("i") - F.col("si")) <= reach) & (F.abs(F.col("j") - F.col("sj")) <= reach)).select(F.col(by).alias("_of"), F.col("seq").alias("_seq"), "i", "j")
+    kind = dict(path.dtypes)[by]
+
+    def run(key, seed, walls):
+        import numpy as np
+        import pandas as pd
+
+        full = set(zip(walls["i"].tolist(), walls["j"].tolist()))
+        out = []
+        for s in seed.itertuples(index=False):
+            s = s._asdict()
+            towards = [(s[p + "i"], s[p + "j"]) for p in "ba" if s[p + "i"] == s[p + "i"] and s[p + "i"] is not None]
+
+            def free(corners):
+                for (i0, j0), (i1, j1) in zip(corners, np.roll(corners, -1, 0)):
+                    di, dj = int(i1 - i0), int(j1 - j0)
+                    for k in range(max(abs(di), abs(dj)) + 1):
+                        if (int(i0 + np.sign(di) * min(k, abs(di))), int(j0 + np.sign(dj) * min(k, abs(dj)))) in full:
+                            return False
+                return True
+
+            best = np.array([s["i"], s["j"]]) + start * np.array([(-1, -1), (-1, 1), (1, 1), (1, -1)])
+            if not free(best):
+                continue
+            for _ in range(moves if towards else 0):
+                now = best.copy()
+                for goal in towards:
+                    gap = np.hypot(*(now - goal).T)
+                    one = int(gap.argmin())
+                    sides = ((one - 1) % 4, (one + 1) % 4)
+                    two = min(sides, key=lambda k: (gap[k], k != sides[1]))
+                    for k in (one, two):
+                        now[k] += np.where(now[k] > goal, -1, 1).astype(now.dtype)
+                    off = now[one] - now[two]
+                    push = np.where(np.abs(off) < apart, np.where(off > 0, 2, -2), 0)
+                    now[one] += push
+                    now[two] -= push
+                if not free(now):
+                    break
+                best = now
+            out += [(s[by], s["seq"], k, int(i), int(j)) for k, (i, j) in enumerate(best)]
+        return pd.DataFrame(out, columns=[by, "seq", "edge", "i", "j"])
+
+    return seeds.groupBy(by, "seq").cogroup(held.groupBy("_of", "_seq")).applyInPandas(run, f"`{by}` {kind}, seq long, edge int, i int, j int")

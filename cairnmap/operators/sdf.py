@@ -133,3 +133,24 @@ def track(points: DataFrame, voxels: DataFrame, size: float, cut: float, by: str
         if np.abs(step).max() < 1e-4:
             break
     return pose
+
+
+def render(rays: DataFrame, voxels: DataFrame, size: float, truncation: float, by: str, steps: int = 12, far: float = 15.0) -> DataFrame:
+    """by, t, hit: where rays (by, ox, oy, oz, unit dx, dy, dz, start) first meet the surface from outside; t is null without a hit.
+
+    A ray goes on by the value at its place, a voxel at least, and by a straight line between the last two values where the sign turns.
+    A round is one lookup for all rays still on their way; ``steps`` bounds a ray's march, as rendering does.
+    """
+    from .lineage import cut
+
+    out = cut(rays.select(by, *("o" + a for a in G.AXES), *("d" + a for a in G.AXES), F.col("start").cast("double").alias("t"), F.lit(0.0).alias("t0"), F.lit(size).alias("d0"), F.lit(False).alias("hit")))
+    for _ in range(steps):
+        going = ~F.col("hit") & (F.col("t") < far)
+        seen = lookup(out.filter(going).select(by, *((F.col("o" + a) + F.col("t") * F.col("d" + a)).alias(a) for a in G.AXES)), voxels, size, truncation, by)
+        now = out.join(seen, by, "left").withColumn("hit", F.col("hit") | F.coalesce(F.col("sdf") < 0, F.lit(False)))
+        turned = F.col("t0") + (F.col("t") - F.col("t0")) * F.col("d0") / (F.col("d0") - F.col("sdf"))
+        on = F.col("sdf") >= 0
+        moved = {"t": F.when(F.col("sdf") < 0, turned).when(on, F.col("t") + F.greatest(F.lit(size), F.col("sdf"))).otherwise(F.col("t")),
+                 "t0": F.when(on, F.col("t")).otherwise(F.col("t0")), "d0": F.when(on, F.col("sdf")).otherwise(F.col("d0"))}
+        out = cut(now.withColumns(moved).drop("sdf"))
+    return out.select(by, F.when(F.col("hit"), F.col("t")).alias("t"), "hit")
