@@ -9,7 +9,7 @@ successor open new sequences. Lengths go from long to short, which makes the res
 
 This departs from sweeps of all documents against all gaps in distributed rounds: the rounds see a histogram of at most ``capacity``
 lengths and the runs of open gaps, a state whose size depends on the capacity and not on the number of documents, and run in
-one place; with a row a document they would need hundreds of dependent jobs over the corpus for the same matches. Distributed are the
+one place; as Spark jobs over the same runs they took some 2.7 s each, more than 40 of them (README), for what the driver does at once. Distributed are the
 histogram, the ranks and each piece's search for its move (ranks of one length -> sequences and offset).
 """
 
