@@ -18,6 +18,7 @@ from .packing import pack_documents
 from .simple8b import coded_round_trip
 from .tokens import count_tokens
 from .toxicity import toxicity
+from .vector_codes import coded_vectors
 
 
 def _hundredth(vec_id):
@@ -64,8 +65,34 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op12_yinyang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_token_counts, op3_licence_scan, op4_simple8b_ids, op5_lm_scoring, op6_toxicity, op7_source_mixing, op8_best_fit_packing, op9_anisotropic_ann, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_token_counts, op3_licence_scan, op4_simple8b_ids, op5_lm_scoring, op6_toxicity, op7_source_mixing, op8_best_fit_packing, op9_anisotropic_ann, op10_minhash_near_dedup, op12_yinyang_codes)}
+
+
+def _codes_oracle() -> str:
+    """Plain Lloyd rounds: every part against every entry, the smaller number among equals."""
+    gap = "list_sum(list_transform(list_zip(a.x, c.x), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
+    text = """
+WITH v AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS r, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT r, p, x[p * (len(x) // 16) + 1 : (p + 1) * (len(x) // 16)] AS x FROM v, (SELECT unnest(range(16)) AS p)),
+c0 AS (SELECT p, r - 1 AS e, x FROM a WHERE r <= 64)"""
+    for n in range(3):
+        text += f""",
+n{n} AS (SELECT a.r, a.p, min({gap} * 64 + c.e) AS key FROM a JOIN c{n} c ON a.p = c.p GROUP BY 1, 2)"""
+        if n < 2:
+            text += f""",
+m{n} AS (SELECT p, e, list(floor(total / n) ORDER BY i) AS x FROM (SELECT p, e, i, sum(a) AS total, count(*) AS n FROM
+  (SELECT a.p, n{n}.key % 64 AS e, unnest(a.x) AS a, unnest(range(len(a.x))) AS i FROM a JOIN n{n} USING (r, p)) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+c{n + 1} AS (SELECT c.p, c.e, coalesce(list_transform(m.x, lambda t: CAST(t AS BIGINT)), c.x) AS x FROM c{n} c LEFT JOIN m{n} m ON m.p = c.p AND m.e = c.e)"""
+    return text + """,
+o AS (SELECT r, string_agg(lpad(lower(to_hex(key % 64)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(key // 64) AS BIGINT) AS error FROM n2 GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS digest FROM c2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT digest FROM h) AS codebooks_sha256 FROM v JOIN o USING (r)"""
 
 
 #: DuckDB text by query.
@@ -77,6 +104,7 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) A
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op3_licence_scan": licence_oracle(),
+    "op12_yinyang_codes": _codes_oracle(),
     "op10_minhash_near_dedup": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k+2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w)),
