@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import nearest
 from .common import table
 from .exact_topk import exact_top_k
+from .lexical import ranked_documents
 from .licences import oracle as licence_oracle
 from .licences import scan_licences
 from .lm_scoring import quality_scores
@@ -65,12 +66,16 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op11_impact_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_yinyang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_token_counts, op3_licence_scan, op4_simple8b_ids, op5_lm_scoring, op6_toxicity, op7_source_mixing, op8_best_fit_packing, op9_anisotropic_ann, op10_minhash_near_dedup, op12_yinyang_codes)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_token_counts, op3_licence_scan, op4_simple8b_ids, op5_lm_scoring, op6_toxicity, op7_source_mixing, op8_best_fit_packing, op9_anisotropic_ann, op10_minhash_near_dedup, op11_impact_ordered, op12_yinyang_codes)}
 
 
 def _codes_oracle() -> str:
@@ -104,6 +109,17 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) A
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op3_licence_scan": licence_oracle(),
+    "op11_impact_ordered": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark),
+c AS (SELECT count(*) FILTER (len(t) > 0) AS documents, CAST(sum(len(t)) AS BIGINT) AS total FROM d),
+f AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY ALL),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(t) AS term FROM i) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(documents) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c WHERE term IN (SELECT term FROM q) GROUP BY term),
+m AS (SELECT doc_id, 100 - 75 + (75 * len(t) * documents) // total AS m FROM d, c WHERE len(t) > 0),
+s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
     "op12_yinyang_codes": _codes_oracle(),
     "op10_minhash_near_dedup": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
