@@ -16,6 +16,7 @@ from .lm_scoring import quality_scores
 from .mixing import mixed_counts
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .personal import personal_data
 from .simple8b import coded_round_trip
 from .tokens import count_tokens
 from .toxicity import toxicity
@@ -74,8 +75,12 @@ def op12_yinyang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_token_counts, op3_licence_scan, op4_simple8b_ids, op5_lm_scoring, op6_toxicity, op7_source_mixing, op8_best_fit_packing, op9_anisotropic_ann, op10_minhash_near_dedup, op11_impact_ordered, op12_yinyang_codes)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_token_counts, op3_licence_scan, op4_simple8b_ids, op5_lm_scoring, op6_toxicity, op7_source_mixing, op8_best_fit_packing, op9_anisotropic_ann, op10_minhash_near_dedup, op11_impact_ordered, op12_yinyang_codes, op13_personal_data)}
 
 
 def _codes_oracle() -> str:
