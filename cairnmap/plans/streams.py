@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..streaming import state as S
 from .registry import POSES, plan, poses, rnd, rounded, table
 
-_POINTS = "pt AS (SELECT *, dx * j * 0.5 AS px, dyaw * 10 * j AS py, j * 0.25::DOUBLE AS pz FROM poses, (SELECT unnest(range(1, 5)) AS j))"
+_POINTS = "pt AS (SELECT *, dx * j * 0.48713 AS px, dyaw * j * 9.71317 AS py, j * 0.24773::DOUBLE AS pz FROM poses, (SELECT unnest(range(1, 5)) AS j))"
 _GATED = """k AS (SELECT robot_id, seq, x, y, yaw, row_number() OVER (PARTITION BY robot_id ORDER BY seq) - 3 AS rn FROM poses QUALIFY rn > 0),
 g AS (SELECT robot_id, rn, seq, x, y, yaw, true AS kept FROM k WHERE rn = 1 UNION ALL
 SELECT g.robot_id, k.rn, CASE WHEN far THEN k.seq ELSE g.seq END, CASE WHEN far THEN k.x ELSE g.x END, CASE WHEN far THEN k.y ELSE g.y END, CASE WHEN far THEN k.yaw ELSE g.yaw END, far
@@ -20,7 +20,7 @@ _STATS = ", ".join([rnd(f"avg({a})", f"m{a}", 6) for a in "xyz"] + [rnd(f"covar_
 
 def messages(spark, sf):
     """Every robot's poses with four points seen from each."""
-    point = lambda j: F.struct((F.col("dx") * j * 0.5).alias("x"), (F.col("dyaw") * 10 * j).alias("y"), F.lit(j * 0.25).alias("z"))
+    point = lambda j: F.struct((F.col("dx") * j * 0.48713).alias("x"), (F.col("dyaw") * j * 9.71317).alias("y"), F.lit(j * 0.24773).alias("z"))
     return poses(spark, sf).select("robot_id", "seq", "x", "y", "yaw", F.array(*(point(j) for j in range(1, 5))).alias("points"))
 
 
