@@ -82,6 +82,199 @@ def derivatives(source: DataFrame, target: DataFrame, size: float, n: int = 2, o
     return pairs.agg(*sums)
 
 
+def _prod(a, b):
+    """A product in which plain 0.0 and 1.0 leave no expression behind."""
+    for x, y in ((a, b), (b, a)):
+        if isinstance(x, float) and x in (0.0, 1.0):
+            return y if x else 0.0
+    return a * b
+
+
+def _plus(a, b, sign: int = 1):
+    if isinstance(b, float) and b == 0.0:
+        return a
+    if isinstance(a, float) and a == 0.0:
+        return b if sign > 0 else -b
+    return a + b if sign > 0 else a - b
+
+
+def _dot(a: list, b: list):
+    total = 0.0
+    for x, y in zip(a, b):
+        total = _plus(total, _prod(x, y))
+    return total
+
+
+def _less(a: list, b: list) -> list:
+    return [_plus(x, y, -1) for x, y in zip(a, b)]
+
+
+def _axis_cross(axis: int, v: list) -> list:
+    """e_axis x v."""
+    minus = [0.0 if isinstance(e, float) and e == 0.0 else -e for e in v]
+    return [[0.0, minus[2], v[1]], [v[2], 0.0, minus[0]], [minus[1], v[0], 0.0]][axis]
+
+
+def _unit(axis: int) -> list:
+    return [1.0 if k == axis else 0.0 for k in range(3)]
+
+
+def _times(sym: list, v: list) -> list:
+    """A symmetric matrix (xx, xy, xz, yy, yz, zz) times a vector."""
+    return [_dot([sym[k] for k in row], v) for row in ((0, 1, 2), (1, 3, 4), (2, 4, 5))]
+
+
+def _named(rows: DataFrame, name: str, values: list) -> tuple[DataFrame, list]:
+    """Values as columns of their own, so that each is computed once."""
+    names = [f"_{name}{k}" for k in range(len(values))]
+    return rows.withColumns(dict(zip(names, values))), [F.col(n) for n in names]
+
+
+def hessian(source: DataFrame, target: DataFrame, size: float, n: int = 2) -> DataFrame:
+    """One row: pairs, score, g0..g5 and h00..h55 (upper triangle) of the pair score with all second derivatives, in one aggregation.
+
+    Parameters are tx, ty, tz and the angles of Rx Ry Rz about the origin, at the source's current pose. With x the difference of the
+    means, B the inverse of the summed covariances, v = B x and, for each parameter, x_i and Z_i the first derivatives of x and of the
+    source's covariance C: the form's second derivative is 2 (x_i - Z_i v)' B (x_j - Z_j v) + 2 v' x_ij - v' Z_ij v. A turn about axis a followed in the
+    product by b >= a gives v' x_ij = d . m and v' Z_ij v = 2 d . (C v) + 2 r_a' C r_b with d = e_b x (e_a x v) and r_a = v x e_a.
+    """
+    x, b, s = _terms()
+    pairs = cell_pairs(source, target, size, n).select(*MEAN, *COV, *(e.alias(f"_b{k}") for k, e in enumerate(b)), *(e.alias(f"_x{k}") for k, e in enumerate(x)), s.alias("s")).filter("s is not null and not isnan(s)")
+    m, c, b, x = columns(MEAN), columns(COV), [F.col(f"_b{k}") for k in range(6)], [F.col(f"_x{k}") for k in range(3)]
+    pairs, v = _named(pairs, "v", _times(b, x))
+    pairs, y = _named(pairs, "y", _times(c, v))
+    turned = [_less([0.0] * 3, _axis_cross(a, v)) for a in range(3)]
+    pairs, cr = _named(pairs, "cr", [e for a in range(3) for e in _times(c, turned[a])])
+    spread = [[_plus(p, q) for p, q in zip(_axis_cross(a, y), cr[3 * a : 3 * a + 3])] for a in range(3)]
+    pairs, own = _named(pairs, "u", [e for a in range(3) for e in _less(_axis_cross(a, m), spread[a])])
+    u = [*(_unit(a) for a in range(3)), *(own[3 * a : 3 * a + 3] for a in range(3))]
+    pairs, own = _named(pairs, "bu", [e for a in range(3) for e in _times(b, u[3 + a])])
+    bu = [*(_times(b, _unit(a)) for a in range(3)), *(own[3 * a : 3 * a + 3] for a in range(3))]
+    # v' (2 x_i - Z_i v): the part of Z_i v is in u already once
+    pairs, q = _named(pairs, "q", [2 * v[a] for a in range(3)] + [2 * (_dot(v, _axis_cross(a, m)) - _dot(turned[a], y)) for a in range(3)])
+    gain = -LFD2 / 2 * F.col("s")
+    sums = [F.count("*").alias("pairs"), F.sum("s").alias("score"), *(F.sum(gain * q[i]).alias(f"g{i}") for i in range(6))]
+    for i in range(6):
+        for j in range(i, 6):
+            term = 2 * _dot(u[i], bu[j]) - LFD2 / 2 * q[i] * q[j]
+            if i > 2:
+                d = _axis_cross(j - 3, _axis_cross(i - 3, v))
+                term = term + 2 * _dot(d, _less(m, y)) - 2 * _dot(turned[i - 3], cr[3 * (j - 3) : 3 * (j - 3) + 3])
+            sums.append(F.sum(gain * term).alias(f"h{i}{j}"))
+    return pairs.agg(*sums)
+
+
+def point_hessian(points: DataFrame, cells: DataFrame, size: float, outliers: float = 0.35) -> DataFrame:
+    """One row: used, score, g0..g5, h00..h55 of the point-to-cell score at the points' current pose, with all second derivatives; parameters as
+    in ``hessian``."""
+    lfd1, lfd2 = point_scale(size, outliers)
+    p = columns(G.AXES)
+    found = points.select(*G.AXES, *G.grid_keys(size)).join(cells, list(KEY))
+    found, b = _named(found, "b", G.inverse(columns(COV)))
+    d = [a - m for a, m in zip(p, columns(MEAN))]
+    found, v = _named(found, "v", _times(b, d))
+    found = found.withColumn("l", _dot(v, d)).filter("l is not null and not isnan(l) and l <= 120")
+    found, q = _named(found.withColumn("_e", F.exp(-lfd2 * F.col("l") / 2)), "q", [*v, *(_dot(v, _axis_cross(a, p)) for a in range(3))])
+    first = [*(_unit(a) for a in range(3)), *(_axis_cross(a, p) for a in range(3))]
+    gain = -lfd1 * lfd2 * F.col("_e")
+    sums = [F.count("*").alias("used"), F.sum(lfd1 * F.col("_e")).alias("score"), *(F.sum(gain * q[i]).alias(f"g{i}") for i in range(6))]
+    for i in range(6):
+        for j in range(i, 6):
+            term = _dot(first[i], _times(b, first[j])) - lfd2 * q[i] * q[j]
+            if i > 2:
+                term = term + _dot(_axis_cross(j - 3, _axis_cross(i - 3, v)), p)
+            sums.append(F.sum(gain * term).alias(f"h{i}{j}"))
+    return found.agg(*sums)
+
+
+def point_scale(size: float, outliers: float) -> tuple[float, float]:
+    """Height and rate of the point-to-cell score of a cell size and a share of outliers."""
+    c1, c2 = (1 - outliers) / 0.1, outliers / size**3
+    d3 = -np.log(c2)
+    height = -np.log(c1 + c2) - d3
+    return float(height), float(-np.log((-np.log(c1 * np.exp(-0.5) + c2) - d3) / height))
+
+
+def turned_pose(p: np.ndarray) -> np.ndarray:
+    """4x4 of translation p[:3] and angles p[3:] as Rx Ry Rz: the parameters of ``hessian``."""
+    (cx, cy, cz), (sx, sy, sz) = np.cos(p[3:]), np.sin(p[3:])
+    out = np.eye(4)
+    out[:3, :3] = np.array([[1, 0, 0], [0, cx, -sx], [0, sx, cx]]) @ np.array([[cy, 0, sy], [0, 1, 0], [-sy, 0, cy]]) @ np.array([[cz, -sz, 0], [sz, cz, 0], [0, 0, 1]])
+    out[:3, 3] = p[:3]
+    return out
+
+
+def _with_form(pairs: DataFrame) -> DataFrame:
+    """Pairs with their form _l and score _s; the difference and the inverse are columns of their own, computed once."""
+    x, b, _ = _terms()
+    pairs, x = _named(pairs, "x", x)
+    pairs, b = _named(pairs, "b", b)
+    return pairs.withColumn("_l", _dot(x, _times(b, x))).withColumn("_s", -F.exp(-0.5 * LFD2 * F.col("_l")))
+
+
+def occupied_score(source: DataFrame, target: DataFrame, size: float, n: int = 2, free_weight: float = 0.1) -> DataFrame:
+    """One row: pairs, gaussian (pairs with two Gaussians), score of an occupancy-aware comparison of two maps.
+
+    Cells carry a key, occ (evidence) and a Gaussian or nulls. A source cell meets every target cell of the block around it. With o, p the
+    two probabilities of being occupied, two Gaussians add o p times their usual score, and every pair adds -free_weight (1 - d / diagonal), not
+    below 0, times (1 - o)(1 - p) - o (1 - p) - p (1 - o), d the distance of the cells' centres.
+    """
+    own = source.select(*(F.col(k).alias("p" + k) for k in KEY), *MEAN, *COV, "occ")
+    for k in KEY:
+        own = own.withColumn(k, F.explode(F.sequence(F.col("p" + k) - n, F.col("p" + k) + n)))
+    both = own.join(target.select(*KEY, *(F.col(c).alias("t_" + c) for c in (*MEAN, *COV, "occ"))), list(KEY))
+    both = _with_form(both)
+    both = both.withColumns({"_s": F.when(~F.isnan("_s"), F.col("_s")), "_o": G.occupancy_probability(F.col("occ")), "_p": G.occupancy_probability(F.col("t_occ"))})
+    o, p = F.col("_o"), F.col("_p")
+    far = G.norm(*((F.col(k) - F.col("p" + k)) * 1.0 for k in KEY)) / 3**0.5
+    empty = -free_weight * F.greatest(F.lit(0.0), 1 - far) * ((1 - o) * (1 - p) - o * (1 - p) - p * (1 - o))
+    return both.agg(F.count("*").alias("pairs"), F.count("_s").alias("gaussian"), F.coalesce(F.sum(F.coalesce(o * p * F.col("_s"), F.lit(0.0)) + empty), F.lit(0.0)).alias("score"))
+
+
+def positive_score(source: DataFrame, target: DataFrame, size: float, lost: float = 0.1) -> DataFrame:
+    """One row: cells, met, score: each source cell against the target cell that holds its mean adds 1 less the likelihood, or ``lost``
+    where there is none, no usable Gaussian, or a form beyond 120."""
+    own = source.select(*MEAN, *COV, *(G.grid_key(m, size).alias(k) for m, k in zip(MEAN, KEY)))
+    both = own.join(target.select(*KEY, *(F.col(c).alias("t_" + c) for c in MEAN + COV)), list(KEY), "left")
+    e = F.when(~F.isnan("_l") & (F.col("_l") <= 120), -F.col("_s"))
+    return _with_form(both).select(e.alias("e")).agg(F.count("*").alias("cells"), F.count("e").alias("met"), F.coalesce(F.sum(F.coalesce(1 - F.col("e"), F.lit(lost))), F.lit(0.0)).alias("score"))
+
+
+def order_statistic(rows: DataFrame, column: str, index: int, gather: int = 10_000, buckets: int = 4096) -> float | None:
+    """The value of rank ``index`` (from 0, ascending; nulls and NaN don't count), exactly: histograms narrow the range until at most
+    ``gather`` values, or one value, are left."""
+    values = rows.select(F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    low, high, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if index < 0 or index >= n:
+        return None
+    while n > gather and low < high:
+        width = (high - low) / buckets
+        if low + width <= low:
+            break
+        place = F.least(F.floor((F.col("v") - low) / width), F.lit(buckets - 1))
+        counts = values.filter(F.col("v").between(low, high)).groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("b").collect()
+        for r in counts:
+            if index < r["n"]:
+                low, high, n = r["low"], r["high"], r["n"]
+                break
+            index -= r["n"]
+    if low == high:
+        return low
+    return values.filter(F.col("v").between(low, high)).orderBy("v").offset(index).first()["v"]
+
+
+def trimmed_score(pairs: DataFrame, keep: float = 0.9) -> DataFrame:
+    """One row: pairs, used, score of given correspondences (means, covariances and t_ ones) with a form of at most 120: of n pairs the
+    floor(keep (n - 1)) + 1 lowest scores, added up."""
+    own = cut(_with_form(pairs).filter("_l is not null and not isnan(_l) and _l <= 120").select(F.col("_s").alias("s")))
+    n = own.count()
+    used = int(keep * (n - 1)) + 1 if n else 0
+    bar = order_statistic(own, "s", used - 1)
+    below = F.col("s") < F.lit(bar)
+    total = F.coalesce(F.sum(F.when(below, F.col("s"))), F.lit(0.0)) + (F.lit(used) - F.count_if(below)) * F.coalesce(F.lit(bar), F.lit(0.0))
+    return own.agg(F.lit(n).cast("long").alias("pairs"), F.lit(used).cast("long").alias("used"), total.alias("score"))
+
+
 def twist(p: np.ndarray) -> np.ndarray:
     """4x4 of translation p[:3] and rotation vector p[3:] (Rodrigues)."""
     w, t = np.asarray(p[3:], float), np.linalg.norm(p[3:])
@@ -105,23 +298,24 @@ def _solve(row, free: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return g, h, step
 
 
-def match_cells(source: DataFrame, target: DataFrame, size: float, start: np.ndarray | None = None, rounds: int = 30, free: tuple[int, ...] = (0, 1, 2, 3, 4, 5), tolerance: float = 1e-3, n: int = 2) -> tuple[np.ndarray, float]:
+def match_cells(source: DataFrame, target: DataFrame, size: float, start: np.ndarray | None = None, rounds: int = 30, free: tuple[int, ...] = (0, 1, 2, 3, 4, 5), tolerance: float = 1e-3, n: int = 2, full: bool = False) -> tuple[np.ndarray, float]:
     """Newton-like search of the pose that fits source cells to target cells: one aggregation per evaluation, the driver solves 6x6.
 
-    Steps are halved while they don't improve the score; the best pose and its score are returned. ``free`` (0, 1, 5) is the planar case.
+    ``full`` takes all second derivatives (``hessian``) in place of the Gauss-Newton curvature. Steps are halved while they don't improve the score; the best pose and its score are returned. ``free`` (0, 1, 5) is the planar case.
     """
     pose = np.eye(4) if start is None else np.array(start, float)
     source, target = cut(source), cut(target)
     at = lambda t: transform(source, t.reshape(-1).tolist())
-    row = derivatives(at(pose), target, size, n).first()
+    terms, move = (hessian, turned_pose) if full else (derivatives, twist)
+    row = terms(at(pose), target, size, n).first()
     score = row["score"] or 0.0
     for _ in range(rounds):
         g, _, step = _solve(row, free)
         if np.linalg.norm(g) <= tolerance or np.linalg.norm(step) < tolerance:
             break
         for _ in range(5):
-            tried = twist(step) @ pose
-            new = derivatives(at(tried), target, size, n).first()
+            tried = move(step) @ pose
+            new = terms(at(tried), target, size, n).first()
             if (new["score"] or 0.0) < score - 1e-9:
                 break
             step = step / 2
