@@ -128,3 +128,69 @@ def resized(particles: DataFrame, n: int) -> DataFrame:
     kept = particles.orderBy(F.col("p").desc(), "pid").limit(n)
     total = kept.agg(F.sum("p").alias("_t"), F.count("*").alias("_n"))
     return kept.join(F.broadcast(total)).withColumn("p", F.when(F.col("_t") > 0, F.col("p") / F.col("_t")).otherwise(1.0 / F.col("_n"))).drop("_t", "_n")
+
+
+#: Modulus and constants of the counted draws: the same numbers wherever a row is computed.
+DRAW_P, DRAW_A, DRAW_C = 2147483647, 48271, 1013904223
+
+
+def counted_uniform(number, stream: int):
+    """A number in (0, 1) from an integer column and a stream, by two squarings modulo a prime: no state, so a lost task draws the same again."""
+    x = F.pmod(number, F.lit(DRAW_P)) * DRAW_A + F.lit(stream * DRAW_C % DRAW_P)
+    for _ in range(2):
+        x = F.pmod(x, F.lit(DRAW_P))
+        x = F.pmod(x * x, F.lit(DRAW_P)) + F.lit((stream + 1) * DRAW_A % DRAW_P)
+    return (F.pmod(x, F.lit(DRAW_P)) + 0.5) / DRAW_P
+
+
+def counted_normal(number, stream: int):
+    """A normal draw from an integer column and a stream (two uniform draws)."""
+    return F.sqrt(-2 * F.log(counted_uniform(number, 2 * stream))) * F.cos(2 * 3.141592653589793 * counted_uniform(number, 2 * stream + 1))
+
+
+def quaternion_product(a: list, b: list) -> list:
+    """qx, qy, qz, qw of a then, in its frame, b."""
+    ax, ay, az, aw = a
+    bx, by, bz, bw = b
+    return [aw * bx + ax * bw + ay * bz - az * by, aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw, aw * bw - ax * bx - ay * by - az * bz]
+
+
+def rotated(q: list, v: list) -> list:
+    """A vector turned by a unit quaternion."""
+    x, y, z, w = q
+    t = [2 * (y * v[2] - z * v[1]), 2 * (z * v[0] - x * v[2]), 2 * (x * v[1] - y * v[0])]
+    return [v[0] + w * t[0] + y * t[2] - z * t[1], v[1] + w * t[1] + z * t[0] - x * t[2], v[2] + w * t[2] + x * t[1] - y * t[0]]
+
+
+def predict6(particles: DataFrame, motion: tuple[float, ...], cov: list[list[float]], step: int = 0) -> DataFrame:
+    """Particles (pid, x, y, z, qx, qy, qz, qw) moved by a six-degree motion (tx, ty, tz, qx, qy, qz, qw) in their own frames and then by
+    noise of full covariance over (tx, ty, tz, roll, pitch, yaw), drawn for each particle and ``step``.
+
+    The noise is a lower Cholesky factor times counted normal draws, so reruns agree; a direction without spread stays still. Quaternions are
+    normalised. Null poses stay null.
+    """
+    import numpy as np
+
+    c = np.array(cov, float)
+    values, vectors = np.linalg.eigh(c)
+    if values[0] < -1e-9 * max(abs(values[-1]), 1e-300):
+        raise ValueError("the covariance has a negative direction")
+    # the lower factor of a semi-definite matrix, from its square root's orthogonal decomposition
+    lower = np.linalg.qr((vectors * np.sqrt(np.maximum(values, 0))).T)[1].T
+    lower = lower * np.where(np.diag(lower) < 0, -1.0, 1.0)
+    rows = particles.withColumns({f"_z{k}": counted_normal(F.col("pid"), 8 * step + k) for k in range(6)})
+    noise = [sum((float(lower[i, k]) * F.col(f"_z{k}") for k in range(i + 1)), F.lit(0.0)) for i in range(6)]
+    rows = rows.withColumns({f"_n{i}": n for i, n in enumerate(noise)})
+    size = float(np.linalg.norm(motion[3:]))
+    turn = [F.lit(float(v) / size) for v in motion[3:]]
+    own = [F.col(q) for q in ("qx", "qy", "qz", "qw")]
+    length = F.sqrt(sum((q * q for q in own), F.lit(0.0)))
+    rows = rows.withColumns({f"_q{k}": q / length for k, q in enumerate(own)})
+    q = [F.col(f"_q{k}") for k in range(4)]
+    rows = rows.withColumns({f"_m{k}": v for k, v in enumerate(quaternion_product(q, turn))})
+    far = rotated(q, [F.lit(float(v)) for v in motion[:3]])
+    m = [F.col(f"_m{k}") for k in range(4)]
+    shaken = rotated(m, [F.col(f"_n{i}") for i in range(3)])
+    made = quaternion_product(m, G.rpy_quaternion(*(F.col(f"_n{i}") for i in range(3, 6))))
+    out = {a: F.col(a) + f + s for a, f, s in zip("xyz", far, shaken)} | dict(zip(("qx", "qy", "qz", "qw"), made))
+    return rows.withColumns(out).drop(*(f"_{n}{k}" for n, k in [("z", k) for k in range(6)] + [("n", k) for k in range(6)] + [("q", k) for k in range(4)] + [("m", k) for k in range(4)]))
