@@ -1,11 +1,14 @@
 """Incremental fusion of ordered scans into one map, and sequences of frames against a volume.
 
 A pose depends on the map of all scans before it, so scans follow each other; within a scan's step fitting, evidence and merging
-are distributed, and only the scan's own cells with the map's cells in their reach meet in one task, where the matcher runs.
+are distributed, and only the scan's own cells with the map's cells in their reach meet in one task, where the matcher runs. The map lies in
+tiles (see ``tiles``): a step reads and writes the tiles in the scan's reach.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,8 +17,9 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from . import sdf
 from .cells import COV, KEY, MEAN, fit, merge, transform, transform_points
-from .lineage import cut
+from .lineage import cut, shared_folder
 from .registration import match_arrays
+from .tiles import TileMap, bucketed
 from .updates import mean_update, rebinned
 
 _STATE = (*KEY, "n", *MEAN, *COV)
@@ -56,47 +60,76 @@ def matched(scan: DataFrame, cells: DataFrame, size: float, guess: np.ndarray, n
     return (np.array(row["pose"]).reshape(4, 4) @ guess, row["score"]) if row else (guess, 0.0)
 
 
-def fuse_scans(scans: DataFrame, order: str, size: float, motions: dict[int, np.ndarray] | None = None, first: np.ndarray | None = None, metres: float = 1.0, radians: float = np.pi / 4,
-               fuse_metres: float = 0.05, fuse_radians: float = 0.01, least: int = 6, coarse: bool = False, tile: float | None = None, evidence: bool = False) -> tuple[DataFrame, list[dict]]:
-    """The map of ordered scans (order, x, y, z in the sensor's frame) and a dict a scan: order, pose, score, accepted, fused.
+def _extent(points: DataFrame, size: float, origin: np.ndarray) -> tuple[tuple[int, int], tuple[int, int]] | None:
+    """Least and largest (ix, iy) of points and of the sensor's place."""
+    keys = points.select(*G.grid_keys(size))
+    row = keys.agg(*(f(k) for f in (F.min, F.max) for k in ("ix", "iy"))).first()
+    if row[0] is None:
+        return None
+    at = np.floor(origin[:2] / size + 0.5).astype(int).tolist()
+    return (min(row[0], at[0]), min(row[1], at[1])), (max(row[2], at[0]), max(row[3], at[1]))
+
+
+def fuse_tiles(scans: DataFrame, order: str, size: float, path: str | None = None, span: int = 64, motions: dict[int, np.ndarray] | None = None, known: dict[int, np.ndarray] | None = None, first: np.ndarray | None = None, metres: float = 1.0,
+               radians: float = np.pi / 4, fuse_metres: float = 0.05, fuse_radians: float = 0.01, least: int = 6, coarse: bool = False, evidence: bool = False) -> tuple[TileMap, list[dict]]:
+    """The map of ordered scans (order, x, y, z in the sensor's frame) as tiles, and a dict a scan: order, pose, score, accepted, fused, and the
+    tiles read and written.
 
-    Each scan is fitted, matched from the pose before it times its motion (identity without one), refused where that deviates from the
-    motion by more than ``metres`` or ``radians``, and merged into the map where it moved far enough since the last fused one.
-    ``coarse`` matches cells of three times the size first; ``tile`` matches against the map's tiles around the guess only; ``evidence``
-    updates occupancy by the scan's local Gaussians (column occ). The first scan starts the map. An empty frame gives (None, []).
+    Points are stored by scan once. Each scan is fitted, matched from the pose before it times its motion (identity without one),
+    refused where that deviates from the motion by more than ``metres`` or ``radians``, and merged into the map where it moved far enough
+    since the last fused one. A step reads the tiles within the scan's reach and writes those that the scan's cells (with ``evidence``, its rays) lie
+    in, whatever the map's size. ``known`` gives poses, which are taken without matching; ``coarse`` matches cells of three times the size first; ``evidence``
+    updates occupancy by the scan's local Gaussians (column occ). The first scan starts the map; a map found at ``path`` goes on. No scans leave the map as it is.
     """
-    path, pose, last, cells = [], np.eye(4) if first is None else np.array(first, float), None, None
-    for number in [r[0] for r in scans.select(order).distinct().orderBy(order).collect()]:
-        points = scans.filter(F.col(order) == number).select(order, *G.AXES)
-        local = cut(fit(points, size, least=least))
-        if cells is None:
-            score, good = 0.0, True
-        else:
-            guess, near = pose @ (motions or {}).get(number, np.eye(4)), cells
-            if tile is not None:
-                at = np.floor(guess[:2, 3] / tile + 0.5)
-                for m, c in zip(("mx", "my"), at.tolist()):
-                    near = near.filter(F.floor(F.col(m) / tile + 0.5).between(int(c) - 1, int(c) + 1))
-            start = matched(fit(points, 3 * size, least=least), rebinned(near.select(*_STATE), 3 * size), 3 * size, guess, 1)[0] if coarse else guess
-            found, score = matched(local, near, size, start)
+    spark = scans.sparkSession
+    home = f"{shared_folder(spark)}/fusion-{uuid.uuid4().hex}"
+    held = TileMap(spark, path or f"{home}/map", span)
+    numbers = bucketed(scans, order, f"{home}/scans", G.AXES)
+    stored = spark.read.parquet(f"{home}/scans") if numbers else None
+    out, pose, last = [], np.eye(4) if first is None else np.array(first, float), None
+    for number in numbers:
+        points = stored.filter(F.col("_order") == number).select(F.col("_order").alias(order), *G.AXES)
+        guess = known[number] if known else pose @ (motions or {}).get(number, np.eye(4)) if held.tiles else pose
+        margin, reads = (9 if coarse else 3), []
+        score, good, found = 0.0, True, guess
+        if held.tiles and not known:
+            reach = _extent(transform_points(points, _numbers(guess)), size, guess[:3, 3])
+            reads = held.around(*(tuple(k + d for k in at) for at, d in zip(reach, (-margin, margin)))) if reach else []
+            near = held.read(reads)
+            if near is not None:
+                near = near.select(*_STATE)
+                start = matched(fit(points, 3 * size, least=least), rebinned(near, 3 * size), 3 * size, guess, 1)[0] if coarse else guess
+                found, score = matched(cut(fit(points, size, least=least)), near, size, start)
             off = apart(guess, found)
             good = score < 0 and off[0] <= metres and off[1] <= radians
-            pose = found if good else guess
+        pose = found if good else guess
         far = last is None or (good and any(v > d for v, d in zip(apart(last, pose), (fuse_metres, fuse_radians))))
+        wrote = []
         if far:
             world = transform_points(points, _numbers(pose))
             own = fit(world, size, least=least).select(*_STATE)
-            if evidence and cells is not None:
-                new = mean_update(cells.select(*_STATE), world, size, order)
-                before = cells.select(*KEY, F.col("occ").alias("_o"))
-                new = new.join(before, list(KEY), "left").withColumn("occ", F.greatest(F.lit(-255.0), F.least(F.lit(255.0), F.col("occ") + F.coalesce("_o", F.lit(0.0))))).drop("_o")
-            elif cells is None:
+            reach = _extent(world, size, pose[:3, 3])
+            around = held.around(*reach) if reach else []
+            before = held.read(around)
+            reads = sorted({*reads, *around})
+            if before is None:
                 new = own.withColumn("occ", F.least(F.lit(255.0), F.col("n") * 0.4054651081081644)) if evidence else own
+            elif evidence:
+                new = mean_update(before.select(*_STATE), world, size, order)
+                occ = before.select(*KEY, F.col("occ").alias("_o"))
+                new = new.join(occ, list(KEY), "left").withColumn("occ", F.greatest(F.lit(-255.0), F.least(F.lit(255.0), F.col("occ") + F.coalesce("_o", F.lit(0.0))))).drop("_o")
             else:
-                new = merge(cells.unionByName(own))
-            cells, last = cut(new), pose
-        path.append({"order": number, "pose": pose, "score": score, "accepted": good, "fused": far})
-    return cells, path
+                new = merge(before.unionByName(own))
+            wrote = held.replace(new)
+            last = pose
+        out.append({"order": number, "pose": pose, "score": score, "accepted": good, "fused": far, "read": reads, "written": wrote})
+    return held, out
+
+
+def fuse_scans(scans: DataFrame, order: str, size: float, **options) -> tuple[DataFrame | None, list[dict]]:
+    """``fuse_tiles`` with the whole map as a frame; an empty frame gives (None, [])."""
+    held, path = fuse_tiles(scans, order, size, **options)
+    return held.read(), path
 
 
 def path_frame(spark, path: list[dict]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import features as FE
@@ -36,6 +37,24 @@ def fused_poses(spark, sf):
     return rounded(FU.path_frame(spark, FU.fuse_scans(cloud(spark, sf), "scan_id", SIZE, least=8)[1]), "tx", "ty", "tz", "yaw", "score", digits=4)
 
 
+_KNOWN = "kp AS (SELECT DISTINCT scan_id AS s, scan_id * 0.31 AS px, scan_id * 0.13 AS py, scan_id * 0.07 AS a FROM cloud)"
+_KEPT = """kr AS (SELECT *, row_number() OVER (ORDER BY s) AS rn FROM kp),
+kg AS (SELECT rn, s, px, py, a, true AS kept FROM kr WHERE rn = 1 UNION ALL SELECT r.rn, CASE WHEN far THEN r.s ELSE g.s END, CASE WHEN far THEN r.px ELSE g.px END, CASE WHEN far THEN r.py ELSE g.py END, CASE WHEN far THEN r.a ELSE g.a END, far
+  FROM kg g JOIN kr r ON r.rn = g.rn + 1, LATERAL (SELECT sqrt((r.px-g.px)**2+(r.py-g.py)**2) > 0.6 OR abs(r.a-g.a) > 0.5 AS far)),
+wd AS (SELECT s, cos(a)*x-sin(a)*y+px AS x, sin(a)*x+cos(a)*y+py AS y, z FROM cloud JOIN kg ON kept AND scan_id = s)"""
+_TILED = ", ".join(f"CAST(floor({c} / 0.2 + 0.5) AS INTEGER) AS i{c}" for c in "xyz")
+
+
+@plan(f"WITH RECURSIVE {CLOUD}, {_KNOWN}, {_KEPT}, k AS (SELECT *, {_TILED} FROM wd), e AS (SELECT * FROM k QUALIFY count(*) OVER (PARTITION BY s, ix, iy, iz) >= 3), m AS (SELECT ix, iy, iz, {_AROUND} FROM e GROUP BY ix, iy, iz) SELECT ix, iy, iz, n, {ROUND_STATS} FROM m")
+def tiled_map(spark, sf):
+    """The cloud's scans at known poses, those fused that moved far enough, as a map of tiles of 8 x 8 cells: cells after the last step."""
+    own = cloud(spark, sf)
+    numbers = [r[0] for r in own.select("scan_id").distinct().collect()]
+    known = {n: R.turned_pose(np.array([n * 0.31, n * 0.13, 0.0, 0.0, 0.0, n * 0.07])) for n in numbers}
+    held, _ = FU.fuse_tiles(own, "scan_id", 0.2, span=8, known=known, fuse_metres=0.6, fuse_radians=0.5, least=3)
+    return rounded(held.read(), "mx", "my", "mz", "cxx", "cxy", "cxz", "cyy", "cyz", "czz")
+
+
 @plan()
 def rotation_fits(spark, sf):
     """The three best rotations of every scan's directions onto the next scan's."""

@@ -11,7 +11,9 @@ from cairnmap.operators import fusion as FU
 from cairnmap.operators import grasp as GR
 from cairnmap.operators import planning as PL
 from cairnmap.operators import registration as R
+from cairnmap.operators import cells as C
 from cairnmap.operators import sdf as S
+from cairnmap.operators.tiles import TileMap
 
 from .test_matching import room
 
@@ -21,7 +23,7 @@ def scans(spark, poses, x):
     return spark.createDataFrame(rows, "scan int, x double, y double, z double")
 
 
-@pytest.mark.parametrize("more", [{}, {"evidence": True, "tile": 4.0, "coarse": True}])
+@pytest.mark.parametrize("more", [{}, {"evidence": True, "span": 8, "coarse": True}])
 def test_fused_scans(spark, more):
     x = room(np.random.default_rng(3))
     true = [np.eye(4), R.twist(np.array([0.05, -0.04, 0.03, 0.01, -0.01, 0.02])), R.twist(np.array([0.1, -0.06, 0.05, 0.01, -0.02, 0.04]))]
@@ -117,3 +119,35 @@ def test_zones_and_contents(spark):
     whole = spark.createDataFrame([(7, 0), (7, 1), (7, 2), (8, 0)], "patch int, id long")
     many = held.withColumn("k", F.monotonically_increasing_id())
     assert [r["patch"] for r in GR.zone_inclusion(many, small, whole).collect()] == [7]  # all fingers' wrenches reach all zones, one finger's don't
+
+
+def test_steps_touch_the_tiles_in_reach_only(spark, tmp_path):
+    """Rooms far apart, scanned in turn at known poses: what a step reads and writes is its own room's tiles; the map goes on after being opened again."""
+    x = room(np.random.default_rng(3))
+    places = [0.0, 200.0, 400.0, 0.3]
+    known = {k: R.turned_pose(np.array([p, -p, 0.0, 0.0, 0.0, 0.1 * k])) for k, p in enumerate(places)}
+    frame = scans(spark, [np.eye(4)] * 4, x)
+    held, path = FU.fuse_tiles(frame.filter("scan < 3"), "scan", 0.5, path=str(tmp_path / "map"), span=8, known=known)
+    whole = len(held.tiles)
+    assert all(not p["read"] for p in path) and sum(len(p["written"]) for p in path) == whole
+    again = TileMap(spark, str(tmp_path / "map"), 8)
+    assert again.tiles == held.tiles and again.version == 3
+    spark.range(3).write.parquet(str(tmp_path / "map/cells/00000004"))  # a step that died before its manifest
+    held, path = FU.fuse_tiles(frame.filter("scan = 3"), "scan", 0.5, path=str(tmp_path / "map"), span=8, known=known)
+    assert 0 < len(path[0]["read"]) < whole and len(path[0]["written"]) < whole and all(t[0] < 10 for t in path[0]["read"] + path[0]["written"])
+    held.prune()
+    assert sorted(held._versions("cells")) == sorted(set(held.tiles.values())) and held._versions("manifest") == [4]
+    per = None
+    for k in range(4):
+        own = C.fit(C.transform_points(frame.filter(F.col("scan") == k), known[k].reshape(-1).tolist()), 0.5, least=6)
+        per = own if per is None else per.union(own)
+    tidy = lambda d: sorted(tuple(round(float(v), 6) for v in r) for r in d.select(*C.KEY, "n", *C.MEAN, *C.COV).collect())
+    assert tidy(TileMap(spark, str(tmp_path / "map"), 8).read()) == tidy(C.merge(per))
+
+
+def test_tile_maps_of_nothing(spark, tmp_path):
+    held, path = FU.fuse_tiles(scans(spark, [], room(np.random.default_rng(3))), "scan", 0.5, path=str(tmp_path / "none"))
+    assert held.read() is None and path == [] and held.tiles == {}
+    two = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (None, 1.0, 1.0, 1.0)], "scan int, x double, y double, z double")
+    held, path = FU.fuse_tiles(two, "scan", 0.5, path=str(tmp_path / "few"))
+    assert [p["order"] for p in path] == [1] and held.read() is None
