@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import factorial
-
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .hull import convex_hull, corners
 from .lineage import cut
 
 WRENCH = ("f1", "f2", "f3", "t1", "t2", "t3")
@@ -27,6 +26,13 @@ def limit_surface(spark, kind: str = "hard", friction: float = 0.8, sides: int =
     return cone.union(twist)
 
 
+def finger_surfaces(fingers: DataFrame, finger: str, friction: str, sides: int = 8) -> DataFrame:
+    """finger, k, fx, fy, fz, tz of every finger's friction cone, by the finger's own friction; a null friction gives a null cone."""
+    angle = F.col("k") * (2 * 3.141592653589793 / sides)
+    rows = fingers.select(finger, friction, F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("k"))
+    return rows.select(finger, "k", (F.col(friction) * F.cos(angle)).alias("fx"), (F.col(friction) * F.sin(angle)).alias("fy"), F.lit(1.0).alias("fz"), F.lit(0.0).alias("tz"))
+
+
 def object_wrenches(vertices: DataFrame, surface: DataFrame, scale: float | None = None) -> DataFrame:
     """id, k and the six components of every vertex's wrenches; torques over the largest vertex distance unless a scale is given.
 
@@ -51,43 +57,41 @@ def object_wrenches(vertices: DataFrame, surface: DataFrame, scale: float | None
     return rows.select("id", "k", *(f.alias(c) for f, c in zip(force, WRENCH[:3])), *((t / scale).alias(c) for t, c in zip(torque, WRENCH[3:])))
 
 
-def hull_facets(points: np.ndarray, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
-    """Outward unit normals and offsets (n . x <= offset) of a small point set's convex hull, by enumerating its candidate facets."""
-    d = points.shape[1]
-    normals, offsets = [], []
-    subsets = np.array(list(combinations(range(len(points)), d)))
-    for a in range(0, len(subsets), 200_000):
-        own = points[subsets[a : a + 200_000]]
-        edges = own[:, 1:] - own[:, :1]
-        minors = [(-1) ** k * np.linalg.det(np.delete(edges, k, axis=2)) for k in range(d)]
-        normal = np.stack(minors, 1)
-        size = np.linalg.norm(normal, axis=1)
-        good = size > 1e-10
-        normal, base = normal[good] / size[good, None], own[good, 0]
-        offset = (normal * base).sum(1)
-        side = normal @ points.T - offset[:, None]
-        up, down = (side <= tolerance).all(1), (side >= -tolerance).all(1)
-        normals += [normal[up], -normal[down & ~up]]
-        offsets += [offset[up], -offset[down & ~up]]
-    if not normals:
-        return np.zeros((0, d)), np.zeros(0)
-    both = np.unique(np.round(np.column_stack((np.concatenate(normals), np.concatenate(offsets))), 9), axis=0)
-    return both[:, :d], both[:, d]
+def hull_facets(points: np.ndarray, digits: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Outward unit normals and offsets (n . x <= offset) of the different facets of a point set's convex hull; none for flat points."""
+    hull = convex_hull(points)
+    if hull is None:
+        return np.zeros((0, points.shape[1])), np.zeros(0)
+    both = np.column_stack((hull.normals, hull.offsets))
+    both = both[np.unique(np.round(both, digits) + 0.0, axis=0, return_index=True)[1]]
+    return both[:, :-1], both[:, -1]
+
+
+def hull_wrenches(wrenches: DataFrame, by: str) -> DataFrame:
+    """by and components of the wrenches that their grasp's hull can need: in every batch of a task, each grasp's corners. A corner of the whole
+    is one of any part that holds it, so hulls of the rest are the same, and a grasp of any size meets as its parts' corners."""
+    kind = dict(wrenches.dtypes)[by]
+
+    def run(batches):
+        for batch in batches:
+            yield pd.concat([own.iloc[corners(own[list(WRENCH)].to_numpy(float))] for _, own in batch.groupby(by, dropna=False, sort=False)]) if len(batch) else batch
+
+    return wrenches.select(by, *WRENCH).dropna().mapInPandas(run, f"`{by}` {kind}, " + ", ".join(f"{w} double" for w in WRENCH))
 
 
 def grasp_quality(wrenches: DataFrame, by: str) -> DataFrame:
     """by, facets, radius, force_closure, volume, area of each grasp's wrench set: the largest ball about the origin inside the hull, and the
-    hull's contents. A grasp has a few dozen wrenches."""
+    hull's contents. Wrenches are cut to their parts' corners before a grasp meets in one task. Flat sets give zeros; rows with nulls don't count."""
 
     def run(group):
-        points = group[list(WRENCH)].to_numpy(float)
-        normals, offsets = hull_facets(points) if len(points) > 6 else (np.zeros((0, 6)), np.zeros(0))
-        radius = float(offsets.min()) if len(offsets) else 0.0
-        volume, area = measured_hull(np.unique(points, axis=0)) if len(offsets) else (0.0, 0.0)
-        return group.iloc[:1][[by]].assign(facets=len(offsets), radius=max(radius, 0.0), force_closure=radius > 1e-9, volume=volume, area=area)
+        hull = convex_hull(group[list(WRENCH)].to_numpy(float))
+        if hull is None:
+            return group.iloc[:1][[by]].assign(facets=0, radius=0.0, force_closure=False, volume=0.0, area=0.0)
+        radius = float(hull.offsets.min())
+        return group.iloc[:1][[by]].assign(facets=hull.planes(), radius=max(radius, 0.0), force_closure=radius > 1e-9, volume=hull.volume(), area=hull.area())
 
     kind = dict(wrenches.dtypes)[by]
-    return wrenches.select(by, *WRENCH).groupBy(by).applyInPandas(run, f"{by} {kind}, facets long, radius double, force_closure boolean, volume double, area double")
+    return hull_wrenches(wrenches, by).groupBy(by).applyInPandas(run, f"`{by}` {kind}, facets long, radius double, force_closure boolean, volume double, area double")
 
 
 def zone_inclusion(wrenches: DataFrame, zones: DataFrame, patches: DataFrame) -> DataFrame:
@@ -135,27 +139,10 @@ def shared_surfaces(fingers: DataFrame, finger: str, parameters: tuple[str, ...]
     return fingers.join(kinds.select(*parameters, number), list(parameters)).select(finger, "surface")
 
 
-def measured_hull(points: np.ndarray, tolerance: float = 1e-9) -> tuple[float, float]:
-    """Volume and surface content of a small point set's convex hull in any dimension: pyramids over the facets from the mean point, a facet's
-    content measured in its own hyperplane the same way."""
-    d = points.shape[1]
-    if d == 1:
-        return float(np.ptp(points)), 2.0
-    if len(points) <= d:
-        return 0.0, 0.0
-    if len(points) == d + 1:  # a simplex
-        edges = points[1:] - points[0]
-        faces = [np.delete(points, k, 0) for k in range(d + 1)]
-        content = [np.sqrt(max(0.0, np.linalg.det((f[1:] - f[0]) @ (f[1:] - f[0]).T))) for f in faces]
-        return float(abs(np.linalg.det(edges)) / factorial(d)), float(sum(content) / factorial(d - 1))
-    normals, offsets = hull_facets(points, tolerance)
-    middle, volume, area = points.mean(0), 0.0, 0.0
-    for normal, offset in zip(normals, offsets):
-        own = points[np.abs(points @ normal - offset) < 1e-7]
-        basis = np.linalg.svd(normal[None])[2][1:]
-        content = measured_hull(np.unique(np.round((own - own[0]) @ basis.T, 12), axis=0), tolerance)[0]
-        volume, area = volume + content * (offset - normal @ middle) / d, area + content
-    return float(volume), float(area)
+def measured_hull(points: np.ndarray) -> tuple[float, float]:
+    """Volume and surface content of a point set's convex hull; zeros for flat points."""
+    hull = convex_hull(points)
+    return (0.0, 0.0) if hull is None else (hull.volume(), hull.area())
 
 
 def shifted_zones(wrenches: DataFrame, by: str, finger: str, alpha: float) -> DataFrame:
@@ -169,16 +156,12 @@ def shifted_zones(wrenches: DataFrame, by: str, finger: str, alpha: float) -> Da
     schema = f"`{by}` {kinds[by]}, `{finger}` {kinds[finger]}, zone int, facet int, " + ", ".join(f"n{k} double" for k in range(6)) + ", off double"
 
     def run(group):
-        import pandas as pd
-
         group = group.sort_values([*WRENCH, finger]).reset_index(drop=True)
         points = group[list(WRENCH)].to_numpy(float)
-        normals, offsets = hull_facets(points) if len(points) > 6 else (np.zeros((0, 6)), np.zeros(0))
+        normals, offsets = hull_facets(points)
         radius = offsets.min() if len(offsets) else 0.0
-        rows = []
-        if radius > 1e-9:
-            zone, facet = np.nonzero(np.abs(points @ normals.T - offsets) < 1e-7)
-            rows = [(group[by][z], group[finger][z], z, f, *normals[f], float(alpha * radius)) for z, f in zip(zone.tolist(), facet.tolist())]
-        return pd.DataFrame(rows, columns=[by, finger, "zone", "facet", *(f"n{k}" for k in range(6)), "off"])
+        zone, facet = np.nonzero(np.abs(points @ normals.T - offsets) < 1e-7) if radius > 1e-9 else (np.zeros(0, int), np.zeros(0, int))
+        own = {by: group[by].to_numpy()[zone], finger: group[finger].to_numpy()[zone], "zone": zone, "facet": facet}
+        return pd.DataFrame(own | {f"n{k}": normals[facet, k] for k in range(6)} | {"off": np.full(len(zone), alpha * radius)})
 
     return wrenches.select(by, finger, *WRENCH).groupBy(by).applyInPandas(run, schema)

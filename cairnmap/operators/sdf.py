@@ -10,13 +10,26 @@ from ..functions import geometry as G
 VOXEL = ("i", "j", "k")
 
 
-def fuse_depth(voxels: DataFrame, depth: DataFrame, fx: float, fy: float, cx: float, cy: float, size: float, cut: float) -> DataFrame:
-    """Voxels (i, j, k in camera frame, centres at size * index) updated by one depth frame (u, v, depth): equality join on the rounded pixel."""
+def fuse_depth(voxels: DataFrame, depth: DataFrame, fx: float, fy: float, cx: float, cy: float, size: float, cut: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, i, j, k, d, w: voxels (i, j, k in camera frame, centres at size * index) updated by a depth frame (u, v, depth), or each frame's own by ``by``:
+    equality join on the rounded pixel."""
     x, y, z = (F.col(a) * size for a in VOXEL)
     u, v = G.project(fx, fy, cx, cy, x, y, z)
-    seen = voxels.filter(F.col("k") > 0).select("*", F.floor(u + 0.5).cast("int").alias("u"), F.floor(v + 0.5).cast("int").alias("v")).join(depth, ["u", "v"])
+    seen = voxels.filter(F.col("k") > 0).select("*", F.floor(u + 0.5).cast("int").alias("u"), F.floor(v + 0.5).cast("int").alias("v")).join(depth, [*by, "u", "v"])
     gap = F.col("depth") - F.col("k") * size
-    return seen.filter(F.col("depth").isNotNull() & (gap > -cut)).select(*VOXEL, F.least(gap, F.lit(cut)).alias("d"), F.lit(1.0).alias("w"))
+    return seen.filter(F.col("depth").isNotNull() & (gap > -cut)).select(*by, *VOXEL, F.least(gap, F.lit(cut)).alias("d"), F.lit(1.0).alias("w"))
+
+
+def valid_depth(depth: DataFrame, by: tuple[str, ...] = (), least: float = 0.4) -> DataFrame:
+    """by, u, v, depth, valid: whether a pixel, its left and its upper neighbour all are there and beyond ``least``. Repeated pixels count once
+    each, beside the pixel before them."""
+    from pyspark.sql import Window
+
+    left = F.lag(F.struct("u", "depth")).over(Window.partitionBy(*by, "v").orderBy("u"))
+    top = F.lag(F.struct("v", "depth")).over(Window.partitionBy(*by, "u").orderBy("v"))
+    good = lambda c: F.coalesce((c > least) & ~F.isnan(c), F.lit(False))
+    beside = (left["u"] == F.col("u") - 1) & good(left["depth"]) & (top["v"] == F.col("v") - 1) & good(top["depth"])
+    return depth.select(*by, "u", "v", "depth", (good(F.col("depth")) & F.coalesce(beside, F.lit(False))).alias("valid"))
 
 
 def merge(*parts: DataFrame, most: float = 1e9) -> DataFrame:

@@ -15,7 +15,7 @@ from ..operators import sdf as S
 from .extents import EIG
 from .motion import _GRID, _LIK, weighted
 from .registry import CLOUD, ROUND_STATS, SIZE, cells, cloud, plan, poses, rnd, rounded, table
-from .volumes import ball, sphere
+from .volumes import grasps, volume
 
 _AROUND = "count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, covar_samp(x,x) AS cxx, covar_samp(x,y) AS cxy, covar_samp(x,z) AS cxz, covar_samp(y,y) AS cyy, covar_samp(y,z) AS cyz, covar_samp(z,z) AS czz"
 
@@ -28,7 +28,7 @@ def feature_cells(spark, sf):
 
 @plan(f"WITH {_GRID}, {_LIK}, t AS (SELECT pid, round(p, 9) AS p FROM n ORDER BY round(p, 9) DESC, pid LIMIT 100) SELECT pid, {rnd('p/sum(p) OVER ()', 'p', 8)} FROM t")
 def particle_resized(spark, sf):
-    return rounded(PF.resized(rounded(weighted(spark), "p", digits=9), 100).select("pid", "p"), "p", digits=8)
+    return rounded(PF.resized(rounded(weighted(spark, sf), "p", digits=9), 100).select("pid", "p"), "p", digits=8)
 
 
 @plan()
@@ -66,8 +66,8 @@ def rotation_fits(spark, sf):
 @plan()
 def sdf_render(spark, sf):
     k = F.col("c_custkey")
-    rays = table(spark, sf, "customer").select(k.alias("id"), ((k % 100) / 60.0 - 0.8).alias("ox"), ((k % 37) / 30.0 - 0.6).alias("oy"), F.lit(-1.1).alias("oz"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(1.0).alias("dz"), F.lit(0.05).alias("start"))
-    return rounded(S.render(rays, ball(spark), 0.1, 0.35, "id"), "t", digits=4)
+    rays = table(spark, sf, "customer").select(k.alias("id"), ((k % 100) / 150.0 - 0.33).alias("ox"), ((k % 37) / 60.0 - 0.3).alias("oy"), F.lit(-1.1).alias("oz"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(1.0).alias("dz"), F.lit(0.05).alias("start"))
+    return rounded(S.render(rays, volume(spark, sf), 0.1, 0.35, "id"), "t", digits=4)
 
 
 @plan()
@@ -80,8 +80,5 @@ def grown_polygons(spark, sf):
 
 @plan()
 def grasp_zones(spark, sf):
-    v, _ = sphere(spark)
-    w = GR.object_wrenches(v, GR.limit_surface(spark, "soft", sides=3))
-    grasps = spark.createDataFrame([(0, 0, 40), (0, 1, 44), (0, 2, 48)], "grasp int, finger int, id long")
-    zones = GR.shifted_zones(rounded(w.join(F.broadcast(grasps), "id"), *GR.WRENCH), "grasp", "finger", 0.5)
+    zones = GR.shifted_zones(grasps(spark, sf, "hard"), "grasp", "finger", 0.5)
     return zones.groupBy("grasp", "finger", "zone").agg(F.count("*").alias("facets"), F.round(F.max("off"), 6).alias("off"))

@@ -12,10 +12,11 @@ from ..operators import joins as J
 from ..operators import planning as P
 from ..operators import sdf as S
 from ..operators.lineage import cut
-from ..sources.readers import camera_table as camera
+from ..sources.readers import camera_tables
 from .extents import EIG, KIND
 from .registry import CLOUD, COV, FIRM, SIZE, firm, inverse_sql, plan, quadratic_sql, rnd, rounded, table
-from .volumes import _BALL, _BOX, ball, sphere
+from .volumes import _BALL, _VERT, mesh, volume
+from .volumes import _EDGES as _LINKS
 
 _KINDS = f"{FIRM}, {EIG}, kd AS (SELECT *, ix || ':' || iy || ':' || iz AS name, ix*0.1::DOUBLE AS x, iy*0.1::DOUBLE AS y, iz*0.1::DOUBLE AS z, {KIND} AS class FROM eig WHERE l0 > 0)"
 
@@ -54,16 +55,18 @@ def drivable_cells(spark, sf):
 
 
 def _rounds(n: int) -> str:
-    step = "c{k} AS (SELECT u, v, x0, y0, x0/(1+0.1*(x*x+y*y)-0.05*(x*x+y*y)*(x*x+y*y)) AS x, y0/(1+0.1*(x*x+y*y)-0.05*(x*x+y*y)*(x*x+y*y)) AS y FROM c{j})"
+    step = "c{k} AS (SELECT camera, u, v, x0, y0, x0/(1+0.1*(x*x+y*y)-0.05*(x*x+y*y)*(x*x+y*y)) AS x, y0/(1+0.1*(x*x+y*y)-0.05*(x*x+y*y)*(x*x+y*y)) AS y FROM c{j})"
     return ", ".join(step.replace("{k}", str(k)).replace("{j}", str(k - 1)) for k in range(1, n + 1))
 
 
-@plan(f"WITH p AS (SELECT CAST(i % 64 AS INTEGER) AS u, CAST(i // 64 AS INTEGER) AS v FROM (SELECT unnest(range(64*48)) AS i)), c0 AS (SELECT u, v, (u-32.0::DOUBLE)/60.0 AS x0, (v-24.0::DOUBLE)/60.0 AS y0, (u-32.0::DOUBLE)/60.0 AS x, (v-24.0::DOUBLE)/60.0 AS y FROM p), {_rounds(5)} SELECT u, v, {rnd('x', 'x')}, {rnd('y', 'y')} FROM c5")
+@plan(f"WITH p AS (SELECT s_suppkey AS camera, CAST(i % 16 AS INTEGER) AS u, CAST(i // 16 AS INTEGER) AS v, 15.0::DOUBLE + s_suppkey % 7 AS f FROM supplier, (SELECT unnest(range(16*12)) AS i)), c0 AS (SELECT camera, u, v, (u-8.0::DOUBLE)/f AS x0, (v-6.0::DOUBLE)/f AS y0, (u-8.0::DOUBLE)/f AS x, (v-6.0::DOUBLE)/f AS y FROM p), {_rounds(5)} SELECT camera, u, v, {rnd('x', 'x')}, {rnd('y', 'y')} FROM c5")
 def camera_table(spark, sf):
-    return rounded(camera(spark, 64, 48, 60.0, 60.0, 32.0, 24.0, 0.1, -0.05), "x", "y")
+    """The viewing directions of every camera: one a supplier."""
+    k = F.col("s_suppkey")
+    cameras = table(spark, sf, "supplier").select(k.alias("camera"), *((15.0 + k % 7).alias(f) for f in ("fx", "fy")), F.lit(8.0).alias("cx"), F.lit(6.0).alias("cy"), F.lit(0.1).alias("k1"), F.lit(-0.05).alias("k2"))
+    return rounded(camera_tables(cameras, "camera", 16, 12), "x", "y")
 
 
-_VERT = "vt AS (SELECT id, 0.5*sin(r*3.141592653589793/10)*cos(s*2*3.141592653589793/12) AS x, 0.5*sin(r*3.141592653589793/10)*sin(s*2*3.141592653589793/12) AS y, 0.5*cos(r*3.141592653589793/10) AS z, r, s FROM (SELECT id, id // 12 + 1 AS r, id % 12 AS s FROM (SELECT unnest(range(108)) AS id)))"
 _TOUCH = "tc AS (SELECT c_custkey AS contact, 0.5*sin(p)*cos(t) AS x, 0.5*sin(p)*sin(t) AS y, 0.5*cos(p) AS z FROM (SELECT c_custkey, (c_custkey % 311 + 1)*0.01::DOUBLE AS p, (c_custkey % 627)*0.01::DOUBLE AS t FROM customer))"
 
 
@@ -71,16 +74,17 @@ _TOUCH = "tc AS (SELECT c_custkey AS contact, 0.5*sin(p)*cos(t) AS x, 0.5*sin(p)
 def contact_vertices(spark, sf):
     p, t = (F.col("c_custkey") % 311 + 1) * 0.01, F.col("c_custkey") % 627 * 0.01
     points = table(spark, sf, "customer").select(F.col("c_custkey").alias("contact"), (0.5 * F.sin(p) * F.cos(t)).alias("x"), (0.5 * F.sin(p) * F.sin(t)).alias("y"), (0.5 * F.cos(p)).alias("z"))
-    return rounded(J.nearest_vertex(points, sphere(spark)[0], 0.3, "contact", "id"), "dist")
+    return rounded(J.nearest_vertex(points, mesh(spark, sf)[0], 0.3, "contact", "id"), "dist")
 
 
-_MESH = "me AS (SELECT id AS src, (r-1)*12+(s+1)%12 AS dst FROM vt UNION ALL SELECT id, id+12 FROM vt WHERE r < 9), mb AS (SELECT src, dst FROM me UNION ALL SELECT dst, src FROM me), mo AS (SELECT src, dst FROM mb JOIN vt a ON a.id = src AND a.z/0.5 > -0.2 JOIN vt b ON b.id = dst AND b.z/0.5 > -0.2)"
+_MESH = f"{_LINKS}, mo AS (SELECT src, dst FROM me JOIN vt a ON a.id = src AND a.nz > -0.2 JOIN vt b ON b.id = dst AND b.nz > -0.2), st AS (SELECT min(id) AS id FROM vt WHERE nz > -0.2)"
 
 
-@plan(f"WITH RECURSIVE {_VERT}, {_MESH}, gr(id, hops) AS (SELECT CAST(40 AS BIGINT), 0 UNION SELECT dst, hops + 1 FROM gr JOIN mo ON src = id WHERE hops < 40) SELECT id, CAST(min(hops) AS INTEGER) AS hops FROM gr GROUP BY id")
+@plan(f"WITH RECURSIVE {_VERT}, {_MESH}, gr(id, hops) AS (SELECT id, 0 FROM st UNION SELECT dst, hops + 1 FROM gr JOIN mo ON src = gr.id WHERE hops < 150) SELECT id, CAST(min(hops) AS INTEGER) AS hops FROM gr GROUP BY id")
 def contact_region(spark, sf):
-    v, e = sphere(spark)
-    return GR.contact_region(e, v.filter("nz > -0.2"), 40)
+    v, e = mesh(spark, sf)
+    good = v.filter("nz > -0.2").persist()
+    return GR.contact_region(e, good, good.agg(F.min("id")).first()[0])
 
 
 @plan("WITH f AS (SELECT c_custkey, c_custkey % 3 AS kind, c_custkey % 4 AS sides FROM customer) SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY kind, sides) - 1 AS INTEGER) AS surface FROM f")
@@ -89,7 +93,7 @@ def shared_surfaces(spark, sf):
     return GR.shared_surfaces(f, "c_custkey", ("kind", "sides"))
 
 
-_Q = "q AS (SELECT c_custkey AS id, (c_custkey % 100)/60.0::DOUBLE-0.8 AS x, (c_custkey % 37)/30.0::DOUBLE-0.6 AS y, (c_custkey % 11)/10.0::DOUBLE-0.47 AS z FROM customer)"
+_Q = "q AS (SELECT c_custkey AS id, (c_custkey % 100)/120.0::DOUBLE-0.4 AS x, (c_custkey % 37)/60.0::DOUBLE-0.3 AS y, (c_custkey % 11)/20.0::DOUBLE-0.23 AS z FROM customer)"
 _SEVEN = "o AS (SELECT * FROM (VALUES (0, 0, 0, 0), (1, 1, 0, 0), (2, -1, 0, 0), (3, 0, 1, 0), (4, 0, -1, 0), (5, 0, 0, 1), (6, 0, 0, -1)) t(kk, dx, dy, dz)), s7 AS (SELECT id, kk, (x+dx*0.05::DOUBLE)/0.1 AS fx, (y+dy*0.05::DOUBLE)/0.1 AS fy, (z+dz*0.05::DOUBLE)/0.1 AS fz FROM q, o)"
 _CORN = "cn AS (SELECT id, kk, CAST(floor(fx) AS INTEGER)+a AS i, CAST(floor(fy) AS INTEGER)+b AS j, CAST(floor(fz) AS INTEGER)+c AS k, CASE WHEN a = 1 THEN fx-floor(fx) ELSE 1-(fx-floor(fx)) END*CASE WHEN b = 1 THEN fy-floor(fy) ELSE 1-(fy-floor(fy)) END*CASE WHEN c = 1 THEN fz-floor(fz) ELSE 1-(fz-floor(fz)) END AS wt FROM s7, (SELECT unnest(range(2)) AS a), (SELECT unnest(range(2)) AS b), (SELECT unnest(range(2)) AS c))"
 _VAL = "lk AS (SELECT id, kk, sum(wt*coalesce(d, 0.35)) AS d FROM cn LEFT JOIN ball USING (i, j, k) GROUP BY id, kk), pv AS (SELECT id, " + "max(CASE WHEN kk = 0 THEN d END) AS d, " + ", ".join(f"(max(CASE WHEN kk = {2 * n + 1} THEN d END)-max(CASE WHEN kk = {2 * n + 2} THEN d END))/0.1 AS g{a}" for n, a in enumerate("xyz")) + " FROM lk GROUP BY id)"
@@ -98,9 +102,9 @@ _EQ = "je AS (SELECT d, " + ", ".join(f"{e} AS j{i}" for i, e in enumerate(_JAC)
 _UP = [(i, k) for i in range(6) for k in range(i, 6)]
 
 
-@plan(f"WITH {_BOX}, {_BALL}, {_Q}, {_SEVEN}, {_CORN}, {_VAL}, {_EQ} SELECT count(*) AS n, {', '.join(rnd(f'sum(w*j{i}*d)', f'g{i}', 4) for i in range(6))}, {', '.join(rnd(f'sum(w*j{i}*j{k})', f'a{i}{k}', 3) for i, k in _UP)} FROM je")
+@plan(f"WITH {_BALL}, {_Q}, {_SEVEN}, {_CORN}, {_VAL}, {_EQ} SELECT count(*) AS n, {', '.join(rnd(f'sum(w*j{i}*d)', f'g{i}', 4) for i in range(6))}, {', '.join(rnd(f'sum(w*j{i}*j{k})', f'a{i}{k}', 3) for i, k in _UP)} FROM je")
 def sdf_normal_equations(spark, sf):
     k = F.col("c_custkey")
-    q = table(spark, sf, "customer").select(k.alias("id"), ((k % 100) / 60.0 - 0.8).alias("x"), ((k % 37) / 30.0 - 0.6).alias("y"), ((k % 11) / 10.0 - 0.47).alias("z"))
-    out = S.normal_equations(q, ball(spark), 0.1, 0.35, "id", 0.05)
+    q = table(spark, sf, "customer").select(k.alias("id"), ((k % 100) / 120.0 - 0.4).alias("x"), ((k % 37) / 60.0 - 0.3).alias("y"), ((k % 11) / 20.0 - 0.23).alias("z"))
+    out = S.normal_equations(q, volume(spark, sf), 0.1, 0.35, "id", 0.05)
     return rounded(rounded(out, *(f"g{i}" for i in range(6)), digits=4), *(f"a{i}{k}" for i, k in _UP), digits=3)

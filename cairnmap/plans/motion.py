@@ -91,7 +91,7 @@ def median_gap(spark, sf):
     return rounded(odometry(spark, sf).withColumn("g", gap).filter("g is not null").groupBy("robot_id").agg(F.median("g").alias("gap")), "gap", digits=3)
 
 
-_GRID = "g AS (SELECT pid, -1 + (pid // 60) % 10 * (2.0::DOUBLE/10) AS x, -1 + (pid // 6) % 10 * (2.0::DOUBLE/10) AS y, 0 + pid % 6 * (0.6::DOUBLE/6) AS a, 1.0::DOUBLE/600 AS p FROM (SELECT unnest(range(600)) AS pid))"
+_GRID = f"{CLOUD}, g AS (SELECT pid, x * 4 AS x, y * 4 AS y, z AS a, 1.0::DOUBLE / count(*) OVER () AS p FROM cloud)"
 
 
 def two_streams(spark, sf):
@@ -124,7 +124,7 @@ def replayed_poses(spark, sf):
 def particle_lines(spark, sf):
     from ..sources.writers import particle_lines as lines
 
-    return lines(rounded(grid(spark), "x", "y", "a", "p", digits=9))
+    return lines(grid(spark, sf))
 
 
 @plan(f"WITH {POSES}, r AS (SELECT robot_id, seq, x, y, yaw FROM poses) SELECT robot_id, seq, printf('%.6f %.6f 0 0 0 %.6f %.6f', round(x, 6)+0.0, round(y, 6)+0.0, round(sin(yaw/2), 6)+0.0, round(cos(yaw/2), 6)+0.0) AS line FROM r")
@@ -155,25 +155,27 @@ def latest_contact(spark, sf):
 
 
 
-def grid(spark):
-    return PF.uniform_grid(spark, (-1, -1, 0), (1, 1, 0.6), (10, 10, 6))
+def grid(spark, sf):
+    """The cloud's points as particles of equal weight: x and y four times as far, z as the heading."""
+    own = cloud(spark, sf).select("pid", (F.col("x") * 4).alias("x"), (F.col("y") * 4).alias("y"), F.col("z").alias("a"), F.lit(1.0).alias("lik"))
+    return own.crossJoin(F.broadcast(own.agg((1 / F.count("*")).alias("p"))))
 
 
 @plan(f"WITH {_GRID} SELECT pid, {rnd('x+0.1*cos(a)-0.05*sin(a)', 'x')}, {rnd('y+0.1*sin(a)+0.05*cos(a)', 'y')}, {rnd('atan2(sin(a+0.02), cos(a+0.02))', 'a')} FROM g")
 def particle_predict(spark, sf):
-    return rounded(PF.predict(grid(spark), 0.1, 0.05, 0.02).select("pid", "x", "y", "a"), "x", "y", "a")
+    return rounded(PF.predict(grid(spark, sf), 0.1, 0.05, 0.02).select("pid", "x", "y", "a"), "x", "y", "a")
 
 
 _LIK = "w AS (SELECT *, exp(-(x*x+y*y)) AS lik FROM g), n AS (SELECT pid, x, y, a, p*lik/sum(p*lik) OVER () AS p FROM w)"
 
 
-def weighted(spark):
-    return PF.normalise(grid(spark).withColumn("lik", F.exp(-(F.col("x") ** 2 + F.col("y") ** 2))))
+def weighted(spark, sf):
+    return PF.normalise(grid(spark, sf).withColumn("lik", F.exp(-(F.col("x") ** 2 + F.col("y") ** 2))))
 
 
 @plan(f"WITH {_GRID}, {_LIK} SELECT pid, {rnd('p', 'p', 9)} FROM n")
 def particle_weights(spark, sf):
-    return rounded(weighted(spark).select("pid", "p"), "p", digits=9)
+    return rounded(weighted(spark, sf).select("pid", "p"), "p", digits=9)
 
 
 _C2 = "1/(1-sum(p*p))"
@@ -181,22 +183,22 @@ _C2 = "1/(1-sum(p*p))"
 
 @plan(f"WITH {_GRID}, {_LIK} SELECT {rnd('sum(p*x)', 'mean_x')}, {rnd('sum(p*y)', 'mean_y')}, {rnd('atan2(sum(p*sin(a)), sum(p*cos(a)))', 'mean_a')}, {rnd(f'(sum(p*x*x)-sum(p*x)**2)*{_C2}', 'var_x')}, {rnd(f'(sum(p*y*y)-sum(p*y)**2)*{_C2}', 'var_y')}, {rnd(f'(sum(p*x*y)-sum(p*x)*sum(p*y))*{_C2}', 'cov_xy')} FROM n")
 def particle_moments(spark, sf):
-    return rounded(PF.moments(weighted(spark)), "mean_x", "mean_y", "mean_a", "var_x", "var_y", "cov_xy")
+    return rounded(PF.moments(weighted(spark, sf)), "mean_x", "mean_y", "mean_a", "var_x", "var_y", "cov_xy")
 
 
 @plan(f"WITH {_GRID}, {_LIK}, c AS (SELECT pid, sum(p) OVER (ORDER BY pid) AS c, p, count(*) OVER () AS n FROM n), k AS (SELECT pid, CAST(ceil(round(n*c-0.37, 9))-ceil(round(n*(c-p)-0.37, 9)) AS INTEGER) AS copies FROM c) SELECT pid, copies FROM k WHERE copies > 0")
 def particle_resampling(spark, sf):
-    return PF.resample(weighted(spark), 0.37, 100).select("pid", "copies")
+    return PF.resample(weighted(spark, sf), 0.37, 1000).select("pid", "copies")
 
 
 @plan(f"WITH {_GRID}, {_LIK}, b AS (SELECT * FROM n ORDER BY p DESC, pid LIMIT 50) SELECT {rnd('avg(a)', 'a', 2)} FROM b")
 def particle_best(spark, sf):
-    return rounded(PF.best(weighted(spark), 50).select("a"), "a", digits=2)
+    return rounded(PF.best(weighted(spark, sf), 50).select("a"), "a", digits=2)
 
 
 @plan(f"WITH {_GRID}, {_LIK} SELECT {rnd('stddev_pop(p)', 'std', 9)}, stddev_pop(p) > 0.006 OR 30 > 25 AS resample FROM n")
 def particle_trigger(spark, sf):
-    return rounded(PF.needs_resampling(weighted(spark), 30), "std", digits=9)
+    return rounded(PF.needs_resampling(weighted(spark, sf), 30), "std", digits=9)
 
 
 @plan()

@@ -152,16 +152,18 @@ def wavefront_path(spark, sf):
     return P.path(costs, far)
 
 
-def raster(spark, n: int = 60):
-    return spark.range(n * n).select((F.col("id") / n).cast("int").alias("i"), (F.col("id") % n).cast("int").alias("j")).withColumn("occ", (7 * F.col("i") + 13 * F.col("j")) % 37 == 0)
+def raster(spark, sf):
+    """A pixel for every customer, in rows of 40."""
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").select(F.floor(k / 40).cast("int").alias("i"), (k % 40).cast("int").alias("j")).withColumn("occ", (7 * F.col("i") + 13 * F.col("j")) % 37 == 0)
 
 
-_RASTER = "raster AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, (7*i+13*j) % 37 = 0 AS occ FROM (SELECT unnest(range(60)) AS i), (SELECT unnest(range(60)) AS j))"
+_RASTER = "raster AS (SELECT CAST(c_custkey // 40 AS INTEGER) AS i, CAST(c_custkey % 40 AS INTEGER) AS j, (7*(c_custkey // 40)+13*(c_custkey % 40)) % 37 = 0 AS occ FROM customer)"
 
 
 @plan(f"WITH {_RASTER} SELECT r.i, r.j FROM raster r WHERE NOT EXISTS (SELECT 1 FROM raster o WHERE o.occ AND o.i - r.i IN (0, 1) AND o.j - r.j IN (0, 1))")
 def allowed_positions(spark, sf):
-    return P.allowed_positions(raster(spark), [(0, 0), (0, 1), (1, 0), (1, 1)])
+    return P.allowed_positions(raster(spark, sf), [(0, 0), (0, 1), (1, 0), (1, 1)])
 
 
 @plan("WITH l AS (SELECT c_custkey, CAST(c_custkey % 17 AS INTEGER) i0, CAST(c_custkey % 13 AS INTEGER) j0, CAST(c_custkey % 7 AS INTEGER) i1, CAST(c_custkey % 29 AS INTEGER) j1 FROM customer), s AS (SELECT *, unnest(range(greatest(abs(i1-i0), abs(j1-j0)) + 1)) AS step FROM l) SELECT c_custkey, CAST(step AS INTEGER) AS step, CAST(i0 + sign(i1-i0)*least(step, abs(i1-i0)) AS INTEGER) AS i, CAST(j0 + sign(j1-j0)*least(step, abs(j1-j0)) AS INTEGER) AS j FROM s")

@@ -128,11 +128,19 @@ def tiles_around(tiles: DataFrame, tx: int, ty: int, reach: int = 1) -> DataFram
     return tiles.filter(F.col("tile_x").between(tx - reach, tx + reach) & F.col("tile_y").between(ty - reach, ty + reach))
 
 
-def camera_table(spark: SparkSession, width: int, height: int, fx: float, fy: float, cx: float, cy: float, k1: float = 0.0, k2: float = 0.0, rounds: int = 5) -> DataFrame:
-    """u, v, x, y of every pixel: the viewing direction at depth 1 with radial distortion taken out by fixed-point rounds."""
-    out = spark.range(width * height).select((F.col("id") % width).cast("int").alias("u"), F.floor(F.col("id") / width).cast("int").alias("v"))
-    out = out.withColumns({"x0": (F.col("u") - cx) / fx, "y0": (F.col("v") - cy) / fy}).withColumns({"x": F.col("x0"), "y": F.col("y0")})
+def camera_tables(cameras: DataFrame, by: str, width: int, height: int, rounds: int = 5) -> DataFrame:
+    """by, u, v, x, y of every pixel of every camera (by, fx, fy, cx, cy, k1, k2): the viewing direction at depth 1 with radial distortion taken out by
+    fixed-point rounds."""
+    pixel = F.explode(F.sequence(F.lit(0), F.lit(width * height - 1))).alias("_p")
+    out = cameras.select(by, "fx", "fy", "cx", "cy", "k1", "k2", pixel).withColumns({"u": (F.col("_p") % width).cast("int"), "v": F.floor(F.col("_p") / width).cast("int")})
+    out = out.withColumns({"x0": (F.col("u") - F.col("cx")) / F.col("fx"), "y0": (F.col("v") - F.col("cy")) / F.col("fy")}).withColumns({"x": F.col("x0"), "y": F.col("y0")})
     for _ in range(rounds):
-        out = out.withColumn("_r", F.col("x") * F.col("x") + F.col("y") * F.col("y")).withColumn("_f", 1 + k1 * F.col("_r") + k2 * F.col("_r") * F.col("_r"))
+        out = out.withColumn("_r", F.col("x") * F.col("x") + F.col("y") * F.col("y")).withColumn("_f", 1 + F.col("k1") * F.col("_r") + F.col("k2") * F.col("_r") * F.col("_r"))
         out = out.withColumns({"x": F.col("x0") / F.col("_f"), "y": F.col("y0") / F.col("_f")})
-    return out.select("u", "v", "x", "y")
+    return out.select(by, "u", "v", "x", "y")
+
+
+def camera_table(spark: SparkSession, width: int, height: int, fx: float, fy: float, cx: float, cy: float, k1: float = 0.0, k2: float = 0.0, rounds: int = 5) -> DataFrame:
+    """u, v, x, y of one camera; see ``camera_tables``."""
+    one = spark.range(1).select(F.col("id").alias("camera"), *(F.lit(float(v)).alias(n) for n, v in zip(("fx", "fy", "cx", "cy", "k1", "k2"), (fx, fy, cx, cy, k1, k2))))
+    return camera_tables(one, "camera", width, height, rounds).drop("camera")

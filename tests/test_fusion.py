@@ -85,7 +85,7 @@ def test_rotation_fits(spark):
 
 
 def test_rendered_ball(spark):
-    from cairnmap.plans.volumes import ball
+    from .shapes import ball
 
     rows = [(k, 0.1 * (k % 5) - 0.2, 0.1 * (k // 5) - 0.2, -1.0, 0.0, 0.0, 1.0, 0.1) for k in range(25)] + [(99, 5.0, 5.0, -1.0, 0.0, 0.0, 1.0, 0.1)]
     rays = spark.createDataFrame(rows, "id int, ox double, oy double, oz double, dx double, dy double, dz double, start double")

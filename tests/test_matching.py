@@ -129,7 +129,7 @@ def test_long_lines_are_whole(spark, tmp_path):
 
 def test_tracking_a_surface(spark):
     from cairnmap.operators import sdf as S
-    from cairnmap.plans.volumes import ball
+    from .shapes import ball
 
     draw = np.random.default_rng(6)
     v = draw.normal(0, 1, (400, 3))
