@@ -8,7 +8,7 @@ drawn is cut, and the words taken are the target's, rounded.
 The blocks drawn (the quotas) are dealt to output shards by a binary tree: a node passes half of its blocks, to the block, to its
 left child, and how many come from each source is drawn from the multivariate hypergeometric law, source by source, by
 inverting the cumulative hypergeometric law at a hash of (seed, level, node, source). A leaf's quotas are ranges of
-each source's draws. Within a shard spans are ordered by a hash.
+each source's draws. Within a shard spans are ordered by a hash, their place.
 
 Stream positions are prefix sums over (source, chunk) totals and then within chunks of about ``CHUNK_ROWS`` rows, so a
 source of any share is spread over tasks. The tree's state is one row per node with one entry per source: it grows
@@ -27,6 +27,8 @@ from .common import cut, measured, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS, CHUNK_ROWS, SHARD_WORDS = 1024, 2000, 1 << 22
+#: Levels of the splitting tree at least: a small mix is dealt to eight shards.
+LEAST_LEVELS = 3
 #: Multipliers of the block permutation: primes, of which one at least is coprime to any number of blocks below their product.
 STRIDES = (1_000_003, 1_000_033)
 #: Columns that ``mixed_documents`` adds for the time being: the row's key and its run.
@@ -145,7 +147,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     partial = F.when(F.col("rest") == 0, 0).when(F.col("last_turn") < whole, with_short).otherwise(whole)
     quotas = sources.filter("quota > 0").select("ord", (F.col("passes") * F.col("blocks") + F.least(F.col("blocks"), partial)).alias("n"))
     words = sources.agg(F.sum("quota")).first()[0] or 0
-    levels = max(0, (-(-words // SHARD_WORDS) - 1).bit_length())
+    levels = max(LEAST_LEVELS, (-(-words // SHARD_WORDS) - 1).bit_length())
     leaves = split_tree(quotas, levels, seed)
     leaves = leaves.withColumn("first_draw", F.sum("n").over(Window.partitionBy("ord").orderBy("shard")) - F.col("n")).filter("n > 0")
     # a leaf's range of draws is found by an equality on (source, group of draws) and a range check
@@ -153,33 +155,37 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     leaves = leaves.withColumn("grp", F.explode(F.sequence(F.floor(F.col("first_draw") / group), F.floor((F.col("first_draw") + F.col("n") - 1) / group))))
     leaves = leaves.select(F.col("ord").alias("leaf_ord"), "grp", "shard", "first_draw", F.col("n").alias("leaf_n"))
     dealt = pieces.withColumn("of", F.floor(F.col("draw") / group)).join(leaves, (F.col("ord") == F.col("leaf_ord")) & (F.col("of") == F.col("grp")) & F.col("draw").between(F.col("first_draw"), F.col("first_draw") + F.col("leaf_n") - 1))
-    spans = dealt.select("row", "doc_id", "shard", F.xxhash64(F.lit(seed), "ord", "draw", "row").alias("place"), "pass", (F.col("low") - F.col("start")).alias("first"), (F.col("end") - F.col("low")).alias("n_words"))
+    spans = dealt.select("row", "doc_id", "shard", F.xxhash64(F.lit(seed), "ord", "pass", "low").alias("place"), "pass", (F.col("low") - F.col("start")).alias("first"), (F.col("end") - F.col("low")).alias("n_words"))
     return placed.select("row", "doc_id", "size", "source_size", "target"), spans
 
 
-def mixed_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row; ``taken`` sums the row's spans."""
-    rows, spans = mix(docs)
-    taken = spans.groupBy("row").agg(F.sum("n_words").alias("n"))
-    return rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("n", F.lit(0)).cast("long").alias("taken"))
+def mixed_counts(docs: DataFrame, seed: int = 11) -> DataFrame:
+    """doc_id, size, source_size, target, taken, parts of every row: ``parts`` are the row's spans of the mix (shard, place, pass, first,
+    n_words), sorted, and ``taken`` their words. The mix is all parts by shard and place; a row without parts has an empty array."""
+    rows, spans = mix(docs, seed=seed)
+    own = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("shard", "place", "pass", "first", "n_words"))).alias("parts"))
+    none = F.array().cast("array<struct<shard:bigint,place:bigint,pass:bigint,first:bigint,n_words:bigint>>")
+    joined = rows.join(own, "row", "left").withColumn("parts", F.coalesce("parts", none))
+    return joined.select("doc_id", "size", "source_size", "target", F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["n_words"]).alias("taken"), "parts")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as rows of documents: one row for every run of words taken in one pass, whole texts where all is taken.
 
-    Runs of a row that follow each other in a pass are joined again, so a document is cut only where the target cuts it.
+    Runs of a row that follow each other in a pass are joined again, so a document is cut only where the target cuts it. A run goes to the
+    shard and place of its first span; every output partition is in the order of shards and places.
     """
     keyed = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
     rows, spans = mix(keyed, row_col=ROW)
     ordered = Window.partitionBy("row", "pass").orderBy("first")
     new = (F.col("first") != F.coalesce(F.lag(F.col("first") + F.col("n_words")).over(ordered), F.lit(-1))).cast("int")
     runs = spans.withColumn("new", new).withColumn("run", F.sum("new").over(ordered))
-    runs = runs.groupBy("row", "pass", "run").agg(F.min("first").alias("first"), F.sum("n_words").alias("n_words"))
+    runs = runs.groupBy("row", "pass", "run").agg(F.min(F.struct("first", "shard", "place")).alias("at"), F.sum("n_words").alias("n_words"))
     runs = runs.join(rows.select("row", "size"), "row")
-    runs = runs.select(F.col("row").alias(ROW), F.struct("first", "n_words", "size").alias(RUN))
+    runs = runs.select(F.col("row").alias(ROW), F.struct("at.first", "n_words", "size", "at.shard", "at.place").alias(RUN))
     first, n_words = F.col(f"{RUN}.first"), F.col(f"{RUN}.n_words")
     cut_text = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), (first + 1).cast("int"), n_words.cast("int")), "")
-    joined = keyed.join(runs, ROW).withColumn("text", F.when(n_words == F.col(f"{RUN}.size"), F.col("text")).otherwise(cut_text))
+    joined = keyed.join(runs, ROW).sortWithinPartitions(f"{RUN}.shard", f"{RUN}.place", ROW, f"{RUN}.first").withColumn("text", F.when(n_words == F.col(f"{RUN}.size"), F.col("text")).otherwise(cut_text))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast("long"))
     return joined.select(*docs.columns)
