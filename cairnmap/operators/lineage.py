@@ -30,3 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders under a path; none where it isn't there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(place) if s.isDirectory()] if fs.exists(place) else []
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate files."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

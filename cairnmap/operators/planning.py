@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import count
 from math import sin
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from .cells import COV, KEY, MEAN, columns
-from .lineage import cut
+from .lineage import cut, listed, shared_folder
 
 
 def transit_edges(cells: DataFrame, size: float, step: float, slope: float = 1.0, n: int = 1) -> DataFrame:
@@ -25,23 +26,63 @@ def transit_edges(cells: DataFrame, size: float, step: float, slope: float = 1.0
     return both.filter((F.col("d") <= step) & (F.col("up") <= slope * F.greatest(F.col("flat"), F.lit(1e-9)))).select("src", "dst", (F.col("d") + 1).alias("cost"))
 
 
-def wavefront(edges: DataFrame, goal: str, most: float = 1e9) -> DataFrame:
-    """node, cost, next: least cost to the goal. Only nodes that got cheaper send again; every round is checkpointed.
+def wavefront(edges: DataFrame, goal: str, most: float = 1e9, delta: float | None = None, symmetric: bool = True, tile=None) -> DataFrame:
+    """node, cost, next: least cost to the goal over edges (src, dst, cost > 0), by buckets of cost of width ``delta`` (the mean edge by default).
 
-    The cost cap ends a wave that would go on; unreachable nodes have no row.
+    Buckets are settled in order. Offers lie in files by bucket, so a round reads its own bucket's; edges shorter than ``delta`` are followed within the
+    bucket until nothing gets cheaper, then the bucket's nodes are appended to the settled ones and send along all edges once. Nothing that is
+    settled is written again. With ``tile``, a column function of a node's name, edges are stored by dst's tile, and a round reads those of the bucket's nodes only. In a
+    ``symmetric`` graph a node that is offered was settled no more than twice the longest edge before, so only those buckets are looked
+    at. Costs beyond ``most`` end the wave; unreachable nodes have no row. Rows with nulls don't count.
     """
     spark = edges.sparkSession
-    best = spark.createDataFrame([(goal, 0.0, goal)], "node string, cost double, next string")
-    front = best
-    while True:
-        sent = front.select(F.col("node").alias("dst"), F.col("cost").alias("c")).join(edges, "dst").select(F.col("src").alias("node"), (F.col("c") + F.col("cost")).alias("cost"), F.col("dst").alias("next")).filter(F.col("cost") <= most)
-        offer = sent.groupBy("node").agg(F.min(F.struct("cost", "next")).alias("o")).select("node", F.col("o.cost").alias("nc"), F.col("o.next").alias("nn"))
-        better = cut(offer.join(best.select("node", "cost"), "node", "left").filter("cost is null or nc < cost - 1e-12").select("node", F.col("nc").alias("cost"), F.col("nn").alias("next")))
-        if better.isEmpty():
-            break
-        best = cut(best.join(better.select("node"), "node", "left_anti").unionByName(better))
-        front = better
-    return best
+    home = f"{shared_folder(spark)}/wavefront-{uuid.uuid4().hex}"
+    tiled = tile is not None
+    own = edges.select("src", "dst", F.col("cost").cast("double").alias("cost"), *([tile("dst").alias("tile")] if tiled else [])).dropna()
+    (own.repartition("tile").write.partitionBy("tile") if tiled else own.write).parquet(f"{home}/edges")
+    own = spark.read.schema(own.schema).parquet(f"{home}/edges")
+    mean, longest, shortest = own.agg(F.avg("cost"), F.max("cost"), F.min("cost")).first()
+    delta = delta or mean or 1.0
+    rank = lambda cost: F.floor(cost / delta).cast("long")
+    schema = "node string, cost double, next string"
+    back = int(2 * (longest or 0) / delta) + 2
+    rounds: dict[int, list[int]] = {0: [0]}
+    spark.createDataFrame([(goal, 0.0, goal, 0)], schema + ", bucket long").write.partitionBy("bucket").parquet(f"{home}/offers/0")
+    settled: list[int] = []
+
+    def sent(front: DataFrame) -> DataFrame:
+        near = own
+        if tiled:  # a round's tiles: as many as the bucket's nodes lie in
+            near = own.filter(F.col("tile").isin([r[0] for r in front.select(tile("node")).distinct().collect()]))
+        return front.select(F.col("node").alias("dst"), F.col("cost").alias("c")).join(near, "dst").select(F.col("src").alias("node"), (F.col("c") + F.col("cost")).alias("cost"), F.col("dst").alias("next"), F.col("cost").alias("edge")).filter(F.col("cost") <= most)
+
+    def least(offers: DataFrame) -> DataFrame:
+        return offers.groupBy("node").agg(F.min(F.struct("cost", "next")).alias("o")).select("node", "o.cost", "o.next")
+
+    while rounds:
+        bucket = min(rounds)
+        files = [f"{home}/offers/{r}/bucket={bucket}" for r in rounds.pop(bucket)]
+        known = [f"{home}/settled/{b}" for b in settled if not symmetric or b >= bucket - back]
+        done = spark.read.schema(schema).parquet(*known).select("node") if known else None
+        fresh = lambda d: d if done is None else d.join(done, "node", "left_anti")  # noqa: B023, E731
+        held = cut(fresh(least(spark.read.schema(schema).parquet(*files))))
+        front = held
+        while shortest is not None and shortest < delta and not front.isEmpty():
+            light = sent(front).filter((F.col("edge") < delta) & (rank(F.col("cost")) == bucket)).drop("edge")
+            new = fresh(least(light)).join(held.select("node", F.col("cost").alias("had")), "node", "left")
+            front = cut(new.filter("had is null or cost < had - 1e-12").drop("had"))
+            if not front.isEmpty():
+                held = cut(least(held.unionByName(front)))
+        if held.isEmpty():
+            continue
+        held.write.parquet(f"{home}/settled/{bucket}")
+        settled.append(bucket)
+        number = len(settled)
+        out = sent(held).drop("edge").withColumn("bucket", rank(F.col("cost"))).filter(F.col("bucket") > bucket)
+        out.write.partitionBy("bucket").parquet(f"{home}/offers/{number}")
+        for name in listed(spark, f"{home}/offers/{number}"):
+            rounds.setdefault(int(name[7:]), []).append(number)
+    return spark.read.schema(schema).parquet(*(f"{home}/settled/{b}" for b in settled))
 
 
 def path(costs: DataFrame, start: str) -> DataFrame:
@@ -92,16 +133,23 @@ def inside(points: DataFrame, planes: DataFrame, by: str, point_id: str) -> Data
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """center, node, hops: breadth-first growth of all seeds (center) at once over allowed edges (src, dst)."""
-    found = cut(seeds.select("center", F.col("center").alias("node"), F.lit(0).alias("hops")))
-    front = found
+    """center, node, hops: breadth-first growth of all seeds (center) at once over allowed edges (src, dst).
+
+    Every round appends its new nodes; what was found before is read, not written again.
+    """
+    spark = edges.sparkSession
+    home = f"{shared_folder(spark)}/reachable-{uuid.uuid4().hex}"
+    front = seeds.select("center", F.col("center").alias("node"), F.lit(0).alias("hops")).distinct()
+    schema = front.schema
     for k in count(1):
+        front.write.parquet(f"{home}/{k - 1}")
+        found = spark.read.schema(schema).parquet(*(f"{home}/{n}" for n in range(k)))
+        front = spark.read.schema(schema).parquet(f"{home}/{k - 1}")
         new = front.join(edges, front["node"] == edges["src"]).select("center", F.col("dst").alias("node")).distinct()
         new = cut(new.join(found, ["center", "node"], "left_anti").withColumn("hops", F.lit(k)))
         if new.isEmpty():
-            break
-        found, front = cut(found.unionByName(new)), new
-    return found
+            return found
+        front = new
 
 
 def _around(cells: DataFrame, radius: float, size: float) -> DataFrame:

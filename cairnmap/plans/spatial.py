@@ -135,19 +135,25 @@ def transit_edges(spark, sf):
     return rounded(P.transit_edges(cells(spark, sf), SIZE, 0.15), "cost")
 
 
+def _wave(spark, sf):
+    """Costs to the cell at the origin; a cell's tile is that of its key, 16 cells wide."""
+    tile = lambda name: F.concat_ws(":", *(F.floor(F.split(name, ":")[k].cast("int") / 16) for k in (0, 1)))
+    return P.wavefront(P.transit_edges(cells(spark, sf), SIZE, 0.15), "0:0:0", delta=1.0, tile=tile)
+
+
 @plan(f"WITH RECURSIVE {CLOUD}, {CELLS}, {_E}, reach(node) AS (SELECT '0:0:0' UNION SELECT e.src FROM reach r JOIN edges e ON e.dst = r.node) SELECT node FROM reach")
 def wavefront_reach(spark, sf):
-    return P.wavefront(P.transit_edges(cells(spark, sf), SIZE, 0.15).persist(), "0:0:0").select("node")
+    return _wave(spark, sf).select("node")
 
 
-@plan()
+@plan(f"WITH RECURSIVE {CLOUD}, {CELLS}, {_E}, wave(node, cost) USING KEY (node) AS (SELECT '0:0:0', 0.0::DOUBLE UNION SELECT e.src, min(w.cost + e.cost) FROM wave w JOIN edges e ON e.dst = w.node LEFT JOIN recurring.wave r ON r.node = e.src WHERE r.cost IS NULL OR w.cost + e.cost < r.cost - 1e-12 GROUP BY e.src) SELECT node, {rnd('cost', 'cost')} FROM wave")
 def wavefront_costs(spark, sf):
-    return rounded(P.wavefront(P.transit_edges(cells(spark, sf), SIZE, 0.15).persist(), "0:0:0").select("node", "cost"), "cost")
+    return rounded(_wave(spark, sf).select("node", "cost"), "cost")
 
 
 @plan()
 def wavefront_path(spark, sf):
-    costs = P.wavefront(P.transit_edges(cells(spark, sf), SIZE, 0.15).persist(), "0:0:0")
+    costs = _wave(spark, sf)
     far = costs.orderBy(F.col("cost").desc(), "node").first()["node"]
     return P.path(costs, far)
 

@@ -140,3 +140,42 @@ def test_order_statistics(spark):
     for index in (0, 17, 2450, 3000, len(values) - 1):
         assert R.order_statistic(rows, "v", index, gather=50, buckets=16) == whole[index]
     assert R.order_statistic(rows, "v", len(values)) is None and R.order_statistic(rows.limit(0), "v", 0) is None
+
+
+def test_wavefront_in_buckets(spark):
+    """Against Dijkstra on a lattice with odd costs: short and long edges, a hot node, an unreachable part, tiles, a directed graph."""
+    import heapq
+
+    from cairnmap.operators import planning as PL
+
+    r = np.random.default_rng(8)
+    nodes = [(i, j) for i in range(9) for j in range(9)]
+    name = lambda n: f"{n[0]}:{n[1]}"
+    both = {}
+    for i, j in nodes:
+        for k in ((i + 1, j), (i, j + 1), (4, 4)):
+            if k in nodes and k != (i, j) and r.random() < 0.8:
+                both[name((i, j)), name(k)] = both[name(k), name((i, j))] = float(r.choice([0.05, 0.3, 1.0, 2.5]) + (3.0 if k == (4, 4) else 0.0))
+    both["far", "away"] = both["away", "far"] = 1.0
+    one = {k: v for n, (k, v) in enumerate(both.items()) if n % 5}
+
+    def dijkstra(edges):
+        costs, heap = {"0:0": 0.0}, [(0.0, "0:0")]
+        while heap:
+            c, n = heapq.heappop(heap)
+            for (a, b), w in edges.items():
+                if b == n and c + w < costs.get(a, 1e18) - 1e-12:
+                    costs[a] = c + w
+                    heapq.heappush(heap, (c + w, a))
+        return costs
+
+    from pyspark.sql import functions as F
+
+    for edges, options in ((both, {"tile": lambda n: F.floor(F.split(n, ":")[0].try_cast("int") / 4)}), (one, {"symmetric": False, "delta": 1.5})):
+        frame = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()] + [("x", None, 1.0)], "src string, dst string, cost double")
+        got = PL.wavefront(frame, "0:0", **options).collect()
+        want = dijkstra(edges)
+        assert len(got) == len(want) and all(abs(g.cost - want[g.node]) < 1e-9 for g in got)
+        assert all(g.node == "0:0" or abs(want[g.next] + edges[g.node, g.next] - g.cost) < 1e-9 for g in got)
+    frame = spark.createDataFrame([("a", "0:0", 1.0)], "src string, dst string, cost double")
+    assert PL.wavefront(frame.limit(0), "0:0").count() == 1 and PL.wavefront(frame, "0:0", most=0.5).count() == 1
