@@ -148,6 +148,21 @@ def track(points: DataFrame, voxels: DataFrame, size: float, cut: float, by: str
     return pose
 
 
+def track_pyramid(frame: DataFrame, voxels: DataFrame, size: float, cut: float, by: str, strides: tuple[int, ...] = (4, 2, 1), rounds: tuple[int, ...] = (12, 8, 2)):
+    """The pose (4x4) that brings a frame's points (by, u, v, x, y, z) onto the surface, coarse to fine: each level takes the pixels of every
+    ``stride``-th row and column, goes on from the pose so far, and has its own number of rounds, so most rounds read a sixteenth of the frame."""
+    import numpy as np
+
+    from .cells import transform_points
+    from .lineage import cut as held
+
+    pose = np.eye(4)
+    for stride, n in zip(strides, rounds):
+        few = held(frame.filter((F.col("u") % stride == 0) & (F.col("v") % stride == 0)).select(by, *G.AXES))
+        pose = track(transform_points(few, pose.reshape(-1).tolist()), voxels, size, cut, by, n) @ pose
+    return pose
+
+
 def render(rays: DataFrame, voxels: DataFrame, size: float, truncation: float, by: str, steps: int = 12, far: float = 15.0) -> DataFrame:
     """by, t, hit: where rays (by, ox, oy, oz, unit dx, dy, dz, start) first meet the surface from outside; t is null without a hit.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+from ..operators import cells as C
 from ..operators import features as FE
 from ..operators import fusion as FU
 from ..operators import grasp as GR
@@ -12,6 +14,7 @@ from ..operators import particles as PF
 from ..operators import planning as PL
 from ..operators import registration as R
 from ..operators import sdf as S
+from ..operators.lineage import cut
 from .extents import EIG
 from .motion import _GRID, _LIK, weighted
 from .registry import CLOUD, ROUND_STATS, SIZE, cells, cloud, plan, poses, rnd, rounded, table
@@ -70,6 +73,19 @@ def sdf_render(spark, sf):
     return rounded(S.render(rays, volume(spark, sf), 0.1, 0.35, "id"), "t", digits=4)
 
 
+@plan()
+def tracked_pose(spark, sf):
+    """A wavy wall with a pixel for every customer, fused into a volume, and the same wall seen after a motion: the motion found by a pyramid."""
+    k = F.col("c_custkey")
+    u, v = (k % 48).cast("int"), F.floor(k / 48).cast("int")
+    wall = table(spark, sf, "customer").select(k.alias("id"), u.alias("u"), v.alias("v"), ((u - 24) / 24.0).alias("x"), ((v % 48 - 24) / 24.0).alias("y"), (1.6 + 0.2 * F.sin(u / 6.0) + 0.15 * F.cos(v / 5.0)).alias("z"))
+    rays = wall.select("id", *(F.lit(0.0).alias("o" + a) for a in G.AXES), *G.AXES)
+    voxels = cut(S.fuse_points(rays, 0.1, 0.4, "id"))
+    seen = C.transform_points(wall, np.linalg.inv(R.turned_pose(np.array([0.04, -0.03, 0.05, 0.02, -0.02, 0.03]))).reshape(-1).tolist())
+    pose = S.track_pyramid(seen, voxels, 0.1, 0.4, "id")
+    return spark.createDataFrame([(i, j, float(round(pose[i, j], 3))) for i in range(4) for j in range(4)], "i int, j int, value double")
+
+
 @plan()
 def grown_polygons(spark, sf):
     """Quadrangles along every robot's path, on a raster with a sparse lattice of walls over the poses' extent."""

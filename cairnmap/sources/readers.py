@@ -64,7 +64,9 @@ def obj_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Data
 
 def stamped_list(spark: SparkSession, path: str) -> DataFrame:
     """file, ts, values of lines ``stamp value ...`` (spaces, commas or tabs), comments left out; of equal stamps the last line holds."""
-    lines = _files(spark, path).select("file", F.posexplode(F.split("text", "\r?\n")).alias("no", "line")).select("file", "no", F.trim(F.regexp_replace("line", r"[,\t]", " ")).alias("line"))
+    from .splits import ordered_lines
+
+    lines = ordered_lines(spark, path).select("file", F.struct("_block", "_no").alias("no"), F.trim(F.regexp_replace("line", r"[,\t\r]", " ")).alias("line"))
     lines = lines.filter((F.length("line") > 0) & ~F.col("line").startswith("#")).select("file", "no", F.split("line", r"\s+").alias("p")).filter(F.size("p") > 1)
     return lines.select("file", "no", F.col("p")[0].cast("double").alias("ts"), F.slice("p", F.lit(2), F.size("p") - 1).alias("values")).groupBy("file", "ts").agg(F.max_by("values", "no").alias("values"))
 

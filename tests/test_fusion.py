@@ -151,3 +151,17 @@ def test_tile_maps_of_nothing(spark, tmp_path):
     two = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (None, 1.0, 1.0, 1.0)], "scan int, x double, y double, z double")
     held, path = FU.fuse_tiles(two, "scan", 0.5, path=str(tmp_path / "few"))
     assert [p["order"] for p in path] == [1] and held.read() is None
+
+
+def test_pyramid_reaches_what_one_level_misses(spark):
+    """Two rounds at full resolution end far off; twelve, eight and two from coarse to fine arrive."""
+    truth = R.turned_pose(np.array([0.05, -0.04, 0.06, 0.02, -0.03, 0.03]))
+    u, v = (a.ravel() for a in np.meshgrid(np.arange(48), np.arange(48)))
+    x = np.column_stack(((u - 24) / 24, (v - 24) / 24, 1.6 + 0.2 * np.sin(u / 6) + 0.15 * np.cos(v / 5)))
+    wall = spark.createDataFrame([(k, int(a), int(b), *map(float, p)) for k, (a, b, p) in enumerate(zip(u, v, x))], "id long, u int, v int, x double, y double, z double")
+    rays = wall.select("id", *(F.lit(0.0).alias("o" + a) for a in "xyz"), "x", "y", "z")
+    voxels = S.fuse_points(rays, 0.1, 0.4, "id").persist()
+    seen = C.transform_points(wall, np.linalg.inv(truth).reshape(-1).tolist()).persist()
+    off = lambda pose: np.abs((np.column_stack((x, np.ones(len(x)))) @ (pose @ np.linalg.inv(truth)).T)[:, :3] - x).mean()
+    pyramid, single = S.track_pyramid(seen, voxels, 0.1, 0.4, "id"), S.track(seen, voxels, 0.1, 0.4, "id", rounds=2)
+    assert off(pyramid) < 0.5 * off(single) and off(pyramid) < 0.03, (off(pyramid), off(single))
