@@ -54,7 +54,7 @@ def _triples(lines: DataFrame, opens: str, names: tuple[str, str, str]) -> DataF
     own = between_marks(lines, opens, r"\]")
     text = F.when((F.col("_block") == F.col("_from._block")) & (F.col("_no") == F.col("_from._no")), F.regexp_replace("line", rf"^.*?{opens}", "")).otherwise(F.col("line"))
     parts = own.select("file", *_PLACE, F.posexplode(F.split(F.regexp_replace(text, r"\].*$", ""), ",")).alias("_k", "_t"))
-    parts = parts.select("file", "_block", (F.col("_no") * 4096 + F.col("_k")).alias("_no"), F.split(F.trim("_t"), r"\s+").alias("_p"))
+    parts = parts.select("file", "_block", F.struct("_no", "_k").alias("_no"), F.split(F.trim("_t"), r"\s+").alias("_p"))
     number = rf"(?i)^(?:{NUMBER}|nan)$"
     parts = parts.filter((F.size("_p") >= 3) & F.forall(F.slice("_p", 1, 3), lambda v: v.rlike(number)))
     value = lambda k: F.when(F.lower(F.col("_p")[k]) != "nan", F.col("_p")[k].cast("double"))

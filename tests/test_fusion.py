@@ -155,7 +155,7 @@ def test_tile_maps_of_nothing(spark, tmp_path):
 
 def test_pyramid_reaches_what_one_level_misses(spark):
     """Two rounds at full resolution end far off; twelve, eight and two from coarse to fine arrive."""
-    truth = R.turned_pose(np.array([0.05, -0.04, 0.06, 0.02, -0.03, 0.03]))
+    truth = R.turned_pose(np.array([0.16, -0.14, 0.2, 0.05, -0.06, 0.08]))
     u, v = (a.ravel() for a in np.meshgrid(np.arange(48), np.arange(48)))
     x = np.column_stack(((u - 24) / 24, (v - 24) / 24, 1.6 + 0.2 * np.sin(u / 6) + 0.15 * np.cos(v / 5)))
     wall = spark.createDataFrame([(k, int(a), int(b), *map(float, p)) for k, (a, b, p) in enumerate(zip(u, v, x))], "id long, u int, v int, x double, y double, z double")
