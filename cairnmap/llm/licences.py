@@ -78,6 +78,23 @@ SENTENCES: dict[str, str] = {
     "unlicense-spdx": "spdx license identifier unlicense",
     "bsl-spdx": "spdx license identifier bsl 1 0",
     "ccby-spdx": "spdx license identifier cc by 4 0",
+    "bsd-names-university": "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-names-author": "neither the name of the author nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-names-authors": "neither the name of the author nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-names-organization": "neither the name of the organization nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-names-company": "neither the name of the company nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-names-project": "neither the name of the project nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-names-holders": "neither the name of the copyright holders nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-names-foundation": "neither the name of the foundation nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-name-author": "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission",
+    "apache-grant": "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form",
+    "lgpl3-body": "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below",
+    "cc0-offers": "affirmer offers the work as is and makes no representations or warranties of any kind concerning the work express implied statutory or otherwise including without limitation warranties of title merchantability fitness for a particular purpose non infringement or the absence of latent or other defects accuracy or the present or absence of errors whether or not discoverable all to the greatest extent permissible under applicable law",
+    "zlib-provided": "this software is provided as is without any express or implied warranty",
+    "zlib-granted": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "zlib-spdx": "spdx license identifier zlib",
+    "mit-or-apache-spdx": "spdx license identifier mit or apache 2 0",
+    "apache-or-mit-spdx": "spdx license identifier apache 2 0 or mit",
 }
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
@@ -127,8 +144,26 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("EPL-2.0", ("epl2-terms",)),
     ("EPL-2.0", ("epl2-spdx",)),
     ("CC-BY-4.0", ("ccby-spdx",)),
+    ("BSD-3-Clause", ("bsd-permitted", "bsd-source", "bsd-binary", "bsd-names-university",)),
+    ("BSD-3-Clause", ("bsd-permitted", "bsd-source", "bsd-binary", "bsd-names-author",)),
+    ("BSD-3-Clause", ("bsd-permitted", "bsd-source", "bsd-binary", "bsd-names-authors",)),
+    ("BSD-3-Clause", ("bsd-permitted", "bsd-source", "bsd-binary", "bsd-names-organization",)),
+    ("BSD-3-Clause", ("bsd-permitted", "bsd-source", "bsd-binary", "bsd-names-company",)),
+    ("BSD-3-Clause", ("bsd-permitted", "bsd-source", "bsd-binary", "bsd-names-project",)),
+    ("BSD-3-Clause", ("bsd-permitted", "bsd-source", "bsd-binary", "bsd-names-holders",)),
+    ("BSD-3-Clause", ("bsd-permitted", "bsd-source", "bsd-binary", "bsd-names-foundation",)),
+    ("BSD-3-Clause", ("bsd-permitted", "bsd-source", "bsd-binary", "bsd-name-author",)),
+    ("Apache-2.0", ("apache-grant",)),
+    ("LGPL-3.0", ("lgpl3-body",)),
+    ("CC0-1.0", ("cc0-offers",)),
+    ("Zlib", ("zlib-provided", "zlib-granted",)),
+    ("Zlib", ("zlib-spdx",)),
+    ("MIT", ("mit-or-apache-spdx",)),
+    ("Apache-2.0", ("mit-or-apache-spdx",)),
+    ("MIT", ("apache-or-mit-spdx",)),
+    ("Apache-2.0", ("apache-or-mit-spdx",)),
 )
-TRIGGERS = ("license", "copyright", "warranty", "permission", "free software", "conditions are met", "written permission", "copies of the software", "free and unencumbered", "anyone is free")
+TRIGGERS = ("license", "copyright", "warranty", "permission", "free software", "conditions are met", "written permission", "copies of the software", "free and unencumbered", "anyone is free", "affirmer offers")
 # End of the fixed values.
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -383,3 +383,21 @@ def test_more_licence_texts(spark):
     assert [got[k] for k in range(8)] == ["ISC", "LGPL-2.1", "Unlicense", "GPL-2.0", "BSL-1.0", "BSD-3-Clause,BSD-2-Clause", "", ""]
     again = licences.scan_licences(frame(spark, [ISC, ISC], [None, None])).collect()
     assert [(r["doc_id"], r["licences"]) for r in again] == [(None, "ISC")] * 2 and licences.scan_licences(frame(spark, [])).count() == 0
+
+
+def test_whole_licence_texts(spark):
+    """Texts of this machine: a third clause that names another holder, bodies without their appendix, expressions."""
+    import os
+
+    folder = "/usr/share/common-licenses"
+    if not os.path.isdir(folder):
+        pytest.skip("no licence texts here")
+    body = lambda name: open(f"{folder}/{name}", errors="replace").read()
+    apache = body("Apache-2.0")
+    texts = {"BSD-3-Clause": body("BSD"), "LGPL-3.0": body("LGPL-3"), "CC0-1.0": body("CC0-1.0"), "Apache-2.0": apache[: apache.index("APPENDIX")], "MIT,Apache-2.0": "// SPDX-License-Identifier: (MIT OR Apache-2.0)\n"}
+    for who in ("the author", "the copyright holders", "the organization"):
+        texts[f"BSD-3-Clause {who}"] = body("BSD").replace("the University", who)
+    texts["BSD-2-Clause"] = body("BSD")[: body("BSD").index("3. Neither")] + body("BSD")[body("BSD").index("THIS SOFTWARE") :]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts.values())], "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in licences.scan_licences(rows).collect()}
+    assert got == {k: name.split(" ")[0] for k, name in enumerate(texts)}
