@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnmap.llm.common import stored, table
+from cairnmap.llm.common import small_batches, stored, table
 from cairnmap.llm.mixing import mixed_documents
 from cairnmap.llm.near_dedup import drop_near_duplicates
 from cairnmap.llm.packing import pack_documents
@@ -17,11 +17,13 @@ from cairnmap.llm.toxicity import drop_toxic
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labels of rows outside the held-out fifth."""
+    small_batches(spark)
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    small_batches(spark)
     return drop_near_duplicates(docs, width=5, percent=80)
 
 
@@ -32,6 +34,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their sequence and place."""
+    small_batches(spark)
     return pack_documents(docs)
 
 
