@@ -11,7 +11,7 @@ from ..operators import particles as PF
 from ..operators import trajectory as T
 from ..streaming import latest, synchronised
 from .cells import halves
-from .registry import CLOUD, ODOMETRY, POSES, SIZE, cells_sql, cloud, inverse_sql, key_sql, odometry, plan, poses, quadratic_sql, rnd, rounded, table
+from .registry import CLOUD, COV, ODOMETRY, POSES, SIZE, cells_sql, cloud, inverse_sql, key_sql, odometry, plan, poses, quadratic_sql, rnd, rounded, table
 
 
 @plan(f"WITH {POSES} SELECT robot_id, seq, {rnd('x', 'x')}, {rnd('y', 'y')}, {rnd('yaw', 'yaw')} FROM poses")
@@ -201,11 +201,18 @@ def particle_trigger(spark, sf):
     return rounded(PF.needs_resampling(weighted(spark, sf), 30), "std", digits=9)
 
 
-@plan()
+_TURNED = """mv AS (SELECT pid, c*mx-s*my+px AS mx, s*mx+c*my+py AS my, mz, c*c*cxx-2*c*s*cxy+s*s*cyy AS cxx, c*s*cxx+(c*c-s*s)*cxy-c*s*cyy AS cxy, c*cxz-s*cyz AS cxz,
+  s*s*cxx+2*c*s*cxy+c*c*cyy AS cyy, s*cxz+c*cyz AS cyz, czz FROM src, (SELECT pid, x AS px, y AS py, cos(z) AS c, sin(z) AS s FROM cloud))"""
+_HELD = " AND ".join(f"t.i{a} = {key_sql('s.m' + a)}" for a in "xyz")
+_MET = quadratic_sql(("s.mx-t.mx", "s.my-t.my", "s.mz-t.mz"), inverse_sql([f"s.{c}+t.{c}" for c in COV]))
+
+
+@plan(f"WITH {CLOUD}, {cells_sql('src', 'scan_id % 2 = 1', least=12)}, {cells_sql('tgt', 'scan_id % 2 = 0', least=12)}, {_TURNED}, f AS (SELECT pid, {_MET} AS l FROM mv s JOIN tgt t ON {_HELD}), g AS (SELECT pid, sum(CASE WHEN l IS NOT NULL AND NOT isnan(l) THEN 0.1+0.9*exp(-0.05*l/2) ELSE 0 END) AS v FROM f GROUP BY pid) SELECT pid, {rnd('1+coalesce(v, 0)', 'lik', 4)} FROM cloud LEFT JOIN g USING (pid)")
 def particle_likelihood(spark, sf):
-    src, tgt = halves(spark, sf)
-    few = PF.uniform_grid(spark, (-0.1, -0.1, 0), (0.1, 0.1, 0.4), (4, 4, 4))
-    return rounded(PF.weigh(few, src, tgt, SIZE).select("pid", "lik"), "lik", digits=4)
+    """The cloud's points as particles (z the heading), weighed by one half's cells against the other's."""
+    src, tgt = (c.filter("n >= 12") for c in halves(spark, sf))
+    own = cloud(spark, sf).select("pid", "x", "y", F.col("z").alias("a"))
+    return rounded(PF.weigh(own, src, tgt, SIZE).select("pid", "lik"), "lik", digits=4)
 
 
 @plan("SELECT event_id, " + ", ".join(rnd(e, n) for e, n in (("1-2*(y*y+z*z)", "r00"), ("2*(x*y-z*w)", "r01"), ("2*(x*z+y*w)", "r02"), ("2*(x*z-y*w)", "r20"))) + " FROM (SELECT event_id, qx/n AS x, qy/n AS y, qz/n AS z, qw/n AS w FROM (SELECT *, sqrt(qx*qx+qy*qy+qz*qz+qw*qw) AS n FROM (SELECT event_id, (event_id % 7)*1.0::DOUBLE AS qx, (event_id % 5)*1.0::DOUBLE AS qy, (event_id % 3)*1.0::DOUBLE AS qz, 1.0::DOUBLE AS qw FROM events)))")
