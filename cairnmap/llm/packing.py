@@ -33,7 +33,11 @@ SALT_ROWS = 50_000
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = "byte_bpe_50k.json", end_id: int = 0, capacity: int = 2048, with_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, unless left out, ids (little-endian unsigned 32-bit) of every piece."""
+    """doc_id, piece, start, length, ids_crc32 and, unless left out, ids (little-endian unsigned 32-bit) of every piece.
+
+    A null text is an empty one: one piece with the end id alone. Null ids and repeated rows are rows of their own; no rows give none. A text
+    is encoded whole, so its ids are in one task's memory at once. Other columns are not read.
+    """
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,6 +148,7 @@ def pack_documents(docs: DataFrame, vocab: str = "byte_bpe_50k.json", capacity:
 
 
 def sequences(packed: DataFrame, capacity: int = 2048) -> DataFrame:
-    """sequence_id, n_tokens, ids: the packed sequences themselves, from a frame with ids. A sequence has at most ``capacity`` pieces."""
+    """sequence_id, n_tokens, ids: the packed sequences themselves, from a frame with ids. A sequence has at most ``capacity`` pieces; an empty
+    frame has none. Pieces without ids (null) add nothing."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return packed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), parts.alias("parts")).select("sequence_id", "n_tokens", F.concat_ws("", F.transform("parts", lambda p: F.hex(p["ids"]))).alias("hexed")).select("sequence_id", "n_tokens", F.unhex("hexed").alias("ids"))

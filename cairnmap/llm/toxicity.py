@@ -177,7 +177,7 @@ def threshold(scores: np.ndarray, labels: np.ndarray) -> float:
 def learn(docs: DataFrame, labels: DataFrame, held_out) -> bytes | None:
     """A model and its thresholds by language, packed, from a bounded sample of the labelled rows that aren't held out.
 
-    The sample is learnt in one task, so a lost executor costs a repetition and the driver only
+    The sample is learnt in one task, which holds its whole texts (``MAX_TOXIC`` + ``MAX_CLEAN`` of them), so a lost executor costs a repetition and the driver only
     passes on the packed model, whose size is set by ``BUCKETS`` and ``DIM``.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
@@ -267,7 +267,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows below their language's threshold, each by its own text whatever its id; labels of the held-out fifth are not read."""
+    """The rows below their language's threshold, each by its own text whatever its id; labels of the held-out fifth are not read. Null texts are
+    empty ones; an empty table stays empty, and without labels of both kinds nothing goes."""
     learnt = learn(docs, labels, fifth)
     if learnt is None:
         return docs
