@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Bytes of text that one vectorised step handles; a longer single text is a step of its own.
 STEP_BYTES = 1 << 20
-#: Bytes of a batch of rows that goes to Python, in the pipeline.
-BATCH_BYTES = 12 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,16 +57,6 @@ def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, di
     return spark.read.schema(df.schema).parquet(path), seen.get
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let a batch of rows for Python hold ``BATCH_BYTES`` at most, unless the session allows less: a worker and its executor each hold a few batches."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.conf.get(key, "64m")
-    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    size = int(held.lower().rstrip("bkmg") or -1) * units.get(held.lower().removesuffix("ib").lstrip("-0123456789")[:1], 1)
-    if size < 0 or size > BATCH_BYTES:
-        spark.conf.set(key, f"{BATCH_BYTES}b")
-
-
 def give_back() -> None:
     """Return freed memory of a Python worker, which Spark keeps for later tasks, to the system."""
     gc.collect()
