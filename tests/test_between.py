@@ -149,7 +149,7 @@ def test_wavefront_in_buckets(spark):
     from cairnmap.operators import planning as PL
 
     r = np.random.default_rng(8)
-    nodes = [(i, j) for i in range(9) for j in range(9)]
+    nodes = [(i, j) for i in range(6) for j in range(6)]
     name = lambda n: f"{n[0]}:{n[1]}"
     both = {}
     for i, j in nodes:
