@@ -1,12 +1,12 @@
-"""Approximate nearest neighbours by score-aware anisotropic quantisation and four-bit table scans (operator 9).
+"""Nearest neighbours by score-aware anisotropic quantisation, four-bit table scans and error bounds (operator 9).
 
-A vector is the nearest of ``COARSE`` centres plus a rest, so that codes spend their bits inside clusters. The rest is cut to pairs of
-components, each pair coded by one of 16 centres: 4 bits. Centres and codes minimise a loss in which the error's part parallel to the
+A vector, less the sample's mean, is the nearest of ``COARSE`` centres plus a rest, so that codes spend their bits inside clusters. The rest is cut
+to pairs of components, each pair coded by one of 16 centres: 4 bits. Centres and codes minimise a loss in which the error's part parallel to the
 vector weighs ``eta`` times the rest, which keeps large inner products accurate. Centres are fitted on at most ``SAMPLE`` vectors,
-picked by a hash of the id; the index has the codes and squared norms of every row. A query's inner products with all centres make
-a table; a row's estimated squared distance is its squared norm less twice the sum of its entries. The scan reads codes and norms only,
-four bits a pair. Of each query the ``RERANK`` best estimates *over all rows* are then looked up by row number in the
-index and measured exactly, in double precision, on the original vectors.
+picked by a hash of the id; the index has the codes of every row, and how far the row lies from what its codes stand for. A query's inner
+products with all centres make a table; the sum of a row's entries gives the query's distance from what the codes stand for. The row's own
+distance differs from it by at most the row's error, so every row that this bound doesn't rule out is measured exactly, in double
+precision, on the original vectors: no near row is missed, however coarse the codes are for the data.
 
 Defined results: see ``vectors.valid``; zero vectors take no part, rows with the query's own id are no candidates; a repeated row counts as often as it
 is there, and a repeated query row has a list of its own each time; only vectors of the query's length are compared.
@@ -18,14 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 from .vectors import by_length, matrices, searched, valid, windows
 
-SAMPLE, RERANK, ETA, WINDOW = 8192, 200, 2.6, 16_384
+SAMPLE, ETA, WINDOW = 8192, 2.6, 8192
 CENTRES, COARSE = 16, 64
 
 
@@ -95,32 +94,44 @@ def fit(sample: np.ndarray, eta: float = ETA, rounds: int = 8, seed: int = 5) ->
     return coarse, centres
 
 
-def build(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """The index (row, id, size, norm, codes: a byte for the coarse centre, then two codes to a byte, and v) of every valid row, stored,
-    and the centres for each length of vectors. ``row`` numbers the rows."""
+def decoded(codes: np.ndarray, centres: np.ndarray, width: int) -> np.ndarray:
+    """The rests (n x width) that codes (n x pairs) stand for."""
+    return centres[np.arange(codes.shape[1]), codes].reshape(len(codes), -1)[:, :width]
+
+
+def build(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """The index (id, size, base, off, codes: a byte for the coarse centre, then two codes to a byte, and v) of every valid row, stored,
+    and mean, coarse centres and centres for each length of vectors. With c the coarse centre and r the coded rest, ``base`` is
+    r . r + 2 c . r and ``off`` the distance of the row from mean + c + r."""
     vectors = valid(rows, id_col, vector_col, zero=False)
     picked = [np.array(r["v"]) for r in vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
-    centres = {n: fit(np.array([picked[i] for i in own])) for n, own in by_length(picked).items()}
+
+    def fitted(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        mean = sample.mean(0)
+        return mean, *fit(sample - mean)
+
+    centres = {n: fitted(np.array([picked[i] for i in own])) for n, own in by_length(picked).items()}
     rest = [r["n"] for r in vectors.select(F.size("v").alias("n")).distinct().collect() if r["n"] not in centres]
     for n in rest:  # lengths too rare for the sample
         own = vectors.filter(F.size("v") == n).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-        centres[n] = fit(np.array([r["v"] for r in own]))
+        centres[n] = fitted(np.array([r["v"] for r in own]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
         for window in windows(batches, WINDOW):
             for ids, v in matrices(window):
-                coarse, fine = centres[v.shape[1]]
-                own = nearest_centre(v, coarse)
-                codes = assign(v - coarse[own], _units(_parts(v)), fine, ETA)
+                mean, coarse, fine = centres[v.shape[1]]
+                moved = v - mean
+                own = nearest_centre(moved, coarse)
+                codes = assign(moved - coarse[own], _units(_parts(moved)), fine, ETA)
+                made = decoded(codes, fine, v.shape[1])
+                base, off = (made * (made + 2 * coarse[own])).sum(1), np.sqrt(((moved - coarse[own] - made) ** 2).sum(1))
                 if codes.shape[1] % 2:
                     codes = np.hstack((codes, np.zeros((len(codes), 1), np.uint8)))
                 packed = np.hstack((own.astype(np.uint8)[:, None], codes[:, ::2] | codes[:, 1::2] << 4))
-                columns = [pa.array(row + np.arange(len(ids))), pa.array(ids), pa.array(np.full(len(ids), v.shape[1], np.int32)), pa.array((v**2).sum(1))]
-                yield pa.record_batch([*columns, pa.array([c.tobytes() for c in packed], pa.binary()), pa.array(list(v), pa.list_(pa.float64()))], names=["row", "id", "size", "norm", "codes", "v"])
-                row += len(ids)
+                columns = [pa.array(ids), pa.array(np.full(len(ids), v.shape[1], np.int32)), pa.array(base), pa.array(off)]
+                yield pa.record_batch([*columns, pa.array([c.tobytes() for c in packed], pa.binary()), pa.array(list(v), pa.list_(pa.float64()))], names=["id", "size", "base", "off", "codes", "v"])
 
-    return stored(vectors.mapInArrow(run, "row long, id long, size int, norm double, codes binary, v array<double>"), "ann"), centres
+    return stored(vectors.mapInArrow(run, "id long, size int, base double, off double, codes binary, v array<double>"), "ann"), centres
 
 
 def tables(queries: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -128,73 +139,90 @@ def tables(queries: np.ndarray, centres: np.ndarray) -> np.ndarray:
     one = np.einsum("qsd,scd->qsc", _parts(queries), centres)
     if one.shape[1] % 2:
         one = np.concatenate((one, np.zeros((len(one), 1, CENTRES))), 1)
-    return (one[:, ::2, None, :] + one[:, 1::2, :, None]).reshape(len(one), -1, CENTRES * CENTRES).astype(np.float32)
+    return (one[:, ::2, None, :] + one[:, 1::2, :, None]).reshape(len(one), -1, CENTRES * CENTRES)
+
+
+def kth(values: np.ndarray, k: int) -> float:
+    """The k-th smallest value; infinite where there are fewer, or where it is no number."""
+    value = np.partition(values, k - 1)[k - 1] if len(values) >= k else np.inf
+    return np.inf if np.isnan(value) else float(value)
 
 
-def smallest(values: np.ndarray, n: int) -> np.ndarray:
-    """Places of the n smallest, ties to the first places."""
-    if len(values) <= n:
-        return np.arange(len(values))
-    last = np.partition(values, n - 1)[n - 1]
-    sure = np.flatnonzero(values < last)
-    return np.concatenate((sure, np.flatnonzero(values == last)[: n - len(sure)]))
+class _List:
+    """A query's k nearest so far, by distance and then id."""
 
+    def __init__(self, k: int):
+        self.k, self.scores, self.ids = k, np.zeros(0), np.zeros(0, np.int64)
 
-def nearest(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row where ``is_query`` holds, by Euclidean distance."""
+    def last(self) -> float:
+        return float(self.scores[-1]) if len(self.scores) == self.k else np.inf
+
+    def add(self, query: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
+        scores, ids = np.concatenate((self.scores, np.sqrt(((v - query) ** 2).sum(1)))), np.concatenate((self.ids, ids))
+        top = np.lexsort((ids, scores))[: self.k]
+        self.scores, self.ids = scores[top], ids[top]
+
+
+def measured(held: _List, query: np.ndarray, moved_query: np.ndarray, ids: np.ndarray, v: np.ndarray, moved: np.ndarray, norms: np.ndarray, low: np.ndarray, high: np.ndarray, slack: np.ndarray) -> None:
+    """Brings a query's list up to date with every row whose lower bound doesn't exceed the k-th best; ``low`` is infinite for rows that are no candidates."""
+    limit = min(held.last(), kth(high, held.k))
+    near = np.flatnonzero(~(low > limit) & ~np.isposinf(low))
+    if len(near) * 8 > len(low):  # codes too coarse for these rows: narrower bounds by inner products first
+        flat = np.sqrt(np.maximum(norms + moved_query @ moved_query - 2 * (moved @ moved_query), 0))
+        error = 1e-6 * np.sqrt(norms + moved_query @ moved_query) + slack
+        limit = min(limit, kth(np.where(low < np.inf, flat + error, np.inf), held.k))
+        near = near[~(flat[near] - error[near] > limit)]
+    if len(near) > 4 * held.k:
+        first = near[np.argpartition(high[near], held.k)[: held.k]]
+        held.add(query, ids[first], v[first])
+        near = np.setdiff1d(near[~(low[near] > held.last())], first)
+    if len(near):
+        held.add(query, ids[near], v[near])
+
+
+def nearest(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of each row where ``is_query`` holds, by Euclidean distance."""
     index, centres = build(rows, id_col, vector_col)
 
     def scan(numbers: np.ndarray, query_ids: np.ndarray, queries: list[np.ndarray]):
         lengths = {n: (own, np.array([queries[i] for i in own])) for n, own in by_length(queries).items()}
-        shared = rows.sparkSession.sparkContext.broadcast((numbers, query_ids, queries, lengths, centres))
+        shared = rows.sparkSession.sparkContext.broadcast((numbers, query_ids, lengths, centres))
 
-        def estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            numbers, query_ids, _, lengths, centres = shared.value
-            best = {n: [(np.zeros(0, np.float32), np.zeros(0, np.int64))] * len(own) for n, (own, _) in lengths.items()}
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            numbers, query_ids, lengths, centres = shared.value
+            best = {n: [_List(k) for _ in own] for n, (own, _) in lengths.items()}
             for window in windows(batches, WINDOW):
-                row, ids, size, norm = (window.column(c).to_numpy() for c in range(4))
+                all_ids, sizes, bases, offs = (window.column(c).to_numpy() for c in range(4))
+                lists = window.column(5)
                 for n, (own, q) in lengths.items():
-                    at = np.flatnonzero(size == n)
+                    at = np.flatnonzero(sizes == n)
                     if not len(at):
                         continue
-                    at = at[np.argsort(ids[at], kind="stable")]
+                    v = lists.values.to_numpy()[lists.offsets.to_numpy()[at][:, None] + np.arange(n)]
+                    ids, base, off = all_ids[at], bases[at], offs[at]
                     codes = np.frombuffer(b"".join(window.column(4).take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1).astype(np.int64)
                     flat = codes[:, 1:] + np.arange(codes.shape[1] - 1) * CENTRES * CENTRES
-                    coarse, fine = centres[n]
+                    mean, coarse, fine = centres[n]
+                    moved = v - mean
+                    norms = (moved**2).sum(1)
                     for a in range(0, len(q), 64):
-                        near_coarse = q[a : a + 64] @ coarse.T
-                        for j, table in enumerate(tables(q[a : a + 64], fine), a):
-                            estimate = (norm[at] - 2 * (near_coarse[j - a][codes[:, 0]] + table.reshape(-1)[flat].sum(1))).astype(np.float32)
-                            estimate[ids[at] == query_ids[own[j]]] = np.inf
-                            kept, kept_rows = best[n][j]
-                            near = smallest(estimate, rerank)
-                            near = near[estimate[near] < np.inf]
-                            values, places = np.concatenate((kept, estimate[near])), np.concatenate((kept_rows, row[at][near]))
-                            top = smallest(values, rerank)
-                            best[n][j] = values[top], places[top]
+                        some = q[a : a + 64] - mean
+                        far = ((some[:, None] - coarse[None]) ** 2).sum(2)
+                        for j, table in enumerate(tables(some, fine)):
+                            squared = far[j][codes[:, 0]] + base - 2 * table.reshape(-1)[flat].sum(1)
+                            # rounding: of the squares by their terms, of the shift by the mean's size
+                            slack = 1e-14 * (np.sqrt(norms) + np.sqrt(some[j] @ some[j]) + np.sqrt(mean @ mean)) + 1e-9 * off
+                            error = 1e-12 * (norms + some[j] @ some[j] + far[j][codes[:, 0]] + np.abs(base))
+                            low = np.sqrt(np.maximum(squared - error, 0)) - off - slack
+                            high = np.sqrt(np.maximum(squared + error, 0)) + off + slack
+                            same = ids == query_ids[own[a + j]]
+                            low[same] = high[same] = np.inf
+                            measured(best[n][a + j], q[a + j], some[j], ids, v, moved, norms, low, high, slack)
             for n, (own, _) in lengths.items():
-                for j, (values, places) in enumerate(best[n]):
-                    yield pa.record_batch([pa.array(np.full(len(values), numbers[own[j]])), pa.array(places), pa.array(values)], names=["no", "row", "estimate"])
-
-        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            numbers, query_ids, queries, _, _ = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                at = batch.column(0).to_numpy() - numbers[0]
-                lists = batch.column(2)
-                offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-                scores = np.empty(len(at))
-                for size in np.unique(np.diff(offsets)):
-                    own = np.flatnonzero(np.diff(offsets) == size)
-                    found = values[offsets[own][:, None] + np.arange(size)]
-                    scores[own] = np.sqrt(((found - np.array([queries[i] for i in at[own]])) ** 2).sum(1))
-                yield pa.record_batch([batch.column(0), pa.array(query_ids[at]), batch.column(1), pa.array(scores)], names=["no", "query_id", "vec_id", "score"])
-
-        kept = index.select("row", "id", "size", "norm", "codes").mapInArrow(estimates, "no long, row long, estimate float")
-        place = F.row_number().over(Window.partitionBy("no").orderBy("estimate", "row"))
-        kept = kept.withColumn("place", place).filter(F.col("place") <= rerank).select("no", "row")
-        found = index.select("row", "id", "v").join(kept, "row").select("no", "id", "v")
-        return found.mapInArrow(exact, "no long, query_id long, vec_id long, score double"), shared
+                for j, held in enumerate(best[n]):
+                    size = len(held.ids)
+                    yield pa.record_batch([pa.array(np.full(size, numbers[own[j]])), pa.array(np.full(size, query_ids[own[j]])), pa.array(held.ids), pa.array(held.scores)], names=["no", "query_id", "vec_id", "score"])
+
+        return index.select("id", "size", "base", "off", "codes", "v").mapInArrow(found, "no long, query_id long, vec_id long, score double"), shared
 
     return searched(index.filter(is_query(F.col("id"))).select("id", "v"), k, F.col("score").asc(), "query_id long, rank int, vec_id long, score double", scan)

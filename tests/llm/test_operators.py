@@ -212,6 +212,23 @@ def test_ann_recall(spark):
     assert hits >= 0.95 * 10 * 50
 
 
+def test_ann_finds_the_nearest_inside_tight_far_and_uneven_groups(spark):
+    """Rows that share their codes with thousands of others, lie far from the origin, or differ in size by orders of magnitude."""
+    draw = np.random.default_rng(6)
+    tight = draw.normal(0, 1, (90, 12))[draw.integers(0, 90, 18_000)] + draw.normal(0, 1e-4, (18_000, 12))
+    far = 1e5 + draw.normal(0, 1, (6000, 12))
+    uneven = draw.normal(0, 1, (6000, 12)) * 10.0 ** draw.uniform(-4, 3, (6000, 1))
+    for x in (tight, far, uneven):
+        df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float64()))})).repartition(4)
+        got = {}
+        for r in ann.nearest(df, lambda i: i % 600 == 0).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        for q in range(0, len(x), 600):
+            distance = np.sqrt(((x - x[q]) ** 2).sum(1))
+            distance[q] = np.inf
+            assert got[q] == np.lexsort((np.arange(len(x)), distance))[:10].tolist()
+
+
 def test_repeated_queries_have_a_list_each(spark):
     rows = [(k, [float(k), 1.0]) for k in range(1, 30)] + [(100, [3.0, 1.0]), (100, [9.0, 1.0]), (100, [9.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
