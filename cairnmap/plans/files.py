@@ -81,7 +81,7 @@ def trajectory_files(spark, sf):
     """Every robot's trajectory as a text file, read back and added up."""
     path = folder(spark, "trajectory")
     own = poses(spark, sf).select("robot_id", "seq", F.col("seq").cast("double").alias("ts"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.lit(0.0).alias("tz"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.sin(F.col("yaw") / 2).alias("qz"), F.cos(F.col("yaw") / 2).alias("qw"))
-    lines = own.select("robot_id", F.col("seq").alias("ord"), F.concat_ws(" ", F.format_string("%.6f", "ts"), *(F.format_string("%.6f", c) for c in _TRAJ)).alias("line"))
+    lines = own.select("robot_id", F.col("seq").alias("ord"), writers.numbers("ts", *_TRAJ).alias("line"))
     written(lines, "robot_id", path)
     back = _named(readers.trajectory(spark, path), "robot_id").withColumn("robot_id", F.col("robot_id").cast("long"))
     out = back.groupBy("robot_id").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("tx", "ty", "qz")))

@@ -6,25 +6,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def fixed(value: Column | str, digits: int = 6) -> Column:
+    """A number with a fixed count of decimals as C's printf writes it: rounded by its exact binary value, ties to even. (``format_string`` rounds the
+    shortest decimal text half up.) Nulls, NaN and infinities are written as ``format_string`` writes them; of a number above 2^53 only the first 17 digits count."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.when(F.abs(value) < float("inf"), F.call_function("format_number", value, F.lit("0." + "0" * digits))).otherwise(F.format_string(f"%.{digits}f", value))
+
+
+def numbers(*values: Column | str) -> Column:
+    """Numbers with six decimals and blanks between them."""
+    return F.concat_ws(" ", *(fixed(v) for v in values))
+
+
 def vrml_lines(points: DataFrame, by: str) -> DataFrame:
     """by, pt_idx, line: one ``x y z,`` line for each point of a point block."""
-    return points.select(by, "pt_idx", F.format_string("%.6f %.6f %.6f,", "x", "y", "z").alias("line"))
+    return points.select(by, "pt_idx", F.concat(numbers("x", "y", "z"), F.lit(",")).alias("line"))
 
 
 def obj_lines(triangles: DataFrame) -> DataFrame:
     """Four lines for each triangle: three vertices and a face with relative indices."""
-    v = [F.format_string("v %.6f %.6f %.6f", *(F.col(f"v{k}")[a] for a in "xyz")) for k in range(3)]
+    v = [F.concat(F.lit("v "), numbers(*(F.col(f"v{k}")[a] for a in "xyz"))) for k in range(3)]
     return triangles.select(F.concat_ws("\n", *v, F.lit("f -3 -2 -1")).alias("value"))
 
 
 def pose_graph_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """ord, id, line: VERTEX_SE3:QUAT and EDGE_SE3:QUAT lines. edges carry cov, an array of 36; the information is (cov + 1e-4 I)^-1."""
     pose = ("tx", "ty", "tz", "qx", "qy", "qz", "qw")
-    v = vertices.select(F.lit(0).alias("ord"), F.col("id").cast("long").alias("id"), F.concat(F.lit("VERTEX_SE3:QUAT "), F.col("id").cast("string"), *(F.format_string(" %.6f", c) for c in pose)).alias("line"))
+    v = vertices.select(F.lit(0).alias("ord"), F.col("id").cast("long").alias("id"), F.concat(F.lit("VERTEX_SE3:QUAT "), F.col("id").cast("string"), F.lit(" "), numbers(*pose)).alias("line"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -38,24 +50,24 @@ def pose_graph_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def trajectory_lines(poses: DataFrame) -> DataFrame:
-    return poses.select("ts", F.concat_ws(" ", F.format_string("%.6f", "ts"), *(F.format_string("%.6f", c) for c in ("tx", "ty", "tz", "qx", "qy", "qz", "qw"))).alias("line"))
+    return poses.select("ts", numbers("ts", "tx", "ty", "tz", "qx", "qy", "qz", "qw").alias("line"))
 
 
 def particle_lines(particles: DataFrame) -> DataFrame:
     """pid, line: ``x y heading weight`` of each particle."""
-    return particles.select("pid", F.concat_ws(" ", *(F.format_string("%.6f", c) for c in ("x", "y", "a", "p"))).alias("line"))
+    return particles.select("pid", numbers("x", "y", "a", "p").alias("line"))
 
 
 def odometry_lines(poses: DataFrame, by: str, order: str) -> DataFrame:
     """by, order, line: planar poses as ``x y 0 0 0 sin cos`` with the heading's half angle, as messages and transforms carry them."""
-    number = lambda c: F.format_string("%.6f", F.round(c, 6) + 0.0)
+    number = lambda c: fixed(F.round(c, 6) + 0.0)
     half = F.col("yaw") / 2
     return poses.select(by, order, F.concat_ws(" ", number("x"), number("y"), F.lit("0 0 0"), number(F.sin(half)), number(F.cos(half))).alias("line"))
 
 
 def polygon_lines(polygons: DataFrame, by: str) -> DataFrame:
     """by, line: a polygon's corners in order on one line."""
-    corners = F.transform(F.array_sort(F.collect_list(F.struct("edge", "x", "y"))), lambda p: F.format_string("%.3f %.3f", p["x"], p["y"]))
+    corners = F.transform(F.array_sort(F.collect_list(F.struct("edge", "x", "y"))), lambda p: F.concat_ws(" ", fixed(p["x"], 3), fixed(p["y"], 3)))
     return polygons.groupBy(by).agg(F.concat_ws(" ", corners).alias("line"))
 
 

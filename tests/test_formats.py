@@ -33,3 +33,13 @@ def test_vrml_round_trip(spark, tmp_path):
     lines = [r["line"] for r in writers.vrml_lines(points, "scan").orderBy("pt_idx").collect()]
     (tmp_path / "a.wrl").write_text("Shape { point [\n" + "\n".join(lines) + "\n] }")
     assert [tuple(r)[2:] for r in readers.vrml_points(spark, str(tmp_path)).orderBy("pt_idx").collect()] == [(1.0, 2.0, 3.0), (4.0, 5.0, 6.0)]
+
+
+#: Numbers whose seventh decimal is an exact 5, or looks like one in decimals only.
+TIES = [0.0078125, -0.0078125, 0.0234375, 1.5e-06, 2.5e-06, 0.5, -0.0, 123456.0000005]
+
+
+def test_lines_round_as_printf(spark):
+    own = spark.createDataFrame([(k, x, -x, 2 * x, x) for k, x in enumerate(TIES)], "pid long, x double, y double, a double, p double")
+    got = {r["pid"]: r["line"] for r in writers.particle_lines(own).collect()}
+    assert got == {k: "%.6f %.6f %.6f %.6f" % (x, -x, 2 * x, x) for k, x in enumerate(TIES)}
