@@ -67,7 +67,7 @@ def vrml_coloured_points(spark, sf):
 @plan(f"WITH {CLOUD}, {_POINTS} SELECT scan_id, pt_idx, {_READ} FROM pt")
 def pcd_points(spark, sf):
     own, path = points(spark, sf), folder(spark, "pcd")
-    body = own.select("scan_id", (F.col("pt_idx") + 10).cast("long").alias("ord"), F.format_string("%.6f %.6f %.6f", *G.AXES).alias("line"))
+    body = own.select("scan_id", (F.col("pt_idx") + 10).cast("long").alias("ord"), writers.numbers(*G.AXES).alias("line"))
     head = F.array(*(F.struct(F.lit(k).cast("long").alias("ord"), F.lit(t).alias("line")) for k, t in enumerate(("# .PCD v.7 - point cloud", "VERSION .7", "FIELDS x y z", "DATA ascii"))))
     written(body.unionByName(own.select("scan_id").distinct().select("scan_id", F.inline(head))), "scan_id", path)
     return rounded(_named(splits.pcd_cloud(spark, path), "scan_id"), *G.AXES)

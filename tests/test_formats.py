@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cairnmap.plans import files
 from cairnmap.sources import readers, writers
 
 
@@ -43,3 +44,14 @@ def test_lines_round_as_printf(spark):
     own = spark.createDataFrame([(k, x, -x, 2 * x, x) for k, x in enumerate(TIES)], "pid long, x double, y double, a double, p double")
     got = {r["pid"]: r["line"] for r in writers.particle_lines(own).collect()}
     assert got == {k: "%.6f %.6f %.6f %.6f" % (x, -x, 2 * x, x) for k, x in enumerate(TIES)}
+
+
+def cloud_of_ties(spark, folder):
+    rows = [(k, [TIES[(k + n) % len(TIES)] for n in range(64)], k % 2) for k in range(8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    return {(k % 2, k // 2 * 21 + m): tuple(round(float("%.6f" % TIES[(k + 3 * m + n) % len(TIES)]), 6) + 0.0 for n in range(3)) for k in range(8) for m in range(21)}
+
+
+def test_pcd_files_round_as_printf(spark, tmp_path):
+    want = cloud_of_ties(spark, tmp_path)
+    assert {(r["scan_id"], r["pt_idx"]): (r["x"], r["y"], r["z"]) for r in files.pcd_points(spark, str(tmp_path)).collect()} == want
