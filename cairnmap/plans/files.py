@@ -41,7 +41,7 @@ _READ = ", ".join(rnd(f"CAST(printf('%.6f', {a}) AS DOUBLE)", a) for a in "xyz")
 def _block(own, name: str, columns, start: int):
     """Lines of a VRML block of triples, in order from ``start``."""
     scans = own.select("scan_id").distinct()
-    body = own.select("scan_id", (F.col("pt_idx") + start + 1).cast("long").alias("ord"), F.format_string("%.6f %.6f %.6f,", *columns).alias("line"))
+    body = own.select("scan_id", (F.col("pt_idx") + start + 1).cast("long").alias("ord"), F.concat(writers.numbers(*columns), F.lit(",")).alias("line"))
     head = scans.select("scan_id", F.lit(start).cast("long").alias("ord"), F.lit(f"{name} [").alias("line"))
     tail = scans.select("scan_id", F.lit(start + 1_000_000_000).cast("long").alias("ord"), F.lit("] }").alias("line"))
     return body.unionByName(head).unionByName(tail)
