@@ -62,3 +62,8 @@ def test_coloured_files_round_as_printf(spark, tmp_path):
     rows = files.vrml_coloured_points(spark, str(tmp_path)).collect()
     assert {(r["scan_id"], r["pt_idx"]): (r["x"], r["y"], r["z"]) for r in rows} == want
     assert {(r["scan_id"], r["pt_idx"]): (r["r"], r["g"], r["b"]) for r in rows} == {k: tuple(map(abs, v)) for k, v in want.items()}
+
+
+def test_vrml_files_round_as_printf(spark, tmp_path):
+    want = cloud_of_ties(spark, tmp_path)
+    assert {(r["scan_id"], r["pt_idx"]): (r["x"], r["y"], r["z"]) for r in files.vrml_points(spark, str(tmp_path)).collect()} == want
