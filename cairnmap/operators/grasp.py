@@ -67,6 +67,12 @@ def hull_facets(points: np.ndarray, digits: int = 7) -> tuple[np.ndarray, np.nda
     return both[:, :-1], both[:, -1]
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt over all cores, or by key over as many tasks as a shuffle has (200 at least). A hull takes long however few bytes it has: a fixed
+    number keeps adaptive execution from putting all grasps into one task for their small size."""
+    return df.repartition(max(200, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if by else df.sparkSession.sparkContext.defaultParallelism, *by)
+
+
 def hull_wrenches(wrenches: DataFrame, by: str) -> DataFrame:
     """by and components of the wrenches that their grasp's hull can need: in every batch of a task, each grasp's corners. A corner of the whole
     is one of any part that holds it, so hulls of the rest are the same, and a grasp of any size meets as its parts' corners."""
@@ -76,7 +82,7 @@ def hull_wrenches(wrenches: DataFrame, by: str) -> DataFrame:
         for batch in batches:
             yield pd.concat([own.iloc[corners(own[list(WRENCH)].to_numpy(float))] for _, own in batch.groupby(by, dropna=False, sort=False)]) if len(batch) else batch
 
-    return wrenches.select(by, *WRENCH).dropna().mapInPandas(run, f"`{by}` {kind}, " + ", ".join(f"{w} double" for w in WRENCH))
+    return dealt(wrenches.select(by, *WRENCH).dropna()).mapInPandas(run, f"`{by}` {kind}, " + ", ".join(f"{w} double" for w in WRENCH))
 
 
 def grasp_quality(wrenches: DataFrame, by: str) -> DataFrame:

@@ -7,6 +7,9 @@ from math import factorial
 
 import numpy as np
 
+#: Simplices whose matrices are held at once.
+PART = 1 << 14
+
 
 class Hull:
     """Simplices (facets x vertices, places in the points given), outward unit normals and offsets (n . x <= offset)."""
@@ -18,14 +21,19 @@ class Hull:
         """Number of different facet planes: simplices of one flat facet count once."""
         return len(np.unique(np.round(np.column_stack((self.normals, self.offsets)), digits) + 0.0, axis=0))
 
+    def _parts(self):
+        return (self.points[self.vertices[k : k + PART]] for k in range(0, len(self.vertices), PART))
+
     def volume(self) -> float:
         d = self.points.shape[1]
-        return float(np.abs(np.linalg.det(self.points[self.vertices] - self.inner)).sum() / factorial(d))
+        return sum(float(np.abs(np.linalg.det(own - self.inner)).sum()) for own in self._parts()) / factorial(d)
 
     def area(self) -> float:
-        d = self.points.shape[1]
-        edges = self.points[self.vertices][:, 1:] - self.points[self.vertices][:, :1]
-        return float(np.sqrt(np.maximum(np.linalg.det(edges @ edges.transpose(0, 2, 1)), 0)).sum() / factorial(d - 1))
+        d, whole = self.points.shape[1], 0.0
+        for own in self._parts():
+            edges = own[:, 1:] - own[:, :1]
+            whole += float(np.sqrt(np.maximum(np.linalg.det(edges @ edges.transpose(0, 2, 1)), 0)).sum())
+        return whole / factorial(d - 1)
 
 
 def _planes(points: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +63,9 @@ def convex_hull(points: np.ndarray, tolerance: float = 1e-10) -> Hull | None:
     """The hull of points (n x d), or None where they lie in a flat or hold anything but finite numbers.
 
     Every point outside the hull so far is in the conflict list of one facet that it sees. Of a facet's list the farthest point is added (the
-    lexically last among equals, so that always a corner is added): the facets it sees go, new ones join it to the ridges around them, and the
-    lists of those that went are dealt to the new ones. Points within ``tolerance`` times the extent of a facet count as inside.
+    lexically last among equals, so that always a corner is added): the facets it sees, found from that one across ridges, go, new ones join it to
+    the ridges around them, and the lists of those that went are dealt to the new ones. Points within ``tolerance`` times the extent of a facet
+    count as inside. A step costs what it changes, not the whole hull.
     """
     points = np.asarray(points, float)
     if not len(points) or not np.isfinite(points).all():
@@ -70,10 +79,11 @@ def convex_hull(points: np.ndarray, tolerance: float = 1e-10) -> Hull | None:
     order = np.empty(n, np.int64)
     order[np.lexsort(points.T[::-1])] = np.arange(n)
     weight = np.random.default_rng(1).integers(1, 1 << 62, n, dtype=np.uint64)
-    vertices = np.array([[*c] for c in combinations(own, d)], np.int64)
+    vertices = np.array([[*c] for c in combinations(own, d)], np.int32)
+    across = np.array([[d - own.index(i) for i in c] for c in vertices.tolist()], np.int32)  # the facet without a vertex is on its other side
     normals, offsets = _planes(points[vertices], inner)
     alive = np.ones(len(vertices), bool)
-    used = len(vertices)
+    used = living = len(vertices)
     above = points @ normals.T - offsets
     sees = np.where(above.max(1) > least, above.argmax(1), -1)
     sees[own] = -1
@@ -84,38 +94,51 @@ def convex_hull(points: np.ndarray, tolerance: float = 1e-10) -> Hull | None:
         height = points[mine] @ normals[facet] - offsets[facet]
         top = mine[height >= height.max() - least * 1e-3]
         apex = int(top[order[top].argmax()])
-        gone = np.flatnonzero(alive[:used])
-        gone = gone[normals[gone] @ points[apex] - offsets[gone] > least]
-        if not len(gone):
-            gone = np.array([facet])
-        corners = np.sort(vertices[gone], axis=1)
-        ridges = np.stack([np.delete(corners, k, axis=1) for k in range(d)], 1).reshape(-1, d - 1)
+        gone = front = np.array([facet])
+        alive[facet] = False
+        while len(front):  # facets that the apex sees, ring by ring
+            front = np.unique(across[front])
+            front = front[alive[front]]
+            front = front[normals[front] @ points[apex] - offsets[front] > least]
+            alive[front] = False
+            gone = np.append(gone, front)
+        at, side = np.nonzero(alive[across[gone]])
+        beyond = across[gone[at], side]
+        corners = vertices[gone[at]]
+        ridges = corners[np.arange(d) != side[:, None]].reshape(-1, d - 1)
         key = weight[ridges].sum(1, dtype=np.uint64)
-        _, at, times = np.unique(key, return_index=True, return_counts=True)
-        ridges = ridges[at[times == 1]]
-        new = np.column_stack((ridges, np.full(len(ridges), apex)))
-        new_normals, new_offsets = _planes(points[new], inner)
-        while used + len(new) > len(alive):
+        turn = np.argsort(key)
+        ridges, beyond, key = np.sort(ridges[turn], axis=1), beyond[turn], key[turn]
+        m = len(ridges)
+        while used + m > len(alive):
             grow = len(alive)
-            vertices, normals = np.vstack((vertices, np.zeros((grow, d), np.int64))), np.vstack((normals, np.zeros((grow, d))))
+            vertices, across, normals = (np.vstack((a, np.zeros((grow, d), a.dtype))) for a in (vertices, across, normals))
             offsets, alive = np.append(offsets, np.zeros(grow)), np.append(alive, np.zeros(grow, bool))
-        place = slice(used, used + len(new))
-        vertices[place], normals[place], offsets[place], alive[place] = new, new_normals, new_offsets, True
-        alive[gone] = False
+        place = slice(used, used + m)
+        vertices[place, :-1], vertices[place, -1] = ridges, apex
+        new_normals, new_offsets = _planes(points[vertices[place]], inner)
+        normals[place], offsets[place], alive[place] = new_normals, new_offsets, True
+        number = np.arange(used, used + m)
+        across[place, -1] = beyond
+        slot = (vertices[beyond][:, :, None] == ridges[:, None]).any(2).argmin(1)
+        across[beyond, slot] = number
+        pair = np.argsort((key[:, None] - weight[ridges]).reshape(-1), kind="stable").reshape(-1, 2)  # two new facets meet where a ridge drops a vertex
+        row, column = np.divmod(pair, d - 1)
+        across[used + row[:, 0], column[:, 0]], across[used + row[:, 1], column[:, 1]] = used + row[:, 1], used + row[:, 0]
         lost = waiting[~alive[sees[waiting]]]
         lost = lost[lost != apex]
         sees[apex] = -1
         if len(lost):
             above = points[lost] @ new_normals.T - new_offsets
             sees[lost] = np.where(above.max(1) > least, used + above.argmax(1), -1)
-        used += len(new)
+        used, living = used + m, living + m - len(gone)
         waiting = waiting[sees[waiting] >= 0]
-        if used > 4096 and alive[:used].sum() * 3 < used:  # drop the dead
+        if used > 4096 and living * 3 < used:  # drop the dead
             keep = np.flatnonzero(alive[:used])
-            number = np.full(used, -1)
+            number = np.full(used, -1, np.int32)
             number[keep] = np.arange(len(keep))
             sees[waiting] = number[sees[waiting]]
-            vertices, normals, offsets, alive, used = vertices[keep], normals[keep], offsets[keep], np.ones(len(keep), bool), len(keep)
+            vertices, across, normals, offsets, alive, used = vertices[keep], number[across[keep]], normals[keep], offsets[keep], np.ones(len(keep), bool), len(keep)
     keep = np.flatnonzero(alive[:used])
     return Hull(vertices[keep], normals[keep], offsets[keep], points, inner)
 
