@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -97,7 +99,7 @@ def grasp_quality(wrenches: DataFrame, by: str) -> DataFrame:
         return group.iloc[:1][[by]].assign(facets=hull.planes(), radius=max(radius, 0.0), force_closure=radius > 1e-9, volume=hull.volume(), area=hull.area())
 
     kind = dict(wrenches.dtypes)[by]
-    return hull_wrenches(wrenches, by).groupBy(by).applyInPandas(run, f"`{by}` {kind}, facets long, radius double, force_closure boolean, volume double, area double")
+    return dealt(hull_wrenches(wrenches, by), by).groupBy(by).applyInPandas(run, f"`{by}` {kind}, facets long, radius double, force_closure boolean, volume double, area double")
 
 
 def zone_inclusion(wrenches: DataFrame, zones: DataFrame, patches: DataFrame) -> DataFrame:
@@ -151,23 +153,29 @@ def measured_hull(points: np.ndarray) -> tuple[float, float]:
     return (0.0, 0.0) if hull is None else (hull.volume(), hull.area())
 
 
-def shifted_zones(wrenches: DataFrame, by: str, finger: str, alpha: float) -> DataFrame:
+def shifted_zones(wrenches: DataFrame, by: str, finger: str, alpha: float, held: int = 1 << 22) -> DataFrame:
     """by, finger, zone, facet, n0..n5, off of each grasp whose hull holds the origin: one zone for each wrench (numbered in the order of their
     components) at a hull vertex, bounded by its facets moved inwards to ``alpha`` times the ball's radius: outward normals, and a wrench is in the
     zone if n . w >= off for all its facets, so that a hull with a wrench in every zone still holds the smaller ball. No zones without force closure.
+    A task holds ``held`` distances of wrenches from facets at a time.
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha is between 0 and 1")
     kinds = dict(wrenches.dtypes)
     schema = f"`{by}` {kinds[by]}, `{finger}` {kinds[finger]}, zone int, facet int, " + ", ".join(f"n{k} double" for k in range(6)) + ", off double"
 
-    def run(group):
-        group = group.sort_values([*WRENCH, finger]).reset_index(drop=True)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = pd.concat(list(batches)).sort_values([*WRENCH, finger]).reset_index(drop=True)
         points = group[list(WRENCH)].to_numpy(float)
         normals, offsets = hull_facets(points)
         radius = offsets.min() if len(offsets) else 0.0
-        zone, facet = np.nonzero(np.abs(points @ normals.T - offsets) < 1e-7) if radius > 1e-9 else (np.zeros(0, int), np.zeros(0, int))
-        own = {by: group[by].to_numpy()[zone], finger: group[finger].to_numpy()[zone], "zone": zone, "facet": facet}
-        return pd.DataFrame(own | {f"n{k}": normals[facet, k] for k in range(6)} | {"off": np.full(len(zone), alpha * radius)})
-
-    return wrenches.select(by, finger, *WRENCH).groupBy(by).applyInPandas(run, schema)
+        if radius <= 1e-9:
+            return
+        keys, fingers, size = group[by].to_numpy(), group[finger].to_numpy(), max(held // len(points), 1)
+        for start in range(0, len(offsets), size):  # some facets at a time: points times facets are never held at once
+            part = normals[start : start + size]
+            zone, facet = np.nonzero(np.abs(points @ part.T - offsets[start : start + size]) < 1e-7)
+            own = {by: keys[zone], finger: fingers[zone], "zone": zone, "facet": start + facet}
+            yield pd.DataFrame(own | {f"n{k}": part[facet, k] for k in range(6)} | {"off": np.full(len(zone), alpha * radius)})
+
+    return dealt(wrenches.select(by, finger, *WRENCH), by).groupBy(by).applyInPandas(run, schema)

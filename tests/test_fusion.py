@@ -165,3 +165,29 @@ def test_pyramid_reaches_what_one_level_misses(spark):
     off = lambda pose: np.abs((np.column_stack((x, np.ones(len(x)))) @ (pose @ np.linalg.inv(truth)).T)[:, :3] - x).mean()
     pyramid, single = S.track_pyramid(seen, voxels, 0.1, 0.4, "id"), S.track(seen, voxels, 0.1, 0.4, "id", rounds=2)
     assert off(pyramid) < 0.5 * off(single) and off(pyramid) < 0.03, (off(pyramid), off(single))
+
+
+def test_grasps_small_in_bytes_run_in_tasks_of_their_own(spark):
+    """Twelve grasps of a few hundred bytes each are not put into one task; a hull's step doesn't look at the facets far from it; zones come in parts."""
+    from time import process_time
+
+    from cairnmap.operators.hull import convex_hull
+
+    draw = np.random.default_rng(5)
+    rows = [(g, k % 3, *map(float, p)) for g in range(12) for k, p in enumerate(draw.normal(size=(30, 6)))]
+    wrenches = spark.createDataFrame(rows, "grasp int, finger int, " + ", ".join(f"{w} double" for w in GR.WRENCH))
+    for found in (GR.grasp_quality(wrenches, "grasp"), GR.shifted_zones(wrenches, "grasp", "finger", 0.5)):
+        assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 6
+    order = ["grasp", "zone", "facet"]
+    whole, parts = (GR.shifted_zones(wrenches, "grasp", "finger", 0.5, held=h).toPandas().sort_values(order).reset_index(drop=True) for h in (1 << 22, 1000))
+    assert len(whole) and whole[order].equals(parts[order]) and np.allclose(whole, parts)
+
+    def seconds(n):
+        points = draw.normal(size=(n, 3))
+        began = process_time()
+        hull = convex_hull(points / np.linalg.norm(points, axis=1)[:, None])
+        assert len(hull.vertices) == 2 * n - 4
+        return process_time() - began
+
+    seconds(500)
+    assert seconds(8000) < 12 * seconds(2000)
