@@ -205,63 +205,108 @@ def drivable(cells: DataFrame, blocked: DataFrame, edges: DataFrame, seed: str)
     return cells.select(F.concat_ws(":", *KEY).alias("node")).join(found.select("node", F.lit(True).alias("drivable")), "node", "left").fillna(False, ["drivable"])
 
 
-def grow_polygons(path: DataFrame, blocked: DataFrame, by: str, moves: int = 50, start: int = 5, apart: int = 10) -> DataFrame:
+def _walls_before(full, di: int, dj: int):
+    """Blocked pixels on the way to each pixel in steps of (di, dj), itself included."""
+    import numpy as np
+
+    out = full.astype(np.int16)
+    if not di:
+        return out.cumsum(1, dtype=np.int16)
+    for i in range(1, len(out)):
+        if not dj:
+            out[i] += out[i - 1]
+        elif dj > 0:
+            out[i, 1:] += out[i - 1, :-1]
+        else:
+            out[i, :-1] += out[i - 1, 1:]
+    return out
+
+
+def _grown(now, towards, full, moves: int, start: int, apart: int):
+    """Corners (n x 4 x 2) of quadrangles grown around places, and which of them started free; all in pixels of the raster ``full``.
+
+    now: n x 2 places; towards: two n x 2 places each with a mask of those that exist. An edge goes diagonally, then straight, so sums along
+    the raster's rows, columns and diagonals tell by two differences whether it meets a blocked pixel.
+    """
+    import numpy as np
+
+    down, right, falling, rising = (_walls_before(full, *d) for d in ((1, 0), (0, 1), (1, 1), (1, -1)))
+
+    def on(sums, i, j, to_i, to_j):
+        """Blocked pixels from a place to another along the sums' direction, but for the first."""
+        return np.abs(sums[to_i, to_j].astype(np.int32) - sums[i, j]) + np.where((to_i > i) | ((to_i == i) & (to_j > j)), 0, full[to_i, to_j].astype(np.int32) - full[i, j])
+
+    def blocked(c):
+        found = np.zeros(len(c), bool)
+        for k in range(4):
+            (i, j), (to_i, to_j) = c[:, k].T, c[:, (k + 1) % 4].T
+            di, dj = to_i - i, to_j - j
+            both = np.minimum(np.abs(di), np.abs(dj))
+            mi, mj = i + np.sign(di) * both, j + np.sign(dj) * both
+            found |= full[i, j] > 0
+            found |= np.where(di * dj >= 0, on(falling, i, j, mi, mj), on(rising, i, j, mi, mj)) != 0
+            found |= np.where(mi == to_i, on(right, mi, mj, to_i, to_j), on(down, mi, mj, to_i, to_j)) != 0
+        return found
+
+    best = now[:, None] + start * np.array([(-1, -1), (-1, 1), (1, 1), (1, -1)])
+    begun = ~blocked(best)
+    at = np.flatnonzero(begun & (towards[0][1] | towards[1][1]))
+    for _ in range(moves):
+        if not len(at):
+            break
+        move, row = best[at], np.arange(len(at))
+        for goals, known in towards:
+            goal, k = goals[at], known[at]
+            gap = np.hypot(*(move - goal[:, None]).transpose(2, 0, 1))
+            one = gap.argmin(1)
+            last, after = (one - 1) % 4, (one + 1) % 4
+            two = np.where(gap[row, last] < gap[row, after], last, after)
+            for corner in (one, two):
+                move[row, corner] += np.where(k[:, None], np.where(move[row, corner] > goal, -1, 1), 0)
+            off = move[row, one] - move[row, two]
+            push = np.where(k[:, None] & (np.abs(off) < apart), np.where(off > 0, 2, -2), 0)
+            move[row, one] += push
+            move[row, two] -= push
+        free = ~blocked(move)
+        at = at[free]
+        best[at] = move[free]
+    return best, begun
+
+
+def grow_polygons(path: DataFrame, blocked: DataFrame, by: str, moves: int = 50, start: int = 5, apart: int = 10, most: int = 20_000) -> DataFrame:
     """by, seq, edge, i, j: a free quadrangle around every point (by, seq, i, j: pixels) of a path, grown towards the points before and after it.
 
     It starts as a square of ``start`` pixels each way. In a move, for the point before and then the one after, the corner nearest to that point
     and the nearer of its neighbours step one pixel towards it in both coordinates, and two pixels away from each other in each
     coordinate in which they are closer than ``apart``. The last quadrangle without a blocked pixel on its edges stays; a start that meets one
-    gives no rows. A task's group is one seed with the blocked pixels in its reach.
+    gives no rows. A task's group is about ``most`` seeds of a tile with a raster of the tile and its surroundings in reach, so it doesn't grow with the
+    number of seeds or of blocked pixels.
     """
     from pyspark.sql import Window
 
-    reach, tile = start + 6 * moves, 256
+    reach, tile = start + 6 * moves, 512
     along = Window.partitionBy(by).orderBy("seq")
     seeds = path.select(by, "seq", "i", "j", *(f(c).over(along).alias(p + c) for f, p in ((F.lag, "b"), (F.lead, "a")) for c in "ij"))
+    seeds = seeds.select("*", *(F.floor(F.col(c) / tile).alias("t" + c) for c in "ij"))
+    parts = seeds.groupBy("ti", "tj").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    seeds = seeds.join(parts, ["ti", "tj"]).withColumn("part", F.pmod(F.xxhash64(by, "seq"), "parts").cast("int")).drop("parts")
     tiles = lambda c: F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile))
-    near = seeds.select(by, "seq", F.col("i").alias("si"), F.col("j").alias("sj"), F.explode(tiles("i")).alias("ti")).withColumn("tj", F.explode(tiles("sj")))
-    walls = blocked.select("i", "j", F.floor(F.col("i") / tile).alias("ti"), F.floor(F.col("j") / tile).alias("tj"))
-    held = near.join(walls, ["ti", "tj"]).filter((F.abs(F.col("i") - F.col("si")) <= reach) & (F.abs(F.col("j") - F.col("sj")) <= reach)).select(F.col(by).alias("_of"), F.col("seq").alias("_seq"), "i", "j")
+    walls = blocked.select("i", "j").distinct().select("i", "j", F.explode(tiles("i")).alias("ti")).withColumn("tj", F.explode(tiles("j")))
+    walls = walls.join(parts, ["ti", "tj"]).select("i", "j", "ti", "tj", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     kind = dict(path.dtypes)[by]
 
     def run(key, seed, walls):
         import numpy as np
         import pandas as pd
 
-        full = set(zip(walls["i"].tolist(), walls["j"].tolist()))
-        out = []
-        for s in seed.itertuples(index=False):
-            s = s._asdict()
-            towards = [(s[p + "i"], s[p + "j"]) for p in "ba" if s[p + "i"] == s[p + "i"] and s[p + "i"] is not None]
-
-            def free(corners):
-                for (i0, j0), (i1, j1) in zip(corners, np.roll(corners, -1, 0)):
-                    di, dj = int(i1 - i0), int(j1 - j0)
-                    for k in range(max(abs(di), abs(dj)) + 1):
-                        if (int(i0 + np.sign(di) * min(k, abs(di))), int(j0 + np.sign(dj) * min(k, abs(dj)))) in full:
-                            return False
-                return True
-
-            best = np.array([s["i"], s["j"]]) + start * np.array([(-1, -1), (-1, 1), (1, 1), (1, -1)])
-            if not free(best):
-                continue
-            for _ in range(moves if towards else 0):
-                now = best.copy()
-                for goal in towards:
-                    gap = np.hypot(*(now - goal).T)
-                    one = int(gap.argmin())
-                    sides = ((one - 1) % 4, (one + 1) % 4)
-                    two = min(sides, key=lambda k: (gap[k], k != sides[1]))
-                    for k in (one, two):
-                        now[k] += np.where(now[k] > goal, -1, 1).astype(now.dtype)
-                    off = now[one] - now[two]
-                    push = np.where(np.abs(off) < apart, np.where(off > 0, 2, -2), 0)
-                    now[one] += push
-                    now[two] -= push
-                if not free(now):
-                    break
-                best = now
-            out += [(s[by], s["seq"], k, int(i), int(j)) for k, (i, j) in enumerate(best)]
-        return pd.DataFrame(out, columns=[by, "seq", "edge", "i", "j"])
-
-    return seeds.groupBy(by, "seq").cogroup(held.groupBy("_of", "_seq")).applyInPandas(run, f"`{by}` {kind}, seq long, edge int, i int, j int")
+        corner = np.array([int(k) * tile - reach for k in key[:2]])
+        full = np.zeros((tile + 2 * reach + 1,) * 2, np.int8)
+        full[tuple((walls[["i", "j"]].to_numpy(np.int64) - corner).T)] = 1
+        towards = [(seed[[p + "i", p + "j"]].fillna(0).to_numpy(np.int64) - corner, seed[p + "i"].notna().to_numpy()) for p in "ba"]
+        best, begun = _grown(seed[["i", "j"]].to_numpy(np.int64) - corner, towards, full, moves, start, apart)
+        best = best[begun] + corner
+        own = {c: np.repeat(seed[c].to_numpy()[begun], 4) for c in (by, "seq")}
+        return pd.DataFrame(own | {"edge": np.tile(np.arange(4), len(best)), "i": best[:, :, 0].reshape(-1), "j": best[:, :, 1].reshape(-1)})
+
+    keys = ("ti", "tj", "part")
+    return seeds.groupBy(*keys).cogroup(walls.groupBy(*keys)).applyInPandas(run, f"`{by}` {kind}, seq long, edge int, i int, j int")

@@ -104,6 +104,53 @@ def test_grown_polygons(spark):
     assert len(first) == 4 and first["i"].max() < 20 and first["i"].max() > 5 and got[got["seq"] == 1]["i"].min() > 20
 
 
+def test_grown_polygons_equal_single_steps(spark):
+    """Thousands of seeds on a busy raster against growth pixel by pixel; repeated walls, places below zero, ends of paths, a path of one point."""
+    draw = np.random.default_rng(4)
+    steps = draw.integers(-9, 10, (6, 80, 2)).cumsum(1)
+    path = [(p, k, *map(int, ij)) for p, own in enumerate(steps) for k, ij in enumerate(own)] + [(9, 0, -700, 3)]
+    walls = {(int(i), int(j)) for i, j in draw.integers(-160, 160, (700, 2))}
+
+    def free(c):
+        for (i, j), (k, l) in zip(c, [*c[1:], c[0]]):
+            for n in range(max(abs(k - i), abs(l - j)) + 1):
+                if (i + np.sign(k - i) * min(n, abs(k - i)), j + np.sign(l - j) * min(n, abs(l - j))) in walls:
+                    return False
+        return True
+
+    want = {}
+    for p, k, i, j in path:
+        best = [(i - 5, j - 5), (i - 5, j + 5), (i + 5, j + 5), (i + 5, j - 5)]
+        goals = [r[2:] for q in (k - 1, k + 1) for r in path if r[:2] == (p, q)]
+        if not free(best):
+            continue
+        for _ in range(50 if goals else 0):
+            now = [list(c) for c in best]
+            for g in goals:
+                gap = [np.hypot(c[0] - g[0], c[1] - g[1]) for c in now]
+                one = gap.index(min(gap))
+                two = (one - 1) % 4 if gap[(one - 1) % 4] < gap[(one + 1) % 4] else (one + 1) % 4
+                for c in (one, two):
+                    now[c] = [v - 1 if v > t else v + 1 for v, t in zip(now[c], g)]
+                for a in (0, 1):
+                    off = now[one][a] - now[two][a]
+                    push = (2 if off > 0 else -2) if abs(off) < 10 else 0
+                    now[one][a] += push
+                    now[two][a] -= push
+            if not free(now):
+                break
+            best = now
+        want[p, k] = [tuple(c) for c in best]
+    frame = spark.createDataFrame(path, "p int, seq long, i int, j int")
+    blocked = spark.createDataFrame([*walls, *list(walls)[:50]], "i int, j int")
+    for most in (20_000, 50):
+        got = PL.grow_polygons(frame, blocked, "p", most=most)
+        found = {}
+        for r in got.orderBy("p", "seq", "edge").collect():
+            found.setdefault((r["p"], r["seq"]), []).append((r["i"], r["j"]))
+        assert found == want and 100 < len(want) < len(path)
+
+
 def test_zones_and_contents(spark):
     cube = np.array([[x, y, z] for x in (-1.0, 1) for y in (-1.0, 1) for z in (-1.0, 1)])
     assert np.allclose(GR.measured_hull(cube), (8, 24)) and np.allclose(GR.measured_hull(cube[[0, 1, 2, 4]]), (8 / 6, 6 + 2 * np.sqrt(3)))
