@@ -20,8 +20,9 @@ def folder(spark, name: str) -> str:
 
 
 def written(lines, by: str, path: str) -> None:
-    """Lines (by, ord, line) as one text file for each value of ``by``."""
-    lines.repartition(by).sortWithinPartitions(by, "ord").select(by, F.col("line").alias("value")).write.partitionBy(by).text(path)
+    """Lines (by, ord, line) as one text file for each value of ``by``. They are dealt by a hash of ``by``: for ``by`` itself Spark leaves the shuffle
+    out where the lines are a union of parts already dealt by it, whose partitions are then joined differently, and a file falls into two."""
+    lines.repartition(F.xxhash64(by)).sortWithinPartitions(by, "ord").select(by, F.col("line").alias("value")).write.partitionBy(by).text(path)
 
 
 def _named(df, by: str):

@@ -79,3 +79,29 @@ def test_cell_maps_by_ranges(spark, tmp_path):
     (tmp_path / "bad").write_bytes(b"something else")
     with pytest.raises(Exception, match="no cell map"):
         spark.read.format("cell_map").load(str(tmp_path / "bad")).count()
+
+
+def test_one_file_for_each_key(spark, tmp_path):
+    """A long part and a short one, both dealt by the key before: their lines meet in one file, heads first, though adaptive execution joins their partitions differently."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from cairnmap.plans.files import written
+
+    tuned = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k) for k in tuned}
+    for k, v in tuned.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(60_000).select((F.col("id") % 10).cast("int").alias("k"), "id")
+        number = F.row_number().over(Window.partitionBy("k").orderBy("id")).cast("long")
+        body = rows.select("k", number.alias("ord"), F.concat(F.lit("row "), number, F.repeat(F.lit("."), 20)).alias("line"))
+        head = rows.select("k").distinct().select("k", F.lit(0).cast("long").alias("ord"), F.lit("head").alias("line"))
+        written(body.unionByName(head), "k", str(tmp_path / "out"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for k in range(10):
+        (file,) = (tmp_path / f"out/k={k}").glob("*.txt")
+        lines = file.read_text().splitlines()
+        assert lines[0] == "head" and [int(x.split(".")[0][4:]) for x in lines[1:]] == list(range(1, 6001))
