@@ -144,12 +144,11 @@ def adaptive_leaves(points: DataFrame, big: float, depth: int = 3, least: int =
 
 def four_nearest(points: DataFrame, cells: DataFrame, size: float, by: str, n: int = 4, reach: int = 1) -> DataFrame:
     """by, rank, ix, iy, iz, dist of the n cells of a block whose means are nearest."""
-    from .joins import neighbour_block
+    from .joins import cell_blocks, in_block
 
-    dist = G.distance(columns(G.AXES), columns(MEAN))
-    held = neighbour_block(points, cells, size, reach).select(by, *KEY, dist.alias("dist"))
+    held = in_block(points.select(by, *G.AXES), cell_blocks(cells, reach), size)
     rank = F.row_number().over(Window.partitionBy(by).orderBy("dist", *KEY))
-    return held.withColumn("rank", rank).filter(F.col("rank") <= n)
+    return held.select(by, *KEY, "dist").withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
 def trimmed(frames: DataFrame, by: tuple[str, ...], order: str, most: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from .cells import COV, KEY, MEAN, columns, fit, transform, transform_points, with_eigenvalues
-from .joins import nearest_cell
+from .joins import cell_blocks, in_block
 from .linesearch import more_thuente
 from .lineage import cut
 from .trajectory import alignment
@@ -523,10 +523,11 @@ def icp(source: DataFrame, target: DataFrame, size: float, rounds: int = 10) ->
     """Iterated closest points: nearest target voxel means within a block, then the closed-form pose."""
     pose = np.eye(4)
     cells = cut(target.select(*G.AXES, *G.grid_keys(size)).groupBy(*KEY).agg(*(F.avg(a).alias("m" + a) for a in G.AXES)))
+    blocks = cut(cell_blocks(cells))
     source = cut(source.select(F.monotonically_increasing_id().alias("sid"), *G.AXES))
     for _ in range(rounds):
         moved = transform_points(source, pose.reshape(-1).tolist())
-        near = nearest_cell(moved, cells, size, ("sid",)).join(cells, list(KEY)).join(moved, "sid")
+        near = in_block(moved, blocks, size).groupBy("sid").agg(F.min(F.struct("dist", *KEY, *MEAN, *G.AXES)).alias("b")).select("b.*")
         r, t = alignment(near, G.AXES, MEAN)
         step = np.eye(4)
         step[:3, :3], step[:3, 3] = r, t

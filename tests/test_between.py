@@ -197,3 +197,27 @@ def test_nearest_vertex_looks_at_few_of_the_vertices_within_reach(spark):
     assert {i: g[0] for i, g in got.items()} == {i: w[0] for i, w in want.items()} and all(abs(got[i][1] - w[1]) < 2e-9 for i, w in want.items())
     places = vertices.selectExpr("id", "x mx", "y my", "z mz")
     assert J.block_pairs(points, places, J.fine_size(places, 0.3)).count() < 200 * len(p) < (far <= 0.3).sum()
+
+
+def test_nearest_cells_move_each_point_once(spark):
+    """Blocks are unfolded from the cells, not from the points; ties, points without cells, nulls, two means in one place."""
+    from cairnmap.operators import extents as X
+
+    r = np.random.default_rng(12)
+    cells = [(*map(int, k), *map(float, k + r.integers(-2, 3, 3) * 0.25)) for k in np.unique(r.integers(-4, 5, (150, 3)), axis=0)]
+    rows = [(i, *map(float, p)) for i, p in enumerate(r.integers(-24, 25, (300, 3)) * 0.25)]
+    c = spark.createDataFrame(cells, "ix int, iy int, iz int, mx double, my double, mz double")
+    p = spark.createDataFrame([*rows, (900, None, 0.0, 0.0)], "pid long, x double, y double, z double")
+    want = {}
+    for i, *q in rows:
+        own = np.floor(np.array(q) + 0.5)
+        near = sorted((float(np.sqrt(((np.array(q) - m[3:]) ** 2).sum())), *m[:3]) for m in cells if np.abs(np.array(m[:3]) - own).max() <= 1)
+        if near:
+            want[i] = near[:4]
+    got = {}
+    for g in X.four_nearest(p, c, 1.0, "pid").orderBy("pid", "rank").collect():
+        got.setdefault(g.pid, []).append((g.dist, g.ix, g.iy, g.iz))
+    first = J.nearest_cell(p, c, 1.0, ("pid",))
+    assert got == want and {g.pid: [(g.dist, g.ix, g.iy, g.iz)] for g in first.collect()} == {i: w[:1] for i, w in want.items()}
+    unfolded = [line for line in first._jdf.queryExecution().optimizedPlan().toString().splitlines() if "explode(" in line]
+    assert len(unfolded) == 3 and not any("pid" in line for line in unfolded)
