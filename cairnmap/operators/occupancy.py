@@ -47,22 +47,38 @@ def hit_miss(rays: DataFrame, size: float, by: tuple[str, ...], limit: float = 2
     return out.withColumn("occ", F.greatest(F.lit(-limit), F.least(F.lit(limit), F.col("hits") * hit - miss * F.col("misses"))))
 
 
+def _with_neighbours(cells: DataFrame) -> DataFrame:
+    """Cells (key, mean, covariance) with _near: the means and inverse covariances (_mx, _my, _mz, _i0 .. _i5) of their 27 blocks, and which are their own."""
+    from .joins import cell_blocks
+
+    full = cells.select(*KEY, *MEAN, *COV, *(c.alias(f"i{k}") for k, c in enumerate(G.inverse(columns(COV)))))
+    blocks = cell_blocks(full, 1, tuple(full.columns)).withColumnsRenamed({"k" + a: k for a, k in zip(G.AXES, KEY)})
+    own = lambda c: (c["ix"] == F.col("ix")) & (c["iy"] == F.col("iy")) & (c["iz"] == F.col("iz"))
+    form = (*MEAN, *(f"i{k}" for k in range(6)))
+    near = F.transform("_block", lambda c: F.struct(*(c[n].alias("_" + n) for n in form), own(c).alias("_own")))
+    held = blocks.select(*KEY, F.get(F.filter("_block", own), F.lit(0)).alias("_c"), near.alias("_near")).filter("_c is not null")
+    return held.select(*KEY, *(F.col("_c")[n].alias(n) for n in (*MEAN, *COV)), "_near")
+
+
 def ray_depth(rays: DataFrame, cells: DataFrame, size: float, by: str, threshold: float = 0.1, smooth: float = 0.0) -> DataFrame:
     """by, depth: the distance to the most likely point of the first crossed cell whose likelihood there passes the threshold; a miss is the length + 1.
 
-    ``smooth`` adds that many times the likelihoods of the point in the neighbouring cells.
+    ``smooth`` adds that many times the likelihoods of the point in the neighbouring cells. Rays are dealt by ``by`` first and a cell carries its
+    neighbours in an array, so the pairs of crossings and neighbours are summed in the task that makes them.
     """
     origin = [F.col("o" + a) for a in G.AXES]
-    hit = peak_on_line(ray_cells(rays, size, (by,)).join(cells, list(KEY)), origin, columns(G.AXES))
+    own = cells.select(*KEY, *MEAN, *COV)
+    lines = rays
+    if smooth:
+        own, lines = _with_neighbours(own), rays.repartition(by)
+    hit = peak_on_line(ray_cells(lines, size, (by,)).join(own, list(KEY)), origin, columns(G.AXES))
     peak = [F.col("peak_" + a) for a in G.AXES]
-    hit = hit.select(by, "step", *KEY, *peak, "peak", G.distance(peak, origin).alias("depth"))
+    hit = hit.select(by, "step", *peak, "peak", G.distance(peak, origin).alias("depth"), *(("_near",) if smooth else ()))
     if smooth:
-        around = hit.select(by, "step", *(F.col(k).alias("p" + k) for k in KEY), *peak, "peak", "depth")
-        for k in KEY:
-            around = around.withColumn(k, F.explode(F.sequence(F.col("p" + k) - 1, F.col("p" + k) + 1)))
-        own = F.struct(*KEY) == F.struct(*("p" + k for k in KEY))
-        lik = F.when(own, 0.0).otherwise(G.likelihood(peak, columns(MEAN), columns(COV)))
-        hit = around.join(cells, list(KEY)).groupBy(by, "step", "depth", "peak").agg(F.sum(lik).alias("near")).withColumn("peak", F.col("peak") + smooth * F.col("near"))
+        around = hit.select(by, "step", *peak, "peak", "depth", F.inline("_near"))
+        lik = F.exp(-0.5 * G.quadratic([p - F.col("_" + m) for p, m in zip(peak, MEAN)], [F.col(f"_i{k}") for k in range(6)]))
+        lik = F.when(F.col("_own"), 0.0).otherwise(F.coalesce(F.nanvl(lik, F.lit(-1.0)), F.lit(-1.0)))
+        hit = around.groupBy(by, "step", "depth", "peak").agg(F.sum(lik).alias("near")).withColumn("peak", F.col("peak") + smooth * F.col("near"))
     # a condition inside the aggregate: a filter would be pushed down and repeat all of the peak's terms
     first = hit.groupBy(by).agg(F.min_by("depth", F.when(F.col("peak") > threshold, F.col("step"))).alias("depth"))
     length = G.distance(origin, columns(G.AXES))
