@@ -9,6 +9,7 @@ from ..operators import cells as C
 from ..operators import joins as J
 from ..operators import occupancy as O
 from ..operators import planning as P
+from ..operators.within import neighbour_counts
 from .registry import FIRM, firm, CELLS, CLOUD, FORM, KEYS, SIZE, cells, cloud, key_sql, plan, rnd, rounded, table
 
 _ON = " AND ".join(f"c.i{a} BETWEEN k.i{a}-1 AND k.i{a}+1" for a in "xyz")
@@ -44,8 +45,8 @@ _RADIUS = "sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) <= 0.05"
 
 @plan(f"WITH {CLOUD} SELECT a.pid AS l_id, count(*) AS near FROM cloud a JOIN cloud b ON a.scan_id = b.scan_id AND abs(a.x-b.x) <= 0.05 AND {_RADIUS} GROUP BY 1")
 def radius_neighbours(spark, sf):
-    s = cloud(spark, sf)
-    return J.radius_pairs(s, s, 0.05, "pid", "pid", ("scan_id",)).groupBy("l_id").agg(F.count("*").alias("near"))
+    near = neighbour_counts(cloud(spark, sf), "pid", 0.05, ("scan_id",))
+    return near.filter("near > 0").select(F.col("pid").alias("l_id"), "near")
 
 
 @plan(f"WITH {CLOUD} SELECT a.pid FROM cloud a JOIN cloud b ON a.scan_id = b.scan_id AND a.pid <> b.pid AND abs(a.x-b.x) <= 0.05 AND {_RADIUS} GROUP BY 1 HAVING count(*) >= 3")

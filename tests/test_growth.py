@@ -69,3 +69,30 @@ def test_nearest_any_keeps_a_point_in_one_row(spark, tmp_path):
     x = {r["pid"]: np.array([r["x"], r["y"], r["z"]]) for r in points.collect()}
     found = out.collect()
     assert len(found) == 400 and all(abs(r["dist"] - np.linalg.norm(means - x[r["pid"]], axis=1).min()) < 1e-12 for r in found)
+
+
+def test_neighbours_are_counted_without_pairs(spark, monkeypatch):
+    """A crowd of n points in one ball moves some n rows, not 27 n or n squared; split tiles, ties at the radius, copies and bad rows count as by brute force."""
+    import numpy as np
+
+    from cairnmap.operators import within as W
+
+    rng = np.random.default_rng(7)
+    p = np.round(rng.normal(0, 0.08, (600, 3)) / 0.0125) * 0.0125  # many pairs at the radius exactly
+    rows = [(i // 400, i if i % 50 else 7, *map(float, q)) for i, q in enumerate(p)] + [(0, 700, None, 0.0, 0.0), (0, 701, float("nan"), 0.0, 0.0), (None, 702, 0.0, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "scan_id int, pid long, x double, y double, z double")
+    whole = {}
+    for s, i, *a in rows[:600]:
+        for t, _, *b in rows[:600]:
+            if s == t and sum((u - v) * (u - v) for u, v in zip(a, b)) ** 0.5 <= 0.05:
+                whole[i] = whole.get(i, 0) + 1
+    for crowd in (W.CROWD, 50):
+        monkeypatch.setattr(W, "CROWD", crowd)
+        assert {r["pid"]: r["near"] for r in W.neighbour_counts(points, "pid", 0.05, ("scan_id",)).collect()} == whole
+    dense = rng.normal(0, 0.1, (20000, 3))
+    seen = []
+    met = W._met
+    monkeypatch.setattr(W, "_met", lambda a, b, first, last, r: seen.append(np.maximum(last - first, 0).sum()) or met(a, b, first, last, r))
+    got = W.counts_within(dense, dense, 0.05)
+    assert sum(seen) < 1.5 * got.sum()  # a grid of the radius measures 6 times as many
+    assert all(got[k] == (np.sqrt(((dense[k] - dense) ** 2).sum(1)) <= 0.05).sum() for k in range(0, 20000, 400))
