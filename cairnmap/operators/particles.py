@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from .cells import COV, KEY, MEAN, columns
+from .lineage import cut
+
+#: Map cells that are broadcast at most.
+FEW = 1 << 18
 
 
 def uniform_grid(spark, lows: tuple[float, float, float], highs: tuple[float, float, float], steps: tuple[int, int, int]) -> DataFrame:
@@ -38,21 +42,28 @@ def predict(particles: DataFrame, dx: float, dy: float, da: float, seed: int | N
 def weigh(particles: DataFrame, scan: DataFrame, cells: DataFrame, size: float) -> DataFrame:
     """lik = 1 + sum over scan cells of 0.1 + 0.9 exp(-0.05 l / 2), l the Mahalanobis form of the two cells' means and summed covariances.
 
-    Every particle moves every scan cell (a scan is small against the particles), then one equality join with the map.
+    Every particle moves every scan cell's mean (a scan is small against the particles and is broadcast), then one equality join with the map, which is
+    broadcast up to ``FEW`` cells; covariances are turned for the pairs that met. Particles are dealt by id over many tasks, and a particle's
+    pairs stay in its own, so nothing but particles is moved where the map is broadcast.
     """
-    scan = scan.select(*(F.col(c).alias("s" + c) for c in MEAN + COV))
-    moved = particles.select("pid", "x", "y", "a").crossJoin(scan)
-    c, s = F.cos("a"), F.sin("a")
-    zero, one = F.lit(0.0), F.lit(1.0)
+    from .grasp import dealt
+
+    scan = F.broadcast(scan.select(*(F.col(c).alias("s" + c) for c in MEAN + COV)))
+    cells = cut(cells.select(*KEY, *MEAN, *COV))
+    cells = F.broadcast(cells) if cells.count() <= FEW else cells
+    own = dealt(particles, "pid")
+    turned = own.select("pid", "x", "y", F.cos("a").alias("_c"), F.sin("a").alias("_s"))
+    c, s, zero, one = F.col("_c"), F.col("_s"), F.lit(0.0), F.lit(1.0)
     t = [c, -s, zero, F.col("x"), s, c, zero, F.col("y"), zero, zero, one, zero]
     mean = G.transform_point(t, *(F.col("s" + m) for m in MEAN))
-    cov = G.rotate_sym(t, [F.col("s" + k) for k in COV])
-    moved = moved.select("pid", *(m.alias("t" + a) for m, a in zip(mean, G.AXES)), *(k.alias("t" + n) for k, n in zip(cov, COV)))
+    moved = turned.crossJoin(scan).select("pid", "_c", "_s", *(F.col("s" + k) for k in COV), *(m.alias("t" + a) for m, a in zip(mean, G.AXES)))
     hit = moved.select("*", *G.grid_keys(size, ["t" + a for a in G.AXES])).join(cells, list(KEY))
-    form = G.quadratic([F.col("t" + a) - F.col("m" + a) for a in G.AXES], G.inverse([F.col("t" + k) + F.col(k) for k in COV]))
+    hit = hit.withColumns({"t" + n: k for n, k in zip(COV, G.rotate_sym(t, [F.col("s" + k) for k in COV]))})
+    hit = hit.withColumns({f"_i{k}": v for k, v in enumerate(G.inverse([F.col("t" + k) + F.col(k) for k in COV]))})
+    form = G.quadratic([F.col("t" + a) - F.col("m" + a) for a in G.AXES], [F.col(f"_i{k}") for k in range(6)])
     score = F.when(form.isNotNull() & ~F.isnan(form), 0.1 + 0.9 * F.exp(-0.05 * form / 2)).otherwise(0.0)
     total = hit.groupBy("pid").agg(F.sum(score).alias("s"))
-    return particles.join(total, "pid", "left").withColumn("lik", 1 + F.coalesce("s", F.lit(0.0))).drop("s")
+    return own.join(total, "pid", "left").withColumn("lik", 1 + F.coalesce("s", F.lit(0.0))).drop("s")
 
 
 def normalise(particles: DataFrame) -> DataFrame:

@@ -115,3 +115,36 @@ def test_dense_points_are_counted_without_pairs(spark):
     dense = J.nth_neighbour_within(points, "pid", 0.05, 3, ("scan_id",))
     assert {r["pid"] for r in dense.collect()} == {i for i, n in others.items() if n >= 3} != set(others)
     assert "r_id" not in dense._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_weighing_is_spread_over_tasks(spark):
+    """Weights as from a loop over the pairs; few bytes of particles still go to many tasks, and only particles are shuffled."""
+    import math
+
+    import numpy as np
+
+    from cairnmap.operators import particles as PF
+
+    rng = np.random.default_rng(9)
+    cell = "ix int, iy int, iz int, mx double, my double, mz double, cxx double, cxy double, cxz double, cyy double, cyz double, czz double"
+
+    def cells(n):
+        m = rng.uniform(-0.3, 0.3, (n, 3))
+        c = [q @ q.T + 0.001 * np.eye(3) for q in rng.normal(0, 0.05, (n, 3, 3))]
+        return {tuple(np.floor(v / 0.1 + 0.5).astype(int).tolist()): (v, k) for v, k in zip(m, c)}
+
+    frame = lambda d: spark.createDataFrame([(*k, *map(float, v), *(float(c[i, j]) for i in range(3) for j in range(i, 3))) for k, (v, c) in d.items()], cell)
+    scan, tgt = cells(15), cells(150)
+    own = [(n, *map(float, rng.uniform(-0.1, 0.1, 3))) for n in range(40)]
+    got = PF.weigh(spark.createDataFrame(own, "pid long, x double, y double, a double"), frame(scan), frame(tgt), 0.1)
+    for r in got.collect():
+        c, s = math.cos(r["a"]), math.sin(r["a"])
+        turn, lik = np.array([[c, -s, 0], [s, c, 0], [0, 0, 1]]), 1.0
+        for v, k in scan.values():
+            at = turn @ v + [r["x"], r["y"], 0]
+            met = tgt.get(tuple(np.floor(at / 0.1 + 0.5).astype(int).tolist()))
+            if met:
+                lik += 0.1 + 0.9 * math.exp(-0.05 * (at - met[0]) @ np.linalg.inv(turn @ k @ turn.T + met[1]) @ (at - met[0]) / 2)
+        assert abs(lik - r["lik"]) < 1e-9
+    assert got.count() == 40 and any(r["lik"] > 1 for r in got.collect())
+    assert got.rdd.getNumPartitions() >= 200
