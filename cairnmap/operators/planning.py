@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from itertools import count
-from math import sin
+from math import log, sin
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,9 @@ from ..functions import geometry as G
 from .cells import COV, KEY, MEAN, columns
 from .lineage import cut, listed, shared_folder
 
+#: Rows that a round of ``reachable`` may broadcast, by its front and the most edges of a node, and hops of a round, at most.
+BALL, MOST_HOPS = 1 << 20, 16
+
 
 def transit_edges(cells: DataFrame, size: float, step: float, slope: float = 1.0, n: int = 1) -> DataFrame:
     """src, dst, cost between cells of one block whose means are near enough and not too steep: cost is distance + 1. Ids are struct keys as strings."""
@@ -135,21 +138,30 @@ def inside(points: DataFrame, planes: DataFrame, by: str, point_id: str) -> Data
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """center, node, hops: breadth-first growth of all seeds (center) at once over allowed edges (src, dst).
 
-    Every round appends its new nodes; what was found before is read, not written again.
+    A round takes as many hops as a front of its size can take without passing ``BALL`` rows: the ball is broadcast to the edges, which are not
+    shuffled, and carries what it has reached by edges of no length to the nodes themselves. A front too large for that takes one hop by a
+    shuffled join. Every round appends its new nodes; what was found before is read, not written again.
     """
     spark = edges.sparkSession
     home = f"{shared_folder(spark)}/reachable-{uuid.uuid4().hex}"
-    front = seeds.select("center", F.col("center").alias("node"), F.lit(0).alias("hops")).distinct()
-    schema = front.schema
+    new = seeds.select("center", F.col("center").alias("node"), F.lit(0).alias("hops")).distinct()
+    schema, done = new.schema, 0
+    loops = edges.select(F.col("dst").alias("src"), "dst").distinct().withColumn("_d", F.lit(0))
+    steps = cut(edges.select("src", "dst").withColumn("_d", F.lit(1)).unionByName(loops))
+    branches = max(2, steps.groupBy("src").count().agg(F.max("count")).first()[0] or 0)
     for k in count(1):
-        front.write.parquet(f"{home}/{k - 1}")
+        new.write.parquet(f"{home}/{k - 1}")
         found = spark.read.schema(schema).parquet(*(f"{home}/{n}" for n in range(k)))
-        front = spark.read.schema(schema).parquet(f"{home}/{k - 1}")
-        new = front.join(edges, front["node"] == edges["src"]).select("center", F.col("dst").alias("node")).distinct()
-        new = cut(new.join(found, ["center", "node"], "left_anti").withColumn("hops", F.lit(k)))
-        if new.isEmpty():
+        front = spark.read.schema(schema).parquet(f"{home}/{k - 1}").filter(F.col("hops") == done)
+        size = front.count()
+        if not size:
             return found
-        front = new
+        hops = min(MOST_HOPS, int(log(max(BALL / size, 1), branches)))
+        for _ in range(max(hops, 1)):
+            ball = F.broadcast(front) if hops else front
+            met = ball.withColumnRenamed("node", "src").join(steps, "src").groupBy("center", F.col("dst").alias("node"))
+            front, done = met.agg(F.min(F.col("hops") + F.col("_d")).alias("hops")), done + 1
+        new = front.join(found.select("center", "node"), ["center", "node"], "left_anti").select(*schema.names)
 
 
 def _around(cells: DataFrame, radius: float, size: float) -> DataFrame:

@@ -148,3 +148,31 @@ def test_weighing_is_spread_over_tasks(spark):
         assert abs(lik - r["lik"]) < 1e-9
     assert got.count() == 40 and any(r["lik"] > 1 for r in got.collect())
     assert got.rdd.getNumPartitions() >= 200
+
+
+def test_growth_takes_several_hops_a_round(spark, monkeypatch):
+    """Hops as from a queue, over a branching lattice, a directed tail and two seeds, in far fewer rounds than hops; a front too large for a broadcast takes one hop a round."""
+    from collections import deque
+    from glob import glob
+
+    from cairnmap.operators import planning as P
+
+    pairs = {(a, b) for a in range(120) for b in (a - 5, a - 1, a + 1, a + 5) if 0 <= b < 120 and a % 7 and b % 7} | {(118, 500), (500, 501), (600, 601)}
+    edges, seeds = spark.createDataFrame(sorted(pairs), "src long, dst long"), spark.createDataFrame([(1,), (118,)], "center long")
+    want = {}
+    for c in (1, 118):
+        held, queue = {c: 0}, deque([c])
+        while queue:
+            at = queue.popleft()
+            for a, b in pairs:
+                if a == at and b not in held:
+                    held[b] = held[at] + 1
+                    queue.append(b)
+        want |= {(c, n): h for n, h in held.items()}
+    for ball, most in ((P.BALL, 0.5), (1, 1.2)):
+        monkeypatch.setattr(P, "BALL", ball)
+        before = set(glob(spark.conf.get("spark.checkpoint.dir").removeprefix("file:") + "/reachable-*/*"))
+        got = [((r["center"], r["node"]), r["hops"]) for r in P.reachable(edges, seeds).collect()]
+        assert dict(got) == want and len(got) == len(want)
+        rounds = set(glob(spark.conf.get("spark.checkpoint.dir").removeprefix("file:") + "/reachable-*/*")) - before
+        assert len(rounds) <= most * max(want.values()) + 2
