@@ -153,6 +153,14 @@ def measured_hull(points: np.ndarray) -> tuple[float, float]:
     return (0.0, 0.0) if hull is None else (hull.volume(), hull.area())
 
 
+def _wrench_hulls(batches: Iterator[pd.DataFrame], finger: str, alpha: float):
+    """A grasp's wrenches in the order of their components, their hull and the offset of its zones' facets; nothing without force closure."""
+    group = pd.concat(list(batches)).sort_values([*WRENCH, finger]).reset_index(drop=True)
+    hull = convex_hull(group[list(WRENCH)].to_numpy(float))
+    if hull is not None and hull.offsets.min() > 1e-9:
+        yield group, hull, alpha * float(hull.offsets.min())
+
+
 def shifted_zones(wrenches: DataFrame, by: str, finger: str, alpha: float, held: int = 1 << 22) -> DataFrame:
     """by, finger, zone, facet, n0..n5, off of each grasp whose hull holds the origin: one zone for each wrench (numbered in the order of their
     components) at a hull vertex, bounded by its facets moved inwards to ``alpha`` times the ball's radius: outward normals, and a wrench is in the
@@ -165,17 +173,27 @@ def shifted_zones(wrenches: DataFrame, by: str, finger: str, alpha: float, held:
     schema = f"`{by}` {kinds[by]}, `{finger}` {kinds[finger]}, zone int, facet int, " + ", ".join(f"n{k} double" for k in range(6)) + ", off double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group = pd.concat(list(batches)).sort_values([*WRENCH, finger]).reset_index(drop=True)
-        points = group[list(WRENCH)].to_numpy(float)
-        normals, offsets = hull_facets(points)
-        radius = offsets.min() if len(offsets) else 0.0
-        if radius <= 1e-9:
-            return
-        keys, fingers, size = group[by].to_numpy(), group[finger].to_numpy(), max(held // len(points), 1)
-        for start in range(0, len(offsets), size):  # some facets at a time: points times facets are never held at once
-            part = normals[start : start + size]
-            zone, facet = np.nonzero(np.abs(points @ part.T - offsets[start : start + size]) < 1e-7)
-            own = {by: keys[zone], finger: fingers[zone], "zone": zone, "facet": start + facet}
-            yield pd.DataFrame(own | {f"n{k}": part[facet, k] for k in range(6)} | {"off": np.full(len(zone), alpha * radius)})
+        for group, hull, off in _wrench_hulls(batches, finger, alpha):
+            keys, fingers = group[by].to_numpy(), group[finger].to_numpy()
+            for place, facet, zone in hull.touching(held=held):  # some facets at a time: points times facets are never held at once
+                own = {by: keys[zone], finger: fingers[zone], "zone": zone, "facet": facet}
+                yield pd.DataFrame(own | {f"n{k}": hull.normals[place, k] for k in range(6)} | {"off": np.full(len(zone), off)})
 
     return dealt(wrenches.select(by, finger, *WRENCH), by).groupBy(by).applyInPandas(run, schema)
+
+
+def zone_sizes(wrenches: DataFrame, by: str, finger: str, alpha: float, held: int = 1 << 22) -> DataFrame:
+    """by, finger, zone, facets, off of each zone of ``shifted_zones``: its facets are counted where the hull is, so none of them leaves its task."""
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha is between 0 and 1")
+    kinds = dict(wrenches.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group, hull, off in _wrench_hulls(batches, finger, alpha):
+            sizes = np.zeros(len(group), np.int64)
+            for _, _, zone in hull.touching(held=held):
+                sizes += np.bincount(zone, minlength=len(group))
+            zone = np.flatnonzero(sizes)
+            yield pd.DataFrame({by: group[by].to_numpy()[zone], finger: group[finger].to_numpy()[zone], "zone": zone, "facets": sizes[zone], "off": np.full(len(zone), off)})
+
+    return dealt(wrenches.select(by, finger, *WRENCH), by).groupBy(by).applyInPandas(run, f"`{by}` {kinds[by]}, `{finger}` {kinds[finger]}, zone int, facets long, off double")

@@ -17,9 +17,68 @@ class Hull:
     def __init__(self, vertices: np.ndarray, normals: np.ndarray, offsets: np.ndarray, points: np.ndarray, inner: np.ndarray):
         self.vertices, self.normals, self.offsets, self.points, self.inner = vertices, normals, offsets, points, inner
 
+    def _rounded(self, places: np.ndarray | slice, digits: int) -> np.ndarray:
+        return np.round(np.column_stack((self.normals[places], self.offsets[places])), digits) + 0.0
+
+    def different(self, digits: int = 6) -> np.ndarray:
+        """Places of simplices on different facet planes, one for each. Planes are told apart by a hash; only those that share one are compared."""
+        n, d = self.normals.shape
+        factor = np.random.default_rng(2).integers(1, 1 << 62, d + 1, dtype=np.uint64) | np.uint64(1)
+        mark = np.empty(n, np.uint64)
+        for k in range(0, n, PART):
+            mark[k : k + PART] = (self._rounded(slice(k, k + PART), digits).view(np.uint64) * factor).sum(1, dtype=np.uint64)
+        order = np.argsort(mark, kind="stable")
+        mark = mark[order]
+        again = np.append(False, mark[1:] == mark[:-1])
+        several = again | np.append(again[1:], False)
+        shared, single = order[several], order[~several]
+        first = np.unique(self._rounded(shared, digits), axis=0, return_index=True)[1]
+        return np.sort(np.append(single, shared[first]))
+
     def planes(self, digits: int = 6) -> int:
         """Number of different facet planes: simplices of one flat facet count once."""
-        return len(np.unique(np.round(np.column_stack((self.normals, self.offsets)), digits) + 0.0, axis=0))
+        return len(self.different(digits))
+
+    def _crowded(self, gap: float) -> np.ndarray:
+        """Whether a corner other than a simplex's own lies within ``gap`` of its plane. From such a corner a path over edges climbs to the simplex,
+        so one of them is a neighbour of the simplex's corners: stars are looked at, corner by corner, for some corners at a time."""
+        n, d = self.vertices.shape
+        found, stars = np.zeros(n, bool), np.zeros(len(self.points), np.int64)
+        for k in range(0, n, PART):
+            stars += np.bincount(self.vertices[k : k + PART].reshape(-1), minlength=len(stars))
+        run = np.cumsum(stars) // (PART * 64)
+        for first, last in ((r[0], r[-1]) for r in np.split(np.arange(len(run)), np.flatnonzero(np.diff(run)) + 1)):
+            own, of = [], []
+            for k in range(0, n, PART):
+                part = self.vertices[k : k + PART]
+                row, column = np.nonzero((part >= first) & (part <= last))
+                own.append(row + k)
+                of.append(part[row, column])
+            own, of = np.concatenate(own), np.concatenate(of)
+            order = np.argsort(of, kind="stable")
+            for star in np.split(own[order], np.flatnonzero(np.diff(of[order])) + 1):
+                near = np.unique(self.vertices[star])
+                found[star] |= (self.points[near] @ self.normals[star].T - self.offsets[star] > -gap).sum(0) > d
+        return found
+
+    def touching(self, digits: int = 7, gap: float = 1e-7, held: int = 1 << 22):
+        """Facets (places of simplices, one for each plane) and the points within ``gap`` of their planes, in parts: places, facets' numbers, points.
+        Planes with their own corners only are not measured against the others; ``held`` distances at a time."""
+        places, d = self.different(digits), self.vertices.shape[1]
+        crowded = self._crowded(gap)[places]
+        inside = np.ones(len(self.points), bool)
+        inside[self.vertices.reshape(-1)] = False
+        for several, measured in ((False, np.flatnonzero(inside)), (True, np.arange(len(inside)))):
+            numbers = np.flatnonzero(crowded == several)
+            for k in range(0, 0 if several else len(numbers), PART):
+                part = numbers[k : k + PART]
+                yield np.repeat(places[part], d), np.repeat(part, d), self.vertices[places[part]].reshape(-1)
+            size = max(held // max(len(measured), 1), 1)
+            for k in range(0, len(numbers) if len(measured) else 0, size):
+                part = numbers[k : k + size]
+                at = places[part]
+                point, facet = np.nonzero(np.abs(self.points[measured] @ self.normals[at].T - self.offsets[at]) < gap)
+                yield at[facet], part[facet], measured[point]
 
     def _parts(self):
         return (self.points[self.vertices[k : k + PART]] for k in range(0, len(self.vertices), PART))
@@ -65,7 +124,7 @@ def convex_hull(points: np.ndarray, tolerance: float = 1e-10) -> Hull | None:
     Every point outside the hull so far is in the conflict list of one facet that it sees. Of a facet's list the farthest point is added (the
     lexically last among equals, so that always a corner is added): the facets it sees, found from that one across ridges, go, new ones join it to
     the ridges around them, and the lists of those that went are dealt to the new ones. Points within ``tolerance`` times the extent of a facet
-    count as inside. A step costs what it changes, not the whole hull.
+    count as inside. A step costs what it changes, not the whole hull; new facets take the places of those that went, and the arrays grow where they lie.
     """
     points = np.asarray(points, float)
     if not len(points) or not np.isfinite(points).all():
@@ -81,9 +140,9 @@ def convex_hull(points: np.ndarray, tolerance: float = 1e-10) -> Hull | None:
     weight = np.random.default_rng(1).integers(1, 1 << 62, n, dtype=np.uint64)
     vertices = np.array([[*c] for c in combinations(own, d)], np.int32)
     across = np.array([[d - own.index(i) for i in c] for c in vertices.tolist()], np.int32)  # the facet without a vertex is on its other side
-    normals, offsets = _planes(points[vertices], inner)
+    normals, offsets = (a.copy() for a in _planes(points[vertices], inner))
     alive = np.ones(len(vertices), bool)
-    used = living = len(vertices)
+    used, free = len(vertices), np.zeros(0, np.int64)
     above = points @ normals.T - offsets
     sees = np.where(above.max(1) > least, above.argmax(1), -1)
     sees[own] = -1
@@ -110,37 +169,36 @@ def convex_hull(points: np.ndarray, tolerance: float = 1e-10) -> Hull | None:
         turn = np.argsort(key)
         ridges, beyond, key = np.sort(ridges[turn], axis=1), beyond[turn], key[turn]
         m = len(ridges)
-        while used + m > len(alive):
-            grow = len(alive)
-            vertices, across, normals = (np.vstack((a, np.zeros((grow, d), a.dtype))) for a in (vertices, across, normals))
-            offsets, alive = np.append(offsets, np.zeros(grow)), np.append(alive, np.zeros(grow, bool))
-        place = slice(used, used + m)
-        vertices[place, :-1], vertices[place, -1] = ridges, apex
-        new_normals, new_offsets = _planes(points[vertices[place]], inner)
-        normals[place], offsets[place], alive[place] = new_normals, new_offsets, True
-        number = np.arange(used, used + m)
-        across[place, -1] = beyond
+        lost = waiting[~alive[sees[waiting]]]
+        lost = lost[lost != apex]
+        sees[apex] = -1
+        free = np.append(free, gone)
+        number, free = np.append(free[:m], np.arange(used, used + max(m - len(free), 0))), free[m:]
+        used = max(used, int(number.max()) + 1)
+        if used > len(alive):
+            grow = used + used // 4
+            for a in (vertices, across, normals, offsets, alive):
+                a.resize((grow, *a.shape[1:]), refcheck=False)
+        vertices[number] = np.column_stack((ridges, np.full(m, apex, np.int32)))
+        new_normals, new_offsets = _planes(points[vertices[number]], inner)
+        normals[number], offsets[number], alive[number] = new_normals, new_offsets, True
+        across[number, -1] = beyond
         slot = (vertices[beyond][:, :, None] == ridges[:, None]).any(2).argmin(1)
         across[beyond, slot] = number
         pair = np.argsort((key[:, None] - weight[ridges]).reshape(-1), kind="stable").reshape(-1, 2)  # two new facets meet where a ridge drops a vertex
         row, column = np.divmod(pair, d - 1)
-        across[used + row[:, 0], column[:, 0]], across[used + row[:, 1], column[:, 1]] = used + row[:, 1], used + row[:, 0]
-        lost = waiting[~alive[sees[waiting]]]
-        lost = lost[lost != apex]
-        sees[apex] = -1
+        one, two = number[row[:, 0]], number[row[:, 1]]
+        across[one, column[:, 0]], across[two, column[:, 1]] = two, one
         if len(lost):
             above = points[lost] @ new_normals.T - new_offsets
-            sees[lost] = np.where(above.max(1) > least, used + above.argmax(1), -1)
-        used, living = used + m, living + m - len(gone)
+            sees[lost] = np.where(above.max(1) > least, number[above.argmax(1)], -1)
         waiting = waiting[sees[waiting] >= 0]
-        if used > 4096 and living * 3 < used:  # drop the dead
-            keep = np.flatnonzero(alive[:used])
-            number = np.full(used, -1, np.int32)
-            number[keep] = np.arange(len(keep))
-            sees[waiting] = number[sees[waiting]]
-            vertices, across, normals, offsets, alive, used = vertices[keep], number[across[keep]], normals[keep], offsets[keep], np.ones(len(keep), bool), len(keep)
+    del across
     keep = np.flatnonzero(alive[:used])
-    return Hull(vertices[keep], normals[keep], offsets[keep], points, inner)
+    for a in (vertices, normals, offsets):  # one at a time
+        a[: len(keep)] = a[keep]
+        a.resize((len(keep), *a.shape[1:]), refcheck=False)
+    return Hull(vertices, normals, offsets, points, inner)
 
 
 def corners(points: np.ndarray) -> np.ndarray:

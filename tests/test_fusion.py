@@ -238,3 +238,32 @@ def test_grasps_small_in_bytes_run_in_tasks_of_their_own(spark):
 
     seconds(500)
     assert seconds(8000) < 12 * seconds(2000)
+
+
+def test_hulls_take_the_places_of_their_dead_facets(spark):
+    """A hull holds little more than its facets; zones' sizes are those of their rows, also with wrenches in the facets, equal ones and flat faces."""
+    import tracemalloc
+
+    from cairnmap.operators.hull import convex_hull
+
+    draw = np.random.default_rng(8)
+    points = draw.normal(size=(300, 6))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    tracemalloc.start()
+    hull = convex_hull(points)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 350 * len(hull.vertices), most / len(hull.vertices)
+    cross = np.concatenate((np.eye(6), -np.eye(6)))
+    star = np.concatenate((cross, cross[:3], (cross[:1] + cross[1:2]) / 2, 0.2 * cross[:2]))
+    cube = np.array(np.meshgrid(*[(-1.0, 1.0)] * 6)).reshape(6, -1).T
+    near = np.concatenate((cube, [[1 - 5e-8, 0, 0, 0, 0, 0], [1 + 5e-8, 0.5, 0, 0, 0, 0], [1 - 1e-5, 0, 0, 0, 0, 0]]))
+    rows = [(g, k % 3, *map(float, p)) for g, own in enumerate((star, cube, near, points)) for k, p in enumerate(own)]
+    wrenches = spark.createDataFrame(rows, "grasp int, finger int, " + ", ".join(f"{w} double" for w in GR.WRENCH))
+    sizes = GR.zone_sizes(wrenches, "grasp", "finger", 0.5).toPandas().set_index(["grasp", "zone"]).sort_index()
+    whole = GR.shifted_zones(wrenches, "grasp", "finger", 0.5).toPandas().groupby(["grasp", "zone"]).size()
+    assert sizes["facets"].to_dict() == whole.to_dict()
+    for g, own in enumerate((star, cube, near, points)):
+        normals, offsets = GR.hull_facets(own[np.lexsort(own.T[::-1])])
+        near_by = (np.abs(own[np.lexsort(own.T[::-1])] @ normals.T - offsets) < 1e-7).sum(1)
+        assert {z: n for z, n in enumerate(near_by.tolist()) if n} == sizes.loc[g]["facets"].to_dict()
