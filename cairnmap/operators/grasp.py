@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .hull import convex_hull, corners
+from .hull import convex_hull
 from .lineage import cut
 
 WRENCH = ("f1", "f2", "f3", "t1", "t2", "t3")
@@ -75,21 +75,36 @@ def dealt(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(max(200, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if by else df.sparkSession.sparkContext.defaultParallelism, *by)
 
 
-def hull_wrenches(wrenches: DataFrame, by: str) -> DataFrame:
-    """by and components of the wrenches that their grasp's hull can need: in every batch of a task, each grasp's corners. A corner of the whole
-    is one of any part that holds it, so hulls of the rest are the same, and a grasp of any size meets as its parts' corners."""
+def hull_wrenches(wrenches: DataFrame, by: str, least: int = 1000) -> DataFrame:
+    """by and components of the wrenches that their grasp's hull can need: those clearly inside a small hull of the same grasp's wrenches are left
+    out, so hulls of the rest are the same. A task makes a grasp's small hull once, from the outermost of the first batch that has ``least`` of the
+    grasp's wrenches; fewer are all kept, as hulls of parts cost more than they spare where most wrenches are corners."""
     kind = dict(wrenches.dtypes)[by]
+    ways = np.random.default_rng(3).normal(size=(6, 24))
 
     def run(batches):
+        small: dict = {}
         for batch in batches:
-            yield pd.concat([own.iloc[corners(own[list(WRENCH)].to_numpy(float))] for _, own in batch.groupby(by, dropna=False, sort=False)]) if len(batch) else batch
+            kept = [batch.iloc[:0]]
+            for grasp, own in batch.groupby(by, dropna=False, sort=False):
+                points = own[list(WRENCH)].to_numpy(float)
+                if grasp not in small and len(points) >= least:
+                    outer = points @ np.hstack((ways, -ways))
+                    small[grasp] = convex_hull(points[np.unique(outer.argmax(0))])
+                hull, size = small.get(grasp), 4096
+                if hull is not None:
+                    margin = 1e-6 * float(np.ptp(hull.points, axis=0).max())
+                    parts = (points[k : k + size] for k in range(0, len(points), size))
+                    own = own[np.concatenate([(p @ hull.normals.T > hull.offsets - margin).any(1) | ~np.isfinite(p).all(1) for p in parts])]
+                kept.append(own)
+            yield pd.concat(kept)
 
     return dealt(wrenches.select(by, *WRENCH).dropna()).mapInPandas(run, f"`{by}` {kind}, " + ", ".join(f"{w} double" for w in WRENCH))
 
 
 def grasp_quality(wrenches: DataFrame, by: str) -> DataFrame:
     """by, facets, radius, force_closure, volume, area of each grasp's wrench set: the largest ball about the origin inside the hull, and the
-    hull's contents. Wrenches are cut to their parts' corners before a grasp meets in one task. Flat sets give zeros; rows with nulls don't count."""
+    hull's contents. Wrenches clearly inside are left out before a grasp meets in one task. Flat sets give zeros; rows with nulls don't count."""
 
     def run(group):
         hull = convex_hull(group[list(WRENCH)].to_numpy(float))

@@ -199,9 +199,3 @@ def convex_hull(points: np.ndarray, tolerance: float = 1e-10) -> Hull | None:
         a[: len(keep)] = a[keep]
         a.resize((len(keep), *a.shape[1:]), refcheck=False)
     return Hull(vertices, normals, offsets, points, inner)
-
-
-def corners(points: np.ndarray) -> np.ndarray:
-    """Places of the points that the hull needs; all of them where they lie in a flat."""
-    hull = convex_hull(points)
-    return np.arange(len(points)) if hull is None else np.unique(hull.vertices)

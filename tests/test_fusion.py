@@ -267,3 +267,19 @@ def test_hulls_take_the_places_of_their_dead_facets(spark):
         normals, offsets = GR.hull_facets(own[np.lexsort(own.T[::-1])])
         near_by = (np.abs(own[np.lexsort(own.T[::-1])] @ normals.T - offsets) < 1e-7).sum(1)
         assert {z: n for z, n in enumerate(near_by.tolist()) if n} == sizes.loc[g]["facets"].to_dict()
+
+
+def test_wrenches_inside_are_left_out_without_hulls_of_parts(spark):
+    """Wrenches that are all corners are kept in a few seconds; of a cloud of wrenches most are left out, and its hull stays the same."""
+    from time import time
+
+    draw = np.random.default_rng(9)
+    sphere, cloud = draw.normal(size=(6000, 6)), draw.normal(size=(8000, 6))
+    sphere /= np.linalg.norm(sphere, axis=1)[:, None]
+    frame = lambda points: spark.createDataFrame([(0, *map(float, p)) for p in points], "grasp int, " + ", ".join(f"{w} double" for w in GR.WRENCH))
+    began = time()
+    assert GR.hull_wrenches(frame(sphere), "grasp").count() == len(sphere) and time() - began < 10
+    kept = np.array([r[1:] for r in GR.hull_wrenches(frame(cloud), "grasp").collect()])
+    assert len(kept) < 0.6 * len(cloud)
+    ways = draw.normal(size=(6, 2000))
+    assert np.array_equal((cloud @ ways).max(0), (kept @ ways).max(0))
