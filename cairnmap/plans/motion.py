@@ -11,7 +11,7 @@ from ..operators import particles as PF
 from ..operators import trajectory as T
 from ..streaming import latest, synchronised
 from .cells import halves
-from .registry import CLOUD, COV, ODOMETRY, POSES, SIZE, cells_sql, cloud, inverse_sql, key_sql, odometry, plan, poses, quadratic_sql, rnd, rounded, table
+from .registry import CLOUD, COV, ODOMETRY, POSES, SIZE, cells_sql, cloud, inverse_sql, key_sql, odometry, plan, poses, quadratic_sql, rnd, rounded, sql_poses, table
 
 
 @plan(f"WITH {POSES} SELECT robot_id, seq, {rnd('x', 'x')}, {rnd('y', 'y')}, {rnd('yaw', 'yaw')} FROM poses")
@@ -36,7 +36,7 @@ def travelled(spark, sf):
 
 @plan(f"WITH {POSES}, {_D} SELECT robot_id, count(*) AS kept FROM d WHERE lx IS NULL OR sqrt({_DX}**2+{_DY}**2) >= 0.4 OR abs({_DA}) >= 0.025 GROUP BY robot_id")
 def motion_gate(spark, sf):
-    return T.motion_gate(poses(spark, sf), ("robot_id",), "seq", 0.4, 0.025).groupBy("robot_id").agg(F.count("*").alias("kept"))
+    return T.motion_gate(sql_poses(spark, sf), ("robot_id",), "seq", 0.4, 0.025).groupBy("robot_id").agg(F.count("*").alias("kept"))
 
 
 _KEPT = """k AS (SELECT *, row_number() OVER (PARTITION BY robot_id ORDER BY seq) AS rn FROM poses),

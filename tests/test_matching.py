@@ -147,3 +147,48 @@ def test_classes_agree_with_the_decomposition(spark):
     want = {tuple(r[k] for k in C.KEY): r["class"] for r in C.clamped(cells).collect()}
     got = {tuple(r[k] for k in C.KEY): r["class"] for r in C.with_kind(cells).collect()}
     assert got == want and len(got) > 10
+
+
+def test_sums_in_blocks_are_the_tree_s():
+    """Against frames put together from a tree's nodes, with places that begin anywhere and batches that end anywhere; nulls don't count."""
+    from cairnmap.operators.trajectory import block_state, block_sums
+
+    def tree(values, first, end, level=0):
+        """The sum of places first to end, from the left: leaves to a block's edge, whole blocks, and the leaves after."""
+        if first // 16 == end // 16:
+            return [(level, k) for k in range(first, end)]
+        left = [(level, k) for k in range(first, -(-first // 16) * 16)]
+        return left + tree(values, -(-first // 16), end // 16, level + 1) + [(level, k) for k in range(end // 16 * 16, end)]
+
+    draw = np.random.default_rng(2)
+    for first in (0, 5, 16, 250, 256, 4090):
+        values = draw.normal(size=first + 5000).tolist()
+        levels = [values]
+        while len(levels[-1]) >= 16:
+            a = levels[-1]
+            levels.append([float(np.add.accumulate([0.0, *a[k : k + 16]])[-1]) for k in range(0, len(a) // 16 * 16, 16)])
+        state, got = block_state(first), []
+        for a, b in ((0, 3), (3, 700), (700, 5000)):
+            got += block_sums(values[first + a : first + b], state)
+        for n in (0, 1, 2, 10, 11, 15, 16, 250, 255, 256, 300, 4095, 4096, 4200, 4999):
+            want = 0.0
+            for level, k in tree(values, first, first + n + 1):
+                want += levels[level][k]
+            assert got[n] == want
+    assert block_sums([None, 1.0, None, 2.0], block_state(14)) == [None, 1.0, 1.0, 3.0]
+
+
+def test_poses_are_the_sql_s_to_the_last_bit(spark, tmp_path):
+    import duckdb
+    import pandas as pd
+
+    from cairnmap.plans import registry
+
+    events = pd.read_parquet("/root/testdata/sf0.01/events.parquet")
+    longer = pd.concat([events.assign(event_id=events["event_id"] + k * len(events), ts=events["ts"] + pd.Timedelta(days=k)) for k in range(5)])
+    longer.to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = base.execute(f"WITH {registry.POSES} SELECT robot_id, seq, yaw, x, y FROM poses ORDER BY robot_id, seq").df()
+    got = registry.sql_poses(spark, str(tmp_path)).select("robot_id", "seq", "yaw", "x", "y").toPandas().sort_values(["robot_id", "seq"])
+    assert len(want) == 50_000 and np.array_equal(got.to_numpy(), want.to_numpy())
