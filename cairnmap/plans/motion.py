@@ -47,7 +47,7 @@ FROM g JOIN k ON k.robot_id = g.robot_id AND k.rn = g.rn + 1, LATERAL (SELECT sq
 
 @plan(f"WITH RECURSIVE {POSES}, {_KEPT} SELECT robot_id, seq, {rnd('x', 'x')}, {rnd('y', 'y')}, {rnd('yaw', 'yaw')} FROM g WHERE kept")
 def fuse_gate(spark, sf):
-    return rounded(T.fuse_gate(poses(spark, sf).select("robot_id", "seq", "x", "y", "yaw"), ("robot_id",), "seq", 0.5, 0.025), "x", "y", "yaw")
+    return rounded(T.fuse_gate(sql_poses(spark, sf).select("robot_id", "seq", "x", "y", "yaw"), ("robot_id",), "seq", 0.5, 0.025), "x", "y", "yaw")
 
 
 def pairs(spark, sf):
