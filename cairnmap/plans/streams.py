@@ -27,7 +27,7 @@ def messages(spark, sf):
 @plan(f"WITH RECURSIVE {POSES}, {_POINTS}, {_GATED}, c AS (SELECT *, {_CELL} FROM wp) SELECT robot_id, ix, iy, iz, max(seq) AS seq, max_by(frames, seq) AS frames, max_by(oldest, seq) AS oldest, count(*) AS n, {_STATS} FROM c GROUP BY robot_id, ix, iy, iz")
 def streamed_map(spark, sf):
     """Each robot's map, gate and last ten frames as its stateful processor leaves them after all messages."""
-    cells = S.newest_cells(S.fused_map(messages(spark, sf), 0.5, 0.5, 0.025, skip=3, frames=10))
+    cells = S.newest_cells(S.fused_map(messages(spark, sf), 0.5, 0.5, 0.025, skip=3, frames=10, newest=True))
     return rounded(cells, "mx", "my", "mz", "cxx", "cxy", "cxz", "cyy", "cyz", "czz")
 
 
