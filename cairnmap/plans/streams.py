@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import state as S
-from .registry import POSES, plan, poses, rnd, rounded, table
+from .registry import POSES, plan, rnd, rounded, sql_poses, table
 
 _POINTS = "pt AS (SELECT *, dx * j * 0.48713 AS px, dyaw * j * 9.71317 AS py, j * 0.24773::DOUBLE AS pz FROM poses, (SELECT unnest(range(1, 5)) AS j))"
 _GATED = """k AS (SELECT robot_id, seq, x, y, yaw, row_number() OVER (PARTITION BY robot_id ORDER BY seq) - 3 AS rn FROM poses QUALIFY rn > 0),
@@ -21,7 +21,7 @@ _STATS = ", ".join([rnd(f"avg({a})", f"m{a}", 6) for a in "xyz"] + [rnd(f"covar_
 def messages(spark, sf):
     """Every robot's poses with four points seen from each."""
     point = lambda j: F.struct((F.col("dx") * j * 0.48713).alias("x"), (F.col("dyaw") * j * 9.71317).alias("y"), F.lit(j * 0.24773).alias("z"))
-    return poses(spark, sf).select("robot_id", "seq", "x", "y", "yaw", F.array(*(point(j) for j in range(1, 5))).alias("points"))
+    return sql_poses(spark, sf).select("robot_id", "seq", "x", "y", "yaw", F.array(*(point(j) for j in range(1, 5))).alias("points"))
 
 
 @plan(f"WITH RECURSIVE {POSES}, {_POINTS}, {_GATED}, c AS (SELECT *, {_CELL} FROM wp) SELECT robot_id, ix, iy, iz, max(seq) AS seq, max_by(frames, seq) AS frames, max_by(oldest, seq) AS oldest, count(*) AS n, {_STATS} FROM c GROUP BY robot_id, ix, iy, iz")
